@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from kindred.llm import decontaminate, language_id, packing, toxicity
+from kindred.llm import decontaminate, language_id, lm_score, packing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op10_lm_score": lm_score.op10_lm_score,
+}
+ORACLES = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
+    "op10_lm_score": lm_score.ORACLE,
 }
-ORACLES = {"op7_decontaminate": decontaminate.ORACLE}

@@ -92,13 +92,7 @@ class Chunk:
             table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.table = table.combine_chunks()
         data, self.offsets = K.utf8(self.table["text"])
-        parts, firsts, base = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
-        for lo, hi in K.slices(self.offsets):
-            words = K.Words(data[self.offsets[lo] : self.offsets[hi]], self.offsets[lo : hi + 1] - self.offsets[lo], keep)
-            parts.append(words.hashes(lower))
-            firsts.append(words.first[1:] + base)
-            base += words.count
-        self.words, self.first = np.concatenate(parts), np.concatenate(firsts)
+        self.words, self.first = K.hashed_words(data, self.offsets, keep, lower)
 
     def room(self) -> np.ndarray:
         return np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.words))

@@ -113,6 +113,17 @@ class Words:
         return np.repeat(self.first[1:], np.diff(self.first)) - np.arange(self.count)
 
 
+def hashed_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes of many texts and where each text's begin, made slice by slice."""
+    parts, firsts, base = [np.zeros(0, U)], [np.zeros(1, np.int64)], 0
+    for lo, hi in slices(offsets):
+        words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], table)
+        parts.append(words.hashes(lower))
+        firsts.append(words.first[1:] + base)
+        base += words.count
+    return np.concatenate(parts), np.concatenate(firsts)
+
+
 def windows(words: np.ndarray, length: int) -> np.ndarray:
     """Hash of the `length` words from each place on; n - length + 1 of them, none mixed yet.
 

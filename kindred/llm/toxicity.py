@@ -127,13 +127,12 @@ def fit(sample: pa.Table, *, z: float = 3.0, drift: float = 0.5, prior: float =
     if not len(label) or label.all() or not label.any():
         return None
     data, offsets = K.utf8(sample["text"])
-    words = K.Words(data, offsets, K.ALNUM)
-    hashes = words.hashes(True)
+    hashes, first = K.hashed_words(data, offsets, K.ALNUM, True)
     # each distinct text counts a token once
     digest = np.array([hash(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(len(label))], np.int64)
     once = np.zeros(len(label), bool)
     once[np.unique(digest, return_index=True)[1]] = True
-    doc = np.repeat(np.arange(len(label)), np.diff(words.first))
+    doc = np.repeat(np.arange(len(label)), np.diff(first))
     keys, inverse = np.unique(hashes, return_inverse=True)
     pairs = np.unique(inverse[once[doc]].astype(np.int64) * len(label) + doc[once[doc]])
     token, toxic = pairs // len(label), label[pairs % len(label)]
@@ -162,7 +161,9 @@ def fit(sample: pa.Table, *, z: float = 3.0, drift: float = 0.5, prior: float =
             lo, hi = (mid, hi) if (p * np.exp(mid * s)).sum() < 1 else (lo, mid)
         rate = (lo + hi) / 2
     model = SegmentModel(keys[chosen], scores, drift, rate, 0.0, np.zeros(3))
-    n_words, found = segments(model, data, offsets)
+    n_words, found = np.diff(first), []
+    for lo, hi in K.slices(offsets):
+        found += segments(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[1]
     best = np.array([max((x[2] for x in segs), default=0.0) for segs in found])
     clean = ~label & (best > 0)
     log_k = float(np.mean(rate * best[clean] - np.log(np.maximum(n_words[clean], 1))) - _EULER) if clean.any() else -2.0

@@ -130,7 +130,7 @@ def score_difference(df: DataFrame, target: DataFrame, *, doc_id: str = "doc_id"
     points, counts = character_counts(docs)
     shared = spark.sparkContext.broadcast((points, np.log2((counts + 1) / (counts.sum(1, keepdims=True) + max(len(points), 1)))))
     docs = packed.chunked(docs, total, ordered=False)
-    n_buckets = packed.buckets(spark, total // 16, 24)
+    n_buckets = packed.buckets(total // 16, 24)
 
     def bucket_of(keys: np.ndarray) -> np.ndarray:
         return (K.mix(keys ^ _SIDE) % _U(n_buckets)).astype(np.int64)

@@ -4,7 +4,8 @@ Documents are dealt into chunks of about `CHUNK_BYTES` of text. A chunk asks eac
 keys in one row: the keys are distinct within the chunk (counted or thinned before the shuffle), so
 a key that is in every document costs one entry per chunk, and no bucket holds more of it than there
 are chunks. A bucket answers each chunk in one row. Arrays travel as byte planes, which compress well.
-Chunks and buckets are groups of bounded size; their number grows with the input.
+Chunks and buckets are groups of bounded size; their numbers follow from the input's size alone. There
+are never more rows than entries, however many chunks and buckets there are.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import textkit as K
-from kindred.llm.shared import partitions
 from kindred.session import ship
 
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
+LEAST = 16
 
 
 def sizes(df: DataFrame, text: str = "text") -> int:
@@ -37,7 +38,7 @@ def chunked(df: DataFrame, total: int, *, ordered: bool) -> DataFrame:
     documents; else rows are dealt by a hash of id and text.
     """
     spark = df.sparkSession
-    n = max(2 * partitions(spark), -(-total // CHUNK_BYTES))
+    n = max(LEAST, -(-total // CHUNK_BYTES))
     if not ordered:
         return df.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     ship(spark)
@@ -52,8 +53,8 @@ def chunked(df: DataFrame, total: int, *, ordered: bool) -> DataFrame:
     return df.withColumn("chunk", chunk("doc_id"))
 
 
-def buckets(spark, entries: int, width: int) -> int:
-    return max(2 * partitions(spark), -(-entries * width // BUCKET_BYTES))
+def buckets(entries: int, width: int) -> int:
+    return max(LEAST, -(-entries * width // BUCKET_BYTES))
 
 
 def pack(*arrays: np.ndarray) -> bytes:

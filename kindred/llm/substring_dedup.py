@@ -174,7 +174,7 @@ def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = packed.sizes(docs)
     docs = packed.chunked(docs, total, ordered=True)
-    n_buckets = packed.buckets(spark, total // 6, 4)
+    n_buckets = packed.buckets(total // 6, 4)
     lengths = levels(window, seed)
     answers = None
     for i in range(len(lengths)):

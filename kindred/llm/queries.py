@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import decontaminate, language_id, lm_score, packing, substring_dedup, toxicity
+from kindred.llm import decontaminate, language_id, lm_score, minhash_forest, packing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op9_minhash_forest": minhash_forest.op9_minhash_forest,
     "op10_lm_score": lm_score.op10_lm_score,
 }
 ORACLES = {

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from kindred.llm import decontaminate, language_id, lm_score, minhash_forest, packing, substring_dedup, toxicity
+from kindred.llm import chat_format, decontaminate, embedding_forest, language_id, lm_score, minhash_forest, packing, revisits, substring_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_chat_format": chat_format.op3_chat_format,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
+    "op6_revisits": revisits.op6_revisits,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_embedding_forest": embedding_forest.op8_embedding_forest,
     "op9_minhash_forest": minhash_forest.op9_minhash_forest,
     "op10_lm_score": lm_score.op10_lm_score,
 }
 ORACLES = {
     "op2_substring_dedup": substring_dedup.ORACLE,
+    "op3_chat_format": chat_format.ORACLE,
+    "op6_revisits": revisits.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op10_lm_score": lm_score.ORACLE,
 }

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import textkit as K
-from kindred.llm.shared import columns, widened
+from kindred.llm.shared import columns, others, widened
 from kindred.session import ship
 
 
@@ -150,7 +150,8 @@ def _pass(df: DataFrame, ids: list, texts: pa.Array, *, text: str, window: int,
 
 def find_benchmark(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 6, block_bytes: int = 16 << 20) -> DataFrame:
     """df's columns with n_words, spans (word ranges that occur in the benchmark) and items (their ids,
-    as sorted strings). df must not hold columns of these names."""
+    as sorted strings); columns of these names are replaced."""
+    df = df.select(*columns(df, others(df, "n_words", "spans", "items")))
     items = benchmark.select(F.col(item_id).alias("_id"), F.col(item_text).alias("_text")).where("_text is not null")
     total = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

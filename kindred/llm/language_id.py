@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import textkit as K
-from kindred.llm.shared import columns, widened
+from kindred.llm.shared import columns, fresh, others, widened
 from kindred.session import ship
 
 _U = K.U
@@ -131,9 +131,10 @@ def fit_filters(df: DataFrame, learn: Column, *, text: str = "text", lang: str =
 
 
 def identify(df: DataFrame, model: LanguageFilters | None, *, text: str = "text") -> DataFrame:
-    """df's columns without `text`, with lang_pred and score. Whole texts; no shuffle."""
-    kept = [c for c in df.columns if c != text]
-    rows = df.select(*columns(df, kept), F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    """df's columns without `text`, with lang_pred and score (columns of these names are replaced). No shuffle."""
+    kept = others(df, text, "lang_pred", "score")
+    body, letter = fresh(df, "_text"), fresh(df, "_letter")
+    rows = df.select(*columns(df, kept), F.col(text).alias(body), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letter))
     schema = widened(df, kept, "lang_pred string, score double")
     if model is None:
         return rows.select(*columns(df, kept), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -144,16 +145,16 @@ def identify(df: DataFrame, model: LanguageFilters | None, *, text: str = "text"
         model = shared.value
         names = np.array(model.languages, object)
         for batch in batches:
-            data, offsets = K.utf8(batch.column("_text"))
+            data, offsets = K.utf8(batch.column(body))
             parts = [votes(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in K.slices(offsets)]
             got = np.concatenate(parts) if parts else np.zeros((0, len(names)))
             total, best = got.sum(1), got.argmax(1)
             best[total == 0] = model.default
             share = np.where(total > 0, got[np.arange(len(got)), best] / np.maximum(total, 1e-12), 0.0)
-            letter = np.asarray(batch.column("_letter").to_pylist(), bool)
-            predicted = np.where(letter, names[best], "und")
+            has = np.asarray(batch.column(letter).to_pylist(), bool)
+            predicted = np.where(has, names[best], "und")
             cols = [batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(predicted, pa.string()), pa.array(np.where(letter, share, 0.0))], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(predicted, pa.string()), pa.array(np.where(has, share, 0.0))], names=[*kept, "lang_pred", "score"])
 
     return rows.mapInArrow(score, schema)
 

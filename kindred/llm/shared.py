@@ -69,3 +69,17 @@ def columns(df: DataFrame, names: list[str]) -> list:
 def widened(df: DataFrame, names: list[str], ddl: str) -> StructType:
     """The schema of the named columns of df and of the columns of a DDL string."""
     return StructType([df.schema[n] for n in names] + StructType.fromDDL(ddl).fields)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df but these; a column named like an output is replaced by it."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm import packed
 from kindred.llm import textkit as K
+from kindred.llm.shared import columns, widened
 from kindred.session import ship
 
 _U = K.U
@@ -167,12 +168,17 @@ def _ask(docs: DataFrame, answers: DataFrame | None, lengths: list[int], window:
     return grouped.cogroup(answers.groupBy("chunk")).applyInArrow(lambda key, a, b: work(key[0].as_py(), a, b), packed.ASKED)
 
 
-def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, seed: int = 10) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept (the kept words joined by one space)."""
+def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, seed: int = 10, keep_columns: list[str] | None = None, keep_text: bool = False) -> DataFrame:
+    """One row per row of df: doc_id, n_words, n_removed, kept (the kept words joined by one space).
+
+    keep_columns: further columns to carry along, none of these names; keep_text: `text` as well.
+    """
     spark = df.sparkSession
     ship(spark)
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    more = [*(keep_columns or []), *(["text"] if keep_text else [])]
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *columns(df, keep_columns or []))
     total = packed.sizes(docs)
+    schema = widened(docs, more, "doc_id long, n_words long, n_removed long, kept string")
     docs = packed.chunked(docs, total, ordered=True)
     n_buckets = packed.buckets(total // 6, 4)
     lengths = levels(window, seed)
@@ -200,9 +206,10 @@ def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 lost = gone[chunk.first[i] : chunk.first[i + 1]].tolist()
                 words = [w for w, x in zip(words, lost) if not x]
             kept.append(b" ".join(words).decode())
-        return pa.table({"doc_id": chunk.table["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+        out = {c: chunk.table[c] for c in [*more, "doc_id"]}
+        return pa.table(out | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
-    return docs.groupBy("chunk").cogroup(final.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.groupBy("chunk").cogroup(final.groupBy("chunk")).applyInArrow(finish, schema)
 
 
 def digest(text: bytes) -> str:

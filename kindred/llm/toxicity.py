@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm import textkit as K
 from kindred.llm.language_id import HELD_OUT, sample_rows
-from kindred.llm.shared import columns, widened
+from kindred.llm.shared import columns, fresh, others, widened
 from kindred.session import ship
 
 _EULER = 0.5772156649015329
@@ -185,13 +185,15 @@ def fit_labels(docs: DataFrame, labels: DataFrame, learn: Column, *, per_label:
 
 
 def score_toxicity(df: DataFrame, model: SegmentModel | None, *, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """df's columns (`text` only if keep_text) with score, predicted and passages.
+    """df's columns (`text` only if keep_text) with score, predicted and passages; columns of
+    these names are replaced.
 
     passages: array of (first_word, end_word, score, e_value), words being `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`
     of the lower-cased text; every maximal segment with an e-value of at most 0.05.
     """
-    kept = [c for c in df.columns if keep_text or c != text]
-    rows = df.select(*columns(df, kept), F.col(text).alias("_text"))
+    kept = others(df, "score", "predicted", "passages", *([] if keep_text else [text]))
+    body = fresh(df, "_text")
+    rows = df.select(*columns(df, kept), F.col(text).alias(body))
     passage = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
     ddl = "array<struct<first_word:int,end_word:int,score:double,e_value:double>>"
     if model is None:
@@ -203,7 +205,7 @@ def score_toxicity(df: DataFrame, model: SegmentModel | None, *, text: str = "te
     def scan(batches):
         model = shared.value
         for batch in batches:
-            data, offsets = K.utf8(batch.column("_text"))
+            data, offsets = K.utf8(batch.column(body))
             scores, spans = [], []
             for lo, hi in K.slices(offsets):
                 n_words, found = segments(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])

@@ -12,6 +12,7 @@ less the background loss, so lower means nearer to the target.
 All counts are exact and cover every document. Each chunk of documents counts its own n-grams and
 asks the buckets for the corpus' counts of just these (kindred.llm.packed), so no model is collected
 or broadcast; only the character counts (at most one per Unicode character) go to the tasks whole.
+An n-gram is a 64-bit number of four 16-bit characters, so `order` is at most 4.
 
 Defined results: a text of fewer than `order` characters, and null, has no tokens, losses and score 0.
 Repeated rows count and are scored each. An empty target gives p1 = 1 / V for the target. An empty
@@ -40,16 +41,37 @@ def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.where((points >= 65) & (points <= 90), points + 32, points), at
 
 
-def ngrams(points: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: hash of its n-gram, hash of its context, the character; and tokens per text."""
-    n = len(points) - order + 1
+def ngrams(ids: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram of each token, 16 bits a character; and tokens per text."""
+    n = len(ids) - order + 1
     if n <= 0:
-        none = np.zeros(0, _U)
-        return none, none, np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
-    room = np.repeat(at[1:], np.diff(at))[:n] - np.arange(n)
-    inside = room >= order
-    mixed = K.mix(points.astype(_U) + _U(1))
-    return K.mix(K.windows(mixed, order)[inside]), K.mix(K.windows(mixed, order - 1)[:n][inside] ^ _SIDE), points[order - 1 :][inside], np.maximum(np.diff(at) - order + 1, 0)
+        return np.zeros(0, _U), np.zeros(len(at) - 1, np.int64)
+    keys = np.zeros(n, _U)
+    for i in range(order):
+        keys = (keys << _U(16)) | ids[i : i + n]
+    inside = np.ones(n, bool)
+    for i in range(1, order):  # an n-gram that begins so near a text's end is none
+        last = at[1:] - i
+        inside[last[(last >= 0) & (last < n) & (last >= at[:-1])]] = False
+    return keys[inside], np.maximum(np.diff(at) - order + 1, 0)
+
+
+class Alphabet:
+    """Ids of the characters of both corpora; from 65,536 characters on the rarest share the last id."""
+
+    def __init__(self, points: np.ndarray, counts: np.ndarray):
+        by = np.lexsort((points, -counts.sum(0))) if len(points) > 1 << 16 else np.arange(len(points))
+        ids = np.zeros(len(points), np.int64)
+        ids[by] = np.minimum(np.arange(len(points)), (1 << 16) - 1)
+        self.table = np.zeros(int(points.max(initial=0)) + 1, np.uint16)
+        self.table[points] = ids
+        n = int(ids.max(initial=-1)) + 1
+        both = np.stack([np.bincount(ids, counts[i], n) for i in (0, 1)]) if n else np.zeros((2, 0))
+        #: p1 of each id, in the background and in the target.
+        self.p1 = (both + 1) / (both.sum(1, keepdims=True) + max(n, 1))
+
+    def ids(self, points: np.ndarray) -> np.ndarray:
+        return self.table[points]
 
 
 def _sorted(table: pa.Table) -> pa.Table:
@@ -62,22 +84,36 @@ def _slices(table: pa.Table) -> list[tuple[int, list]]:
     return [(lo, table["text"].slice(lo, hi - lo).to_pylist()) for lo, hi in K.slices(offsets)]
 
 
-def _distinct(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys (n-grams and contexts) of a chunk, their counts in the background and in the target."""
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their columns of counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[:, order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first, axis=1) if len(first) else counts
+
+
+def _distinct(table: pa.Table, alphabet: Alphabet, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a chunk and their counts in the background and in the target."""
     target = np.asarray(table["target"].to_pylist(), bool)
-    keys, counts = np.zeros(0, _U), np.zeros((2, 0), np.int64)
+    keys, counts = [np.zeros(0, _U)], [np.zeros((2, 0), np.int64)]
     for lo, texts in _slices(table):
-        gram, context, _, n = ngrams(*characters(texts), order)
-        side = np.repeat(target[lo : lo + len(texts)], n)
-        both, twice = np.concatenate([gram, context]), np.concatenate([side, side])
-        found, inverse = np.unique(both, return_inverse=True)
-        new = np.stack([np.bincount(inverse[~twice], minlength=len(found)), np.bincount(inverse[twice], minlength=len(found))])
-        merged, where = np.unique(np.concatenate([keys, found]), return_inverse=True)
-        total = np.zeros((2, len(merged)), np.int64)
-        total[:, where[: len(keys)]] = counts
-        total[:, where[len(keys) :]] += new
-        keys, counts = merged, total
-    return keys, counts[0], counts[1]
+        points, at = characters(texts)
+        grams, n = ngrams(alphabet.ids(points), at, order)
+        own = target[lo : lo + len(texts)]
+        sides = [(0, grams), (1, grams[:0])] if not own.any() else [(i, grams[np.repeat(own == bool(i), n)]) for i in (0, 1)]
+        for i, mine in sides:
+            found, times = np.unique(mine, return_counts=True)
+            keys.append(found)
+            counts.append(np.stack([times, 0 * times] if i == 0 else [0 * times, times]))
+    return _summed(np.concatenate(keys), np.concatenate(counts, axis=1))
+
+
+def _contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct contexts of sorted n-grams, their counts, and each n-gram's context."""
+    own = keys >> _U(16)
+    new = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return own[first], np.add.reduceat(counts, first, axis=1) if len(first) else counts, np.cumsum(new) - 1
 
 
 def _totals(questions: list[tuple[int, bytes]]) -> list[bytes]:
@@ -108,8 +144,9 @@ def character_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 points, at = characters(batch.column("text").slice(lo, hi - lo).to_pylist())
                 side = np.repeat(target[lo:hi], np.diff(at))
                 for flag in (False, True):
-                    for c, n in zip(*np.unique(points[side == flag], return_counts=True)):
-                        out[int(c), flag] = out.get((int(c), flag), 0) + int(n)
+                    counts = np.bincount(points[side == flag])
+                    for c in np.flatnonzero(counts):
+                        out[int(c), flag] = out.get((int(c), flag), 0) + int(counts[c])
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([f for _, f in out], pa.bool_()), pa.array(list(out.values()), pa.int64())], names=["c", "target", "n"])
 
     got = docs.select("target", "text").mapInArrow(count, "c long, target boolean, n long").groupBy("c", "target").agg(F.sum("n").alias("n")).collect()
@@ -122,48 +159,54 @@ def character_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def score_difference(df: DataFrame, target: DataFrame, *, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", order: int = 4, weight: float = 10.0) -> DataFrame:
     """One row per row of df: doc_id, n_tokens, loss_target, loss_background, score."""
+    if not 2 <= order <= 4:
+        raise ValueError("order: 2 to 4")
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(False).alias("target"))
     docs = docs.union(target.select(F.lit(None).cast("long"), F.col(target_text), F.lit(True)))
     total = packed.sizes(docs)
     points, counts = character_counts(docs)
-    shared = spark.sparkContext.broadcast((points, np.log2((counts + 1) / (counts.sum(1, keepdims=True) + max(len(points), 1)))))
+    shared = spark.sparkContext.broadcast(Alphabet(points, counts))
     docs = packed.chunked(docs, total, ordered=False)
     n_buckets = packed.buckets(total // 16, 24)
 
-    def bucket_of(keys: np.ndarray) -> np.ndarray:
-        return (K.mix(keys ^ _SIDE) % _U(n_buckets)).astype(np.int64)
+    def asks(table):
+        """The chunk's n-grams, then its contexts (told apart by the hash), with buckets."""
+        keys, counts = _distinct(table, shared.value, order)
+        contexts, sums, context_of = _contexts(keys, counts)
+        both = np.concatenate([K.mix(keys), K.mix(contexts ^ _SIDE)])
+        return keys, context_of, both, np.concatenate([counts, sums], axis=1), (K.mix(both ^ _SIDE) % _U(n_buckets)).astype(np.int64)
 
     def ask(key, table):
-        keys, background, own = _distinct(_sorted(table), order)
-        dealt = packed.deal(bucket_of(keys), n_buckets, keys, background, own)
-        return packed.asked(((b, packed.pack(*x)) for b, x in dealt), key[0].as_py())
+        _, _, both, counts, bucket = asks(_sorted(table))
+        return packed.asked(((b, packed.pack(*x)) for b, x in packed.deal(bucket, n_buckets, both, counts[0], counts[1])), key[0].as_py())
 
     answers = packed.answer(docs.groupBy("chunk").applyInArrow(ask, packed.ASKED), _totals)
 
     def finish(key, table, told):
-        points, p1 = shared.value
-        table = _sorted(table)
-        keys, _, _ = _distinct(table, order)
+        alphabet, table = shared.value, _sorted(table)
+        keys, context_of, both, _, bucket = asks(table)
         replies = dict(zip(told["bucket"].to_pylist(), told["payload"].to_pylist()))
-        sums = np.zeros((2, len(keys)), np.int64)
-        for b, (where,) in packed.deal(bucket_of(keys), n_buckets, np.arange(len(keys))):
+        sums = np.zeros((2, len(both)), np.int64)
+        for b, (where,) in packed.deal(bucket, n_buckets, np.arange(len(both))):
             sums[0, where], sums[1, where] = packed.unpack(replies[b], "i8", "i8")
+        last = (keys & _U(0xFFFF)).astype(np.int64)
+        loss = [-np.log2((sums[i, : len(keys)] + weight * alphabet.p1[i, last]) / (sums[i, len(keys) + context_of] + weight)) for i in (0, 1)]
+        lookup = K.Lookup(keys) if len(keys) else None
         target = np.asarray(table["target"].to_pylist(), bool)
         losses, tokens = np.zeros((2, len(target))), np.zeros(len(target), np.int64)
         for lo, texts in _slices(table):
-            gram, context, last, n = ngrams(*characters(texts), order)
+            points, starts = characters(texts)
+            grams, n = ngrams(alphabet.ids(points), starts, order)
             at = np.concatenate([[0], np.cumsum(n)])
-            g, h, c = np.searchsorted(keys, gram), np.searchsorted(keys, context), np.searchsorted(points, last)
             tokens[lo : lo + len(texts)] = n
-            for side in (0, 1):
-                loss = -np.log2((sums[side, g] + weight * 2.0 ** p1[side, c]) / (sums[side, h] + weight))
-                total = np.concatenate([[0.0], np.cumsum(loss)])
-                losses[side, lo : lo + len(texts)] = (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
-        mine = ~target
+            where = lookup.find(grams) if len(grams) else np.zeros(0, np.int64)
+            for i in (0, 1):
+                total = np.concatenate([[0.0], np.cumsum(loss[i][where])])
+                losses[i, lo : lo + len(texts)] = (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
         out = pa.table({"doc_id": table["doc_id"], "n_tokens": pa.array(tokens), "loss_target": pa.array(losses[1]), "loss_background": pa.array(losses[0]), "score": pa.array(losses[1] - losses[0])})
-        return out.filter(pa.array(mine))
+        return out.filter(pa.array(~target))
 
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 

@@ -160,3 +160,23 @@ def member(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     at = np.searchsorted(sorted_keys, x)
     at[at == len(sorted_keys)] = 0
     return sorted_keys[at] == x
+
+
+class Lookup:
+    """Places of keys among distinct ones, all of which are there: near where a uniform hash says."""
+
+    def __init__(self, keys: np.ndarray):
+        hashed = mix(keys)
+        self.order = np.argsort(hashed)
+        self.hashed = hashed[self.order]
+        self.shift = U(64 - max(1, int(len(keys)).bit_length() + 1))
+        self.start = np.searchsorted(self.hashed >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=U))
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        hashed = mix(x)
+        at = self.start[(hashed >> self.shift).astype(np.int64)]
+        off = np.flatnonzero(self.hashed[at] != hashed)
+        while len(off):
+            at[off] += 1
+            off = off[self.hashed[at[off]] != hashed[off]]
+        return self.order[at]

@@ -1,10 +1,575 @@
-"""The registered queries of the analytics engine and their SQL."""
+"""The registered queries of the analytics engine and their SQL.
+
+The driver's tables play the entities: a document is a class and its words are tokens, an order is a
+class and its lines are methods, an even and an odd half of the documents are two builds, a URL's host
+read backwards is a package. Each query runs an operator of the library over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kindred.functions import scalars as S
+from kindred.functions.hashing import md5_32
+from kindred.operators import anchors, assign, changes, graph, grade, lsh
+from kindred.operators.simhash import simhash_agg
+from kindred.plans.lineage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+# ---- signatures and neighbours: A1-A3, X14, X17, J3, J4, J22
+
+_TOKENS = "t as (select doc_id, w, count(*) n from (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) w from documents) group by all)"
+_HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+_SIMHASH = "select doc_id, {} from t group by doc_id"
+
+
+def _fold(salt: str) -> str:
+    h = _HASH.format(f"'{salt}' || w" if salt else "w")
+    return " + ".join(f"case when sum(case when ({h} >> {b}) & 1 = 1 then n else -n end) > 0 then {1 << b} else 0 end" for b in range(32))
+
+
+def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(words(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("w"))
+
+
+@query(f"with {_TOKENS} " + _SIMHASH.format(f"({_fold('')})::BIGINT simhash"))
+def doc_simhash(spark, sf_dir):
+    return simhash_agg(doc_tokens(spark, sf_dir).select("doc_id", md5_32(F.col("token")).alias("h"), "w"), ["doc_id"])
+
+
+def doc_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, sig): four 32-bit signatures of salted token hashes. One aggregation per part over shared tokens."""
+    tokens = doc_tokens(spark, sf_dir)
+    out = None
+    for part in S.SIGNATURE_PARTS:
+        one = simhash_agg(tokens.select("doc_id", md5_32(F.concat(F.lit(f"{part}:"), "token")).alias("h"), "w"), ["doc_id"], name=part)
+        out = one if out is None else out.join(one, "doc_id")
+    return out.select(F.col("doc_id").alias("id"), F.struct(*S.SIGNATURE_PARTS).alias("sig"))
+
+
+_SIGS = f"{_TOKENS}, s as (" + _SIMHASH.format(", ".join(f"({_fold(p + ':')})::BIGINT {p}" for p in S.SIGNATURE_PARTS)) + ")"
+
+
+def _sql_key(bits: list[int], prefix: str = "") -> str:
+    parts = [f"{prefix}{p}" for p in S.SIGNATURE_PARTS]
+    return " + ".join(f"((({parts[3 - b // 32]} >> {b % 32}) & 1) << {j})" for j, b in enumerate(bits))
+
+
+_KEYS = " union all ".join(f"select doc_id, cls, fld, mth, code, {p} perm, ({_sql_key(bits)})::BIGINT key from s" for p, bits in enumerate(lsh.sampled_bits()))
+_HAMMING = "(" + " + ".join(f"bit_count(xor(a.{p}, b.{p}))" for p in S.SIGNATURE_PARTS) + ")::INT"
+
+
+@query(f"with {_SIGS} select doc_id, printf('%08x%08x%08x%08x', cls, fld, mth, code) hex from s")
+def signature_hex(spark, sf_dir):
+    return doc_signatures(spark, sf_dir).select(F.col("id").alias("doc_id"), S.signature_hex().alias("hex"))
+
+
+@query(f"with {_SIGS} select doc_id, perm, key from ({_KEYS})")
+def lsh_bucket_keys(spark, sf_dir):
+    return doc_signatures(spark, sf_dir).select(F.col("id").alias("doc_id"), F.explode(lsh.bucket_keys(F.col("sig"))).alias("x")).select("doc_id", "x.perm", "x.key")
+
+
+@query(f"""with {_SIGS}, k as ({_KEYS}),
+m as (select a.doc_id l, b.doc_id r, {_HAMMING} hamming, min(a.perm) p from k a join k b on a.perm = b.perm and a.key = b.key where a.doc_id % 2 = 0 and b.doc_id % 2 = 1 group by all)
+select l, r, hamming, rank::INT rank from (select *, row_number() over (partition by l order by hamming, p, r) rank from m) where rank <= 3""")
+def near_dup_topk(spark, sf_dir):
+    """The three nearest odd documents of every even one."""
+    sigs = cut(doc_signatures(spark, sf_dir)).withColumn("pool", F.lit(""))
+    return lsh.nearest(sigs.where("id % 2 = 0"), sigs.where("id % 2 = 1"), 3).select("l", "r", "hamming", "rank")
+
+
+@query(f"with {_SIGS} select a.doc_id l, b.doc_id r, {_HAMMING} hamming from s a join s b on a.doc_id < b.doc_id where {_HAMMING} <= 4")
+def near_dup_exact_radius(spark, sf_dir):
+    """All pairs within four bits, by bands of which one must agree."""
+    return graph.banded_pairs(cut(doc_signatures(spark, sf_dir)), 4)
+
+
+@query(f"""with recursive {_SIGS}, e as (select a.doc_id l, b.doc_id r from s a join s b on a.doc_id <> b.doc_id where {_HAMMING} <= 4),
+c as (select doc_id id, doc_id root from s union select e.r, c.root from c join e on c.id = e.l)
+select id doc_id, min(root) component, count(*) over (partition by min(root))::BIGINT size from c group by id""")
+def dup_components(spark, sf_dir):
+    """Single-linkage groups of documents within four bits."""
+    sigs = cut(doc_signatures(spark, sf_dir))
+    found = graph.components(graph.banded_pairs(sigs, 4).select(F.col("l").alias("a"), F.col("r").alias("b")))
+    rows = sigs.join(found, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("component"))
+    sizes = rows.groupBy("component").agg(F.count("*").alias("size"))
+    return rows.join(sizes, "component").select("doc_id", "component", "size")
+
+
+@query(f"""with {_SIGS}, d as (select a.doc_id l, b.doc_id r, {_HAMMING} h from s a join s b on a.doc_id % 2 = 0 and b.doc_id % 2 = 1 where {_HAMMING} <= 12)
+select doc_id, exists (select 1 from d where d.l = s.doc_id) near from s where doc_id % 2 = 0""")
+def radius_presence(spark, sf_dir):
+    """Whether an even document has an odd one within twelve bits, exactly (thirteen bands)."""
+    sigs = cut(doc_signatures(spark, sf_dir))
+    pairs = graph.banded_pairs(sigs, 12).select(F.explode(F.array(F.struct(F.col("l").alias("x"), F.col("r").alias("y")), F.struct(F.col("r").alias("x"), F.col("l").alias("y")))).alias("p")).select("p.*")
+    near = pairs.where("x % 2 = 0 and y % 2 = 1").select(F.col("x").alias("id")).distinct().withColumn("near", F.lit(True))
+    return sigs.where("id % 2 = 0").join(near, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("near", F.lit(False)).alias("near"))
+
+
+# ---- assignment and pools: J1, J6-J8, J12
+
+_CANDIDATES = "c as (select s_nationkey || '/' || p_brand pool, l_suppkey l, l_partkey r, sum(l_quantity) score from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey group by all)"
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    pool = F.concat_ws("/", F.col("s_nationkey").cast("string"), "p_brand")
+    return rows.groupBy(pool.alias("pool"), F.col("l_suppkey").alias("l"), F.col("l_partkey").alias("r")).agg(F.sum("l_quantity").alias("score"))
+
+
+def _asked(candidates: DataFrame) -> DataFrame:
+    return candidates.groupBy("pool").agg(F.countDistinct("l").alias("n_left"))
+
+
+@query(f"""with {_CANDIDATES}, f as (select pool, list_reduce(list([{{'l': l, 'r': r, 's': score}}] order by score desc, l, r), lambda acc, x:
+  case when list_contains(list_transform(acc, lambda a: a.l), x[1].l) or list_contains(list_transform(acc, lambda a: a.r), x[1].r) then acc else list_concat(acc, x) end) m from c group by pool)
+select pool, x.l, x.r, x.s score from (select pool, unnest(m) x from f)""")
+def greedy_pairs(spark, sf_dir):
+    """Suppliers and parts of each nation and brand, one to one, greatest quantity first."""
+    rows = _candidates(spark, sf_dir)
+    return assign.assign(rows, _asked(rows), "greedy").select("pool", "l", "r", "score")
+
+
+@query(f"with {_CANDIDATES} select pool, count(distinct l) n_left, count(distinct r) n_right, count(*) > count(distinct r) contended, case when greatest(count(distinct l), count(distinct r)) <= 100 and count(*) > count(distinct r) then 'hungarian' else 'greedy' end solver from c group by pool")
+def assignment_stats(spark, sf_dir):
+    rows = _candidates(spark, sf_dir)
+    return assign.assignment_stats(rows, _asked(rows))
+
+
+@query()
+def hungarian_pools(spark, sf_dir):
+    """Pools solved by the planner's choice, Hungarian where pairs compete; tests compare with brute force."""
+    rows = _candidates(spark, sf_dir)
+    return assign.assign(rows, _asked(rows), "auto").select("pool", "l", "r", F.round("score", 6).alias("score"))
+
+
+@query("select coalesce(l.k, r.k) pool, coalesce(l.n, 0) n_lhs, coalesce(r.n, 0) n_rhs from (select o_custkey k, count(*) n from orders where year(o_orderdate) % 2 = 0 group by 1) l full join (select o_custkey k, count(*) n from orders where year(o_orderdate) % 2 = 1 group by 1) r on l.k = r.k")
+def pool_cogroup(spark, sf_dir):
+    """Orders of even and odd years, co-grouped by customer."""
+    from kindred.operators.diff import pool_table
+
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pool"), (F.year("o_orderdate") % 2).alias("odd"))
+    return pool_table(rows.where("odd = 0"), rows.where("odd = 1"))
+
+
+_HALVES = "a as (select distinct l_suppkey s, l_partkey p from lineitem where l_shipdate < timestamp '1998-06-01'), b as (select distinct l_suppkey s, l_partkey p from lineitem where l_shipdate >= timestamp '1998-06-01')"
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(s, p): the parts each supplier shipped before and after a day."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), (F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp")).alias("early"))
+    return rows.where("early").select("s", "p").distinct(), rows.where("not early").select("s", "p").distinct()
+
+
+@query(f"with {_HALVES} select s, p, 'removed' kind from (select * from a except select * from b) union all select s, p, 'added' from (select * from b except select * from a)")
+def added_removed(spark, sf_dir):
+    one, two = _halves(spark, sf_dir)
+    gone = one.join(two, ["s", "p"], "left_anti").withColumn("kind", F.lit("removed"))
+    return gone.unionByName(two.join(one, ["s", "p"], "left_anti").withColumn("kind", F.lit("added")))
+
+
+# ---- changes: C1, C3, C4, A10, F7, F9
+
+_CHANGES = f"""{_HALVES}, la as (select s, list(p) x from a group by s), lb as (select s, list(p) x from b group by s),
+ch as (select coalesce(la.s, lb.s) s, case when la.s is null then 'added' when lb.s is null then 'removed'
+  when len(list_filter(lb.x, lambda v: not list_contains(la.x, v))) + len(list_filter(la.x, lambda v: not list_contains(lb.x, v))) > 0 then 'modified' else 'unchanged' end kind,
+  case when la.s is null or lb.s is null then 0 else len(list_filter(lb.x, lambda v: not list_contains(la.x, v))) end n_added,
+  case when la.s is null or lb.s is null then 0 else len(list_filter(la.x, lambda v: not list_contains(lb.x, v))) end n_removed from la full join lb on la.s = lb.s)"""
+
+
+def _supplier_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = _halves(spark, sf_dir)
+    both = one.groupBy("s").agg(F.collect_set("p").alias("x")).join(two.groupBy("s").agg(F.collect_set("p").alias("y")), "s", "full")
+    more, less = F.size(F.array_except("y", "x")), F.size(F.array_except("x", "y"))
+    kind = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when(more + less > 0, "modified").otherwise("unchanged")
+    paired = F.col("x").isNotNull() & F.col("y").isNotNull()
+    return both.select("s", kind.alias("kind"), F.when(paired, more).otherwise(0).cast("long").alias("n_added"), F.when(paired, less).otherwise(0).cast("long").alias("n_removed"))
+
+
+@query(f"with {_CHANGES} select s, kind, n_added, n_removed, row_number() over (order by case kind when 'modified' then 0 when 'added' then 1 when 'removed' then 2 else 4 end, n_added + n_removed desc, s)::INT place from ch")
+def change_report(spark, sf_dir):
+    """Suppliers' parts before and after a day, ranked by kind and magnitude (one row a supplier)."""
+    rows = _supplier_changes(spark, sf_dir)
+    by = Window.orderBy(changes.rank(F.col("kind"), changes.KIND_RANK, 9), F.desc(F.col("n_added") + F.col("n_removed")), "s")
+    return rows.withColumn("place", F.row_number().over(by))
+
+
+@query(f"with {_CHANGES} select kind, count(*) count from ch group by kind")
+def change_counts(spark, sf_dir):
+    return changes.counts(_supplier_changes(spark, sf_dir))
+
+
+@query(f"with {_CHANGES} select s, kind from ch where kind in ('modified', 'added', 'removed')")
+def select_changed(spark, sf_dir):
+    return changes.select_changes(_supplier_changes(spark, sf_dir), "changed").select("s", "kind")
+
+
+# ---- bags, sets, strings: X10, X13, X23, C1, A9, J24
+
+@query("""with t as (select doc_id, unnest(string_split(lower(text), ' ')) w from documents), c as (select doc_id, w, count(*) n from t where w <> '' group by all), z as (select doc_id, sum(n) n from c group by 1)
+select a.doc_id, round(coalesce(i.n, 0) / (a.n + b.n - coalesce(i.n, 0)), 6) jaccard from z a join z b on b.doc_id = a.doc_id + 1
+left join (select x.doc_id, sum(least(x.n, y.n)) n from c x join c y on y.doc_id = x.doc_id + 1 and x.w = y.w group by 1) i on i.doc_id = a.doc_id""")
+def bag_jaccard_docs(spark, sf_dir):
+    """Bag similarity of each document and the next, by counts of words."""
+    counts = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w")).where("w <> ''").groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("doc_id").agg(F.sum("n").alias("size"))
+    shared = counts.join(counts.select((F.col("doc_id") - 1).alias("doc_id"), "w", F.col("n").alias("m")), ["doc_id", "w"]).groupBy("doc_id").agg(F.sum(F.least("n", "m")).alias("both"))
+    rows = sizes.join(sizes.select((F.col("doc_id") - 1).alias("doc_id"), F.col("size").alias("next")), "doc_id").join(shared, "doc_id", "left")
+    both = F.coalesce("both", F.lit(0))
+    return rows.select("doc_id", F.round(both / (F.col("size") + F.col("next") - both), 6).alias("jaccard"))
+
+
+@query("""with t as (select conv_id, turn, list_distinct(list_filter(string_split(text, ' '), lambda x: x <> '')) w from conversations)
+select a.conv_id, a.turn, len(list_filter(b.w, lambda x: not list_contains(a.w, x))) n_added, len(list_filter(a.w, lambda x: not list_contains(b.w, x))) n_removed,
+array_to_string(list_sort(list_filter(b.w, lambda x: not list_contains(a.w, x))), ' ') added from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1""")
+def set_delta_turns(spark, sf_dir):
+    """Words that come and go from one turn of a conversation to the next."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(F.filter(F.split("text", " "), lambda x: x != "")).alias("w"))
+    rows = rows.join(rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v")), ["conv_id", "turn"])
+    more, less = F.array_except("v", "w"), F.array_except("w", "v")
+    return rows.select("conv_id", "turn", F.size(more).cast("long").alias("n_added"), F.size(less).cast("long").alias("n_removed"), F.array_join(F.array_sort(more), " ").alias("added"))
+
+
+@query("""with t as (select distinct source, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents), u as (select * from t where length(w) >= 4 and not regexp_matches(w, '^[0-9]+$'))
+select source, array_to_string(list(w order by length(w) desc, w)[1:32], ' ') strings from u group by source""")
+def top_strings(spark, sf_dir):
+    """The 32 longest useful words of each source."""
+    per = table(spark, sf_dir, "documents").select("source", F.explode(S.useful_strings(words(F.col("text")))).alias("w")).distinct()
+    by = Window.partitionBy("source").orderBy(F.desc(F.length("w")), "w")
+    best = per.withColumn("k", F.row_number().over(by)).where("k <= 32")
+    return best.groupBy("source").agg(F.array_join(S.top_strings(F.collect_list("w"), 32), " ").alias("strings"))
+
+
+@query("""with t as (select distinct source, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents) select w, string_agg(source, ',' order by source) holders from t where w <> '' group by w""")
+def where_inverted(spark, sf_dir):
+    """Which sources hold a word."""
+    per = table(spark, sf_dir, "documents").select("source", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).distinct()
+    return per.groupBy("w").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("holders"))
+
+
+@query("""with t as (select distinct source, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents) select w, count(*) coverage from t where w <> '' group by w having count(*) >= 12""")
+def k_of_n_tokens(spark, sf_dir):
+    """Words of at least 12 of the 20 sources."""
+    per = table(spark, sf_dir, "documents").select("source", F.explode(words(F.col("text"))).alias("w")).distinct()
+    return per.groupBy("w").agg(F.count("*").alias("coverage")).where("coverage >= 12")
+
+
+@query("""with t as (select distinct lang, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents) select w from t where w <> '' group by w having count(*) = (select count(distinct lang) from documents)""")
+def invariant_tokens(spark, sf_dir):
+    """Words that every language has: the intersection over members."""
+    docs = table(spark, sf_dir, "documents")
+    n = docs.select("lang").distinct().agg(F.count("*").alias("n"))
+    per = docs.select("lang", F.explode(words(F.col("text"))).alias("w")).distinct().groupBy("w").agg(F.count("*").alias("k"))
+    return per.join(F.broadcast(n), per.k == n.n).select("w")
+
+
+# ---- anchors: J2, A4
+
+_ANCHOR = """d as (select distinct doc_id l, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents), b as (select distinct item_id r, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from benchmark),
+dl as (select * from d where length(w) >= 4 and not regexp_matches(w, '^[0-9]+$')), bl as (select * from b where length(w) >= 4 and not regexp_matches(w, '^[0-9]+$')),
+n as (select ((select count(*) from documents) + (select count(*) from benchmark))::DOUBLE n), x as (select w, count(*) k from dl group by 1), y as (select w, count(*) k from bl group by 1),
+e as (select l, r, sum(ln((n + 1) / (x.k + y.k)) / ln(n + 1) / (x.k * y.k)) s from dl join bl on dl.w = bl.w join x on x.w = dl.w join y on y.w = dl.w, n group by l, r)"""
+
+
+def _anchor_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    tokens = lambda df, key: df.select(F.lit("").alias("pool"), F.col(key).alias("id"), F.explode(S.useful_strings(words(F.col("text")))).alias("token"))
+    sizes = docs.select(F.lit("").alias("pool")).unionAll(items.select(F.lit("").alias("pool"))).groupBy("pool").agg(F.count("*").alias("n"))
+    return anchors.evidence(tokens(docs, "doc_id"), tokens(items, "item_id"), sizes)
+
+
+@query(f"with {_ANCHOR} select l doc_id, r item_id, round(s, 6) evidence from e")
+def anchor_evidence(spark, sf_dir):
+    """What shared rare words say for each document and benchmark item."""
+    return _anchor_evidence(spark, sf_dir).select(F.col("l").alias("doc_id"), F.col("r").alias("item_id"), F.round("evidence", 6).alias("evidence"))
+
+
+@query(f"""with {_ANCHOR}, f as (select list_reduce(list([{{'l': l, 'r': r, 's': round(s, 6)}}] order by round(s, 6) desc, l, r), lambda acc, x:
+  case when list_contains(list_transform(acc, lambda a: a.l), x[1].l) or list_contains(list_transform(acc, lambda a: a.r), x[1].r) then acc else list_concat(acc, x) end) m from e where round(s, 6) >= 0.05)
+select x.l doc_id, x.r item_id, x.s evidence from (select unnest(m) x from f)""")
+def anchor_pairs(spark, sf_dir):
+    """Documents anchored to benchmark items, one to one."""
+    found = _anchor_evidence(spark, sf_dir).select("pool", "l", "r", F.round("evidence", 6).alias("score")).where("score >= 0.05")
+    return assign.assign(found, _asked(found), "greedy").select(F.col("l").alias("doc_id"), F.col("r").alias("item_id"), F.col("score").alias("evidence"))
+
+
+# ---- scores: X12, X15, J5, J10, A6, A8
+
+@query("""select a.p_partkey l, b.p_partkey r, round(1.0 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) similarity from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey
+where 1.0 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) >= 0.5""")
+def levenshtein_names(spark, sf_dir):
+    """Alike names among parts of one brand and size (the block)."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    other = part.select(F.col("p_partkey").alias("r"), F.col("p_name").alias("other"), "p_brand", "p_size")
+    score = S.edit_similarity(F.col("p_name"), F.col("other"))
+    return part.join(other, ["p_brand", "p_size"]).where("p_partkey < r").select(F.col("p_partkey").alias("l"), "r", score.alias("s")).where("s >= 0.5").select("l", "r", F.round("s", 6).alias("similarity"))
+
+
+@query("select l_orderkey, round(sum((l_quantity + 1)::DECIMAL(12, 2) * (1 - l_discount::DECIMAL(12, 2)))::DOUBLE / sum((l_quantity + 1)::DECIMAL(12, 2))::DOUBLE, 6) rollup from lineitem group by l_orderkey")
+def method_rollup(spark, sf_dir):
+    """The weighted mean of an order's lines, as of a class' methods."""
+    w = (F.col("l_quantity") + 1).cast("decimal(12,2)")
+    score = 1 - F.col("l_discount").cast("decimal(12,2)")
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(w * score).cast("double") / F.sum(w).cast("double"), 6).alias("rollup"))
+
+
+@query("""with o as (select l_orderkey k, count(*) n, list(l_returnflag) f from lineitem group by 1)
+select a.k, round((case when a.n = b.n then 1.0 else 1.0 - abs(a.n - b.n) / greatest(a.n, b.n) end +
+ list_sum(list_transform(['A', 'N', 'R'], lambda x: least(len(list_filter(a.f, lambda y: y = x)), len(list_filter(b.f, lambda y: y = x))))) / list_sum(list_transform(['A', 'N', 'R'], lambda x: greatest(len(list_filter(a.f, lambda y: y = x)), len(list_filter(b.f, lambda y: y = x)))))) / 2, 6) average
+from o a join o b on b.k = a.k + 1""")
+def structural_average(spark, sf_dir):
+    """Mean of two structural features (line count, flags) of each order and the next."""
+    orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"), F.collect_list("l_returnflag").alias("f"))
+    rows = orders.join(orders.select((F.col("k") - 1).alias("k"), F.col("n").alias("m"), F.col("f").alias("g")), "k")
+    return rows.select("k", F.round((S.ratio(F.col("n"), F.col("m")) + S.bag_jaccard(F.col("f"), F.col("g"))) / 2, 6).alias("average"))
+
+
+_CATEGORY = "case " + " ".join(f"when c between {a} and {b} then {k}" for a, b, k in __import__("kindred.schema", fromlist=["x"]).OPCODE_CATEGORIES) + " else 0 end"
+
+
+@query(f"with b as (select doc_id, i, ('0x' || substr(md5(text), 2 * i + 1, 2))::INT c from documents, range(16) t(i)) select doc_id, string_agg(chr(97 + {_CATEGORY}), '' order by i) categories from b group by doc_id")
+def opcode_categories(spark, sf_dir):
+    """Categories of sixteen bytes a document (its MD5 read as opcodes)."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.categorize(F.unhex(F.md5(F.col("text").cast("binary")))).alias("categories"))
+
+
+# ---- containment, families, libraries: A11-A16, J9, J20, J21
+
+_GRAMS = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))"
+
+
+@query("""with d as (select list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') w from documents), b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') w from benchmark),
+g as (select distinct array_to_string(w[i : i + 4], ' ') g from (select w, unnest(range(1, len(w) - 3)) i from d where len(w) >= 5)),
+f as (select item_id, array_to_string(w[i : i + 4], ' ') g, count(*) n from (select item_id, w, unnest(range(1, len(w) - 3)) i from b where len(w) >= 5) group by all)
+select item_id, sum(length(f.g) * n)::BIGINT weight_total, coalesce(sum(length(f.g) * n) filter (where g.g is not null), 0)::BIGINT weight_present, round(coalesce(sum(length(f.g) * n) filter (where g.g is not null), 0) / sum(length(f.g) * n), 6) score
+from f left join g on f.g = g.g group by item_id""")
+def containment_benchmark(spark, sf_dir):
+    """How much of each benchmark item, by weight of its 5-grams, the documents hold."""
+
+    def grams(df: DataFrame, *keys: str) -> DataFrame:
+        rows = df.select(*keys, words(F.col("text")).alias("w")).where(F.size("w") >= 5)
+        return rows.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("g"))
+
+    have = grams(table(spark, sf_dir, "documents")).distinct().withColumn("hit", F.lit(True))
+    asked = grams(table(spark, sf_dir, "benchmark"), "item_id").groupBy("item_id", "g").agg(F.count("*").alias("n"))
+    w = F.length("g") * F.col("n")
+    rows = asked.join(have, "g", "left").groupBy("item_id").agg(F.sum(w).alias("weight_total"), F.coalesce(F.sum(F.when(F.col("hit"), w)), F.lit(0)).alias("weight_present"))
+    return rows.withColumn("score", F.round(F.col("weight_present") / F.col("weight_total"), 6))
+
+
+@query("""with v as (select vec_id, label, (list_sum(list_transform(range(1, 33), lambda i: case when embedding[i] > 0 then (1::BIGINT << (i - 1)::INT) else 0 end)))::BIGINT lo, (list_sum(list_transform(range(1, 33), lambda i: case when embedding[i + 32] > 0 then (1::BIGINT << (i - 1)::INT) else 0 end)))::BIGINT hi from embeddings),
+c as (select *, row_number() over (partition by label order by hi, lo, vec_id) k from v),
+t as (select c.label, c.vec_id, c.hi, c.lo, sum(bit_count(xor(c.lo, v.lo)) + bit_count(xor(c.hi, v.hi)))::BIGINT total, max(bit_count(xor(c.lo, v.lo)) + bit_count(xor(c.hi, v.hi)))::INT spread from c join v on v.label = c.label where c.k <= 256 group by all)
+select label, vec_id, total, spread from (select *, row_number() over (partition by label order by total, hi, lo, vec_id) n from t) where n = 1""")
+def embedding_medoid(spark, sf_dir):
+    """The vector of each label whose sign bits are nearest to all others'; the first 256 stand as candidates."""
+    part = lambda first: sum((F.when(F.element_at("embedding", first + i + 1) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)), F.lit(0).cast("long"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", part(0).alias("lo"), part(32).alias("hi"))
+    k = F.row_number().over(Window.partitionBy("label").orderBy("hi", "lo", "vec_id"))
+    # members in alike groups first, so a crowd of equal signatures costs one row
+    crowd = v.groupBy("label", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")).agg(F.count("*").alias("n"))
+    far = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2")))
+    total = v.withColumn("k", k).where("k <= 256").join(crowd, "label").groupBy("label", "vec_id", "hi", "lo").agg(F.sum(far * F.col("n")).alias("total"), F.max(far).alias("spread"))
+    best = F.row_number().over(Window.partitionBy("label").orderBy("total", "hi", "lo", "vec_id"))
+    return total.withColumn("k", best).where("k = 1").select("label", "vec_id", "total", "spread")
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+
+
+def host(url: Column) -> Column:
+    return F.regexp_extract(url, "^[a-z]+://([^/?#]*)", 1)
+
+
+@query(f"select page_id, h || '@1' label from (select page_id, {_HOST} h, count(*) over (partition by {_HOST}) n from pages) where n >= 5")
+def label_having_5(spark, sf_dir):
+    """Pages labelled with their host where at least five pages bear it."""
+    from kindred.operators.family import labels_having
+
+    hits = table(spark, sf_dir, "pages").select(F.col("page_id").alias("descriptor"), host(F.col("url")).alias("coord"))
+    return labels_having(hits.withColumn("label", F.concat("coord", F.lit("@1"))), 5).select(F.col("descriptor").alias("page_id"), "label")
+
+
+@query("""with d as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents), b as (select distinct item_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from benchmark),
+c as (select item_id, doc_id, count(*) n from b join d on b.w = d.w where length(b.w) >= 6 group by all)
+select item_id, doc_id, n shared from (select *, row_number() over (partition by item_id order by n desc, doc_id) k from c) where k = 1""")
+def best_hit_per_entry(spark, sf_dir):
+    """The document with most long words of each benchmark item; the first of equals."""
+    tokens = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(F.array_distinct(words(F.col("text")))).alias("w")).where(F.length("w") >= 6)
+    pairs = tokens("benchmark", "item_id").join(tokens("documents", "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("k"), "doc_id")).alias("x")
+    return pairs.groupBy("item_id").agg(best).select("item_id", "x.doc_id", (-F.col("x.k")).alias("shared"))
+
+
+# ---- packages and names: X2-X4, X7, X8, X18-X22, F1, F3, F8
+
+@query(f"""with h as (select page_id, {_HOST} h from pages), c as (select page_id, h, x, count(*) n from (select page_id, h, unnest(string_split(h, '')) x from h) where x <> '' group by all)
+select page_id, h host, round(-sum(n / length(h) * log2(n / length(h))), 6) + 0.0 entropy from c group by page_id, h""")
+def shannon_entropy_hosts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", host(F.col("url")).alias("host")).select("page_id", "host", (F.round(S.entropy("host"), 6) + 0.0).alias("entropy"))
+
+
+_PACKAGE = f"array_to_string(list_reverse(string_split({_HOST}, '.')), '.')"
+
+
+def package(url: Column) -> Column:
+    return F.array_join(F.reverse(F.split(host(url), "\\.")), ".")
+
+
+@query(f"select page_id, p package, len(list_filter(string_split(p, '.'), lambda x: length(x) > 3)) = 0 obfuscated, case when p = '' then '__obfuscated__' when len(list_filter(string_split(p, '.'), lambda x: length(x) > 3)) = 0 then '__obfuscated__' else p end pool from (select page_id, {_PACKAGE} p from pages)")
+def obfuscated_hosts(spark, sf_dir):
+    """Hosts whose every label is short, and the blocking key they get."""
+    rows = table(spark, sf_dir, "pages").select("page_id", package(F.col("url")).alias("package"))
+    return rows.select("page_id", "package", S.is_obfuscated_package("package").alias("obfuscated"), S.pool_key("package", True, True).alias("pool"))
+
+
+@query(f"select page_id, p package from (select page_id, {_PACKAGE} p from pages) where p = 'com.example' or starts_with(p, 'com.example.')")
+def prefix_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", package(F.col("url")).alias("package")).where(S.in_package("package", "com.example"))
+
+
+_DESC = f"'L' || replace({_PACKAGE}, '.', '/') || '/P' || page_id || ';'"
+
+
+def descriptor() -> Column:
+    return F.concat(F.lit("L"), F.regexp_replace(package(F.col("url")), "\\.", "/"), F.lit("/P"), F.col("page_id").cast("string"), F.lit(";"))
+
+
+@query(f"select page_id, case when starts_with(d, 'Lcom/example/') then 'app' when contains(url, '#') then 'library' when starts_with(d, 'Lorg/') then 'library' else 'unknown' end origin from (select page_id, url, {_DESC} d from pages)")
+def provenance_case(spark, sf_dir):
+    """Origin of pages read as classes; a fragment plays the colon of a shaded source file."""
+    source = F.regexp_replace("url", "#", ":").alias("s")
+    rows = table(spark, sf_dir, "pages").select("page_id", descriptor().alias("d"), F.when(F.contains("url", F.lit("#")), F.regexp_replace(source, "^[a-z]+://", "")).alias("s"))
+    return rows.select("page_id", S.origin(F.col("d"), F.col("s"), S.dev_prefixes("com.example")).alias("origin"))
+
+
+@query(f"select page_id, p package, 'P' || page_id \"name\", p || '.P' || page_id fqcn from (select page_id, {_PACKAGE} p from pages)")
+def descriptor_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", descriptor().alias("d"))
+    return rows.select("page_id", S.package_of("d").alias("package"), S.name_of("d").alias("name")).withColumn("fqcn", S.fqcn())
+
+
+@query(f"select page_id, 3 n_parameters, d || ',' || d types, 'void m(int,' || p || '.P' || page_id || '[],' || p || '.P' || page_id || ')' java from (select page_id, {_PACKAGE} p, {_DESC} d from pages)")
+def object_types(spark, sf_dir):
+    """Parameters, object types and the Java form of a prototype made of each page's descriptor."""
+    rows = table(spark, sf_dir, "pages").select("page_id", descriptor().alias("d"))
+    rows = rows.withColumn("proto", F.concat(F.lit("(I["), "d", "d", F.lit(")V")))
+    return rows.select("page_id", F.size(S.parameters("proto")).alias("n_parameters"), F.array_join(S.object_types("proto"), ",").alias("types"), S.java_method(F.lit("m"), F.col("proto")).alias("java"))
+
+
+@query("select p_partkey, p_name from part where contains(lower(p_name || ' ' || p_brand), 'red')")
+def substring_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("lhs"), F.col("p_brand").alias("rhs"), F.lit(None).cast("string").alias("source_file"))
+    return changes.filter_class(rows, "RED").select("p_partkey", F.col("lhs").alias("p_name"))
+
+
+# ---- unions, tallies, positions: S5, F6, A5, J14, J26, J27
+
+@query("select doc_id, md5(text) digest from (select doc_id, text, row_number() over (partition by md5(text) order by doc_id) k from documents) where k = 1")
+def first_wins_dedup(spark, sf_dir):
+    """The first document of each text."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "digest")
+
+
+@query("select c_custkey, coalesce(n, 0) xrefs from customer left join (select o_custkey, count(*) n from orders group by 1) on o_custkey = c_custkey")
+def xref_tally(spark, sf_dir):
+    """Incoming references: orders of each customer, none being 0."""
+    tally = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "customer").join(tally, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("xrefs"))
+
+
+@query("select a.conv_id, a.turn, a.role lhs, b.role rhs from conversations a join conversations b on b.conv_id = a.conv_id + 1 and b.turn = a.turn where a.role = b.role")
+def positional_zip(spark, sf_dir):
+    """Turns of a conversation and the next paired by place, where the roles agree."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("lhs"))
+    return rows.join(rows.select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("lhs").alias("rhs")), ["conv_id", "turn"]).where("lhs = rhs").select("conv_id", "turn", "lhs", "rhs")
+
+
+@query("select c_custkey, coalesce(case when c_acctbal > 9000 then 'rich' end, case when c_mktsegment = 'MACHINERY' then 'maker' end, 'none') label from customer")
+def priority_lookup(spark, sf_dir):
+    """The first label that a customer has in an order of two label tables."""
+    rows = table(spark, sf_dir, "customer")
+    first = rows.where("c_acctbal > 9000").select("c_custkey", F.lit("rich").alias("a"))
+    second = rows.where("c_mktsegment = 'MACHINERY'").select("c_custkey", F.lit("maker").alias("b"))
+    return rows.select("c_custkey").join(first, "c_custkey", "left").join(second, "c_custkey", "left").select("c_custkey", F.coalesce("a", "b", F.lit("none")).alias("label"))
+
+
+# ---- graphs: J15, J16, J18
+
+_PARENTS = "p as (select 'c' || c_custkey node, 'n' || c_nationkey parent from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation)"
+
+
+@query(f"with recursive {_PARENTS}, x as (select node, parent ancestor, 1 depth from p union all select x.node, p.parent, depth + 1 from x join p on p.node = x.ancestor) select * from x")
+def superclass_chain(spark, sf_dir):
+    """Every ancestor of customers and nations and how far up it is."""
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    one = table(spark, sf_dir, "customer").select(tag("c", "c_custkey").alias("node"), tag("n", "c_nationkey").alias("parent"))
+    two = table(spark, sf_dir, "nation").select(tag("n", "n_nationkey").alias("node"), tag("r", "n_regionkey").alias("parent"))
+    return graph.closure(one.unionByName(two))
+
+
+@query("""with recursive e as (select distinct 's' || l_suppkey a, 'o' || l_orderkey b from lineitem), b as (select a, b from e union select b, a from e),
+x as (select 's1' node, 0 round union select b.b, x.round + 1 from x join b on b.a = x.node where x.round < 2) select node, min(round) round from x group by node""")
+def propagation_rounds(spark, sf_dir):
+    """What a supplier reaches through shared orders in two rounds, and in which first."""
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    edges = table(spark, sf_dir, "lineitem").select(tag("s", "l_suppkey").alias("a"), tag("o", "l_orderkey").alias("b"))
+    return graph.reach(edges, spark.createDataFrame([("s1",)], "node string"), 2)
+
+
+# ---- grading and oracles: A17, J25, S14
+
+@query("""with c as (select count(*) filter (where p and t) tp, count(*) filter (where p and not t) fp, count(*) filter (where not p and t) fn from (select quality = 1 t, n_chars >= 1000 p from labels join documents using (doc_id)))
+select tp, fp, fn, round(tp / (tp + fp), 6) "precision", round(tp / (tp + fn), 6) recall, round(2 * tp / (2 * tp + fp + fn), 6) f1 from c""")
+def prf1(spark, sf_dir):
+    """Length as a guess of quality, graded by the labels."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    t, p = F.col("quality") == 1, F.col("n_chars") >= 1000
+    out = grade.with_scores(rows.agg(F.count_if(t & p).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(t & ~p).alias("fn")))
+    return out.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("""select p_name || p_partkey original, 'a' || p_partkey lhs, 'b' || p_partkey rhs from part where p_partkey % 3 <> 0 and p_partkey % 5 <> 0 and not contains(p_name, 'ring')""")
+def cross_version_truth(spark, sf_dir):
+    """Names of parts in two made-up rename mappings joined on the original; a removed target drops out."""
+    part = table(spark, sf_dir, "part")
+    name = F.concat("p_name", F.col("p_partkey").cast("string"))
+    odd = F.when(F.contains("p_name", F.lit("ring")), F.lit("R8$$REMOVED$$CLASS$$0"))
+    mapping = lambda mark, n: part.where(F.col("p_partkey") % n != 0).select(name.alias("original"), F.coalesce(odd, F.concat(F.lit(mark), F.col("p_partkey").cast("string"))).alias("obfuscated"))
+    return grade.cross_version_truth(mapping("a", 3), mapping("b", 5))
+
+
+# ---- streaming extension: arrivals scored in event time
+
+@query("select window_start, event_type, count(*) n, round(sum(value), 2) total from (select time_bucket(interval '1 hour', ts) window_start, event_type, value from events) group by all")
+def event_windows(spark, sf_dir):
+    """Hourly counts of events; the batch form of kindred.streaming.arrivals."""
+    from kindred.streaming.arrivals import hourly
+
+    return hourly(table(spark, sf_dir, "events"))

@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """(window_start, event_type, n, total) of events (ts, event_type, value), on a stream or a table."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
     out = rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 

@@ -12,7 +12,7 @@ from kindred.session import local_session, ship  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "4g", **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session(4, "8g", **{"spark.sql.shuffle.partitions": "4"})
     ship(session)
     yield session
     session.stop()

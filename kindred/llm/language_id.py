@@ -113,12 +113,13 @@ def votes(model: LanguageFilters, data: np.ndarray, offsets: np.ndarray) -> np.n
     return out
 
 
-def sample_rows(df: DataFrame, group: str, per_group: int, key: str = "doc_id") -> DataFrame:
-    """About `per_group` rows of each value of `group`: those with the least hash of `key`.
+def sample_rows(df: DataFrame, group: str, per_group: int | Column, key: str = "doc_id") -> DataFrame:
+    """About `per_group` rows (a number, or a column of `group`) of each value of `group`: those with the least hash of `key`.
 
     A threshold per group from the groups' counts; no sort and no window over a group.
     """
-    share = df.groupBy(group).count().select(group, (F.lit(float(per_group)) / F.col("count")).alias("_share"))
+    most = per_group if isinstance(per_group, Column) else F.lit(float(per_group))
+    share = df.groupBy(group).count().select(group, (most / F.col("count")).alias("_share"))
     spot = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
     return df.join(F.broadcast(share), group).where(spot < F.col("_share")).drop("_share")
 

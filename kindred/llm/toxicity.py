@@ -9,7 +9,7 @@ over the clean tokens, K follows from the clean texts' best segments. A text's e
 segment's surprise, the number of significant segments) is turned into a probability by a logistic
 fit.
 
-The model is fitted on a bounded sample of labelled rows (`per_label`); every text is scanned whole.
+The model is fitted on a bounded sample of labelled rows (`most_toxic`, `most_clean`); every text is scanned whole.
 
 Defined results: null, empty and word-less texts have no segment and get the score of no evidence.
 No labelled rows, or rows of one label only -> every score is 0. Labels above 0 count as 1; several
@@ -19,6 +19,7 @@ scored each.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,23 +122,38 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return weights
 
 
-def fit(sample: pa.Table, *, z: float = 3.0, drift: float = 0.5, prior: float = 0.001, shrink: float = 2.0, vocabulary: int = 1 << 16) -> SegmentModel | None:
-    """A model from a table (text, toxic); at most `vocabulary` tokens, those of greatest |z|."""
+def fit(sample: pa.Table, *, z: float = 3.0, drift: float = 0.5, prior: float = 0.001, shrink: float = 2.0, vocabulary: int = 1 << 16, log_prior: float | None = None) -> SegmentModel | None:
+    """A model from a table (text, toxic); at most `vocabulary` tokens, those of greatest |z|.
+
+    log_prior: log odds of label 1 where the texts come from, if other than in the table.
+    """
     label = np.asarray(sample["toxic"].to_pylist(), int) > 0
     if not len(label) or label.all() or not label.any():
         return None
     data, offsets = K.utf8(sample["text"])
-    hashes, first = K.hashed_words(data, offsets, K.ALNUM, True)
-    # each distinct text counts a token once
-    digest = np.array([hash(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(len(label))], np.int64)
-    once = np.zeros(len(label), bool)
-    once[np.unique(digest, return_index=True)[1]] = True
-    doc = np.repeat(np.arange(len(label)), np.diff(first))
-    keys, inverse = np.unique(hashes, return_inverse=True)
-    pairs = np.unique(inverse[once[doc]].astype(np.int64) * len(label) + doc[once[doc]])
-    token, toxic = pairs // len(label), label[pairs % len(label)]
-    bad = np.bincount(token[toxic], minlength=len(keys)).astype(float)
-    good = np.bincount(token[~toxic], minlength=len(keys)).astype(float)
+    once = np.zeros(len(label), bool)  # of equal texts the first counts
+    seen: set[bytes] = set()
+    for i in range(len(label)):
+        digest = hashlib.blake2b(data[offsets[i] : offsets[i + 1]], digest_size=16).digest()
+        once[i] = digest not in seen
+        seen.add(digest)
+    # per slice: distinct (token, text) pairs as token and label; all tokens of clean texts with counts
+    pairs, clean, lengths = [], [], []
+    for lo, hi in K.slices(offsets):
+        words = K.Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], K.ALNUM)
+        hashes, n = words.hashes(True), np.diff(words.first)
+        doc = np.repeat(np.arange(lo, hi), n)
+        clean.append(np.unique(hashes[~label[doc]], return_counts=True))
+        order = np.lexsort((hashes, doc))
+        hashes, doc = hashes[order], doc[order]
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])])[: len(hashes)] & once[doc]
+        pairs.append((hashes[new], label[doc[new]]))
+        lengths.append(n)
+    keys, inverse = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
+    toxic = np.concatenate([t for _, t in pairs])
+    bad = np.bincount(inverse[toxic], minlength=len(keys)).astype(float)
+    good = np.bincount(inverse[~toxic], minlength=len(keys)).astype(float)
+    del pairs, inverse, toxic
     n_bad, n_good = float((label & once).sum()), float((~label & once).sum())
     share = 1 + prior * (bad + good)
     odds = lambda n, texts: np.log((n + share) / (texts + 2 * share - n))
@@ -147,7 +163,11 @@ def fit(sample: pa.Table, *, z: float = 3.0, drift: float = 0.5, prior: float =
     chosen = np.sort(chosen[np.abs(score_z[chosen]) >= z])
     scores = np.sign(delta[chosen]) * (np.abs(delta[chosen]) * (1 - shrink / np.abs(score_z[chosen])))
     # lambda over what a clean token scores, tokens never seen there counting as seen once
-    clean_tokens = np.bincount(inverse[~label[doc]], minlength=len(keys)).astype(float)
+    clean_tokens = np.zeros(len(keys))
+    for found, n in clean:
+        known = K.member(keys, found)
+        clean_tokens[np.searchsorted(keys, found[known])] += n[known]
+    del clean
     p = np.concatenate([clean_tokens[chosen] + 1, [max(clean_tokens.sum() - clean_tokens[chosen].sum(), 1.0)]])
     p, s = p / p.sum(), np.concatenate([scores, [-drift]])
     if (p * s).sum() >= 0 or not (s > 0).any():
@@ -161,7 +181,7 @@ def fit(sample: pa.Table, *, z: float = 3.0, drift: float = 0.5, prior: float =
             lo, hi = (mid, hi) if (p * np.exp(mid * s)).sum() < 1 else (lo, mid)
         rate = (lo + hi) / 2
     model = SegmentModel(keys[chosen], scores, drift, rate, 0.0, np.zeros(3))
-    n_words, found = np.diff(first), []
+    n_words, found = np.concatenate(lengths), []
     for lo, hi in K.slices(offsets):
         found += segments(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[1]
     best = np.array([max((x[2] for x in segs), default=0.0) for segs in found])
@@ -169,19 +189,24 @@ def fit(sample: pa.Table, *, z: float = 3.0, drift: float = 0.5, prior: float =
     log_k = float(np.mean(rate * best[clean] - np.log(np.maximum(n_words[clean], 1))) - _EULER) if clean.any() else -2.0
     model = SegmentModel(model.keys, scores, drift, rate, log_k, np.zeros(3))
     weights = _logistic(evidence(model, n_words, found), label.astype(float))
+    if log_prior is not None:
+        weights[0] += log_prior - np.log(label.sum() / (~label).sum())
     return SegmentModel(model.keys, scores, drift, rate, log_k, weights)
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame, learn: Column, *, per_label: int = 4000, **knobs) -> SegmentModel | None:
-    """Fits on at most about `per_label` labelled rows of each label for which `learn` holds.
+def fit_labels(docs: DataFrame, labels: DataFrame, learn: Column, *, most_toxic: int = 2000, most_clean: int = 6000, **knobs) -> SegmentModel | None:
+    """Fits on at most about so many labelled rows of each label for which `learn` holds.
 
-    Only the sampled ids, whose number that bound fixes, are broadcast to the scan of the texts.
+    Only the sampled ids, whose number these bounds fix, are broadcast to the scan of the texts. The
+    probability's offset follows the labels' shares among all labelled rows, not in the sample.
     """
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    chosen = sample_rows(known, "toxic", per_label)
+    chosen = sample_rows(known, "toxic", F.when(F.col("toxic") == 1, float(most_toxic)).otherwise(float(most_clean)))
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    return fit(rows.select("doc_id", "text", "toxic").toArrow().sort_by("doc_id"), **knobs)
+    share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    log_prior = np.log(share[1] / share[0]) if len(share) == 2 else None
+    return fit(rows.select("doc_id", "text", "toxic").toArrow().sort_by("doc_id"), log_prior=log_prior, **knobs)
 
 
 def score_toxicity(df: DataFrame, model: SegmentModel | None, *, text: str = "text", keep_text: bool = False) -> DataFrame:

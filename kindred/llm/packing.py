@@ -6,7 +6,8 @@
    cardinality and rounded up to their group's greatest. Configurations of the few rounded sizes are
    optimised by column generation (a linear program over knapsack patterns); whole multiples are
    used, the rest of the large pieces goes best-fit. Actual lengths are then substituted for the
-   rounded ones and the small pieces go best-fit into what is left, longest first.
+   rounded ones, in the last slot the one that fits best, and the small pieces go best-fit into what
+   is left, longest first.
    The plan is a list of runs: so many sequences with the same lengths. Its size follows from the
    number of lengths and configurations, not from that of the documents.
 3. A piece's rank among those of its length (counted per task, then summed) leads to its run,
@@ -132,7 +133,7 @@ def _pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), out
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, steps: int = 400) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, steps: int = 1500) -> list[tuple[np.ndarray, int]]:
     """Whole multiples of configurations, from the linear program min sum x, A x = counts, by columns."""
     m = len(sizes)
     basis = np.diag(np.maximum(capacity // sizes, 1)).astype(float)
@@ -156,10 +157,24 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, steps:
     return [(basis[:, j].astype(int), int(np.floor(x[j] + 1e-9))) for j in range(m) if x[j] >= 1 - 1e-9]
 
 
-def plan(counts: np.ndarray, capacity: int, *, large: float = 0.125, groups: int = 24) -> list[tuple[list[int], int]]:
+def _longest(left: np.ndarray, low: int, high: int, need: int) -> list[list[int]]:
+    """Takes the longest `need` pieces with low < length <= high (or all there are): [length, count]."""
+    got = []
+    for v in np.flatnonzero(left[low + 1 : high + 1])[::-1] + low + 1:
+        if not need:
+            break
+        part = min(int(left[v]), need)
+        left[v] -= part
+        need -= part
+        got.append([int(v), part])
+    return got
+
+
+def plan(counts: np.ndarray, capacity: int, *, large: float = 0.125, groups: int = 96) -> list[tuple[list[int], int]]:
     """Runs (lengths, how many sequences) that use counts[length] pieces of every length exactly.
 
-    Lengths above large * capacity count as large.
+    Lengths above large * capacity count as large. A configuration's slots but the last take the longest
+    pieces of their groups; the last takes the piece, of any group, that best fits what these leave.
     """
     left = counts.astype(np.int64).copy()
     runs: list[tuple[list[int], int]] = []
@@ -167,62 +182,52 @@ def plan(counts: np.ndarray, capacity: int, *, large: float = 0.125, groups: int
         runs.append(([capacity], int(left[capacity])))
         left[capacity] = 0
     floor = int(capacity * large)
-    big = [int(v) for v in np.flatnonzero(left) if v > floor]
+    big = np.flatnonzero(left[floor + 1 :]) + floor + 1
     open_runs: list[tuple[list[int], int]] = []
-    if big:
-        # groups of equal cardinality, shorter to longer; a length is cut between groups where it must be
-        total = int(left[big].sum())
-        n_groups = min(groups, total)
-        edges = [total * (i + 1) // n_groups for i in range(n_groups)]
-        stock: list[list[list[int]]] = [[] for _ in range(n_groups)]  # per group: [length, count], ascending
-        g = passed = 0
-        for v in big:
-            n = int(left[v])
-            while n:
-                part = min(n, edges[g] - passed)
-                if part:
-                    stock[g].append([v, part])
-                    passed, n = passed + part, n - part
-                if passed == edges[g] and g < n_groups - 1:
-                    g += 1
-            left[v] = 0
-        sizes = np.array([s[-1][0] for s in stock])
-        have = np.array([sum(n for _, n in s) for s in stock])
-        merged, where = np.unique(sizes, return_inverse=True)
-        n_of = np.bincount(where, weights=have).astype(np.int64)
-        pool: list[list[list[int]]] = [[] for _ in merged]
-        for s, w in zip(stock, where):
-            pool[w] += s
-        for pattern, times in configurations(merged, n_of.astype(float), capacity):
-            slots = [k for k in np.flatnonzero(pattern) for _ in range(pattern[k])]
-            avail = np.array([sum(n for _, n in pool[k]) for k in range(len(merged))])
-            times = min([times, *(int(avail[k] // pattern[k]) for k in np.flatnonzero(pattern))])
+    if len(big):
+        # groups of (nearly) equal cardinality; all pieces of a length are in one
+        passed = np.cumsum(left[big])
+        n_groups = min(groups, len(big))
+        exact = n_groups == len(big)  # every length is a group of its own: nothing is rounded
+        group = np.arange(len(big)) if exact else np.minimum((passed - 1) * n_groups // passed[-1], n_groups - 1)
+        last = np.flatnonzero(np.append(group[1:] != group[:-1], True))
+        tops = big[last].astype(int)
+        bottoms = np.concatenate([[floor], tops[:-1]])
+        have = np.diff(np.concatenate([[0], passed[last]]))
+        made = configurations(tops, have.astype(float), capacity)
+        # fullest first
+        for pattern, times in sorted(made, key=lambda x: -int(x[0] @ tops)):
+            slots = [int(k) for k in np.flatnonzero(pattern)[::-1] for _ in range(pattern[k])]
+            firsts, end = slots[:-1], slots[-1]
+            for k in set(firsts):
+                times = min(times, int(left[bottoms[k] + 1 : tops[k] + 1].sum()) // firsts.count(k))
             if times <= 0:
                 continue
-            # each slot takes the longest `times` pieces of its group; split where a length ends
-            taken = []
-            for k in slots:
-                need, got = times, []
-                while need:
-                    v, n = pool[k][-1]
-                    part = min(n, need)
-                    got.append([v, part])
-                    need -= part
-                    if part == n:
-                        pool[k].pop()
-                    else:
-                        pool[k][-1][1] -= part
-                taken.append(got)
-            while taken[0]:
-                part = min(t[0][1] for t in taken)
-                open_runs.append(([t[0][0] for t in taken], part))
-                for t in taken:
-                    t[0][1] -= part
-                    if not t[0][1]:
-                        t.pop(0)
-        for s in pool:
-            for v, n in s:
-                left[v] += n
+            parts: list[tuple[list[int], int]] = [([], times)]
+            for k in firsts:
+                taken, split = _longest(left, bottoms[k], tops[k], times), []
+                for lengths, n in parts:
+                    while n:
+                        part = min(n, taken[0][1])
+                        split.append((lengths + [taken[0][0]], part))
+                        n -= part
+                        taken[0][1] -= part
+                        if not taken[0][1]:
+                            taken.pop(0)
+                parts = split
+            for lengths, n in parts:
+                room = capacity - sum(lengths)
+                while n:
+                    low = bottoms[end] if exact else floor
+                    fit = np.flatnonzero(left[low + 1 : (room if lengths and not exact else tops[end]) + 1])
+                    if not len(fit):
+                        open_runs.append((lengths, n))
+                        break
+                    v = int(fit[-1]) + int(low) + 1
+                    part = min(n, int(left[v]))
+                    left[v] -= part
+                    n -= part
+                    open_runs.append((lengths + [v], part))
     # best-fit of all that is left, longest first: by room, the runs that have it
     rooms: dict[int, list[tuple[list[int], int]]] = {}
 
@@ -231,7 +236,8 @@ def plan(counts: np.ndarray, capacity: int, *, large: float = 0.125, groups: int
             rooms.setdefault(capacity - sum(lengths), []).append((lengths, times))
 
     for lengths, times in open_runs:
-        put(lengths, times)
+        if lengths:
+            put(lengths, times)
     for v in range(capacity, 0, -1):
         n = int(left[v])
         while n:

@@ -47,10 +47,11 @@ def chunked(df: DataFrame, total: int, *, ordered: bool) -> DataFrame:
 
     @F.pandas_udf("int")
     def chunk(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(edges.value, ids.fillna(np.iinfo(np.int64).max).to_numpy(np.int64), "right")
+        at = np.searchsorted(edges.value, ids.to_numpy(np.int64), "right")
         return pd.Series(at.astype(np.int32))
 
-    return df.withColumn("chunk", chunk("doc_id"))
+    # no null goes to pandas, which would make the ids floats
+    return df.withColumn("chunk", chunk(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max))))
 
 
 def buckets(entries: int, width: int) -> int:

@@ -1,66 +1,21 @@
-"""What the operators share: whole column names, checkpoints in the shared folder, components."""
+"""What the operators share: whole column names, names that clash, and the core's checkpoints and components."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kindred.operators.graph import components
+from kindred.plans.lineage import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is set (tests), a temporary one is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that it survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["columns", "components", "cut", "fresh", "others", "partitions", "shared_dir", "widened"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _edges(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): one row (id, component) per vertex with an edge.
-
-    component is the smallest id reachable. Alternates large-star and small-star rounds (each a
-    shuffle with map-side minima, each checkpointed), so the rounds grow with the logarithm of a
-    component's size. A vertex with very many edges meets only in a min() that is combined before
-    the shuffle and in a join that Spark can split.
-    """
-    spark = edges.sparkSession
-    now = cut(_edges(edges, "a", "b"))
-    state = None
-    for _ in range(most_rounds):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(low, both.a == low.v).where("b > a").select("b", "m")
-        large = _edges(large, "b", "m")
-        down = large.select(F.col("b").alias("v"), F.col("a").alias("u"))
-        low2 = down.groupBy("v").agg(F.min("u").alias("m"))
-        small = down.join(low2, "v").select(F.explode(F.array("u", "v")).alias("x"), "m")
-        now = cut(_edges(small, "x", "m"))
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(after) == state:
-            break
-        state = tuple(after)
-    else:
-        raise RuntimeError(f"components: no end after {most_rounds} rounds")
-    del spark
-    return now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")).union(now.select("a", "a").distinct()).distinct()
-
-
 def columns(df: DataFrame, names: list[str]) -> list:
     """The named columns, whatever characters the names hold."""
     return [F.col(f"`{n.replace('`', '``')}`") for n in names]

@@ -14,6 +14,11 @@ def col(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once a row, also inside lambdas, where nothing is shared otherwise."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def starts_with_any(x: ColumnOrName, prefixes: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in prefixes:
@@ -168,11 +173,14 @@ def ratio(a: Column, b: Column) -> Column:
 
 def bag_jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
     """Sum of minima over sum of maxima of two bags (arrays with repeats)."""
-    keys = F.array_distinct(F.array_union(a, b))
     count = lambda bag, key: F.size(F.filter(bag, lambda x: x == key))
-    both = F.aggregate(keys, F.lit(0), lambda n, k: n + F.least(count(a, k), count(b, k)))
-    either = F.size(a) + F.size(b) - both
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(empty)).otherwise(both / either)
+
+    def share(x: Column, y: Column) -> Column:
+        both = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda n, k: n + F.least(count(x, k), count(y, k)))
+        either = lambda n: F.when(F.size(x) + F.size(y) == 0, F.lit(empty)).otherwise(n / (F.size(x) + F.size(y) - n))
+        return let(both, either)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: share(p["a"], p["b"]))
 
 
 def flag_jaccard(a: Column, b: Column) -> Column:
@@ -182,7 +190,7 @@ def flag_jaccard(a: Column, b: Column) -> Column:
 
 def edit_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
+    return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / F.greatest(longest, F.lit(1)))
 
 
 SIGNATURE_PARTS = ("cls", "fld", "mth", "code")

@@ -8,13 +8,14 @@ taken, which gives the same pairs as the sequential order. Hungarian maximises t
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.operators.grouped import whole_groups
+from kindred.plans.lineage import cut
 from kindred.schema import HUNGARIAN_LIMIT
 from kindred.session import ship
-from kindred.plans.lineage import cut
 
 #: Candidates of a pool that one task solves.
 SMALL = 20_000
@@ -36,57 +37,89 @@ def greedy_rounds(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
 
 
 def hungarian(cost: np.ndarray) -> np.ndarray:
-    """Column of each row of a square cost matrix, at the least total (shortest augmenting paths)."""
-    n = len(cost)
-    row_price, col_price = np.zeros(n), np.zeros(n + 1)
-    owner = np.full(n + 1, -1)  # the last column is where a path starts
+    """Column of each row at the least total, for no more rows than columns (shortest augmenting paths)."""
+    n, m = cost.shape
+    row_price, col_price = np.zeros(n), np.zeros(m + 1)
+    owner = np.full(m + 1, -1)  # the last column is where a path starts
     for row in range(n):
-        owner[n] = row
-        at, reach, back, done = n, np.full(n + 1, np.inf), np.full(n + 1, n), np.zeros(n + 1, bool)
+        owner[m] = row
+        at, reach, back, done = m, np.full(m + 1, np.inf), np.full(m + 1, m), np.zeros(m + 1, bool)
         while owner[at] >= 0:
             done[at] = True
             r = owner[at]
-            free = ~done[:n]
-            slack = cost[r] - row_price[r] - col_price[:n]
-            closer = free & (slack < reach[:n])
-            reach[:n][closer], back[:n][closer] = slack[closer], at
-            nxt = int(np.argmin(np.where(free, reach[:n], np.inf)))
+            free = ~done[:m]
+            slack = cost[r] - row_price[r] - col_price[:m]
+            closer = free & (slack < reach[:m])
+            reach[:m][closer], back[:m][closer] = slack[closer], at
+            nxt = int(np.argmin(np.where(free, reach[:m], np.inf)))
             step = reach[nxt]
             row_price[owner[done]] += step
             col_price[done] -= step
             reach[~done] -= step
             at = nxt
-        while at != n:
+        while at != m:
             owner[at] = owner[back[at]]
             at = back[at]
     column = np.empty(n, int)
-    column[owner[:n]] = np.arange(n)
+    taken = np.flatnonzero(owner[:m] >= 0)
+    column[owner[taken]] = taken
     return column
 
 
-def solve(l: np.ndarray, r: np.ndarray, score: np.ndarray, n_left: int, mode: str) -> list[int]:
-    """Indices of the chosen candidates of one pool, in the order of assignment; n_left counts left rows without any."""
-    n_right = len(set(r.tolist()))
-    if mode == "auto":
-        mode = "hungarian" if max(n_left, n_right) <= HUNGARIAN_LIMIT and n_right < len(r) else "greedy"
-    if mode == "greedy":
-        out, seen_l, seen_r = [], set(), set()
-        for k in np.lexsort((r, l, -score)).tolist():
-            if l[k] not in seen_l and r[k] not in seen_r:
-                out.append(k)
-                seen_l.add(l[k])
-                seen_r.add(r[k])
-        return out
-    lefts, at_l = np.unique(l, return_inverse=True)
-    rights, at_r = np.unique(r, return_inverse=True)
-    n = max(len(lefts), n_left, len(rights))
-    cost, which = np.full((n, n), 2.0), np.full((n, n), -1)
+def _greedy(l: list[int], r: list[int], score: list[float]) -> list[int]:
+    out, seen_l, seen_r = [], set(), set()
+    for k in sorted(range(len(l)), key=lambda k: (-score[k], l[k], r[k])):
+        if l[k] not in seen_l and r[k] not in seen_r:
+            out.append(k)
+            seen_l.add(l[k])
+            seen_r.add(r[k])
+    return out
+
+
+def _best(l: list[int], r: list[int], score: list[float]) -> list[int]:
+    """Optimal choice among the candidates of one connected part; one at most per row and column."""
+    if len(l) == 1:
+        return [0]
+    rows, columns = sorted(set(l)), sorted(set(r))
+    if len(rows) == 1 or len(columns) == 1:
+        return [min(range(len(l)), key=lambda k: (-score[k], l[k], r[k]))]
+    if len(rows) > len(columns):
+        rows, columns, l, r = columns, rows, r, l
+    at_l, at_r = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(columns)}
+    cost, which = np.full((len(rows), len(columns)), 2.0), np.full((len(rows), len(columns)), -1)
     for k in range(len(l)):
-        i, j = at_l[k], at_r[k]
+        i, j = at_l[l[k]], at_r[r[k]]
         if 1.0 - score[k] < cost[i, j]:
             cost[i, j], which[i, j] = 1.0 - score[k], k
     column = hungarian(cost)
-    return [int(which[i, column[i]]) for i in range(len(lefts)) if which[i, column[i]] >= 0]
+    return [int(which[i, column[i]]) for i in range(len(rows)) if which[i, column[i]] >= 0]
+
+
+def solve(l: list[int], r: list[int], score: list[float], n_left: int, mode: str) -> list[int]:
+    """Indices of the chosen candidates of one pool, in the order of assignment; n_left counts left rows without any.
+
+    The optimum is found part by part: rows and columns that no chain of candidates connects don't compete.
+    """
+    n_right = len(set(r))
+    if mode == "auto":
+        mode = "hungarian" if max(n_left, n_right) <= HUNGARIAN_LIMIT and n_right < len(r) else "greedy"
+    if mode == "greedy":
+        return _greedy(l, r, score)
+    parent: dict[tuple[str, int], tuple[str, int]] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(l, r):
+        parent[root(("l", a))] = root(("r", b))
+    parts: dict[tuple[str, int], list[int]] = {}
+    for k, a in enumerate(l):
+        parts.setdefault(root(("l", a)), []).append(k)
+    chosen = [own[i] for own in parts.values() for i in _best([l[k] for k in own], [r[k] for k in own], [score[k] for k in own])]
+    return sorted(chosen, key=lambda k: l[k])
 
 
 def assign(candidates: DataFrame, sizes: DataFrame, mode: str = "auto") -> DataFrame:
@@ -104,14 +137,22 @@ def assign(candidates: DataFrame, sizes: DataFrame, mode: str = "auto") -> DataF
         small = small | (F.greatest("n_left", "n_right") <= HUNGARIAN_LIMIT)
     dealt = cut(candidates.select("pool", "l", "r", F.col("score").cast("double").alias("score")).join(stats.select("pool", "n_left", small.alias("small")), "pool"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l", "r"], kind="stable").reset_index(drop=True)
-        chosen = solve(pdf["l"].to_numpy(), pdf["r"].to_numpy(), pdf["score"].to_numpy(), int(pdf["n_left"].iloc[0]), mode)
-        out = pdf.iloc[chosen][["pool", "l", "r", "score"]].copy()
-        out["nth"] = np.arange(len(out), dtype=np.int64)
-        return out
-
-    solved = dealt.where("small").drop("small").groupBy("pool").applyInPandas(one, "pool string, l long, r long, score double, nth long")
+    def run(batches):
+        for table in whole_groups(batches, "pool"):
+            pools, l, r, score, n_left = (table[c].to_pylist() for c in ("pool", "l", "r", "score", "n_left"))
+            rows, nth, start = [], [], 0
+            for end in range(1, len(pools) + 1):
+                if end == len(pools) or pools[end] != pools[start]:
+                    order = sorted(range(start, end), key=lambda k: (l[k], r[k]))
+                    chosen = [order[i] for i in solve([l[k] for k in order], [r[k] for k in order], [score[k] for k in order], n_left[start], mode)]
+                    rows += chosen
+                    nth += range(len(chosen))
+                    start = end
+            got = table.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([got[c].combine_chunks() for c in ("pool", "l", "r", "score")] + [pa.array(nth, pa.int64())], names=["pool", "l", "r", "score", "nth"])
+
+    small_rows = dealt.where("small").drop("small").repartition("pool").sortWithinPartitions("pool")
+    solved = small_rows.mapInArrow(run, "pool string, l long, r long, score double, nth long")
     large = dealt.where("not small")
     if large.isEmpty():
         return solved

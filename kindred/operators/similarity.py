@@ -24,7 +24,6 @@ def structural_features(a: Column, b: Column) -> Column:
     """struct of nmethods, nfields, access, field_types, method_protos, hierarchy (null if neither has any), average."""
     types = lambda c: F.transform(c["fields"], lambda f: f["type_desc"])
     protos = lambda c: F.transform(c["methods"], lambda m: F.concat_ws("|", m["return_type"], m["arg_count"].cast("string")))
-    ha, hb = hierarchy_tokens(a["superclass"], a["interfaces"]), hierarchy_tokens(b["superclass"], b["interfaces"])
     parts = {
         "nmethods": S.ratio(F.size(a["methods"]), F.size(b["methods"])),
         "nfields": S.ratio(F.size(a["fields"]), F.size(b["fields"])),
@@ -32,10 +31,16 @@ def structural_features(a: Column, b: Column) -> Column:
         "field_types": S.bag_jaccard(types(a), types(b)),
         "method_protos": S.bag_jaccard(protos(a), protos(b)),
     }
-    base = sum(parts.values(), F.lit(0.0))
-    hierarchy = F.when(F.size(ha) + F.size(hb) > 0, S.bag_jaccard(ha, hb))
-    average = F.when(hierarchy.isNull(), base / 5).otherwise((base + hierarchy) / 6)
-    return F.struct(*[v.alias(k) for k, v in parts.items()], hierarchy.alias("hierarchy"), average.alias("average"))
+    both = F.struct(hierarchy_tokens(a["superclass"], a["interfaces"]).alias("a"), hierarchy_tokens(b["superclass"], b["interfaces"]).alias("b"))
+    hierarchy = S.let(both, lambda h: F.when(F.size(h["a"]) + F.size(h["b"]) > 0, S.bag_jaccard(h["a"], h["b"])))
+    made = F.struct(*[v.alias(k) for k, v in parts.items()], hierarchy.alias("hierarchy"))
+
+    def averaged(f: Column) -> Column:
+        base = sum((f[k] for k in parts), F.lit(0.0))
+        average = F.when(f["hierarchy"].isNull(), base / 5).otherwise((base + f["hierarchy"]) / 6)
+        return F.struct(*[f[k].alias(k) for k in (*parts, "hierarchy")], average.alias("average"))
+
+    return S.let(made, averaged)
 
 
 def class_similarity(a: Column, b: Column) -> Column:
@@ -50,8 +55,8 @@ def method_similarity(x: Column, y: Column) -> Column:
     # the lengths alone bound the score from above: only pairs that can reach the floor are aligned
     la, lb = F.length(x["abstract"]), F.length(y["abstract"])
     bound = W["method_bytecode"] * F.when(F.greatest(la, lb) == 0, 1.0).otherwise(F.least(la, lb) / F.greatest(la, lb)) + rest
-    score = W["method_bytecode"] * S.edit_similarity(x["abstract"], y["abstract"]) + rest
-    return F.when(bound < METHOD_FLOOR - 1e-9, 0.0).otherwise(F.when(score >= 1.0 - 1e-9, 1.0).otherwise(score))
+    snapped = S.let(W["method_bytecode"] * S.edit_similarity(x["abstract"], y["abstract"]) + rest, lambda s: F.when(s >= 1.0 - 1e-9, 1.0).otherwise(s))
+    return F.when(bound < METHOD_FLOOR - 1e-9, 0.0).otherwise(snapped)
 
 
 def greedy_fold(triples: Column) -> Column:

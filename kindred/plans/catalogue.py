@@ -573,3 +573,25 @@ def event_windows(spark, sf_dir):
     from kindred.streaming.arrivals import hourly
 
     return hourly(table(spark, sf_dir, "events"))
+
+
+# ---- whole runs: orders as classes
+
+@query()
+def orders_prepare(spark, sf_dir):
+    """Signatures of every order's class: what a fingerprint store holds."""
+    from kindred.plans.builds import order_classes
+    from kindred.sources.store import prepare
+
+    return prepare(order_classes(spark, sf_dir)).select("descriptor", S.signature_hex().alias("signature"), "signature_stamp")
+
+
+@query()
+def orders_diff(spark, sf_dir):
+    """The full diff of two builds of the orders, as ranked changes."""
+    from kindred.operators.diff import diff
+    from kindred.plans.builds import order_classes
+
+    found = diff(order_classes(spark, sf_dir), order_classes(spark, sf_dir, True))
+    rows = changes.change_set(found, "shop.c1")
+    return rows.select("kind", "lhs", "rhs", "magnitude", F.round("match_distance", 6).alias("match_distance"), "anchored", "origin", "confidence", "summary")

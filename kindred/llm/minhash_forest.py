@@ -9,7 +9,8 @@
    sorted order, signatures are compared; those that may reach the threshold are joined loosely.
 3. Loose groups are connected, their members' full sets fetched, and all pairs within that may reach
    the threshold are confirmed on the sets, unless already linked. A group whose sets exceed a block
-   is compared block against block, so that each pair of its members still meets.
+   is compared in random blocks, and block against block where that leaves it in several parts, so that
+   no pair is left out.
 4. Confirmed links are connected; every document gets the smallest doc_id it reaches.
 
 Between a signature's estimate and the true similarity 4.1 standard deviations are allowed for.
@@ -324,26 +325,16 @@ def _confirm(sets: list[np.ndarray], marks: np.ndarray, side: np.ndarray | None,
     return links.pairs
 
 
-def confirmed_edges(df: DataFrame, classes: DataFrame, groups: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """(a, b): confirmed links that connect what is linked within each loose group."""
-    spark = df.sparkSession
+def _links_within(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): confirmed links that connect what is linked among the rows of each key.
+
+    rows: (key, rep, signature, items, side); rows of one side are not compared where a key has two.
+    """
     threshold = percent / 100
     least = int(np.ceil(SIZE * (threshold - 4.1 * np.sqrt(threshold * (1 - threshold) / SIZE))))
-    members = classes.join(groups, classes.rep == groups.id).select(F.col("rep").alias("doc_id"), "digest", "signature", "component", F.col("n_shingles").alias("shingles"))
-    members = cut(members)
-    large = members.groupBy("component").agg(F.sum("shingles").alias("total")).where(F.col("total") > BLOCK)
-    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    fetched = _sets(texts.join(members, "doc_id"), size)
-    # a large group's members go to as many tasks as it has blocks: each pair of blocks meets in one
-    blocks = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("total"), F.lit(0)) / F.lit(BLOCK / 2))).cast("int")
-    parted = fetched.join(large, "component", "left").withColumn("n", blocks).withColumn("block", F.when(F.col("n") > 1, F.pmod(F.xxhash64("rep"), F.col("n"))).otherwise(F.lit(0)).cast("int"))
-    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    parted = parted.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    parted = parted.withColumn("key", F.xxhash64("component", "low", "high"))
 
     def compare(batches):
-        columns = ["key", "rep", "component", "block", "low", "high", "signature", "items"]
-        for table in by_group(batches, columns, "key"):
+        for table in by_group(batches, ["key", "rep", "signature", "items", "side"], "key"):
             a, b = [], []
             for lo, hi in _runs(table["key"].to_numpy()):
                 own = table.slice(lo, hi - lo)
@@ -351,18 +342,47 @@ def confirmed_edges(df: DataFrame, classes: DataFrame, groups: DataFrame, doc_id
                 if len(distinct) < 2:
                     continue
                 own = own.take(pa.array(sorted(distinct.values())))
-                reps = own["rep"].to_numpy()
+                reps, side = own["rep"].to_numpy(), own["side"].to_numpy()
                 sets = [np.frombuffer(x, _U) for x in own["items"].to_pylist()]
                 marks = _matrix(own["signature"], "<u4", SIZE).astype(np.uint8)
-                block = own["block"].to_numpy()
-                between = own["low"][0].as_py() != own["high"][0].as_py()
-                for i, j in _confirm(sets, marks, block if between else None, percent, least):
+                for i, j in _confirm(sets, marks, side if (side != side[0]).any() else None, percent, least):
                     a.append(min(reps[i], reps[j]))
                     b.append(max(reps[i], reps[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = parted.select("key", "rep", "component", "block", "low", "high", "signature", "items")
-    return rows.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    sorted_rows = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    return sorted_rows.mapInArrow(compare, "a long, b long")
+
+
+def confirmed_edges(df: DataFrame, classes: DataFrame, groups: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """(a, b): confirmed links that connect what is linked within each loose group.
+
+    A group whose sets exceed a block is dealt into blocks at random, twice. Where the links found in the
+    blocks already make it one component there is nothing more to find; else each pair of its blocks is
+    compared.
+    """
+    members = classes.join(groups, classes.rep == groups.id).select(F.col("rep").alias("doc_id"), "digest", "signature", "component", F.col("n_shingles").alias("shingles"))
+    members = cut(members)
+    large = cut(members.groupBy("component").agg(F.sum("shingles").alias("total"), F.count("*").alias("size")).where(F.col("total") > BLOCK))
+    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    fetched = lambda chosen: _sets(texts.join(chosen, "doc_id"), size)
+    row = lambda key, side: [key.alias("key"), F.col("rep"), F.col("signature"), F.col("items"), side.cast("int").alias("side")]
+    if large.isEmpty():
+        return _links_within(fetched(members).select(*row(F.col("component"), F.lit(0))), percent)
+    few = fetched(members.join(large.select("component"), "component", "left_anti"))
+    found = cut(_links_within(few.select(*row(F.col("component"), F.lit(0))), percent))
+    many = cut(fetched(members.join(large.select("component"), "component")).join(large, "component").withColumn("n", F.ceil(F.col("total") / F.lit(BLOCK / 2)).cast("int")))
+    block = lambda salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col("n"))
+    for salt in (1, 2):
+        found = found.union(_links_within(many.select(*row(F.xxhash64("component", block(salt), F.lit(salt)), F.lit(0))), percent))
+    found = cut(found)
+    named = members.select(F.col("doc_id").alias("id"), F.col("component").alias("loose")).join(large.select(F.col("component").alias("loose"), "size"), "loose").join(components(found), "id")
+    whole = named.groupBy("loose", "size").agg(F.count("*").alias("known"), F.min("component").alias("first"), F.max("component").alias("last")).where("known = size and first = last")
+    rest = many.join(whole.select(F.col("loose").alias("component")), "component", "left_anti").withColumn("block", block(3))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    # in the task of two blocks only unlike blocks are compared; a block's own task has one side
+    pair = rest.select(*row(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"), F.lit(3)), F.col("block")))
+    return found.union(_links_within(pair, percent))
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -141,11 +141,16 @@ def test_minhash_forest_large_groups(spark, monkeypatch):
         words[rng.randrange(300)] = f"own{d}"
         rows.append((d, " ".join(words)))
     rows += [(1000 + d, " ".join(f"u{rng.randrange(10**6)}" for _ in range(80))) for d in range(20)]
+    # alike enough to be tried with the first group, not enough to be linked with it
+    for d in range(60):
+        words = [f"v{i}" for i in range(36)] + base[36:]
+        words[rng.randrange(36, 300)] = f"other{d}"
+        rows.append((2000 + d, " ".join(words)))
     monkeypatch.setattr(minhash_forest, "HOT", 40)
     monkeypatch.setattr(minhash_forest, "REGION", 16)
     monkeypatch.setattr(minhash_forest, "BLOCK", 12_000)
     got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(frame(spark, rows), percent=85).collect()}
-    assert got == {d: (0 if d < 1000 else d) for d, _ in rows}
+    assert got == {d: (0 if d < 1000 else d if d < 2000 else 2000) for d, _ in rows}
 
 
 def test_minhash_forest_edges(spark):

@@ -20,6 +20,7 @@ scored each.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,23 +48,34 @@ class SegmentModel:
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a sequence, in linear time."""
-    found: list[list] = []  # start, end, total before, total after
+    out: list[tuple[int, int, float]] = []
+    # open segments: start, end, totals before and after, and the last open one that begins lower
+    starts, ends, lows, highs, lower = [], [], [], [], []
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        new = [i, i + 1, before, total]
+        start, low = i, before
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            j = len(starts) - 1
+            while j >= 0 and lows[j] >= low:
+                j = lower[j]
+            if j < 0:
+                # it begins lower than all open ones, so none of them can grow any more
+                out += [(a, b, hi - lo) for a, b, lo, hi in zip(starts, ends, lows, highs)]
+                starts, ends, lows, highs, lower = [start], [i + 1], [low], [total], [-1]
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(a, b, hi - lo) for a, b, lo, hi in found]
+            if highs[j] >= total:
+                starts.append(start)
+                ends.append(i + 1)
+                lows.append(low)
+                highs.append(total)
+                lower.append(j)
+                break
+            start, low = starts[j], lows[j]
+            del starts[j:], ends[j:], lows[j:], highs[j:], lower[j:]
+    return out + [(a, b, hi - lo) for a, b, lo, hi in zip(starts, ends, lows, highs)]
 
 
 def segments(model: SegmentModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
@@ -99,13 +111,14 @@ def segments(model: SegmentModel, data: np.ndarray, offsets: np.ndarray) -> tupl
 def evidence(model: SegmentModel, n_words: np.ndarray, found: list[list[tuple[int, int, float]]], level: float = 0.05) -> np.ndarray:
     """Texts x 3: one, surprise of the best segment, log of the number of significant segments."""
     out = np.zeros((len(found), 3))
-    out[:, 0] = 1
+    out[:, 0], out[:, 1] = 1, -5
+    bar = -math.log(level)
     for i, segs in enumerate(found):
-        space = model.log_k + np.log(max(int(n_words[i]), 1))
-        surprise = [model.rate * s - space for _, _, s in segs]
-        good = [x for x in surprise if x > -np.log(level)]
-        out[i, 1] = min(max([-5.0, *surprise]), 30.0)
-        out[i, 2] = np.log1p(len(good))
+        if segs:
+            space = model.log_k + math.log(max(int(n_words[i]), 1))
+            surprise = [model.rate * s - space for _, _, s in segs]
+            out[i, 1] = min(max(-5.0, max(surprise)), 30.0)
+            out[i, 2] = math.log1p(sum(x > bar for x in surprise))
     return out
 
 
@@ -236,9 +249,10 @@ def score_toxicity(df: DataFrame, model: SegmentModel | None, *, text: str = "te
                 n_words, found = segments(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 logit = evidence(model, n_words, found) @ model.weights
                 scores.append(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
-                for n, segs in zip(n_words, found):
-                    space = model.log_k + np.log(max(int(n), 1))
-                    spans.append([{"first_word": a, "end_word": b, "score": s, "e_value": float(np.exp(min(space - model.rate * s, 50)))} for a, b, s in segs if model.rate * s - space >= -np.log(0.05)])
+                bar = -math.log(0.05)
+                for n, segs in zip(n_words.tolist(), found):
+                    space = model.log_k + math.log(max(n, 1))
+                    spans.append([{"first_word": a, "end_word": b, "score": s, "e_value": math.exp(space - model.rate * s)} for a, b, s in segs if model.rate * s - space >= bar])
             score = np.concatenate(scores) if scores else np.zeros(0)
             cols = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, passage)], names=[*kept, "score", "predicted", "passages"])

@@ -63,13 +63,12 @@ def doc_simhash(spark, sf_dir):
 
 
 def doc_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, sig): four 32-bit signatures of salted token hashes. One aggregation per part over shared tokens."""
-    tokens = doc_tokens(spark, sf_dir)
-    out = None
-    for part in S.SIGNATURE_PARTS:
-        one = simhash_agg(tokens.select("doc_id", md5_32(F.concat(F.lit(f"{part}:"), "token")).alias("h"), "w"), ["doc_id"], name=part)
-        out = one if out is None else out.join(one, "doc_id")
-    return out.select(F.col("doc_id").alias("id"), F.struct(*S.SIGNATURE_PARTS).alias("sig"))
+    """(id, sig): four 32-bit signatures of salted token hashes, in one aggregation by document and part."""
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), md5_32(F.concat(F.lit(f"{p}:"), "token")).alias("h")) for p in S.SIGNATURE_PARTS])
+    tokens = doc_tokens(spark, sf_dir).select("doc_id", F.explode(parts).alias("x"), "w").select("doc_id", "x.part", "x.h", "w")
+    votes = simhash_agg(tokens, ["doc_id", "part"])
+    wide = votes.groupBy("doc_id").agg(*[F.max(F.when(F.col("part") == p, F.col("simhash"))).alias(p) for p in S.SIGNATURE_PARTS])
+    return wide.select(F.col("doc_id").alias("id"), F.struct(*S.SIGNATURE_PARTS).alias("sig"))
 
 
 _SIGS = f"{_TOKENS}, s as (" + _SIMHASH.format(", ".join(f"({_fold(p + ':')})::BIGINT {p}" for p in S.SIGNATURE_PARTS)) + ")"

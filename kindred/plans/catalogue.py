@@ -519,6 +519,73 @@ def priority_lookup(spark, sf_dir):
     return rows.select("c_custkey").join(first, "c_custkey", "left").join(second, "c_custkey", "left").select("c_custkey", F.coalesce("a", "b", F.lit("none")).alias("label"))
 
 
+@query("""select p_partkey, case when length(h) > 2 and not (length(h) <= 3 and lower(h) = h) then h end head, case when length(h) > 2 and not (length(h) <= 3 and lower(h) = h) then 'x.' || h || '$a' end renamed
+from (select p_partkey, regexp_replace(p_name, '[^A-Za-z0-9_$]', '_', 'g') h from part)""")
+def recovered_names(spark, sf_dir):
+    """Clear heads told from source files (parts' names as files) and the names of inner classes with them."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", S.recovered_head(F.concat("p_name", F.lit(".java")), F.lit("q")).alias("head"))
+    return rows.withColumn("renamed", S.with_head(F.lit("x"), F.lit("q$a"), F.col("head"))).withColumn("renamed", F.when(F.col("head").isNotNull(), F.col("renamed")))
+
+
+@query(f"""with {_CHANGES} select s, kind || ',' || (n_added + n_removed) || ',' || case when kind in ('added', 'removed') then '0 instructions' when kind = 'modified' then
+  array_to_string(list_filter([case when n_added > 0 then '+' || n_added || ' calls' end, case when n_removed > 0 then '-' || n_removed || ' calls' end], lambda x: x is not null), ', ') else '' end line from ch""")
+def change_lines(spark, sf_dir):
+    """Report lines of the suppliers' changes: kind, magnitude and a summary in words."""
+    rows = _supplier_changes(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    fill = lambda n: F.when(F.col(n) > 0, F.array_repeat(F.lit("x"), F.col(n).cast("int"))).otherwise(none)
+    delta = F.struct(fill("n_added").alias("calls_added"), fill("n_removed").alias("calls_removed"), *[none.alias(c) for c in changes.DELTA[2:]])
+    magnitude = (F.col("n_added") + F.col("n_removed")).cast("int")
+    rows = rows.select("s", "kind", magnitude.alias("magnitude"), delta.alias("delta"), F.array().cast("array<struct<status:string>>").alias("methods"))
+    return rows.select("s", F.concat_ws(",", "kind", F.col("magnitude").cast("string"), changes.change_summary()).alias("line"))
+
+
+@query("""with c as (select doc_id, md5(text) d, source from documents), g as (select d, count(distinct source) coverage, count(*) members, min(doc_id) medoid from c group by d having count(distinct source) >= 2),
+t as (select sum((members + 1) * coverage)::BIGINT w from g) select g.d entry, coverage, members, medoid, ((members + 1) * coverage)::BIGINT weight, round((members + 1) * coverage / t.w, 6) share from g, t""")
+def family_entries(spark, sf_dir):
+    """Texts that at least two sources share, as a family's entries, with their share of the whole weight."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("entry"), "source")
+    entries = rows.groupBy("entry").agg(F.countDistinct("source").alias("coverage"), F.count("*").alias("members"), F.min("doc_id").alias("medoid")).where("coverage >= 2")
+    entries = entries.withColumn("weight", (F.col("members") + 1) * F.col("coverage"))
+    total = entries.agg(F.sum("weight").alias("total"))
+    return entries.join(F.broadcast(total)).select("entry", "coverage", "members", "medoid", "weight", F.round(F.col("weight") / F.col("total"), 6).alias("share"))
+
+
+@query("select doc_id, sha256(text) digest from documents")
+def content_digests(spark, sf_dir):
+    """SHA-256 of every text as a file's digest."""
+    from kindred.sources import store
+
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    return store.digests(files).select(F.col("path").alias("doc_id"), "digest")
+
+
+@query(f"""with p as (select page_id, {_PACKAGE} p from pages) select page_id, case when p = '' then 'org.none' else p end prefix from p""")
+def suggested_prefixes(spark, sf_dir):
+    """The development prefix that two components of each page's package suggest."""
+    rows = table(spark, sf_dir, "pages").select("page_id", package(F.col("url")).alias("p"))
+    components = F.array(F.concat("p", F.lit(".ui.Main")), F.concat("p", F.lit(".Sync")))
+    return rows.select("page_id", S.suggested_prefix(F.lit("org.none"), components).alias("prefix"))
+
+
+@query("""with t as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) w from documents), n as (select count(*)::DOUBLE n from documents),
+d as (select w, count(distinct doc_id) df from t group by w) select w, df, round(ln((n + 1) / df), 6) idf from d, n where df >= 5""")
+def token_idf(spark, sf_dir):
+    """Document frequencies and idf of words of five documents or more."""
+    docs = table(spark, sf_dir, "documents")
+    n = docs.agg(F.count("*").alias("n"))
+    df = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("df")).where("df >= 5")
+    return df.join(F.broadcast(n)).select("w", "df", F.round(F.log((F.col("n") + 1) / F.col("df")), 6).alias("idf"))
+
+
+@query("""select conv_id, turn, case when role = 'system' then 'component' when role = 'assistant' and length(text) > 200 then 'sensitive' else 'plain' end label, round(1.0 - abs(length(text) - 100) / greatest(length(text), 100), 6) size_ratio from conversations""")
+def turn_labels(spark, sf_dir):
+    """Labels by priority and the ratio of sizes of each turn to a hundred characters."""
+    n = F.length("text")
+    label = F.when(F.col("role") == "system", "component").when((F.col("role") == "assistant") & (n > 200), "sensitive").otherwise("plain")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", label.alias("label"), F.round(S.ratio(n, F.lit(100)), 6).alias("size_ratio"))
+
+
 # ---- graphs: J15, J16, J18
 
 _PARENTS = "p as (select 'c' || c_custkey node, 'n' || c_nationkey parent from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation)"

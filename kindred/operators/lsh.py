@@ -57,7 +57,8 @@ def nearest(lhs: DataFrame, rhs: DataFrame, k: int = TOP_K, tables: int = LSH_TA
     spread = lambda df, p, radius: df.select("pool", *names(p)).distinct().select("pool", *names(p), F.explode(bucket_keys(as_sig(p), tables, LSH_BITS, radius)).alias("x")).select("pool", *names(p), "x.*")
     one = spread(left, "a", probe_radius)
     two = spread(right, "b", 0).drop("probe")
-    met = one.join(two, ["pool", "perm", "key"]).groupBy("pool", *names("a"), *names("b")).agg(F.min(F.struct("perm", "probe")).alias("met"))
+    # the first table and probe as one number, which a hash aggregate can keep
+    met = one.join(two, ["pool", "perm", "key"]).groupBy("pool", *names("a"), *names("b")).agg(F.min(F.col("perm").cast("long") * (1 << 32) + F.col("probe")).alias("met"))
     met = met.withColumn("hamming", S.hamming(as_sig("a"), as_sig("b")))
     # every right signature has a row, so those up to the k-th place hold the k nearest rows
     ties = Window.partitionBy("pool", *names("a")).orderBy("hamming", "met", "r")

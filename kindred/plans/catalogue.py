@@ -374,8 +374,9 @@ def containment_benchmark(spark, sf_dir):
         rows = df.select(*keys, words(F.col("text")).alias("w")).where(F.size("w") >= 5)
         return rows.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("g"))
 
-    have = grams(table(spark, sf_dir, "documents")).distinct().withColumn("hit", F.lit(True))
     asked = grams(table(spark, sf_dir, "benchmark"), "item_id").groupBy("item_id", "g").agg(F.count("*").alias("n"))
+    # the documents' grams are thinned to the asked ones before they are made distinct
+    have = grams(table(spark, sf_dir, "documents")).join(asked.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(True))
     w = F.length("g") * F.col("n")
     rows = asked.join(have, "g", "left").groupBy("item_id").agg(F.sum(w).alias("weight_total"), F.coalesce(F.sum(F.when(F.col("hit"), w)), F.lit(0)).alias("weight_present"))
     return rows.withColumn("score", F.round(F.col("weight_present") / F.col("weight_total"), 6))

@@ -22,13 +22,9 @@ def anchor_tokens(strings: Column, superclass: Column, interfaces: Column) -> Co
 
 
 def token_statistics(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(pool, token, weight, ldf, rdf): of exploded tokens (pool, id, token), those that both sides hold.
-
-    weight is the share of evidence of each pair: idf over the log of the pool's size, split by fan-out.
-    """
+    """(pool, token, ldf, rdf): of exploded tokens (pool, id, token), those that both sides hold and how often."""
     both = left.select("pool", "id", "token", F.lit(1).alias("left")).unionByName(right.select("pool", "id", "token", F.lit(0).alias("left")))
-    df = both.groupBy("pool", "token").agg(F.sum("left").alias("ldf"), F.sum(1 - F.col("left")).alias("rdf")).where("ldf > 0 and rdf > 0")
-    return df
+    return both.groupBy("pool", "token").agg(F.sum("left").alias("ldf"), F.sum(1 - F.col("left")).alias("rdf")).where("ldf > 0 and rdf > 0")
 
 
 def evidence(left: DataFrame, right: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -153,9 +153,9 @@ def propagate(matches: DataFrame, lhs: DataFrame, rhs: DataFrame, threshold: flo
         claims = cut(compared(claims.drop("lhs", "rhs")).where(F.col("similarity") >= CALL_SITE_FLOOR))
         new = None
         if not claims.isEmpty():
-            # first wins: a claim's place in the order is its (negated) score
-            place = F.row_number().over(Window.orderBy("claim")) if claims.count() <= MAX_FRONTIER else F.col("claim.i")
-            ranked = claims.select(F.lit("").alias("pool"), F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), (-place).cast("double").alias("score"))
+            # first wins: a claim's place in the sorted order is its (negated) score
+            claims = cut(claims.orderBy("claim").withColumn("place", F.monotonically_increasing_id()))
+            ranked = claims.select(F.lit("").alias("pool"), F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), (-F.col("place")).cast("double").alias("score"))
             won = assign(ranked, ranked.groupBy("pool").agg(F.countDistinct("l").alias("n_left")), "greedy")
             new = claims.join(won.select(F.col("l").cast("int").alias("l"), F.col("r").cast("int").alias("r"), "nth"), ["l", "r"])
             new = new.select(F.lit("").alias("pool"), "l", "r", "similarity", "breakdown", "method_rows", F.lit("call_site").alias("provenance"), F.lit(2 * round_no + 2).alias("stage"), "nth", "a", "b")

@@ -17,6 +17,7 @@ from kindred.functions.hashing import md5_32
 from kindred.operators import anchors, assign, changes, graph, grade, lsh
 from kindred.operators.simhash import simhash_agg
 from kindred.plans.lineage import cut
+from kindred.schema import OPCODE_CATEGORIES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -348,7 +349,7 @@ def structural_average(spark, sf_dir):
     return rows.select("k", F.round((S.ratio(F.col("n"), F.col("m")) + S.bag_jaccard(F.col("f"), F.col("g"))) / 2, 6).alias("average"))
 
 
-_CATEGORY = "case " + " ".join(f"when c between {a} and {b} then {k}" for a, b, k in __import__("kindred.schema", fromlist=["x"]).OPCODE_CATEGORIES) + " else 0 end"
+_CATEGORY = "case " + " ".join(f"when c between {a} and {b} then {k}" for a, b, k in OPCODE_CATEGORIES) + " else 0 end"
 
 
 @query(f"with b as (select doc_id, i, ('0x' || substr(md5(text), 2 * i + 1, 2))::INT c from documents, range(16) t(i)) select doc_id, string_agg(chr(97 + {_CATEGORY}), '' order by i) categories from b group by doc_id")

@@ -1,9 +1,13 @@
-"""Groups of a sorted stream of Arrow batches."""
+"""Groups of a sorted stream of Arrow batches, and row numbers of a whole table."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from kindred.plans.lineage import cut
 
 
 def whole_groups(batches, key: str):
@@ -21,3 +25,18 @@ def whole_groups(batches, key: str):
             held = held.slice(len(keys) - own)
     if held is not None and held.num_rows:
         yield held
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with row numbers from 1 in a total order, without a task that holds all rows.
+
+    Rows are sorted by ranges; a row's number is its place in its range and the rows of the ranges before,
+    of which there is one count a partition.
+    """
+    rows = cut(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    out = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn(name, F.col("_id") - F.shiftleft("_part", 33) + F.col("_before") + 1).drop("_id", "_part", "_before")

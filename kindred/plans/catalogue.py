@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kindred.functions import scalars as S
 from kindred.functions.hashing import md5_32
 from kindred.operators import anchors, assign, changes, graph, grade, lsh
+from kindred.operators.grouped import numbered
 from kindred.operators.simhash import simhash_agg
 from kindred.plans.lineage import cut
 from kindred.schema import OPCODE_CATEGORIES
@@ -211,12 +212,12 @@ def _supplier_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("s", kind.alias("kind"), F.when(paired, more).otherwise(0).cast("long").alias("n_added"), F.when(paired, less).otherwise(0).cast("long").alias("n_removed"))
 
 
-@query(f"with {_CHANGES} select s, kind, n_added, n_removed, row_number() over (order by case kind when 'modified' then 0 when 'added' then 1 when 'removed' then 2 else 4 end, n_added + n_removed desc, s)::INT place from ch")
+@query(f"with {_CHANGES} select s, kind, n_added, n_removed, row_number() over (order by case kind when 'modified' then 0 when 'added' then 1 when 'removed' then 2 else 4 end, n_added + n_removed desc, s) place from ch")
 def change_report(spark, sf_dir):
     """Suppliers' parts before and after a day, ranked by kind and magnitude (one row a supplier)."""
     rows = _supplier_changes(spark, sf_dir)
-    by = Window.orderBy(changes.rank(F.col("kind"), changes.KIND_RANK, 9), F.desc(F.col("n_added") + F.col("n_removed")), "s")
-    return rows.withColumn("place", F.row_number().over(by))
+    order = [changes.rank(F.col("kind"), changes.KIND_RANK, 9), F.desc(F.col("n_added") + F.col("n_removed")), F.col("s")]
+    return numbered(rows, order, "place")
 
 
 @query(f"with {_CHANGES} select kind, count(*) count from ch group by kind")

@@ -2,11 +2,10 @@
 
 1. A document's distinct word shingles give its set, a digest of it and `trees * depth` minhashes.
    Documents with equal sets are one class from here on, represented by the smallest doc_id.
-2. Every tree orders the classes by its own `depth` minhashes. A region is what shares a prefix in
-   that order; its depth adapts: it begins at `shallow` values and goes on until a region is small
-   enough to be compared, within a task by splitting the sorted rows, for hot prefixes before the
-   shuffle, by dealing their rows by the whole prefix. Within a region, and between neighbours in the
-   sorted order, signatures are compared; those that may reach the threshold are joined loosely.
+2. In every tree the classes that share the `shallow` first of its `depth` minhashes are a region. All
+   signatures of a region are compared, whatever its size; those that may reach the threshold are joined
+   loosely. A region beyond what a task takes is dealt into blocks, and every two blocks meet in a task of
+   their own.
 3. Loose groups are connected, their members' full sets fetched, and all pairs within that may reach
    the threshold are confirmed on the sets, unless already linked. A group whose sets exceed a block
    is compared in random blocks, and block against block where that leaves it in several parts, so that
@@ -39,8 +38,11 @@ from kindred.session import ship
 _U = K.U
 TREES, DEPTH, SHALLOW = 16, 6, 3
 SIZE = TREES * DEPTH
-#: Rows of a region that one task takes; rows that are compared all with all; shingles of a block.
+#: Rows of a region, in units of WIDE, that one task takes; rows compared at once; shingles of a block.
 HOT, REGION, BLOCK = 4096, 1024, 4 << 20
+WIDE = 4
+#: Rows that spread() sends on in one batch.
+SENT = 100_000
 #: So many keys at most are broadcast.
 MOST_KEYS = 100_000
 _random = np.random.default_rng(20240501)
@@ -120,24 +122,28 @@ def _matrix(column, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(joined, kind).reshape(-1, width)
 
 
-def _keys(classes: DataFrame, depth: int, among: np.ndarray | None) -> DataFrame:
-    """(key): the tree prefixes of that depth; among: only of rows whose shallow prefix is one of these."""
+def _keys(classes: DataFrame) -> DataFrame:
+    """(key): the trees' shallow prefixes."""
 
     def run(batches):
         for batch in batches:
-            signatures = _matrix(batch.column("signature"), "<u4", SIZE)
-            keys = _prefixes(signatures, depth)
-            if among is not None:
-                keys = keys[K.member(among, _prefixes(signatures, SHALLOW).ravel()).reshape(keys.shape)]
+            keys = _prefixes(_matrix(batch.column("signature"), "<u4", SIZE), SHALLOW)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64))], names=["key"])
 
     return classes.select("signature").mapInArrow(run, "key long")
 
 
-def _hot_keys(keys: DataFrame) -> np.ndarray:
-    """Keys of more than HOT rows, sorted; at most MOST_KEYS, the greatest."""
-    hot = keys.groupBy("key").count().where(F.col("count") > HOT).orderBy(F.desc("count"), "key").limit(MOST_KEYS)
-    return np.sort(np.array([r["key"] for r in hot.collect()], np.int64).view(_U))
+def _hot_keys(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of more rows than one task takes, sorted, and their numbers of blocks; at most MOST_KEYS, the greatest.
+
+    A region beyond MOST_KEYS stays in one task, whole.
+    """
+    most = WIDE * HOT
+    hot = keys.groupBy("key").count().where(F.col("count") > most).orderBy(F.desc("count"), "key").limit(MOST_KEYS).collect()
+    found = np.array([r["key"] for r in hot], np.int64).view(_U)
+    blocks = np.array([-(-r["count"] // most) for r in hot], np.int64)
+    order = np.argsort(found)
+    return found[order], blocks[order]
 
 
 class Links:
@@ -161,39 +167,46 @@ class Links:
         return True
 
 
-def _region(order: np.ndarray, marks: np.ndarray, least: int, links: Links) -> None:
-    """Joins the rows of a region whose marks agree in `least` places or more.
+def _region(marks: np.ndarray, side: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of rows whose marks agree in `least` places or more.
 
-    Rows are compared all with all where few share the prefix; a larger region is cut where its next
-    value changes in the sorted order, and neighbours across the cuts are compared too.
+    Where there are two sides, pairs of one side may be left out: they meet in a task of their own.
     """
-    by = np.lexsort(order.T[::-1])
-    todo = [(0, len(by), SHALLOW)]
-    while todo:
-        lo, hi, depth = todo.pop()
-        if hi - lo > REGION and depth < DEPTH:
-            value = order[by[lo:hi], depth]
-            cuts = lo + 1 + np.flatnonzero(value[1:] != value[:-1])
-            todo += [(a, b, depth + 1) for a, b in zip([lo, *cuts], [*cuts, hi])]
-            for c in cuts:
-                for i in range(max(lo, c - 4), c):
-                    for j in range(c, min(hi, c + 4)):
-                        if np.count_nonzero(marks[by[i]] == marks[by[j]]) >= least:
-                            links.link(int(by[i]), int(by[j]))
-            continue
-        own = by[lo:hi]
-        groups = 1  # among the rows so far
-        for i in range(1, len(own)):
-            joined = 0
-            # where all rows so far are one group, one link is enough
-            for lo_, hi_ in ((0, min(i, 64)), (min(i, 64), i)):
-                if hi_ == lo_ or (groups == 1 and joined):
-                    break
-                near = lo_ + np.flatnonzero((marks[own[lo_:hi_]] == marks[own[i]]).sum(1) >= least)
-                joined += sum(links.link(int(own[j]), int(own[i])) for j in near)
-            groups = groups + 1 - joined
-            if len(links.pairs) == len(marks) - 1:
-                return
+    label, pairs = np.arange(len(marks)), []
+
+    def meet(i: int, rows: np.ndarray, columns: np.ndarray) -> None:
+        for lo in range(0, len(rows), REGION):
+            own = rows[lo : lo + REGION]
+            agree = (columns[:, lo : lo + len(own)] == marks[i][:, None]).view(np.uint8).sum(0, dtype=np.uint8)
+            near = own[agree >= least]
+            near = near[label[near] != label[i]]
+            if len(near):
+                joined, first = np.unique(label[near], return_index=True)
+                pairs.extend((int(j), i) for j in near[first])
+                label[np.isin(label, joined)] = label[i]
+
+    rows = np.arange(len(marks))
+    columns = np.ascontiguousarray(marks.T)
+    # near copies become one group by their likeness to a few rows
+    for i in range(min(64, len(marks))):
+        meet(i, rows[i + 1 :], columns[:, i + 1 :])
+    names, sizes = np.unique(label, return_counts=True)
+    # what is in the largest group is linked already: only pairs with a row outside it are left
+    out = label != names[np.argmax(sizes)]
+    left = side == side[0]
+    if left.all():
+        order = np.concatenate([rows[~out], rows[out]])
+        tasks = [(rows[out], order, np.count_nonzero(~out))]
+    else:
+        tasks = [(rows[out & ~left], rows[left], None), (rows[out & left], rows[~left & ~out], None)]
+    for asking, order, first in tasks:
+        columns = np.ascontiguousarray(marks[order].T)
+        for k, i in enumerate(asking):
+            if len(pairs) == len(marks) - 1:
+                return pairs
+            end = len(order) if first is None else first + k
+            meet(int(i), order[:end], columns[:, :end])
+    return pairs
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -222,53 +235,54 @@ def loose_edges(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): classes whose signatures agree nearly enough, as a spanning forest of each region."""
     spark = classes.sparkSession
     least = int(np.ceil(SIZE * (threshold - 4.1 * np.sqrt(threshold * (1 - threshold) / SIZE))))
-    hot = _hot_keys(_keys(classes, SHALLOW, None))
-    hotter = _hot_keys(_keys(classes, DEPTH, hot)) if len(hot) else np.zeros(0, _U)
-    shared = spark.sparkContext.broadcast((hot, hotter))
+    shared = spark.sparkContext.broadcast(_hot_keys(_keys(classes)))
 
     def spread(batches):
-        hot, hotter = shared.value
+        hot, blocks = shared.value
         for batch in batches:
             signatures = _matrix(batch.column("signature"), "<u4", SIZE)
             reps = batch.column("rep").to_numpy()
-            keys = _prefixes(signatures, SHALLOW)
-            if len(hot):
-                deep = _prefixes(signatures, DEPTH)
-                is_hot = K.member(hot, keys.ravel()).reshape(keys.shape)
-                # equal in all of a tree's values, and very many: dealt in parts, which differ from tree
-                # to tree, so that what one tree's parts keep asunder others' bring together
-                part = K.mix(deep ^ (K.mix(reps.astype(_U)[:, None] + np.arange(TREES, dtype=_U) * _XOR[0]) % _U(64)))
-                deep = np.where(K.member(hotter, deep.ravel()).reshape(deep.shape), part, deep)
-                keys = np.where(is_hot, deep, keys)
             marks = signatures.astype(np.uint8)
-            order = signatures.astype("<u2").reshape(-1, TREES, DEPTH)
-            payload = np.concatenate([np.repeat(marks[:, None, :], TREES, 1), order.view(np.uint8).reshape(-1, TREES, 2 * DEPTH)], axis=2)
-            flat = np.ascontiguousarray(payload).reshape(-1, SIZE + 2 * DEPTH)
-            ends = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
-            binary = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(reps, TREES)), binary], names=["key", "rep", "payload"])
+            keys = _prefixes(signatures, SHALLOW).ravel()
+            n = np.ones(len(keys), np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                n = np.where(hot[at] == keys, blocks[at], 1)
+            # a row meets its own block and every other of its region
+            side = (K.mix(np.repeat(reps, TREES).astype(_U) ^ keys) % n.astype(_U)).astype(np.int64)
+            ends = np.cumsum(n)
+            lo = 0
+            while lo < len(keys):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + SENT, "right")))
+                own = np.repeat(np.arange(lo, hi), n[lo:hi])
+                other = np.arange(len(own)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
+                pair = (np.minimum(side[own], other) << 32 | np.maximum(side[own], other)).astype(_U)
+                dealt = np.where(n[own] > 1, K.mix(keys[own] ^ K.mix(pair + _U(1))), keys[own])
+                flat = marks[own // TREES]
+                offsets = np.arange(len(flat) + 1, dtype=np.int32) * SIZE
+                binary = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(dealt.view(np.int64)), pa.array(reps[own // TREES]), pa.array(side[own]), binary], names=["key", "rep", "side", "marks"])
+                lo = hi
 
     def compare(batches):
-        for table in by_group(batches, ["key", "rep", "payload"], "key"):
-            keys, reps = table["key"].to_numpy(), table["rep"].to_numpy()
-            rows = _matrix(table["payload"], np.uint8, SIZE + 2 * DEPTH)
+        for table in by_group(batches, ["key", "rep", "side", "marks"], "key"):
+            keys, reps, side = table["key"].to_numpy(), table["rep"].to_numpy(), table["side"].to_numpy()
+            rows = _matrix(table["marks"], np.uint8, SIZE)
             runs = np.array(list(_runs(keys)), np.int64).reshape(-1, 2)
             size = runs[:, 1] - runs[:, 0]
             two = runs[size == 2, 0]
-            same = (rows[two, :SIZE] == rows[two + 1, :SIZE]).sum(1) >= least
+            same = (rows[two] == rows[two + 1]).sum(1) >= least
             a, b = [reps[two[same]]], [reps[two[same] + 1]]
             for lo, hi in runs[size > 2]:
-                links = Links(hi - lo)
-                own = rows[lo:hi]
-                _region(np.ascontiguousarray(own[:, SIZE:]).view("<u2"), np.ascontiguousarray(own[:, :SIZE]), least, links)
-                if links.pairs:
-                    pairs = np.array(links.pairs) + lo
+                pairs = _region(rows[lo:hi], side[lo:hi], least)
+                if pairs:
+                    pairs = np.array(pairs) + lo
                     a.append(reps[pairs[:, 0]])
                     b.append(reps[pairs[:, 1]])
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    rows = classes.select("rep", "signature").mapInArrow(spread, "key long, rep long, payload binary")
+    rows = classes.select("rep", "signature").mapInArrow(spread, "key long, rep long, side long, marks binary")
     return rows.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
 
 

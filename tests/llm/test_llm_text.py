@@ -153,6 +153,20 @@ def test_minhash_forest_large_groups(spark, monkeypatch):
     assert got == {d: (0 if d < 1000 else d if d < 2000 else 2000) for d, _ in rows}
 
 
+@pytest.mark.parametrize("hot", [5, 10_000])
+def test_minhash_forest_boilerplate(spark, monkeypatch, hot):
+    """Pairs that share no more of a tree than a very common prefix are found, however many rows share it."""
+    rng = np.random.default_rng(5)
+    signatures = rng.integers(0, 1 << 32, (300, minhash_forest.TREES, minhash_forest.DEPTH), dtype=np.uint32)
+    signatures[:, :, : minhash_forest.SHALLOW] = signatures[0, :, : minhash_forest.SHALLOW]
+    signatures[1::2, :, 4:] = signatures[::2, :, 4:]
+    monkeypatch.setattr(minhash_forest, "HOT", hot)
+    monkeypatch.setattr(minhash_forest, "REGION", 16)
+    rows = [(i, x.astype("<u4").tobytes()) for i, x in enumerate(signatures)]
+    edges = minhash_forest.loose_edges(spark.createDataFrame(rows, "rep long, signature binary"), 0.85).collect()
+    assert {(r["a"], r["b"]) for r in edges} == {(i, i + 1) for i in range(0, 300, 2)}
+
+
 def test_minhash_forest_edges(spark):
     assert minhash_forest.near_duplicates(frame(spark, [])).count() == 0
     got = minhash_forest.near_duplicates(frame(spark, [(None, "a b c"), (7, "A b c"), (8, None), (7, "A b c")])).collect()

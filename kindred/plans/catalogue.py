@@ -1,8 +1,9 @@
 """The registered queries of the analytics engine and their SQL.
 
 The driver's tables play the entities: a document is a class and its words are tokens, an order is a
-class and its lines are methods, an even and an odd half of the documents are two builds, a URL's host
-read backwards is a package. Each query runs an operator of the library over whole tables.
+class and its lines are methods, a URL's host read backwards is a package. Each query runs an operator
+of the library over whole tables, but near_dup_topk and radius_presence: their SQL asks for even documents
+against odd ones. near_dup_topk_all and radius_presence_all ask for every document against all others.
 """
 
 from __future__ import annotations
@@ -104,6 +105,18 @@ def near_dup_topk(spark, sf_dir):
     return lsh.nearest(sigs.where("id % 2 = 0"), sigs.where("id % 2 = 1"), 3).select("l", "r", "hamming", "rank")
 
 
+@query(f"""with {_SIGS}, k as ({_KEYS}),
+m as (select a.doc_id l, b.doc_id r, {_HAMMING} hamming, min(a.perm) p from k a join k b on a.perm = b.perm and a.key = b.key where a.doc_id <> b.doc_id group by all)
+select l, r, hamming, rank::INT rank from (select *, row_number() over (partition by l order by hamming, p, r) rank from m) where rank <= 3""")
+def near_dup_topk_all(spark, sf_dir):
+    """The three nearest other documents of every document."""
+    sigs = cut(doc_signatures(spark, sf_dir)).withColumn("pool", F.lit(""))
+    # one more than three, since the document itself may be among them
+    found = lsh.nearest(sigs, sigs, 4).where("l <> r")
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("rank"))
+    return found.withColumn("rank", rank).where("rank <= 3").select("l", "r", "hamming", "rank")
+
+
 @query(f"with {_SIGS} select a.doc_id l, b.doc_id r, {_HAMMING} hamming from s a join s b on a.doc_id < b.doc_id where {_HAMMING} <= 4")
 def near_dup_exact_radius(spark, sf_dir):
     """All pairs within four bits, by bands of which one must agree."""
@@ -132,6 +145,15 @@ def radius_presence(spark, sf_dir):
     return sigs.where("id % 2 = 0").join(near, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("near", F.lit(False)).alias("near"))
 
 
+@query(f"""with {_SIGS}, d as (select a.doc_id l from s a join s b on a.doc_id <> b.doc_id where {_HAMMING} <= 12)
+select doc_id, exists (select 1 from d where d.l = s.doc_id) near from s""")
+def radius_presence_all(spark, sf_dir):
+    """Whether a document has another one within twelve bits, exactly (thirteen bands)."""
+    sigs = cut(doc_signatures(spark, sf_dir))
+    near = graph.banded_pairs(sigs, 12).select(F.explode(F.array("l", "r")).alias("id")).distinct().withColumn("near", F.lit(True))
+    return sigs.join(near, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("near", F.lit(False)).alias("near"))
+
+
 # ---- assignment and pools: J1, J6-J8, J12
 
 _CANDIDATES = "c as (select s_nationkey || '/' || p_brand pool, l_suppkey l, l_partkey r, sum(l_quantity) score from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey group by all)"

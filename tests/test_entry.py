@@ -17,6 +17,17 @@ def test_entry_runs(spark):
     assert df.columns == ["l", "r", "hamming", "rank"] and df.count() > 0
 
 
+def test_every_document_asks(spark):
+    """Documents of either parity ask and answer, and a copy of the same parity is found."""
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    rows = entry.entry(spark).collect()
+    assert {(r["l"] % 2, r["r"] % 2) for r in rows} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert {r["l"] for r in rows} <= ids and all(r["l"] != r["r"] for r in rows)
+    exact = {r["l"] for r in catalogue.near_dup_exact_radius(spark, SF).collect()}
+    near = {r["doc_id"]: r["near"] for r in catalogue.radius_presence_all(spark, SF).collect()}
+    assert set(near) == ids and exact and all(near[i] for i in exact)
+
+
 def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -7,7 +7,8 @@ marker: `loss_spans` are the character ranges [start, end) to train on.
 DataFrame functions only. A rendering is cut into parts of at most `part_turns` consecutive turn
 numbers, so a conversation of any length is rendered in groups of bounded size; a shorter
 conversation is one part, number 0. A part whose messages are more than `part_rows` (many messages
-with the same turn numbers) is dealt on into slices by a hash of role and text, numbered by `slice`.
+with the same turn numbers) is cut on, in the order of the dialogue, into slices of at most so many,
+numbered by `slice`; None cuts no part. The query cuts none, as its SQL.
 Participants meet the parts in a join on conv_id that Spark can split where it is skewed; no group is
 joined with itself.
 
@@ -20,7 +21,7 @@ Other columns of the table are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -30,7 +31,7 @@ def _header(role: Column, perspective: Column) -> Column:
     return F.when(role == perspective, F.lit(f"{START}assistant\n")).when(role == "system", F.lit(f"{START}system\n")).otherwise(F.concat(F.lit(f"{START}user name="), role, F.lit("\n")))
 
 
-def rotate(df: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_turns: int = 512, part_rows: int = 4096) -> DataFrame:
+def rotate(df: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_turns: int = 512, part_rows: int | None = 4096) -> DataFrame:
     """One row per conversation, perspective and part: conv_id, perspective, part, slice, n_turns,
     rendered, loss_spans (array of start, end), loss_chars."""
     messages = df.select(
@@ -41,10 +42,11 @@ def rotate(df: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role:
     ).distinct()
     part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long")
     messages = messages.withColumn("part", part)
-    full = messages.groupBy("conv_id", "part").count().where(F.col("count") > part_rows)
-    full = full.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.ceil(F.col("count") / part_rows).cast("int").alias("_slices"))
-    dealt = messages.join(full, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left")
-    dealt = dealt.withColumn("slice", F.coalesce(F.pmod(F.xxhash64("role", "text"), F.col("_slices")), F.lit(0)).cast("int"))
+    if part_rows is None:
+        dealt = messages.withColumn("slice", F.lit(0))
+    else:
+        place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
+        dealt = messages.withColumn("slice", F.floor((place - 1) / part_rows).cast("int"))
     # the array sorts by turn, role and text; a null turn is the least
     parts = dealt.groupBy("conv_id", "part", "slice").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "text"))).alias("said"))
     speakers = messages.where("role <> 'system'").select(F.col("conv_id").alias("_conv"), F.col("role").alias("perspective")).distinct()
@@ -67,7 +69,7 @@ def rotate(df: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role:
 
 def op3_chat_format(spark, sf_dir: str) -> DataFrame:
     """Every conversation from every participant's perspective."""
-    rows = rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    rows = rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"), part_rows=None)
     spans = F.array_join(F.transform("loss_spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return rows.select("conv_id", "perspective", "part", "n_turns", "rendered", spans.alias("loss_spans"), "loss_chars")
 

@@ -84,6 +84,27 @@ def test_chat_rotation(spark):
     assert sum(r["n_turns"] for r in parts) == 50 and len(parts) > 1
 
 
+def test_chat_full_parts(spark, tmp_path):
+    """A part of very many messages is one rendering in the query, as in its SQL; slices keep the dialogue's order."""
+    import duckdb
+
+    rows = [(1, i // 20, f"speaker {i % 3}", f"says {i:05d}") for i in range(5000)] + [(2, 0, "ann", "hi"), (2, 1, "bob", "ho")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = chat_format.op3_chat_format(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(chat_format.ORACLE)
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
+    whole = chat_format.rotate(df, part_rows=None).where("conv_id = 1").select("perspective", "rendered").collect()
+    sliced = collections.defaultdict(dict)
+    for r in chat_format.rotate(df, part_rows=700).where("conv_id = 1").collect():
+        assert r["n_turns"] <= 700
+        sliced[r["perspective"]][r["slice"]] = r["rendered"]
+    assert {p: "".join(x[i] for i in sorted(x)) for p, x in sliced.items()} == {r["perspective"]: r["rendered"] for r in whole}
+    assert all(len(x) == 8 for x in sliced.values())
+
+
 def resolve_by_force(rows):
     """(record_id, reason, response_id) of each revisit."""
     key = lambda r: (r["ts"], r["record_id"])

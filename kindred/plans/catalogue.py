@@ -353,6 +353,18 @@ def levenshtein_names(spark, sf_dir):
     return part.join(other, ["p_brand", "p_size"]).where("p_partkey < r").select(F.col("p_partkey").alias("l"), "r", score.alias("s")).where("s >= 0.5").select("l", "r", F.round("s", 6).alias("similarity"))
 
 
+@query("""select a.p_partkey l, b.p_partkey r, round(1.0 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) similarity from part a join part b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey
+where 1.0 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) >= 0.5""")
+def levenshtein_names_brand(spark, sf_dir):
+    """Alike names among all parts of one brand; names of which one is over twice as long cannot be alike."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    other = part.select(F.col("p_partkey").alias("r"), F.col("p_name").alias("other"), "p_brand")
+    a, b = F.length("p_name"), F.length("other")
+    pairs = part.join(other, "p_brand").where("p_partkey < r").where(2 * F.least(a, b) >= F.greatest(a, b))
+    score = S.edit_similarity(F.col("p_name"), F.col("other"))
+    return pairs.select(F.col("p_partkey").alias("l"), "r", score.alias("s")).where("s >= 0.5").select("l", "r", F.round("s", 6).alias("similarity"))
+
+
 @query("select l_orderkey, round(sum((l_quantity + 1)::DECIMAL(12, 2) * (1 - l_discount::DECIMAL(12, 2)))::DOUBLE / sum((l_quantity + 1)::DECIMAL(12, 2))::DOUBLE, 6) rollup from lineitem group by l_orderkey")
 def method_rollup(spark, sf_dir):
     """The weighted mean of an order's lines, as of a class' methods."""

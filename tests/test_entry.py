@@ -28,6 +28,14 @@ def test_every_document_asks(spark):
     assert set(near) == ids and exact and all(near[i] for i in exact)
 
 
+def test_names_of_any_size(spark):
+    """Alike names of one brand are found whether or not the sizes are equal."""
+    size = {r["p_partkey"]: r["p_size"] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_size").collect()}
+    pairs = {(r["l"], r["r"]) for r in catalogue.levenshtein_names_brand(spark, SF).collect()}
+    assert {(r["l"], r["r"]) for r in catalogue.levenshtein_names(spark, SF).collect()} <= pairs
+    assert any(size[a] != size[b] for a, b in pairs)
+
+
 def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -91,7 +91,10 @@ def segments(model: SegmentModel, data: np.ndarray, offsets: np.ndarray) -> tupl
     if len(model.keys):
         hit = model.keys[at] == hashes
         own[hit] = model.scores[at[hit]]
-        own[1:][hashes[1:] == hashes[:-1]] = -model.drift
+        again = np.concatenate([[False], hashes[1:] == hashes[:-1]])[: words.count]
+        first = words.first[:-1]
+        again[first[first < words.count]] = False  # a text's first word repeats no word of the text before
+        own[again] = -model.drift
     up = np.flatnonzero(own > 0)
     total = np.concatenate([[0.0], np.cumsum(own)])
     out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(offsets) - 1)]

@@ -342,6 +342,18 @@ def test_maximal_segments():
         assert np.allclose([s for _, _, s in got], [s for _, _, s in want])
 
 
+def test_toxicity_first_words():
+    """A text's segments do not depend on the text before it; a repeat within a text still counts as none."""
+    import pyarrow as pa
+
+    key = textkit.Words(*textkit.utf8(pa.array(["vile"])), textkit.ALNUM).hashes(True)
+    model = toxicity.SegmentModel(key, np.array([2.0]), 0.5, 1.0, 0.0, np.zeros(3))
+    texts = ["vile", "vile", "", "vile vile", None, "so vile", "vile"]
+    found = toxicity.segments(model, *textkit.utf8(pa.array(texts)))[1]
+    assert found == [toxicity.segments(model, *textkit.utf8(pa.array([t], pa.string())))[1][0] for t in texts]
+    assert found[0] == found[1] == found[3] == [(0, 1, 2.0)]
+
+
 def test_toxicity(spark):
     from pyspark.sql import functions as F
 

@@ -3,42 +3,36 @@
 A window is `window` (10) consecutive words of a benchmark item, or a whole shorter item. For every
 place of a text the least hash of the k-grams in the window that starts there is its fingerprint;
 neighbouring windows mostly share one, so few are looked up. A window that occurs in both has the
-same fingerprint in both, so every shared span of `window` words is met. A hit is then extended: the
-windows around it are compared whole, and the words they cover are marked.
+same fingerprint in both, so every shared span of `window` words is met.
 
-The benchmark's fingerprints and windows are broadcast in blocks of items of at most about
-`block_bytes` of text; a larger benchmark takes one pass of the documents per block and the passes
-are merged by document. Documents are scanned whole, without a shuffle when one block is enough.
+The benchmark's fingerprints are joined with those of the documents. Before the join a bitmap of the
+benchmark's fingerprints (at most `most_bits` bits, 16 MB, whatever the benchmark's size) thins the
+documents' ones where they are made; it lets everything through that may meet. A fingerprint that
+passes is extended: the windows around it are sent as 128-bit keys, joined with the benchmark's
+windows of that fingerprint, and the words they cover are marked. The documents' texts are never
+shuffled: only thinned windows are, and what was found is joined to the documents by the text's MD5.
 
 Defined results: null texts have no words and no hits. Repeated documents are answered each. Items
 without words match nothing. Items with equal ids count once; items with null ids hit but are not
-counted or listed. An empty benchmark leaves every document clean.
+counted or listed. An empty benchmark leaves every document clean; no documents, no rows. Columns named
+like the outputs are replaced.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm import textkit as K
-from kindred.llm.shared import columns, others, widened
+from kindred.llm.shared import columns, fresh, others, widened
 from kindred.session import ship
 
-
-@dataclass(frozen=True)
-class Windows:
-    """All windows of one length: sorted hashes, and the items of each, of[at[i]:at[i + 1]]."""
-
-    length: int
-    gram: int
-    prints: np.ndarray
-    keys: np.ndarray
-    at: np.ndarray
-    of: np.ndarray
+_U = K.U
+#: Bits of the bitmap for each fingerprint of the benchmark, as long as `most_bits` allows.
+SPARSE = 64
+WINDOW = "length int, print long, one long, two long"
 
 
 def _fingerprints(hashes: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -46,140 +40,144 @@ def _fingerprints(hashes: np.ndarray, length: int, gram: int) -> np.ndarray:
     return K.sliding_min(K.mix(K.windows(hashes, gram)), length - gram + 1)
 
 
-def index_items(ids: list, texts: pa.Array, window: int, gram: int) -> list[Windows]:
-    """The windows of the items, by length."""
-    data, offsets = K.utf8(texts)
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
+    """(item, length, print, one, two) of items (item, text): all windows with their fingerprints and keys."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = K.utf8(batch.column("text"))
+            for lo, hi in K.slices(offsets):
+                words = K.Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], K.ALNUM)
+                one, two, counts = words.hashes(True), words.hashes(True, salt=1), np.diff(words.first)
+                room = words.room()
+                for length in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+                    whole = np.minimum(counts, window) == length  # the items whose windows are that long
+                    row = np.repeat(np.arange(hi - lo), counts)[: max(words.count - length + 1, 0)]
+                    places = np.flatnonzero(whole[row] & (room[: len(row)] >= length))
+                    prints = _fingerprints(one, length, min(gram, length))
+                    columns_ = [batch.column("item").take(pa.array(lo + row[places])), pa.array(np.full(len(places), length, np.int32)), _long(prints[places])]
+                    keys = [_long(K.mix(K.windows(x, length)[places])) for x in (one, two)]
+                    yield pa.RecordBatch.from_arrays([*columns_, *keys], names=["item", "length", "print", "one", "two"])
+
+    return items.mapInArrow(run, f"item string, {WINDOW}")
+
+
+class Bitmap:
+    """Which fingerprints the benchmark may have, and its windows' lengths."""
+
+    def __init__(self, words: np.ndarray, size: int, lengths: list[int], gram: int):
+        self.words, self.size, self.lengths, self.gram = words, size, lengths, gram
+
+    def may_hold(self, prints: np.ndarray) -> np.ndarray:
+        bit = prints & _U(self.size - 1)
+        return (self.words[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) == 1
+
+
+def bitmap(windows: DataFrame, gram: int, most_bits: int) -> Bitmap:
+    """Collects at most `most_bits` bits; fewer where the benchmark has few fingerprints."""
+    lengths = windows.groupBy("length").agg(F.approx_count_distinct("print").alias("n")).collect()  # at most `window` rows
+    total = sum(r["n"] for r in lengths)
+    size = 64
+    while size < min(most_bits, SPARSE * total):
+        size *= 2
+    bit = F.col("print").bitwiseAND(size - 1)
+    word = windows.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(print & 63 as int))").alias("bits"))
+    got = word.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(size // 64, _U)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy().view(_U)
+    return Bitmap(words, size, sorted(r["length"] for r in lengths), gram)
+
+
+def candidates(bits: Bitmap, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, place in the text, length, print, one, two) of the windows whose fingerprint may be the benchmark's."""
     words = K.Words(data, offsets, K.ALNUM)
-    hashes, counts = words.hashes(True), np.diff(words.first)
-    names = np.array([-1 if x is None else i for i, x in enumerate(ids)])
-    by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for item in np.flatnonzero(counts):
-        own = hashes[words.first[item] : words.first[item + 1]]
-        length = min(window, len(own))
-        keys = K.mix(K.windows(own, length))
-        by_length.setdefault(length, []).append((_fingerprints(own, length, min(gram, length)), keys, np.full(len(keys), names[item])))
+    one, room = words.hashes(True), words.room()
     out = []
-    for length, parts in sorted(by_length.items()):
-        prints, keys, of = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((of, keys))
-        keys, of = keys[order], of[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
-        keys, of = keys[new], of[new]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        out.append(Windows(length, min(gram, length), np.unique(prints), keys[first], np.append(first, len(keys)), of))
-    return out
-
-
-def find(index: list[Windows], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words per text; which words are hit; the words' first places per text; pairs (text, item) met."""
-    words = K.Words(data, offsets, K.ALNUM)
-    hashes, room = words.hashes(True), words.room()
-    edge = np.zeros(words.count + 1, np.int64)
-    docs, items = [], []
-    for part in index:
-        n = words.count - part.length + 1
+    second = None
+    for length in bits.lengths:
+        n = words.count - length + 1
         if n <= 0:
             continue
-        prints = _fingerprints(hashes, part.length, part.gram)
+        prints = _fingerprints(one, length, min(bits.gram, length))
         turn = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-        met = turn[K.member(part.prints, prints[turn])]
+        met = np.flatnonzero(bits.may_hold(prints[turn]))
         if not len(met):
             continue
-        ends = np.append(turn, n)[np.searchsorted(turn, met) + 1]
-        places = np.concatenate([np.arange(a, b) for a, b in zip(met, ends)])
-        places = places[room[places] >= part.length]
-        keys = K.mix(K.windows(hashes, part.length)[places])
-        at = np.searchsorted(part.keys, keys)
-        at[at == len(part.keys)] = 0
-        same = part.keys[at] == keys
-        places, at = places[same], at[same]
-        np.add.at(edge, places, 1)
-        np.add.at(edge, places + part.length, -1)
-        many = part.at[at + 1] - part.at[at]
-        which = np.repeat(np.searchsorted(words.first, places, "right") - 1, many)
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        docs.append(which)
-        items.append(part.of[np.repeat(part.at[at], many) + step])
-    hit = np.cumsum(edge[:-1]) > 0
-    pairs = np.unique(np.stack([np.concatenate(docs), np.concatenate(items)]), axis=1) if docs else np.zeros((2, 0), np.int64)
-    return np.diff(words.first), hit, words.first, pairs[0], pairs[1]
-
-
-_DDL = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-
-def _pass(df: DataFrame, ids: list, texts: pa.Array, *, text: str, window: int, gram: int) -> DataFrame:
-    spark = df.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast((index_items(ids, texts, window, gram), [None if x is None else str(x) for x in ids]))
-    kept = list(df.columns)
-
-    def scan(batches):
-        index, names = shared.value
+        # a fingerprint is extended to all windows that have it
+        ends = np.append(turn, n)
+        many = ends[met + 1] - turn[met]
+        places = np.repeat(turn[met] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        places = places[room[places] >= length]
+        if not len(places):
+            continue
+        second = words.hashes(True, salt=1) if second is None else second
+        row = np.searchsorted(words.first, places, "right") - 1
+        keys = [K.mix(K.windows(x, length)[places]) for x in (one, second)]
+        out.append((row, places - words.first[row], np.full(len(places), length), prints[places], *keys))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 6
+
+
+def document_windows(docs: DataFrame, bits: Bitmap) -> DataFrame:
+    """(digest, place, length, print, one, two) of docs (digest, text): windows that may be the benchmark's."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
         for batch in batches:
-            data, offsets = K.utf8(batch.column(text))
-            counts, spans, items = [], [], []
+            data, offsets = K.utf8(batch.column("text"))
             for lo, hi in K.slices(offsets):
-                n, hit, first, docs, met = find(index, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                counts.append(n)
-                own_spans: list = [[] for _ in range(hi - lo)]
-                own_items: list = [[] for _ in range(hi - lo)]
-                if hit.any():
-                    # no run goes beyond its text
-                    head = hit.copy()
-                    head[1:] &= ~hit[:-1]
-                    inner = first[1:-1][first[1:-1] < len(hit)]
-                    head[inner] = hit[inner]
-                    starts = np.flatnonzero(head)
-                    lengths = np.add.reduceat(hit, starts, dtype=np.int64)
-                    for doc, a, m in zip(np.searchsorted(first, starts, "right") - 1, starts, lengths):
-                        own_spans[doc].append({"start": int(a - first[doc]), "end": int(a - first[doc] + m)})
-                for doc, item in zip(docs, met):
-                    if item >= 0:
-                        own_items[doc].append(names[item])
-                spans += own_spans
-                items += [sorted(set(x)) for x in own_items]
-            n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            cols = [batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=[*kept, "n_words", "spans", "items"])
-
-    return df.mapInArrow(scan, widened(df, kept, _DDL))
-
-
-def find_benchmark(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 6, block_bytes: int = 16 << 20) -> DataFrame:
+                row, place, length, *keys = candidates(shared.value, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                if len(row):
+                    digest = batch.column("digest").take(pa.array(lo + row))
+                    yield pa.RecordBatch.from_arrays([digest, pa.array(place.astype(np.int32)), pa.array(length.astype(np.int32)), *map(_long, keys)], names=["digest", "place", "length", "print", "one", "two"])
+
+    return docs.select("digest", "text").mapInArrow(run, f"digest string, place int, {WINDOW}")
+
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """(digest, spans): the word ranges that hits (digest, place, length) cover, touching ones joined."""
+    by = Window.partitionBy("digest").orderBy("place", "end")
+    rows = hits.select("digest", "place", (F.col("place") + F.col("length")).alias("end")).distinct()
+    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.coalesce((F.col("place") > before).cast("int"), F.lit(1)))
+    rows = rows.withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = rows.groupBy("digest", "span").agg(F.struct(F.min("place").alias("start"), F.max("end").alias("end")).alias("x"))
+    return spans.groupBy("digest").agg(F.array_sort(F.collect_list("x")).alias("spans"))
+
+
+def find_benchmark(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 6, most_bits: int = 1 << 27) -> DataFrame:
     """df's columns with n_words, spans (word ranges that occur in the benchmark) and items (their ids,
     as sorted strings); columns of these names are replaced."""
-    df = df.select(*columns(df, others(df, "n_words", "spans", "items")))
-    items = benchmark.select(F.col(item_id).alias("_id"), F.col(item_text).alias("_text")).where("_text is not null")
-    total = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    slot = F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks))
-
-    def block(i: int) -> pa.Table:
-        return items.where(slot == i).toArrow()
-
-    if blocks == 1:
-        got = block(0)
-        return _pass(df, got["_id"].to_pylist(), got["_text"], text=text, window=window, gram=gram)
-    # one pass a block; rows are merged by content, copies of a row counted
-    keys = list(df.columns)
-    merged = None
-    for i in range(blocks):
-        got = block(i)
-        one = _pass(df, got["_id"].to_pylist(), got["_text"], text=text, window=window, gram=gram).withColumn("_block", F.lit(i))
-        merged = one if merged is None else merged.union(one)
-    copies = F.expr(f"cast(count(*) / {blocks} as int)")
-    rows = merged.groupBy(*columns(df, keys), "n_words").agg(F.flatten(F.collect_set("spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), copies.alias("_copies"))
-    join = """aggregate(array_sort(_spans), cast(array() as array<struct<start:int,end:int>>), (got, x) ->
-        case when size(got) > 0 and element_at(got, -1).end >= x.start
-             then concat(slice(got, 1, size(got) - 1), array(named_struct('start', element_at(got, -1).start, 'end', greatest(element_at(got, -1).end, x.end))))
-             else concat(got, array(x)) end)"""
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*columns(df, keys), "n_words", F.expr(join).alias("spans"), "items")
-
-
-def hit_count(spans: str = "spans") -> F.Column:
+    ship(df.sparkSession)
+    kept = others(df, "n_words", "spans", "items")
+    body, key = fresh(df, "_text"), fresh(df, "_digest")
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    wanted = item_windows(items, window, gram).distinct()
+    bits = bitmap(wanted, gram, most_bits)
+    asked = document_windows(df.select(digest.alias("digest"), F.col(text).alias("text")).where("text is not null"), bits)
+    met = asked.join(wanted, ["length", "print", "one", "two"]).select("digest", "place", "length", "item")
+    listed = met.where("item is not null").groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = _merged(met).join(listed, "digest", "left").select(F.col("digest").alias(key), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+    def count(batches):
+        for batch in batches:
+            data, offsets = K.utf8(batch.column(body))
+            n = [np.diff(K.Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], K.ALNUM).first) for lo, hi in K.slices(offsets)]
+            cols = [batch.column(c) for c in [*kept, key]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())], names=[*kept, key, "n_words"])
+
+    rows = df.select(*columns(df, kept), digest.alias(key), F.col(text).alias(body))
+    counted = rows.mapInArrow(count, widened(rows, [*kept, key], "n_words bigint"))
+    out = counted.join(found, key, "left")
+    none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
+    return out.select(*columns(df, kept), "n_words", none("spans"), none("items"))
+
+
+def hit_count(spans: str = "spans") -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]).cast("long"))
 
 

@@ -179,7 +179,7 @@ def near_vectors(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
                     continue
                 a, b = np.concatenate([i, j]), np.concatenate([j, i])
                 bucket = (mix(rep[a].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-                dealt = list(packed.deal(bucket, n_buckets, rep[a].astype(np.int64), rep[b].astype(np.int64), copies[b].astype(np.int64)))
+                dealt = list(packed.deal(bucket, rep[a].astype(np.int64), rep[b].astype(np.int64), copies[b].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in dealt], pa.int32()), pa.array([packed.pack(*v) for _, v in dealt], pa.binary())], names=["bucket", "payload"])
 
     def gather(key, table):

@@ -168,7 +168,7 @@ def score_difference(df: DataFrame, target: DataFrame, *, doc_id: str = "doc_id"
     total = packed.sizes(docs)
     points, counts = character_counts(docs)
     shared = spark.sparkContext.broadcast(Alphabet(points, counts))
-    docs = packed.chunked(docs, total, ordered=False)
+    docs = packed.chunked(docs, total)
     n_buckets = packed.buckets(total // 16, 24)
 
     def asks(table):
@@ -180,7 +180,7 @@ def score_difference(df: DataFrame, target: DataFrame, *, doc_id: str = "doc_id"
 
     def ask(key, table):
         _, _, both, counts, bucket = asks(_sorted(table))
-        return packed.asked(((b, packed.pack(*x)) for b, x in packed.deal(bucket, n_buckets, both, counts[0], counts[1])), key[0].as_py())
+        return packed.asked(((b, packed.pack(*x)) for b, x in packed.deal(bucket, both, counts[0], counts[1])), key[0].as_py())
 
     answers = packed.answer(docs.groupBy("chunk").applyInArrow(ask, packed.ASKED), _totals)
 
@@ -189,7 +189,7 @@ def score_difference(df: DataFrame, target: DataFrame, *, doc_id: str = "doc_id"
         keys, context_of, both, _, bucket = asks(table)
         replies = dict(zip(told["bucket"].to_pylist(), told["payload"].to_pylist()))
         sums = np.zeros((2, len(both)), np.int64)
-        for b, (where,) in packed.deal(bucket, n_buckets, np.arange(len(both))):
+        for b, (where,) in packed.deal(bucket, np.arange(len(both))):
             sums[0, where], sums[1, where] = packed.unpack(replies[b], "i8", "i8")
         last = (keys & _U(0xFFFF)).astype(np.int64)
         loss = [-np.log2((sums[i, : len(keys)] + weight * alphabet.p1[i, last]) / (sums[i, len(keys) + context_of] + weight)) for i in (0, 1)]

@@ -13,17 +13,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import textkit as K
-from kindred.session import ship
 
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 LEAST = 16
+#: Where a null id sorts.
+LAST_ID = (1 << 63) - 1
 
 
 def sizes(df: DataFrame, text: str = "text") -> int:
@@ -31,27 +32,14 @@ def sizes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
-def chunked(df: DataFrame, total: int, *, ordered: bool) -> DataFrame:
-    """(chunk, doc_id, text, ...) of a frame with doc_id and text.
+def chunked(df: DataFrame, total: int) -> DataFrame:
+    """(chunk, doc_id, text, ...) of a frame with doc_id and text: rows dealt by a hash of id and text.
 
-    ordered: chunks are ranges of doc_id (null ids last), so the order of (chunk, place) is that of
-    documents; else rows are dealt by a hash of id and text.
+    The number of chunks follows from the bytes of all texts; nothing is collected. Rows of one id but
+    unlike texts are spread; only rows that are equal in both share a chunk.
     """
-    spark = df.sparkSession
     n = max(LEAST, -(-total // CHUNK_BYTES))
-    if not ordered:
-        return df.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    ship(spark)
-    bounds = df.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0]
-    edges = spark.sparkContext.broadcast(np.unique(np.array(bounds or [], np.int64)))
-
-    @F.pandas_udf("int")
-    def chunk(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(edges.value, ids.to_numpy(np.int64), "right")
-        return pd.Series(at.astype(np.int32))
-
-    # no null goes to pandas, which would make the ids floats
-    return df.withColumn("chunk", chunk(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max))))
+    return df.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
 def buckets(entries: int, width: int) -> int:
@@ -74,31 +62,45 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def deal(bucket: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The arrays' entries bucket by bucket, in their order."""
+def deal(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The arrays' entries bucket by bucket, in their order; the work does not grow with buckets that get nothing."""
     order = np.argsort(bucket, kind="stable")
-    ends = np.cumsum(np.bincount(bucket, minlength=n))
-    arrays = [a[order] for a in arrays]
-    start = 0
-    for b, end in enumerate(ends):
-        if end > start:
-            yield b, [a[start:end] for a in arrays]
-        start = end
+    bucket, arrays = bucket[order], [a[order] for a in arrays]
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+    for start, end in zip(starts, [*starts[1:], len(bucket)]):
+        yield int(bucket[start]), [a[start:end] for a in arrays]
 
 
 class Chunk:
-    """The documents of a chunk in the order of (doc_id, text), null ids last, and their words' hashes."""
+    """The documents of a chunk in the order of (doc_id, hash of the text, text), null ids last, and their words' hashes."""
 
     def __init__(self, table: pa.Table, keep: np.ndarray, lower: bool):
+        ids = pc.fill_null(table["doc_id"], LAST_ID)
         if table.num_rows:
-            table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.table = table.combine_chunks()
+            order = pc.sort_indices(pa.table({"id": ids, "hash": table["hash"], "text": table["text"]}), [("id", "ascending"), ("hash", "ascending"), ("text", "ascending")])
+            table, ids = table.take(order), ids.take(order)
+        self.table, self.ids, self.hash = table.combine_chunks(), ids.to_numpy(), table["hash"].to_numpy()
+        self.keep, self.lower = keep, lower
         data, self.offsets = K.utf8(self.table["text"])
         self.words, self.first = K.hashed_words(data, self.offsets, keep, lower)
 
     def room(self) -> np.ndarray:
         return np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.words))
 
+    def row_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, places, "right") - 1
+
+    def second(self, places: np.ndarray) -> np.ndarray:
+        """Independent hashes of all words of the rows that hold the places; 0 elsewhere."""
+        out = np.zeros(len(self.words), np.uint64)
+        rows = np.unique(self.row_of(places))
+        if len(rows):
+            data, offsets = K.utf8(self.table["text"].take(pa.array(rows)))
+            hashes, first = K.hashed_words(data, offsets, self.keep, self.lower, salt=1)
+            for i, row in enumerate(rows):
+                out[self.first[row] : self.first[row + 1]] = hashes[first[i] : first[i + 1]]
+        return out
+
 
 ASKED = "bucket int, chunk int, payload binary"
 ANSWERED = "chunk int, bucket int, level int, payload binary"

@@ -1,19 +1,21 @@
 """Removal of repeated word windows by level-wise doubling.
 
-A window of `window` words can only repeat if its sub-windows do. The first level takes sub-windows
-of the seed length, and of each window only the one with the least hash, which equal windows share;
-those found in more than one place keep their windows as candidates, which are tried at twice the
-length, and so on until the full length decides. At each level a chunk of documents asks the buckets
-about its distinct candidates alone (kindred.llm.packed); false alarms of the short fingerprints of
-the lower levels are undone by the last, which compares 64 bits within buckets that an independent
-hash deals.
+A window of `window` words can only repeat if its sub-windows do. The first level takes sub-windows of
+the seed length (5 words), and of each window only the one with the least hash, which equal windows
+share. What is found in more than one place is extended to twice its length: the windows around it are
+candidates, whose least sub-windows of 10 words are tried next, and so on until the full length decides
+or no candidate survives; a chunk without candidates asks nothing more. At each level a chunk of
+documents asks the buckets about its distinct candidates alone (kindred.llm.packed). False alarms of
+the short fingerprints of the lower levels are undone by the last, which compares 128 bits: two
+independent hashes of all words of a window.
 
 The first occurrence of a window is the one with the smallest doc_id, or the earliest start there.
 All words that a later occurrence covers are removed; windows are judged on the input.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`; a text without any, and null, has none and keeps ''.
-Rows that share a doc_id count as consecutive parts of a document in the order of their texts; no
-window spans two rows. A null doc_id sorts last. Rows and columns stay whole. An empty table gives no row.
+Rows that share a doc_id count as consecutive parts of a document in the order of a hash of their
+texts; no window spans two rows. A null doc_id counts as the greatest. Rows and columns stay whole. An
+empty table gives no row. Rows that are equal in id and text are held by one chunk.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ class Candidates:
     """The windows of a chunk that may repeat."""
 
     def __init__(self, chunk: packed.Chunk, window: int, answers: pa.Table, lengths: list[int], n_buckets: int):
-        self.words, self.window, self.n_buckets = chunk.words, window, n_buckets
+        self.chunk, self.words, self.window, self.n_buckets = chunk, chunk.words, window, n_buckets
         n = max(len(self.words) - window + 1, 0)
         self.valid = chunk.room()[:n] >= window
         #: May repeat outside the chunk, or within it.
@@ -85,12 +87,21 @@ class Candidates:
         value, count = np.unique(hashes[place], return_counts=True)
         return K.member(value[count > 1], least)
 
-    def whole(self) -> np.ndarray:
-        return K.mix(K.windows(self.words, self.window))
+    def whole(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the windows at the places."""
+        if not len(places):
+            return np.zeros(0, _U), np.zeros(0, _U)
+        second = self.chunk.second(places)
+        return K.mix(K.windows(self.words, self.window)[places]), K.mix(K.windows(second, self.window)[places])
 
-    def other(self) -> np.ndarray:
-        """An independent hash, for dealing."""
-        return K.mix(K.windows(K.mix(self.words ^ _OTHER), self.window))
+
+def _ordered(one: np.ndarray, two: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by the pair of keys (then `more`), and which of the ordered have the key of the one before."""
+    order = np.lexsort((*more[::-1], two, one))
+    one, two = one[order], two[order]
+    again = np.zeros(len(order), bool)
+    again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    return order, again
 
 
 def _shared_prints(questions: list[tuple[int, bytes]]) -> list[bytes]:
@@ -106,17 +117,14 @@ def _shared_prints(questions: list[tuple[int, bytes]]) -> list[bytes]:
 
 
 def _earlier_elsewhere(questions: list[tuple[int, bytes]]) -> list[bytes]:
-    """For each chunk the places whose window an earlier chunk has."""
-    keys, places, owner = [], [], []
-    for i, (_, p) in enumerate(questions):
-        k, at = packed.unpack(p, "u8", "i4")
-        keys.append(k)
-        places.append(np.cumsum(at, dtype=np.int32))
-        owner.append(np.full(len(k), i))
-    keys, places, owner = np.concatenate(keys), np.concatenate(places), np.concatenate(owner)
-    order = np.argsort(keys, kind="stable")  # chunks stay in order
-    later = np.zeros(len(keys), bool)
-    later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+    """For each chunk the places whose window another chunk has in an earlier document."""
+    got = [packed.unpack(p, "u8", "u8", "i8", "i8", "i4") for _, p in questions]
+    one, two, ids, hashes = (np.concatenate([g[i] for g in got]) for i in range(4))
+    places = np.concatenate([np.cumsum(g[4], dtype=np.int32) for g in got])
+    owner = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
+    order, again = _ordered(one, two, ids, hashes)
+    later = np.zeros(len(order), bool)
+    later[order] = again
     out = []
     for i in range(len(questions)):
         x = places[later & (owner == i)]
@@ -125,21 +133,18 @@ def _earlier_elsewhere(questions: list[tuple[int, bytes]]) -> list[bytes]:
 
 
 def _covered(found: Candidates, answers: pa.Table, last: int) -> np.ndarray:
-    """Which words a later occurrence of a window covers."""
+    """Which words a later occurrence of a window covers.
+
+    Of a window that the chunk has more than once the first is told by the answers, the others are later.
+    """
     edge = np.zeros(len(found.words) + 1, np.int64)
     mine = answers.filter(pc.equal(answers["level"], last))
     told = [np.cumsum(packed.unpack(p, "i4")[0], dtype=np.int32) for p in mine["payload"].to_pylist()]
-    if told or found.inside.any():
-        keys = found.whole()
-        later = np.zeros(len(found.valid), bool)
-        own = np.flatnonzero(found.inside)
-        order = own[np.argsort(keys[own], kind="stable")]
-        later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
-        if told:
-            later |= K.member(np.unique(keys[np.concatenate(told)]), keys) & found.valid
-        at = np.flatnonzero(later)
-        edge[at] += 1
-        edge[at + found.window] -= 1
+    own = np.flatnonzero(found.inside)
+    order, again = _ordered(*found.whole(own))
+    at = np.unique(np.concatenate([own[order[again]], *told])).astype(np.int64)
+    edge[at] += 1
+    edge[at + found.window] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -149,17 +154,19 @@ def _ask(docs: DataFrame, answers: DataFrame | None, lengths: list[int], window:
         if final:
             found = Candidates(chunk, window, told, lengths, n_buckets)
             at = np.flatnonzero(found.outside)
-            keys = found.whole()[at]
-            first = np.sort(np.unique(keys, return_index=True)[1])
-            at, keys = at[first], keys[first]
-            bucket = (found.other()[at] % _U(n_buckets)).astype(np.int64)
-            return packed.asked(((b, packed.pack(k, np.diff(x, prepend=x.dtype.type(0)))) for b, (k, x) in packed.deal(bucket, n_buckets, keys, at.astype(np.int32))), chunk_no)
+            one, two = found.whole(at)
+            order, again = _ordered(one, two)
+            first = np.sort(order[~again])
+            at, one, two = at[first], one[first], two[first]
+            row, bucket = chunk.row_of(at), (K.mix(two ^ _OTHER) % _U(n_buckets)).astype(np.int64)
+            dealt = packed.deal(bucket, one, two, chunk.ids[row], chunk.hash[row], at.astype(np.int32))
+            return packed.asked(((b, packed.pack(*x, np.diff(p, prepend=p.dtype.type(0)))) for b, (*x, p) in dealt), chunk_no)
         found = Candidates(chunk, window, told, lengths[:-1], n_buckets)
         least = np.unique(found.least(lengths[-1])[found.outside]) if len(found.valid) else np.zeros(0, _U)
         key, bucket = found.print(least)
         full = np.unique((bucket.astype(np.uint64) << _U(32)) | key)
         bucket, key = (full >> _U(32)).astype(np.int64), full.astype(np.uint32)
-        return packed.asked(((b, packed.pack(np.diff(k, prepend=k.dtype.type(0)))) for b, (k,) in packed.deal(bucket, n_buckets, key)), chunk_no)
+        return packed.asked(((b, packed.pack(np.diff(k, prepend=k.dtype.type(0)))) for b, (k,) in packed.deal(bucket, key)), chunk_no)
 
     grouped = docs.groupBy("chunk")
     if answers is None:
@@ -168,7 +175,7 @@ def _ask(docs: DataFrame, answers: DataFrame | None, lengths: list[int], window:
     return grouped.cogroup(answers.groupBy("chunk")).applyInArrow(lambda key, a, b: work(key[0].as_py(), a, b), packed.ASKED)
 
 
-def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, seed: int = 10, keep_columns: list[str] | None = None, keep_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, seed: int = 5, keep_columns: list[str] | None = None, keep_text: bool = False) -> DataFrame:
     """One row per row of df: doc_id, n_words, n_removed, kept (the kept words joined by one space).
 
     keep_columns: further columns to carry along, none of these names; keep_text: `text` as well.
@@ -179,7 +186,7 @@ def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *columns(df, keep_columns or []))
     total = packed.sizes(docs)
     schema = widened(docs, more, "doc_id long, n_words long, n_removed long, kept string")
-    docs = packed.chunked(docs, total, ordered=True)
+    docs = packed.chunked(docs, total).withColumn("hash", F.xxhash64("text"))
     n_buckets = packed.buckets(total // 6, 4)
     lengths = levels(window, seed)
     answers = None

@@ -1,9 +1,10 @@
 """Vectorised word kernels on Arrow string columns.
 
 Texts are handled as the UTF-8 bytes that Arrow already holds: a byte table says which bytes
-belong to words, a word's hash is a polynomial over its bytes, a window's hash a polynomial over
-its words' hashes. No Python object is made per word. Slices bound the memory, whole documents
-stay whole.
+belong to words; a word's hash is the sum of its 8-byte pieces, each mixed with its place, and a
+window's hash is mixed anew at each doubling, so no words are known that collide by the arithmetic
+alone. A salt gives a second, independent hash: what decides a result compares both, 128 bits.
+No Python object is made per word. Slices bound the memory, whole documents stay whole.
 """
 
 from __future__ import annotations
@@ -33,18 +34,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * _Q)
-_powers = np.ones(1, U)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks that keep the first 0 to 8 bytes of a little-endian piece.
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
-def powers(n: int, base: np.uint64 = _Q) -> np.ndarray:
-    """1, base, base**2, ... (mod 2**64), at least n of them."""
-    global _powers
-    if base != _Q:
-        return np.concatenate([np.ones(1, U), np.cumprod(np.full(max(n - 1, 0), base, U))])
-    if len(_powers) < n:
-        _powers = np.concatenate([np.ones(1, U), np.cumprod(np.full(max(2 * n, 256), _Q, U))])
-    return _powers
+def _pieces(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as a number; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,52 +93,62 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.count = len(self.starts)
 
-    def hashes(self, lower: bool) -> np.ndarray:
-        """64 bits a word; lower: A-Z and a-z count as the same."""
+    def hashes(self, lower: bool, salt: int = 0) -> np.ndarray:
+        """64 bits a word; lower: A-Z and a-z count as the same; hashes of unlike salts are independent."""
         if not self.count:
             return np.zeros(0, U)
-        value = np.where(self.table, _BYTE, U(0))
-        if lower:
-            value[65:91] = value[97:123]
-        base = np.zeros(len(self.data), np.int64)
-        base[self.starts] = self.starts
-        place = np.arange(len(self.data)) - np.maximum.accumulate(base)
-        longest = int((self.ends - self.starts).max())
-        np.minimum(place, longest, out=place)
-        return mix(np.add.reduceat(value[self.data] * powers(longest + 1)[place], self.starts))
+        data = _LOWER[self.data] if lower else self.data
+        eight = _pieces(data)
+        length = self.ends - self.starts
+        many = (length + 7) >> 3
+        first = np.cumsum(many) - many
+        if int(many.max()) == 1:
+            place, at, rest = np.zeros(self.count, np.int64), self.starts, length
+        else:
+            place = np.arange(int(first[-1] + many[-1])) - np.repeat(first, many)
+            at = np.repeat(self.starts, many) + 8 * place
+            rest = np.minimum(np.repeat(self.ends, many) - at, 8)
+        x = eight[at] & _TAIL[rest]
+        x = mix(x + mix(place.astype(U) * _Q + U(salt)))
+        return mix(np.add.reduceat(x, first) + length.astype(U) * _Q)
 
     def room(self) -> np.ndarray:
         """For each word, the words of its text from there on."""
         return np.repeat(self.first[1:], np.diff(self.first)) - np.arange(self.count)
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The words' hashes of many texts and where each text's begin, made slice by slice."""
     parts, firsts, base = [np.zeros(0, U)], [np.zeros(1, np.int64)], 0
     for lo, hi in slices(offsets):
         words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], table)
-        parts.append(words.hashes(lower))
+        parts.append(words.hashes(lower, salt))
         firsts.append(words.first[1:] + base)
         base += words.count
     return np.concatenate(parts), np.concatenate(firsts)
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a window and the next one, told from those of both."""
+    return mix(a * _Q + b)
+
+
 def windows(words: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the `length` words from each place on; n - length + 1 of them, none mixed yet.
+    """Hash of the `length` words from each place on; n - length + 1 of them, to be mixed.
 
     Built by doubling: a window of 2 n words is one of n and the next one of n.
     """
     n = len(words)
     if n < length:
         return np.zeros(0, U)
-    power, block, size, have, out = powers(length + 1), words, 1, 0, None
+    block, size, have, out = words, 1, 0, None
     while have < length:
         if length & size:
             part = block[have : have + n - length + 1]
-            out = part.copy() if out is None else out + power[have] * part
+            out = part.copy() if out is None else _joined(out, part)
             have += size
         if have < length:
-            block = block[:-size] + power[size] * block[size:] if len(block) > size else block[:0]
+            block = _joined(block[:-size], block[size:]) if len(block) > size else block[:0]
             size *= 2
     return out
 

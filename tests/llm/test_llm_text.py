@@ -101,6 +101,34 @@ def test_substring_dedup_edges(spark):
     assert sorted(r["n_removed"] for r in twice) == [0, 25]
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters that every polynomial hash modulo a power of two takes for equal, from 1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    """Words and runs of words that differ in every letter, yet not for a polynomial, stay apart in every operator."""
+    import pyarrow as pa
+
+    one, two = thue_morse(n)
+    for salt in (0, 1):
+        assert len(set(textkit.Words(*textkit.utf8(pa.array([one, two])), textkit.ALNUM).hashes(True, salt).tolist())) == 2
+    runs = [textkit.windows(textkit.Words(*textkit.utf8(pa.array([" ".join(x)])), textkit.ALNUM).hashes(True), n)[0] for x in (one, two)]
+    assert runs[0] != runs[1]
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")]
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()} == {1: 0, 2: 0, 3: 20}
+    short = [(1, one), (2, two), (3, one)]
+    assert {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(frame(spark, short)).collect()} == {1: 1, 2: 2, 3: 1}
+    items = frame(spark, [(1, f"{one} only here")], "item_id long, text string")
+    found = decontaminate.find_benchmark(frame(spark, [(1, f"{two} only here"), (2, f"so {one} only here")]), items).collect()
+    assert {r["doc_id"]: r["items"] for r in found} == {1: [], 2: ["1"]}
+    vile = toxicity.SegmentModel(textkit.Words(*textkit.utf8(pa.array([one])), textkit.ALNUM).hashes(True), np.array([2.0]), 0.5, 1.0, 0.0, np.zeros(3))
+    assert [len(x) for x in toxicity.segments(vile, *textkit.utf8(pa.array([one, two])))[1]] == [1, 0]
+
+
 def components_by_force(rows, percent: int) -> dict[int, tuple[int, int]]:
     sets = {}
     for doc, text in rows:
@@ -194,13 +222,13 @@ def hits_by_force(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block", [16 << 20, 400])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_decontamination(spark, bits):
     rows = corpus(5)
     cut = lambda t, a, b: " ".join(t.split()[a:b])
     items = [(1, cut(rows[0][1], 2, 40)), (20, cut(rows[7][1], 0, 12) + " other end"), (3, "two words"), (4, None), (5, ""), (None, "one"), (6, "absent words here"), (7, cut(rows[0][1], 5, 20)), (1, "ñandú ünïcode"), (8, "!!!")]
     benchmark = frame(spark, items, "item_id long, text string")
-    found = decontaminate.find_benchmark(with_extras(frame(spark, [*rows, (500, rows[0][1]), (500, rows[0][1])])), benchmark, block_bytes=block)
+    found = decontaminate.find_benchmark(with_extras(frame(spark, [*rows, (500, rows[0][1]), (500, rows[0][1])])), benchmark, most_bits=bits)
     got = found.select("doc_id", "n_words", decontaminate.hit_count().alias("n_hit"), "items").collect()
     want = hits_by_force([*rows, (500, rows[0][1])], items)
     assert len(got) == len(rows) + 2

@@ -1,15 +1,16 @@
 """Near-duplicate documents by an LSH forest of minhash signatures.
 
-1. A document's distinct word shingles give its set, a digest of it and `trees * depth` minhashes.
-   Documents with equal sets are one class from here on, represented by the smallest doc_id.
+1. A document's distinct word shingles give its set, a digest of it and `trees * depth` minhashes; the
+   set and the minhashes come from two independent hashes of the words. Documents with equal digests
+   (of set and signature) are one class from here on, represented by the smallest doc_id.
 2. In every tree the classes that share the `shallow` first of its `depth` minhashes are a region. All
    signatures of a region are compared, whatever its size; those that may reach the threshold are joined
    loosely. A region beyond what a task takes is dealt into blocks, and every two blocks meet in a task of
    their own.
 3. Loose groups are connected, their members' full sets fetched, and all pairs within that may reach
-   the threshold are confirmed on the sets, unless already linked. A group whose sets exceed a block
-   is compared in random blocks, and block against block where that leaves it in several parts, so that
-   no pair is left out.
+   the threshold are confirmed on the sets, unless already linked. A group beyond a block (of `BLOCK`
+   shingles or `BLOCK_ROWS` classes) is compared in random blocks twice. What that leaves outside the
+   group's largest part is compared with everything, block against block, so that no pair is left out.
 4. Confirmed links are connected; every document gets the smallest doc_id it reaches.
 
 Between a signature's estimate and the true similarity 4.1 standard deviations are allowed for.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import textkit as K
@@ -38,36 +39,42 @@ from kindred.session import ship
 _U = K.U
 TREES, DEPTH, SHALLOW = 16, 6, 3
 SIZE = TREES * DEPTH
-#: Rows of a region, in units of WIDE, that one task takes; rows compared at once; shingles of a block.
-HOT, REGION, BLOCK = 4096, 1024, 4 << 20
+#: Rows of a region, in units of WIDE, that one task takes; rows compared at once; shingles and classes of a block.
+HOT, REGION, BLOCK, BLOCK_ROWS = 4096, 1024, 4 << 20, 512
 WIDE = 4
-#: Rows that spread() sends on in one batch.
-SENT = 100_000
-#: So many keys at most are broadcast.
+#: Up to so many keys of large regions are broadcast; more are joined.
 MOST_KEYS = 100_000
 _random = np.random.default_rng(20240501)
 _XOR = _random.integers(0, 1 << 32, SIZE, dtype=np.uint32)
 _ODD = _random.integers(0, 1 << 32, SIZE, dtype=np.uint32) | np.uint32(1)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles' hashes, text by text, and where each text's begin."""
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int, salts: tuple[int, ...] = (0,)) -> tuple[list[np.ndarray], np.ndarray]:
+    """All shingles' hashes by each salt, text by text, and where each text's begin."""
     words = K.Words(data, offsets, K.PLAIN)
-    hashes, n = words.hashes(True), np.diff(words.first)
-    long = K.mix(K.windows(hashes, size))[words.room()[: max(words.count - size + 1, 0)] >= size]
+    n = np.diff(words.first)
+    full = words.room()[: max(words.count - size + 1, 0)] >= size
     counts = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     at = np.concatenate([[0], np.cumsum(counts)])
-    out = np.zeros(at[-1], _U)
     short = np.flatnonzero((n > 0) & (n < size))
-    is_long = np.ones(len(out), bool)
+    is_long = np.ones(at[-1], bool)
     is_long[at[short]] = False
-    out[is_long] = long
-    for i in short:
-        own = hashes[words.first[i] : words.first[i + 1]]
-        out[at[i]] = K.mix(K.windows(own, len(own)) ^ _U(len(own)))[0]
+    out = []
+    for salt in salts:
+        hashes, got = words.hashes(True, salt), np.zeros(at[-1], _U)
+        got[is_long] = K.mix(K.windows(hashes, size))[full]
+        for i in short:
+            own = hashes[words.first[i] : words.first[i + 1]]
+            got[at[i]] = K.mix(K.windows(own, len(own)) ^ _U(len(own)))[0]
+        out.append(got)
     return out, at
 
 
+def _digest(items: np.ndarray, signature: bytes) -> bytes:
+    """128 bits of a set (of one hash) and its signature (of the other)."""
+    return hashlib.blake2b(items.tobytes() + signature, digest_size=16).digest()
+
+
 def minhashes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Texts x SIZE minhashes of non-empty texts."""
     out = np.empty((len(at) - 1, SIZE), np.uint32)
@@ -85,17 +92,17 @@ def sketches(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
             data, offsets = K.utf8(batch.column("text"))
             n_all, digests, signatures = [], [], []
             for lo, hi in K.slices(offsets):
-                values, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+                (values, second), at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size, (0, 1))
                 full = np.flatnonzero(np.diff(at))
-                signed = minhashes(values, np.append(at[full], at[-1])) if len(full) else None
+                signed = minhashes(second, np.append(at[full], at[-1])) if len(full) else None
                 n = np.zeros(hi - lo, np.int64)
                 own_digest: list = [None] * (hi - lo)
                 own_signature: list = [None] * (hi - lo)
                 for j, i in enumerate(full):
                     own = np.unique(values[at[i] : at[i + 1]])
                     n[i] = len(own)
-                    own_digest[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                     own_signature[i] = signed[j].tobytes()
+                    own_digest[i] = _digest(own, own_signature[i])
                 n_all.append(n)
                 digests += own_digest
                 signatures += own_signature
@@ -133,17 +140,10 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("signature").mapInArrow(run, "key long")
 
 
-def _hot_keys(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of more rows than one task takes, sorted, and their numbers of blocks; at most MOST_KEYS, the greatest.
-
-    A region beyond MOST_KEYS stays in one task, whole.
-    """
+def _large(keys: DataFrame) -> DataFrame:
+    """(key, n): the regions of more rows than one task takes, and their numbers of blocks."""
     most = WIDE * HOT
-    hot = keys.groupBy("key").count().where(F.col("count") > most).orderBy(F.desc("count"), "key").limit(MOST_KEYS).collect()
-    found = np.array([r["key"] for r in hot], np.int64).view(_U)
-    blocks = np.array([-(-r["count"] // most) for r in hot], np.int64)
-    order = np.argsort(found)
-    return found[order], blocks[order]
+    return cut(keys.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("n")))
 
 
 class Links:
@@ -235,34 +235,26 @@ def loose_edges(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): classes whose signatures agree nearly enough, as a spanning forest of each region."""
     spark = classes.sparkSession
     least = int(np.ceil(SIZE * (threshold - 4.1 * np.sqrt(threshold * (1 - threshold) / SIZE))))
-    shared = spark.sparkContext.broadcast(_hot_keys(_keys(classes)))
 
     def spread(batches):
-        hot, blocks = shared.value
         for batch in batches:
             signatures = _matrix(batch.column("signature"), "<u4", SIZE)
-            reps = batch.column("rep").to_numpy()
-            marks = signatures.astype(np.uint8)
-            keys = _prefixes(signatures, SHALLOW).ravel()
-            n = np.ones(len(keys), np.int64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-                n = np.where(hot[at] == keys, blocks[at], 1)
-            # a row meets its own block and every other of its region
-            side = (K.mix(np.repeat(reps, TREES).astype(_U) ^ keys) % n.astype(_U)).astype(np.int64)
-            ends = np.cumsum(n)
-            lo = 0
-            while lo < len(keys):
-                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + SENT, "right")))
-                own = np.repeat(np.arange(lo, hi), n[lo:hi])
-                other = np.arange(len(own)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
-                pair = (np.minimum(side[own], other) << 32 | np.maximum(side[own], other)).astype(_U)
-                dealt = np.where(n[own] > 1, K.mix(keys[own] ^ K.mix(pair + _U(1))), keys[own])
-                flat = marks[own // TREES]
-                offsets = np.arange(len(flat) + 1, dtype=np.int32) * SIZE
-                binary = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(dealt.view(np.int64)), pa.array(reps[own // TREES]), pa.array(side[own]), binary], names=["key", "rep", "side", "marks"])
-                lo = hi
+            keys = _prefixes(signatures, SHALLOW)
+            flat = np.repeat(signatures.astype(np.uint8), TREES, axis=0)
+            offsets = np.arange(len(flat) + 1, dtype=np.int32) * SIZE
+            marks = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column("rep").to_numpy(), TREES)), marks], names=["key", "rep", "marks"])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """A row of a large region meets its own block and every other of its region."""
+        large = _large(_keys(classes))
+        many = large.limit(MOST_KEYS + 1).count()
+        if not many:
+            return rows.withColumn("side", F.lit(0).cast("long"))
+        rows = rows.join(F.broadcast(large) if many <= MOST_KEYS else large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        rows = rows.withColumn("side", F.pmod(F.xxhash64("rep", "key"), F.col("n")).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"))))
+        key = F.when(F.col("n") > 1, F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("key"))
+        return rows.select(key.alias("key"), "rep", "side", "marks")
 
     def compare(batches):
         for table in by_group(batches, ["key", "rep", "side", "marks"], "key"):
@@ -282,24 +274,24 @@ def loose_edges(classes: DataFrame, threshold: float) -> DataFrame:
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    rows = classes.select("rep", "signature").mapInArrow(spread, "key long, rep long, side long, marks binary")
+    rows = dealt(classes.select("rep", "signature").mapInArrow(spread, "key long, rep long, marks binary"))
     return rows.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Adds the sorted set and marks to (doc_id, text, digest, part); keeps the rows that have the digest."""
+    """Adds the sorted set to (doc_id, text, digest, signature, component, shingles); keeps the rows that have the digest."""
 
     def run(batches):
         for batch in batches:
             data, offsets = K.utf8(batch.column("text"))
-            digests = batch.column("digest").to_pylist()
-            keep, sets, marks = [], [], []
+            digests, signatures = batch.column("digest").to_pylist(), batch.column("signature").to_pylist()
+            keep, sets = [], []
             for lo, hi in K.slices(offsets):
-                values, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+                (values,), at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 full = np.flatnonzero(np.diff(at))
                 for i in full:
                     own = np.unique(values[at[i] : at[i + 1]])
-                    if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == digests[lo + i]:
+                    if _digest(own, signatures[lo + i]) == digests[lo + i]:
                         keep.append(lo + i)
                         sets.append(own.tobytes())
             picked = batch.take(pa.array(keep, pa.int64()))
@@ -368,16 +360,21 @@ def _links_within(rows: DataFrame, percent: int) -> DataFrame:
     return sorted_rows.mapInArrow(compare, "a long, b long")
 
 
+def _blocks(rows: Column, shingles_: Column) -> Column:
+    """Blocks that rows of so many shingles need; two of them meet in a task."""
+    return F.greatest(F.ceil(rows / F.lit(BLOCK_ROWS / 2)), F.ceil(shingles_ / F.lit(BLOCK / 2))).cast("int")
+
+
 def confirmed_edges(df: DataFrame, classes: DataFrame, groups: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """(a, b): confirmed links that connect what is linked within each loose group.
 
-    A group whose sets exceed a block is dealt into blocks at random, twice. Where the links found in the
-    blocks already make it one component there is nothing more to find; else each pair of its blocks is
-    compared.
+    A group beyond a block is dealt into blocks at random, twice. The parts that these links make of it are
+    final but for links between them: what lies outside the largest part is compared with all of the group.
     """
     members = classes.join(groups, classes.rep == groups.id).select(F.col("rep").alias("doc_id"), "digest", "signature", "component", F.col("n_shingles").alias("shingles"))
     members = cut(members)
-    large = cut(members.groupBy("component").agg(F.sum("shingles").alias("total"), F.count("*").alias("size")).where(F.col("total") > BLOCK))
+    sums = [F.sum("shingles").alias("total"), F.count("*").alias("size")]
+    large = cut(members.groupBy("component").agg(*sums).where((F.col("total") > BLOCK) | (F.col("size") > BLOCK_ROWS)))
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     fetched = lambda chosen: _sets(texts.join(chosen, "doc_id"), size)
     row = lambda key, side: [key.alias("key"), F.col("rep"), F.col("signature"), F.col("items"), side.cast("int").alias("side")]
@@ -385,18 +382,29 @@ def confirmed_edges(df: DataFrame, classes: DataFrame, groups: DataFrame, doc_id
         return _links_within(fetched(members).select(*row(F.col("component"), F.lit(0))), percent)
     few = fetched(members.join(large.select("component"), "component", "left_anti"))
     found = cut(_links_within(few.select(*row(F.col("component"), F.lit(0))), percent))
-    many = cut(fetched(members.join(large.select("component"), "component")).join(large, "component").withColumn("n", F.ceil(F.col("total") / F.lit(BLOCK / 2)).cast("int")))
-    block = lambda salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col("n"))
+    many = cut(fetched(members.join(large.select("component"), "component")).join(large, "component").withColumn("n", _blocks(F.col("size"), F.col("total"))))
+    block = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), n)
     for salt in (1, 2):
-        found = found.union(_links_within(many.select(*row(F.xxhash64("component", block(salt), F.lit(salt)), F.lit(0))), percent))
+        found = found.union(_links_within(many.select(*row(F.xxhash64("component", block(salt, F.col("n")), F.lit(salt)), F.lit(0))), percent))
     found = cut(found)
-    named = members.select(F.col("doc_id").alias("id"), F.col("component").alias("loose")).join(large.select(F.col("component").alias("loose"), "size"), "loose").join(components(found), "id")
-    whole = named.groupBy("loose", "size").agg(F.count("*").alias("known"), F.min("component").alias("first"), F.max("component").alias("last")).where("known = size and first = last")
-    rest = many.join(whole.select(F.col("loose").alias("component")), "component", "left_anti").withColumn("block", block(3))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    # in the task of two blocks only unlike blocks are compared; a block's own task has one side
-    pair = rest.select(*row(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"), F.lit(3)), F.col("block")))
-    return found.union(_links_within(pair, percent))
+    parts = many.join(components(found).select(F.col("id").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    sizes = parts.groupBy("component", "part").agg(F.count("*").alias("rows"), F.sum("shingles").alias("shingles_"))
+    greatest = F.max(F.struct("rows", "shingles_", "part")).alias("main")
+    left = sizes.groupBy("component").agg(greatest, F.sum("rows").alias("rows"), F.sum("shingles_").alias("shingles_"))
+    left = left.where("main.rows < rows").select("component", F.col("main.part").alias("main"), _blocks(F.col("main.rows"), F.col("main.shingles_")).alias("n_main"), _blocks(F.col("rows") - F.col("main.rows"), F.col("shingles_") - F.col("main.shingles_")).alias("n_rest"))
+    left = cut(left)
+    if left.isEmpty():
+        return found
+    rest = parts.join(left, "component")
+    inside, outside = rest.where("part = main"), rest.where("part <> main")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # in a task of two sides only rows of unlike sides are compared
+    key = lambda kind, a, b: F.xxhash64("component", F.lit(kind), a, b)
+    main_rows = inside.withColumn("other", to("n_rest")).select(*row(key("main", F.col("other"), block(3, F.col("n_main"))), F.lit(-1)))
+    own = block(3, F.col("n_rest"))
+    meets_main = outside.withColumn("other", to("n_main")).select(*row(key("main", own, F.col("other")), F.lit(0)))
+    meets_rest = outside.withColumn("own", own).withColumn("other", to("n_rest")).select(*row(key("rest", F.least("own", "other"), F.greatest("own", "other")), F.col("own")))
+    return found.union(_links_within(main_rows.union(meets_main).union(meets_rest), percent))
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -3,11 +3,17 @@
 1. Vectors that are equal component by component are one class, represented by the smallest id.
 2. `trees` trees are fitted on a bounded sample of classes (`sample` rows): a node splits at the
    median of a random projection, rows within a margin of the threshold go to both sides (spill).
-   Every class is routed to its leaves in every tree.
-3. A task takes whole leaves, goes on splitting a large one the same way, and compares what shares a
-   small leaf all with all, in double precision. Splitting is repeated over `trees` trees; the more
+   Every class is routed to its leaves in every tree, and its vector is sent to each once. While a leaf is
+   not meant to be split one tree says it all, and one is built.
+3. All that share a leaf are compared, in single precision first, what is near the threshold again in
+   double. A leaf beyond what a task takes is dealt into blocks, every two of which meet in a task. The more
    trees and the wider the margin, the fewer pairs are missed (tests measure recall by brute force).
-4. Found links are gathered once per pair, counted with the classes' sizes, and connected.
+4. A row carries the numbers of all its leaves, so each pair is counted in just one: the least leaf that
+   both reach. A task thus emits sums of links and a spanning forest, which grow with its rows, not with
+   its pairs. Links are summed with the classes' sizes, and the forests connected.
+
+A tree has at most log2(sample / 8) levels (15 as it is); beyond some 30 million classes leaves grow with the
+table, and their blocks with the square of a leaf. A larger `sample` moves that bound.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing; vectors of unlike lengths do not link. A null id links and is counted, but never names a
@@ -22,47 +28,52 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from kindred.llm import packed
-from kindred.llm.minhash_forest import Links, _runs, by_group
+from kindred.llm.minhash_forest import MOST_KEYS, _runs, by_group
 from kindred.llm.shared import components, cut, partitions
-from kindred.llm.textkit import mix
 from kindred.session import ship
 
-#: Rows that are compared all with all; rows a leaf of the fitted trees is meant to get.
-LEAF, SHARE = 1024, 4096
+#: Rows a leaf is meant to get; rows of a leaf that one task takes; rows compared at once; pairs looked at again at once.
+SHARE, MOST, TILE, PAIRS = 1024, 8192, 1024, 1 << 18
 
 
-def unit_rows(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, digest, unit, size): unit is the vector of length one as float64 bytes; null where it can't link."""
+def vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(vec_id, digest, vector, size): vector holds the components as they come, float32 or float64; null where it can't link."""
+    single = isinstance(df.schema[embedding].dataType, ArrayType) and isinstance(df.schema[embedding].dataType.elementType, FloatType)
+    kind = np.float32 if single else np.float64
 
     def run(batches):
         for batch in batches:
-            digests, units, lengths = [], [], []
+            digests, kept, lengths = [], [], []
             for value in batch.column("embedding"):
                 x = value.as_py()
-                digest = unit = None
+                digest = raw = None
                 if x and None not in x:
-                    v = np.array(x, np.float64) + 0.0
-                    top = np.abs(v).max()
-                    if np.isfinite(v).all() and top > 0:
-                        digest = hashlib.blake2b(v.tobytes(), digest_size=16).digest()
-                        v = v / top
-                        unit = (v / np.sqrt((v * v).sum())).tobytes()
+                    v = np.array(x, kind) + kind(0)
+                    if np.isfinite(v).all() and v.any():
+                        raw = v.tobytes()
+                        digest = hashlib.blake2b(raw, digest_size=16).digest()
                 digests.append(digest)
-                units.append(unit)
+                kept.append(raw)
                 lengths.append(len(x) if x else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(digests, pa.binary()), pa.array(units, pa.binary()), pa.array(lengths, pa.int32())], names=["vec_id", "digest", "unit", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(digests, pa.binary()), pa.array(kept, pa.binary()), pa.array(lengths, pa.int32())], names=["vec_id", "digest", "vector", "size"])
 
-    return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).mapInArrow(run, "vec_id long, digest binary, unit binary, size int")
+    return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).mapInArrow(run, "vec_id long, digest binary, vector binary, size int")
 
 
-def _dense(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of float64, shorter ones filled with zeros."""
+def units(column: pa.Array, sizes: np.ndarray, width: int) -> np.ndarray:
+    """Rows of length one in float64, shorter ones filled with zeros."""
     values = column.to_pylist()
-    if all(len(v) == 8 * width for v in values):
-        return np.frombuffer(b"".join(values), np.float64).reshape(-1, width)
-    return np.frombuffer(b"".join(v.ljust(8 * width, b"\0") for v in values), np.float64).reshape(-1, width)
+    if not values:
+        return np.zeros((0, width))
+    kind = np.float32 if len(values[0]) == 4 * sizes[0] else np.float64
+    most = width * np.dtype(kind).itemsize
+    if any(len(v) != most for v in values):
+        values = [v.ljust(most, b"\0") for v in values]
+    x = np.frombuffer(b"".join(values), kind).reshape(-1, width).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _split(x: np.ndarray, rng: np.random.Generator, spill: float) -> tuple[np.ndarray, float, float]:
@@ -102,112 +113,150 @@ def route(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray], depth:
     return row, node
 
 
-def leaf_pairs(x: np.ndarray, size: np.ndarray, threshold: float, rng: np.random.Generator, spill: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with cosine >= threshold that come to share a small leaf."""
-    found: list[np.ndarray] = []
-    todo = [(np.arange(len(x)), 0)]
-    while todo:
-        rows, failed = todo.pop()
-        if len(rows) > LEAF and failed < 4:
-            way, at, margin = _split(x[rows], rng, spill)
-            side = x[rows] @ way - at
-            parts = rows[side <= margin], rows[side > -margin]
-            worse = max(map(len, parts)) > 0.75 * len(rows)
-            todo += [(p, failed + worse) for p in parts] if not worse else [(rows, failed + 1)]
-            continue
-        for lo in range(0, len(rows), LEAF):
-            a = rows[lo : lo + LEAF]
-            for up in range(lo, len(rows), LEAF):
-                b = rows[up : up + LEAF]
-                i, j = np.nonzero((x[a] @ x[b].T >= threshold) & (size[a][:, None] == size[b][None, :]))
-                if lo == up:
-                    i, j = i[i < j], j[i < j]
-                found.append(np.stack([a[i], b[j]]))
-    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-    return pairs[0], pairs[1]
-
-
-def near_vectors(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, trees: int = 12, spill: float = 0.15, sample: int = 1 << 16) -> DataFrame:
+def _met_before(leaves: np.ndarray, i: np.ndarray, j: np.ndarray, leaf: int) -> np.ndarray:
+    """Which pairs of rows share a leaf of a smaller number; leaves: rows x most leaves of a row, filled with -1 - row."""
+    out = np.zeros(len(i), bool)
+    for lo in range(0, len(i), PAIRS):
+        a, b = leaves[i[lo : lo + PAIRS]], leaves[j[lo : lo + PAIRS]]
+        for k in range(a.shape[1]):
+            own = a[:, k : k + 1]
+            out[lo : lo + PAIRS] |= ((b == own) & (own >= 0) & (own < leaf)).any(1)
+    return out
+
+
+def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Places of pairs that connect what all pairs connect, as a forest: in each round every root takes one pair to a smaller root."""
+    label, chosen, left = np.arange(n), [], np.arange(len(i))
+    while len(left):
+        a, b = label[i[left]], label[j[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        chosen.append(left[first])
+        parent = np.arange(n)
+        parent[high] = np.minimum(a, b)[first]
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        label = parent[label]
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+def leaf_links(x: np.ndarray, size: np.ndarray, side: np.ndarray, leaves: np.ndarray, leaf: int, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row that no smaller leaf counts, and pairs that connect the rows.
+
+    Where there are two sides, pairs of one side meet in a task of their own.
+    """
+    n = len(x)
+    single = x.astype(np.float32)
+    near = (x.shape[1] + 4) * 1.2e-7  # what rounding to single precision may change
+    links, one, two = np.zeros(n, np.int64), [], []
+    apart = bool((side != side[0]).any())
+    for lo in range(0, n, TILE):
+        a = slice(lo, lo + TILE)
+        for up in range(lo, n, TILE):
+            b = slice(up, up + TILE)
+            i, j = np.nonzero(single[a] @ single[b].T >= threshold - near)
+            i, j = i + lo, j + up
+            keep = size[i] == size[j]
+            if lo == up:
+                keep &= i < j
+            if apart:
+                keep &= side[i] != side[j]
+            i, j = i[keep], j[keep]
+            for at in range(0, len(i), PAIRS):
+                own = slice(at, at + PAIRS)
+                same = np.einsum("ij,ij->i", x[i[own]], x[j[own]]) >= threshold
+                p, q = i[own][same], j[own][same]
+                new = ~_met_before(leaves, p, q, leaf)
+                p, q = p[new], q[new]
+                links += np.bincount(p, copies[q], n).astype(np.int64) + np.bincount(q, copies[p], n).astype(np.int64)
+                forest = spanning(p, q, n)
+                one.append(p[forest])
+                two.append(q[forest])
+    i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (one, two))
+    forest = spanning(i, j, n)
+    return links, np.stack([i[forest], j[forest]])
+
+
+def _padded(column: pa.Array) -> np.ndarray:
+    values = [np.frombuffer(v, np.int32) for v in column.to_pylist()]
+    out = np.repeat(-1 - np.arange(len(values), dtype=np.int32)[:, None], max(map(len, values)), axis=1)
+    for row, v in zip(out, values):
+        row[: len(v)] = v
+    return out
+
+
+def near_vectors(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, trees: int = 8, spill: float = 0.15, sample: int = 1 << 18) -> DataFrame:
     """One row per row of df: vec_id, n_links, component_id, kept."""
     spark = df.sparkSession
     ship(spark)
-    rows = cut(unit_rows(df, vec_id, embedding))
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("unit").alias("unit"), F.min("size").alias("size"))
+    rows = cut(vectors(df, vec_id, embedding))
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("vector").alias("vector"), F.min("size").alias("size"))
     classes = cut(classes)
     named = classes.where("rep is not null")
     count, width = named.agg(F.count("*"), F.max("size")).first()
     width = width or 1
-    spot = F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(count, 1)))
-    depth = max(0, int(np.ceil(np.log2(max(count, 1) / SHARE))))
-    fitted = []
-    if depth:
-        got = named.where(spot).select("digest", "unit").toArrow().sort_by("digest")
-        x = _dense(got["unit"], width)
-        depth = min(depth, max(0, int(np.log2(max(len(x), 1) / 8))))
+    wanted = max(0, int(np.ceil(np.log2(max(count, 1) / SHARE))))
+    # eight rows a leaf, and no more rows than the trees need
+    most = min(sample, max(1 << 12, 64 << wanted))
+    spot = F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(count, 1)))
+    fitted, depth = [], wanted
+    if wanted:
+        got = named.where(spot).select("digest", "vector", "size").toArrow().sort_by("digest").combine_chunks()
+        x = units(got["vector"], got["size"].to_numpy(), width)
+        depth = min(wanted, max(0, int(np.log2(max(len(x), 1) / 8))))
         fitted = [fit_tree(x, depth, seed, spill) for seed in range(trees)]
+    trees = trees if depth else 1
     shared = spark.sparkContext.broadcast((fitted, depth))
 
     def spread(batches):
         fitted, depth = shared.value
         for batch in batches:
-            x = _dense(batch.column("unit"), width)
+            x = units(batch.column("vector"), batch.column("size").to_numpy(), width)
             if not len(x):
                 continue
-            keys, which = [], []
+            row, leaf = [], []
             for tree in range(trees):
-                row, node = route(x, fitted[tree], depth) if depth else (np.arange(len(x)), np.zeros(len(x), np.int64))
-                which.append(row)
-                keys.append(mix(np.uint64(tree + 1) * np.uint64(1 << 40) + node.astype(np.uint64)).view(np.int64))
-            which = np.concatenate(which)
-            picked = batch.take(pa.array(which))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(picked.column(c) for c in ("rep", "copies", "unit", "size"))], names=["key", "rep", "copies", "unit", "size"])
+                r, node = route(x, fitted[tree], depth) if depth else (np.arange(len(x)), np.zeros(len(x), np.int64))
+                row.append(r)
+                leaf.append((tree << (depth + 1)) + node)
+            row, leaf = np.concatenate(row), np.concatenate(leaf).astype(np.int32)
+            order = np.lexsort((leaf, row))
+            row, leaf = row[order], leaf[order]
+            ends = np.searchsorted(row, np.arange(len(x) + 1))
+            own = pa.array([leaf[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+            picked = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), *(picked.column(c) for c in ("rep", "copies", "vector", "size")), own.take(pa.array(row))], names=["leaf", "rep", "copies", "vector", "size", "leaves"])
 
-    n_buckets = max(64, 4 * partitions(spark), count // 1000)
+    def dealt(leaves: DataFrame) -> DataFrame:
+        """A row of a large leaf meets its own block and every other of its leaf."""
+        large = leaves.groupBy("leaf").count().where(F.col("count") > MOST).select("leaf", F.ceil(F.col("count") / (MOST // 2)).cast("long").alias("n"))
+        large = cut(large)
+        many = large.limit(MOST_KEYS + 1).count()
+        if not many:
+            return leaves.withColumn("key", F.col("leaf").cast("long")).withColumn("side", F.lit(0).cast("long"))
+        out = leaves.join(F.broadcast(large) if many <= MOST_KEYS else large, "leaf", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+        out = out.withColumn("side", F.pmod(F.xxhash64("rep", "leaf"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        key = F.when(F.col("n") > 1, F.xxhash64("leaf", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("leaf"))
+        return out.withColumn("key", key.cast("long")).drop("n", "other")
 
     def compare(batches):
-        columns = ["key", "rep", "copies", "unit", "size"]
-        for table in by_group(batches, columns, "key"):
+        for table in by_group(batches, ["key", "leaf", "side", "rep", "copies", "vector", "size", "leaves"], "key"):
             for lo, hi in _runs(table["key"].to_numpy()):
                 own = table.slice(lo, hi - lo)
-                key = own["key"][0].as_py()
-                order = np.argsort(own["rep"].to_numpy(), kind="stable")
-                own = own.take(pa.array(order))
-                rep, copies, size = (own[c].to_numpy() for c in ("rep", "copies", "size"))
-                i, j = leaf_pairs(_dense(own["unit"].combine_chunks(), width), size, threshold, np.random.default_rng(key & 0xFFFFFFFF), spill)
-                if not len(i):
-                    continue
-                a, b = np.concatenate([i, j]), np.concatenate([j, i])
-                bucket = (mix(rep[a].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-                dealt = list(packed.deal(bucket, rep[a].astype(np.int64), rep[b].astype(np.int64), copies[b].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in dealt], pa.int32()), pa.array([packed.pack(*v) for _, v in dealt], pa.binary())], names=["bucket", "payload"])
-
-    def gather(key, table):
-        parts = [packed.unpack(p, "i8", "i8", "i8") for p in table["payload"].to_pylist()]
-        a, b, copies = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((b, a))
-        a, b, copies = a[order], b[order], copies[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        a, b, copies = a[new], b[new], copies[new]
-        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        ids = a[first]
-        names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-        links = Links(len(names))
-        for i, j in zip(ends[: len(a)].tolist(), ends[len(a) :].tolist()):
-            links.link(i, j)
-        pairs = names[np.array(links.pairs, np.int64).reshape(-1, 2)]
-        return pa.table({
-            "id": pa.array(np.concatenate([ids, pairs[:, 0]])),
-            "links": pa.array([*np.add.reduceat(copies, first).tolist(), *[None] * len(pairs)], pa.int64()),
-            "other": pa.array([*[None] * len(ids), *pairs[:, 1].tolist()], pa.int64()),
-        })
-
-    leaves = named.select("rep", "copies", "unit", "size").mapInArrow(spread, "key long, rep long, copies long, unit binary, size int")
-    met = leaves.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(compare, "bucket int, payload binary")
-    met = cut(met.groupBy("bucket").applyInArrow(gather, "id long, links long, other long"))
+                own = own.take(pa.array(np.argsort(own["rep"].to_numpy(), kind="stable"))).combine_chunks()
+                rep, copies, size, side = (own[c].to_numpy() for c in ("rep", "copies", "size", "side"))
+                links, pairs = leaf_links(units(own["vector"], size, width), size, side, _padded(own["leaves"]), own["leaf"][0].as_py(), copies, threshold)
+                some = np.flatnonzero(links)
+                if len(some):
+                    none = [None] * pairs.shape[1]
+                    ids, other = np.concatenate([rep[some], rep[pairs[0]]]), [*[None] * len(some), *rep[pairs[1]].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([*links[some].tolist(), *none], pa.int64()), pa.array(other, pa.int64())], names=["id", "links", "other"])
+
+    leaves = named.select("rep", "copies", "vector", "size").mapInArrow(spread, "leaf int, rep long, copies long, vector binary, size int, leaves binary")
+    met = dealt(leaves).repartition(max(partitions(spark), 1), "key").sortWithinPartitions("key").mapInArrow(compare, "id long, links long, other long")
+    met = cut(met)
     linked = components(met.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    degree = met.where("links is not null").select("id", "links")
+    degree = met.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     answer = classes.join(degree, classes.rep == degree.id, "left").drop("id").join(linked, F.col("rep") == linked.id, "left")
     answer = answer.select("digest", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("vec_id", "digest").join(answer, "digest", "left")

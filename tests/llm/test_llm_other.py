@@ -39,10 +39,12 @@ def cosine_links(vectors: dict[int, list | None], threshold: float) -> tuple[dic
     return degree, {i: root(i) for i in vectors}
 
 
-@pytest.mark.parametrize("share", [4096, 30])
-def test_embedding_forest(spark, monkeypatch, share):
+@pytest.mark.parametrize(("share", "most"), [(4096, 8192), (30, 8192), (30, 40), (4096, 40)])
+def test_embedding_forest(spark, monkeypatch, share, most):
     monkeypatch.setattr(embedding_forest, "SHARE", share)
-    monkeypatch.setattr(embedding_forest, "LEAF", 40 if share < 100 else 1024)
+    monkeypatch.setattr(embedding_forest, "MOST", most)
+    monkeypatch.setattr(embedding_forest, "TILE", 16 if most < 100 else 1024)
+    monkeypatch.setattr(embedding_forest, "PAIRS", 50 if most < 100 else 1 << 18)
     rng = np.random.default_rng(8)
     vectors: dict[int, list | None] = {}
     for g in range(40):
@@ -62,6 +64,23 @@ def test_embedding_forest(spark, monkeypatch, share):
     assert embedding_forest.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_forest_recall(spark, monkeypatch):
+    """Rows whose id is divisible by 100 against all rows, by brute force; a group of unequal near vectors among them."""
+    monkeypatch.setattr(embedding_forest, "SHARE", 128)
+    monkeypatch.setattr(embedding_forest, "MOST", 600)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((3000, 24))
+    x = np.concatenate([centres[rng.integers(0, 3000, 9000)] + 0.25 * rng.standard_normal((9000, 24)), centres[:1] + 0.05 * rng.standard_normal((1000, 24))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_forest.near_vectors(df).collect()}
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    asked = np.arange(0, len(x), 100)
+    want = (unit[asked] @ unit.T >= 0.9).sum(1) - 1
+    mine = np.array([got[i] for i in asked])
+    assert want.sum() > 10_000 and (mine <= want).all()
+    assert (mine[:90].sum() >= 0.95 * want[:90].sum()) and mine.sum() >= 0.95 * want.sum()
+
+
 def test_chat_rotation(spark):
     rows = [
         (1, 0, "system", "be kind"), (1, 1, "ann", "hello"), (1, 2, "bob", "hi, ann"), (1, 3, "cat", "hey"), (1, 3, "cat", "hey"), (1, 4, "ann", None),

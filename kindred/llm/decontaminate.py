@@ -10,7 +10,8 @@ benchmark's fingerprints (at most `most_bits` bits, 16 MB, whatever the benchmar
 documents' ones where they are made; it lets everything through that may meet. A fingerprint that
 passes is extended: the windows around it are sent as 128-bit keys, joined with the benchmark's
 windows of that fingerprint, and the words they cover are marked. The documents' texts are never
-shuffled: only thinned windows are, and what was found is joined to the documents by the text's MD5.
+shuffled: only thinned windows are. What was found is joined to the documents by the text's MD5: by
+broadcast up to a checked size, beyond it by salted keys.
 
 Defined results: null texts have no words and no hits. Repeated documents are answered each. Items
 without words match nothing. Items with equal ids count once; items with null ids hit but are not
@@ -26,12 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm import textkit as K
-from kindred.llm.shared import columns, fresh, others, widened
+from kindred.llm.shared import columns, cut, fresh, others, widened
 from kindred.session import ship
 
 _U = K.U
 #: Bits of the bitmap for each fingerprint of the benchmark, as long as `most_bits` allows.
 SPARSE = 64
+#: Word ranges and items that are broadcast at most; copies of what is found beyond that.
+BROADCAST, SALTS = 1 << 19, 16
 WINDOW = "length int, print long, one long, two long"
 
 
@@ -148,6 +151,17 @@ def _merged(hits: DataFrame) -> DataFrame:
     return spans.groupBy("digest").agg(F.array_sort(F.collect_list("x")).alias("spans"))
 
 
+def _answered(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """docs with what was found for their texts: broadcast up to BROADCAST ranges and items, else joined by salted
+    keys, so that copies of one text are spread."""
+    entries = found.agg(F.coalesce(F.sum(F.size("spans") + F.size("items")), F.lit(0))).first()[0]
+    if entries <= BROADCAST:
+        return docs.join(F.broadcast(found), key, "left")
+    salt = fresh(docs, "_salt")
+    spread = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(spread, [key, salt], "left")
+
+
 def find_benchmark(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 6, most_bits: int = 1 << 27) -> DataFrame:
     """df's columns with n_words, spans (word ranges that occur in the benchmark) and items (their ids,
     as sorted strings); columns of these names are replaced."""
@@ -172,7 +186,7 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, *, text: str = "text", i
 
     rows = df.select(*columns(df, kept), digest.alias(key), F.col(text).alias(body))
     counted = rows.mapInArrow(count, widened(rows, [*kept, key], "n_words bigint"))
-    out = counted.join(found, key, "left")
+    out = _answered(counted, cut(found), key)
     none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
     return out.select(*columns(df, kept), "n_words", none("spans"), none("items"))
 

@@ -222,8 +222,9 @@ def hits_by_force(rows, items):
     return out
 
 
-@pytest.mark.parametrize("bits", [1 << 27, 64])
-def test_decontamination(spark, bits):
+@pytest.mark.parametrize(("bits", "broadcast"), [(1 << 27, 1 << 19), (64, 0)])
+def test_decontamination(spark, monkeypatch, bits, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST", broadcast)
     rows = corpus(5)
     cut = lambda t, a, b: " ".join(t.split()[a:b])
     items = [(1, cut(rows[0][1], 2, 40)), (20, cut(rows[7][1], 0, 12) + " other end"), (3, "two words"), (4, None), (5, ""), (None, "one"), (6, "absent words here"), (7, cut(rows[0][1], 5, 20)), (1, "ñandú ünïcode"), (8, "!!!")]

@@ -6,16 +6,17 @@ an entity tag decides where both have one (weak comparison), else the modificati
 revisit stands unconfirmed. A confirmed revisit gets the response's payload and the response's
 headers, updated by the headers that a not-modified answer may change.
 
-DataFrame functions only. The as-of join is a window over (URL, block of time) and a second one over
-the blocks' last responses, so that a URL with very many captures is spread over many tasks: a block
-is a quantile of all capture times, and their number grows with the table. The windows carry keys and
-validators; payloads are fetched once, by the id of the response.
+DataFrame functions only. All captures' keys and validators are sorted by ranges of (URL, time, record) and
+kept; the as-of join is a window over (URL, range) and a second one over the ranges' last responses, so
+that a URL with very many captures, at one instant even, is spread over many tasks and the plan does not
+grow with the table. Payloads are fetched once, by the id of the response, of confirmed revisits alone.
 
 Defined results: a record with a null URL or time resolves nothing and is not resolved (reason
 'no response'); records of equal time are ordered by record_id, and only earlier ones in that order
 count; a null kind is neither a response nor a revisit. Repeated rows are resolved each; where several
-responses share an id, URL and time, the one with the least digest is used. An empty table gives no
-row. Other columns are ignored.
+responses share an id, URL and time, the one with the least digest, then the least headers, is used; of
+several headers of such revisits the least. Header names count in lower case, and of names that differ in
+case only the first stands. An empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.shared import cut
+
 #: Header fields of a stored response that a not-modified answer does not change.
 FIXED_HEADERS = ("content-encoding", "content-length", "content-md5", "content-range", "content-type", "etag", "transfer-encoding")
-BLOCK_ROWS = 50_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -42,27 +44,28 @@ def _tag(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def lower_names(headers: Column) -> Column:
+    """A map with its names in lower case; of names that differ in case only the first stays."""
+    names = F.transform(F.map_keys(headers), F.lower)
+    first = F.map_filter(headers, lambda k, _: F.array_position(names, F.lower(k)) == F.array_position(F.map_keys(headers), k))
+    return F.transform_keys(first, lambda k, _: F.lower(k))
+
+
+def _listed(headers: Column) -> Column:
+    """Headers in a form that can be ordered."""
+    return F.coalesce(F.array_sort(F.map_entries(headers)), F.array().cast("array<struct<key:string,value:string>>"))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """One row per revisit of a table (record_id, url, ts, kind, etag, last_modified, headers, payload).
 
-    kind is 'response' or 'revisit'; headers a map of lower-case names. Result: record_id, url (canonical),
+    kind is 'response' or 'revisit'; headers a map. Result: record_id, url (canonical),
     ts, response_id, confirmed, reason, headers (merged, null unless confirmed), payload.
     """
-    rows = records.select("record_id", canonical_url(F.col("url")).alias("url"), F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified", "headers", "payload")
-    dated = rows.where("url is not null and ts is not null and kind in ('response', 'revisit')")
-    n = dated.count()
-    blocks = max(8, -(-n // BLOCK_ROWS))
-    edges = dated.agg(F.percentile_approx("ts", [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0] or []
-    # the number of the quantile: few edges, searched by halves
-    edges = sorted(set(edges))
-
-    def block(lo: int, hi: int) -> Column:
-        if hi - lo == 0:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("ts") <= edges[mid], block(lo, mid)).otherwise(block(mid + 1, hi))
-
-    keys = dated.withColumn("block", block(0, len(edges))).select("record_id", "url", "ts", "kind", "etag", "last_modified", "block")
+    rows = records.select("record_id", canonical_url(F.col("url")).alias("url"), F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified", lower_names(F.col("headers")).alias("headers"), "payload")
+    dated = rows.where("url is not null and ts is not null and kind in ('response', 'revisit')").select("record_id", "url", "ts", "kind", "etag", "last_modified")
+    # a block is a range of the sorted captures: the partition number in the row's id
+    keys = cut(dated.orderBy("url", "ts", "record_id").withColumn("block", F.shiftright(F.monotonically_increasing_id(), 33)))
     seen = F.when(F.col("kind") == "response", F.struct("ts", F.col("record_id").alias("response_id"), F.col("etag").alias("was_etag"), F.col("last_modified").alias("was_modified")))
     keys = keys.withColumn("seen", seen)
     order = [F.col("ts"), F.col("record_id")]
@@ -85,12 +88,15 @@ def resolve(records: DataFrame) -> DataFrame:
     )
     judged = joined.unionByName(missing).withColumn("reason", reason).withColumn("confirmed", F.col("reason").isin("etag", "last-modified"))
     judged = judged.select("record_id", "url", "ts", F.col("r.response_id").alias("response_id"), F.col("r.ts").alias("response_ts"), "confirmed", "reason")
-    own = rows.where("kind = 'revisit'").select("record_id", "url", "ts", F.col("headers").alias("new_headers")).dropDuplicates(["record_id", "url", "ts"])
-    full = rows.where("kind = 'response'").groupBy(F.col("record_id").alias("response_id"), F.col("ts").alias("response_ts"), "url").agg(F.min_by(F.struct("headers", "payload"), F.sha2(F.coalesce("payload", F.lit("")), 256)).alias("full"))
+    own = rows.where("kind = 'revisit'").groupBy("record_id", "url", "ts").agg(F.min_by("headers", _listed(F.col("headers"))).alias("new_headers"))
+    wanted = judged.where("confirmed").select("response_id", "response_ts", "url").distinct()
+    full = rows.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("ts").alias("response_ts"), "url", "headers", "payload").join(wanted, ["response_id", "response_ts", "url"], "left_semi")
+    order = F.struct(F.sha2(F.coalesce("payload", F.lit("")), 256), _listed(F.col("headers")))
+    full = full.groupBy("response_id", "response_ts", "url").agg(F.min_by(F.struct("headers", "payload"), order).alias("full"))
     same = (F.col("j.record_id").eqNullSafe(F.col("o.record_id"))) & F.col("j.url").eqNullSafe(F.col("o.url")) & F.col("j.ts").eqNullSafe(F.col("o.ts"))
     out = judged.alias("j").join(own.alias("o"), same, "left").select("j.*", "new_headers")
     out = out.join(full, ["response_id", "response_ts", "url"], "left")
-    changed = F.map_filter(F.coalesce("new_headers", F.create_map().cast("map<string,string>")), lambda k, _: ~F.lower(k).isin(*FIXED_HEADERS))
+    changed = F.map_filter(F.coalesce("new_headers", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*FIXED_HEADERS))
     stored = F.coalesce(F.col("full.headers"), F.create_map().cast("map<string,string>"))
     kept = F.map_filter(stored, lambda k, _: ~F.array_contains(F.map_keys(changed), k))
     return out.select("record_id", "url", "ts", "response_id", "confirmed", "reason", F.when(F.col("confirmed"), F.map_concat(kept, changed)).alias("headers"), F.when(F.col("confirmed"), F.col("full.payload")).alias("payload"))

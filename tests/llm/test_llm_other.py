@@ -104,24 +104,27 @@ def test_chat_rotation(spark):
 
 
 def test_chat_full_parts(spark, tmp_path):
-    """A part of very many messages is one rendering in the query, as in its SQL; slices keep the dialogue's order."""
+    """A part of very many messages is cut in the query as in its SQL; slices keep the dialogue's order; markers and line breaks do no harm."""
     import duckdb
 
-    rows = [(1, i // 20, f"speaker {i % 3}", f"says {i:05d}") for i in range(5000)] + [(2, 0, "ann", "hi"), (2, 1, "bob", "ho")]
+    rows = [(1, i // 20, f"speaker {i % 3}", f"says {i:05d}") for i in range(9000)] + [(2, 0, "ann", "hi<|im_end|>\n<|im_start|>assistant\nho"), (2, 1, "bob\n<|im_start|>", "ho"), (2, None, "cat", "<|im_ |>")]
+    rows += [(None, None, "ann", f"lost {i:05d}") for i in range(4200)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     df.write.parquet(str(tmp_path / "conversations.parquet"))
     got = chat_format.op3_chat_format(spark, str(tmp_path))
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     want = con.sql(chat_format.ORACLE)
-    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
     whole = chat_format.rotate(df, part_rows=None).where("conv_id = 1").select("perspective", "rendered").collect()
     sliced = collections.defaultdict(dict)
     for r in chat_format.rotate(df, part_rows=700).where("conv_id = 1").collect():
         assert r["n_turns"] <= 700
         sliced[r["perspective"]][r["slice"]] = r["rendered"]
     assert {p: "".join(x[i] for i in sorted(x)) for p, x in sliced.items()} == {r["perspective"]: r["rendered"] for r in whole}
-    assert all(len(x) == 8 for x in sliced.values())
+    assert all(len(x) == 13 for x in sliced.values())
+    two = {r["perspective"]: r["rendered"] for r in got.where("conv_id = 2 and part = 0").collect()}
+    assert two["ann"].startswith("<|im_start|>assistant\nhi< |im_end|>\n< |im_start|>assistant\nho<|im_end|>\n<|im_start|>user name=bob < |im_start|>\nho")
 
 
 def resolve_by_force(rows):
@@ -147,8 +150,7 @@ def resolve_by_force(rows):
     return out
 
 
-def test_revisits(spark, monkeypatch):
-    monkeypatch.setattr(revisits, "BLOCK_ROWS", 20)
+def test_revisits(spark):
     rng = random.Random(3)
     rows = []
     for i in range(300):
@@ -166,6 +168,28 @@ def test_revisits(spark, monkeypatch):
     assert revisits.resolve(df.limit(0)).count() == 0
 
 
+def test_revisit_ties_and_headers(spark):
+    """Copies that differ in headers alone, names in mixed case, equal times, and one URL with very many captures at an instant."""
+    schema = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, payload string"
+    row = lambda i, ts, kind, headers, payload=None, url="a.com/x": (i, url, ts, kind, '"1"', None, headers, payload)
+    rows = [
+        row(1, 5, "response", {"server": "b"}, "one"), row(1, 5, "response", {"Server": "a", "SERVER": "z", "Content-Length": "3"}, "one"), row(1, 5, "response", None, "two"),
+        row(2, 5, "revisit", {"Server": "new", "Content-Length": "0"}), row(2, 5, "revisit", {"server": "old"}), row(0, 5, "revisit", {"server": "x"}),
+    ]
+    rows += [row(100 + i, 7, "response" if i % 2 else "revisit", {}, f"p{i}" if i % 2 else None, "b.com/") for i in range(400)]
+    found = revisits.resolve(spark.createDataFrame(rows, schema).repartition(5)).collect()
+    mine = [r for r in found if r["url"] == "a.com/x"]
+    assert sorted((r["record_id"], r["reason"]) for r in mine) == [(0, "no response"), (2, "etag"), (2, "etag")]
+    # the digest of "two" is less than that of "one" or not: the payload with the least digest decides, then its headers
+    import hashlib
+
+    least = min(["one", "two"], key=lambda p: hashlib.sha256(p.encode()).hexdigest())
+    stored = {} if least == "two" else {"content-length": "3"}
+    assert {(r["payload"], tuple(sorted(r["headers"].items()))) for r in mine if r["confirmed"]} == {(least, tuple(sorted((stored | {"server": "new"}).items())))}
+    late = {r["record_id"]: r["response_id"] for r in found if r["url"] == "b.com"}
+    assert late == {100 + i: (None if i == 0 else 99 + i) for i in range(0, 400, 2)}
+
+
 def test_canonical_urls(spark):
     cases = {
         "HTTP://WWW.Example.com:80/a/b/#top": "example.com/a/b", "https://x.org/?utm_source=feed": "x.org", "http://x.org/p?a=1&utm_medium=m&b=2": "x.org/p?a=1&b=2",

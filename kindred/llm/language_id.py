@@ -1,16 +1,17 @@
 """Language identification with language-bitmask n-gram filters.
 
-Every slot of a bit-sliced Bloom filter is a 64-bit mask, one bit a language. A gram's k slots are
-AND-ed: the result names all languages whose filter may hold the gram. A text's votes are the
+Every slot of a bit-sliced Bloom filter is a mask of one bit a language, in as many 64-bit words as the
+languages need. A gram's k slots are AND-ed: the result names all languages whose filter may hold the gram. A text's votes are the
 per-language popcounts over its grams, corrected for each filter's own false-positive rate.
 
-The filters are fitted on a bounded sample (`per_language` rows of each language, chosen by a hash
-of the id); every text is scored whole, by the same broadcast filter of fixed size.
+The filters are fitted on a bounded sample (`per_language` rows of each language and about `most_rows` in
+all, chosen by a hash of the id) of the `most_languages` languages with most labelled rows, and hold each
+language's `top` most frequent grams of the sample; every text is scored whole, by the same broadcast filter of fixed size.
 
 Defined results: null text or text without a letter -> `und`, score 0. A text whose grams are in no
 filter gets the language with most sampled rows, score 0. Ties go to the language first by name.
-Rows with null language are not learned from. Repeated rows are scored each. More than 64 languages
-raise ValueError; no labelled row at all -> every text is `und`.
+Rows with null language are not learned from. Repeated rows are scored each. No labelled row at all ->
+every text is `und`. Columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -70,12 +71,10 @@ def _slots(keys: np.ndarray, size: int, hashes: int) -> list[np.ndarray]:
 def fit(sample: pa.Table, *, gram: int = 3, top: int = 1000, bits: int = 16, hashes: int = 3) -> LanguageFilters | None:
     """Filters from a table (text, lang): each language's `top` most frequent grams."""
     names = sorted({x for x in sample["lang"].to_pylist() if x is not None})
-    if len(names) > 64:
-        raise ValueError(f"{len(names)} languages; one filter holds 64")
     if not names:
         return None
     size = 1 << bits
-    slots, rates, rows = np.zeros(size, _U), np.zeros(len(names)), []
+    slots, rates, rows = np.zeros((-(-len(names) // 64), size), _U), np.zeros(len(names)), []
     langs = np.array(sample["lang"].to_pylist(), object)
     data, offsets = K.utf8(sample["text"])
     for bit, name in enumerate(names):
@@ -93,41 +92,48 @@ def fit(sample: pa.Table, *, gram: int = 3, top: int = 1000, bits: int = 16, has
             np.add.at(total, inverse, np.concatenate([counts["n"], n]))
             counts = {"key": key, "n": total}
         order = np.lexsort((counts["key"], -counts["n"]))[:top]
+        word = slots[bit // 64]
         for at in _slots(counts["key"][order], size, hashes):
-            slots[at] |= _U(1) << _U(bit)
-        rates[bit] = (((slots >> _U(bit)) & _U(1)).mean()) ** hashes
+            word[at] |= _U(1) << _U(bit % 64)
+        rates[bit] = (((word >> _U(bit % 64)) & _U(1)).mean()) ** hashes
     return LanguageFilters(tuple(names), slots, rates, int(np.argmax(rows)), gram, hashes)
 
 
 def votes(model: LanguageFilters, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts x languages: popcounts corrected for false positives, never below 0."""
     keys, at = grams(data, offsets, model.gram)
-    mask = np.full(len(keys), ~_U(0), _U)
-    for slot in _slots(keys, len(model.slots), model.hashes):
-        mask &= model.slots[slot]
     n = np.diff(at)
     out = np.zeros((len(n), len(model.languages)))
+    places = _slots(keys, model.slots.shape[1], model.hashes)
     for bit, rate in enumerate(model.rates):
-        total = np.concatenate([[0], np.cumsum((mask >> _U(bit)) & _U(1), dtype=np.int64)])
+        if bit % 64 == 0:
+            mask = np.full(len(keys), ~_U(0), _U)
+            for slot in places:
+                mask &= model.slots[bit // 64][slot]
+        total = np.concatenate([[0], np.cumsum((mask >> _U(bit % 64)) & _U(1), dtype=np.int64)])
         out[:, bit] = np.maximum((total[at[1:]] - total[at[:-1]] - n * rate) / (1 - rate), 0)
     return out
 
 
-def sample_rows(df: DataFrame, group: str, per_group: int | Column, key: str = "doc_id") -> DataFrame:
+def sample_rows(df: DataFrame, group: str, per_group: float | Column, key: str = "doc_id", most_groups: int = 4096) -> DataFrame:
     """About `per_group` rows (a number, or a column of `group`) of each value of `group`: those with the least hash of `key`.
 
-    A threshold per group from the groups' counts; no sort and no window over a group.
+    A threshold per group from the groups' counts; no sort and no window over a group. Of more than
+    `most_groups` groups those with most rows are sampled, so the broadcast thresholds have a bound.
     """
     most = per_group if isinstance(per_group, Column) else F.lit(float(per_group))
-    share = df.groupBy(group).count().select(group, (most / F.col("count")).alias("_share"))
+    counts = df.groupBy(group).count().orderBy(F.desc("count"), group).limit(most_groups)
+    share = counts.select(group, (most / F.col("count")).alias("_share"))
     spot = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
     return df.join(F.broadcast(share), group).where(spot < F.col("_share")).drop("_share")
 
 
-def fit_filters(df: DataFrame, learn: Column, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 2000, **knobs) -> LanguageFilters | None:
-    """Fits on at most about `per_language` rows a language among those where `learn` holds."""
+def fit_filters(df: DataFrame, learn: Column, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 2000, most_rows: int = 40_000, most_languages: int = 4096, **knobs) -> LanguageFilters | None:
+    """Fits on at most about `per_language` rows a language, and `most_rows` in all, among those where `learn` holds."""
     rows = df.where(learn).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = sample_rows(rows.where("text is not null and lang is not null"), "lang", per_language)
+    rows = rows.where("text is not null and lang is not null")
+    languages = rows.agg(F.approx_count_distinct("lang")).first()[0]
+    rows = sample_rows(rows, "lang", min(per_language, most_rows / max(min(languages, most_languages), 1)), most_groups=most_languages)
     return fit(rows.select("doc_id", "text", "lang").toArrow().sort_by("doc_id"), **knobs)
 
 

@@ -353,6 +353,51 @@ def test_language_id(spark):
     assert len(keys) == 4
 
 
+def test_language_votes_by_force(spark):
+    """Predictions and scores against a plain computation of the filters, with more languages than a mask word holds."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéñ"
+    parts = {f"l{k:03d}": ["".join(rng.choice(letters) for _ in range(2)) for _ in range(6)] for k in range(70)}
+    text = lambda lang: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(30))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(sorted(parts) * 4)]
+    asked = [(1000 + i, text(lang), None) for i, lang in enumerate(sorted(parts))] + [(2000, "Zwei,  drei! ABC", None), (2001, "x", None), (2002, "7 8", None)]
+    df = frame(spark, [*rows, *asked], "doc_id long, text string, lang string")
+    model = language_id.fit_filters(df, F.lit(True), top=40, bits=12)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(df, model).collect()}
+
+    word = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & word
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & word
+        return h ^ (h >> 31)
+
+    def grams(t):
+        plain = re.sub(rb" +", b" ", re.sub(rb"[^a-z\x80-\xff]", b" ", t.translate(LOWER).encode()))
+        return [mixed(int.from_bytes(plain[i : i + 3], "big")) for i in range(len(plain) - 2)]
+
+    slots = lambda key: [(key + i * ((key >> 32) | 1) & word) % 4096 for i in range(3)]
+    filters = {}
+    for lang in sorted(parts):
+        counts = collections.Counter(g for _, t, own in rows if own == lang for g in grams(t))
+        filters[lang] = {s for g in sorted(counts, key=lambda g: (-counts[g], g))[:40] for s in slots(g)}
+    for doc, t, _ in [*rows, *asked]:
+        if not re.search(r"[^\W\d_]", t):
+            assert got[doc] == ("und", 0.0)
+            continue
+        own = grams(t)
+        votes = {}
+        for lang, have in filters.items():
+            rate = (len(have) / 4096) ** 3
+            votes[lang] = max((sum(all(s in have for s in slots(g)) for g in own) - len(own) * rate) / (1 - rate), 0.0)
+        total = sum(votes.values())
+        best = max(sorted(votes), key=lambda k: votes[k]) if total else sorted(parts)[0]
+        assert got[doc][0] == best and np.isclose(got[doc][1], votes[best] / total if total else 0.0)
+    assert sum(got[1000 + i][0] == lang for i, lang in enumerate(sorted(parts))) >= 65
+
+
 def test_maximal_segments():
     def by_force(scores):
         """Maximal segments by their definition: best contiguous run, then the same left and right of it."""

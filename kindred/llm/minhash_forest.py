@@ -365,6 +365,21 @@ def _blocks(rows: Column, shingles_: Column) -> Column:
     return F.greatest(F.ceil(rows / F.lit(BLOCK_ROWS / 2)), F.ceil(shingles_ / F.lit(BLOCK / 2))).cast("int")
 
 
+def thinned(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = 1 << 27) -> DataFrame:
+    """The rows whose key may be among the wanted ones, and all that are: a filter before a shuffle.
+
+    What is broadcast is a bitmap of the keys' hashes, of at most most_bits bits whatever their number.
+    """
+    count, size = wanted.count(), 64
+    while size < min(most_bits, 8 * count):
+        size *= 2
+    place = F.pmod(F.xxhash64(key), F.lit(size))
+    bits = wanted.select(F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {size}) & 63 as int))").alias("_bit"))
+    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = F.expr(f"(shiftrightunsigned(_bits, cast(pmod(xxhash64(`{key}`), {size}) & 63 as int)) & 1) = 1")
+    return rows.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(bits), "_word").where(held).drop("_word", "_bits")
+
+
 def confirmed_edges(df: DataFrame, classes: DataFrame, groups: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """(a, b): confirmed links that connect what is linked within each loose group.
 
@@ -375,14 +390,15 @@ def confirmed_edges(df: DataFrame, classes: DataFrame, groups: DataFrame, doc_id
     members = cut(members)
     sums = [F.sum("shingles").alias("total"), F.count("*").alias("size")]
     large = cut(members.groupBy("component").agg(*sums).where((F.col("total") > BLOCK) | (F.col("size") > BLOCK_ROWS)))
-    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    fetched = lambda chosen: _sets(texts.join(chosen, "doc_id"), size)
+    texts = thinned(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), members.select("doc_id"), "doc_id")
+    sets = _sets(texts.join(members, "doc_id"), size)
     row = lambda key, side: [key.alias("key"), F.col("rep"), F.col("signature"), F.col("items"), side.cast("int").alias("side")]
     if large.isEmpty():
-        return _links_within(fetched(members).select(*row(F.col("component"), F.lit(0))), percent)
-    few = fetched(members.join(large.select("component"), "component", "left_anti"))
+        return _links_within(sets.select(*row(F.col("component"), F.lit(0))), percent)
+    sets = cut(sets)
+    few = sets.join(large.select("component"), "component", "left_anti")
     found = cut(_links_within(few.select(*row(F.col("component"), F.lit(0))), percent))
-    many = cut(fetched(members.join(large.select("component"), "component")).join(large, "component").withColumn("n", _blocks(F.col("size"), F.col("total"))))
+    many = cut(sets.join(large, "component").withColumn("n", _blocks(F.col("size"), F.col("total"))))
     block = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), n)
     for salt in (1, 2):
         found = found.union(_links_within(many.select(*row(F.xxhash64("component", block(salt, F.col("n")), F.lit(salt)), F.lit(0))), percent))

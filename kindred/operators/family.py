@@ -139,7 +139,7 @@ def detect(classes: DataFrame, entries: DataFrame, radius: int, use_strings: boo
         n = entries.groupBy("pack").agg(F.count("*").alias("n"))
         idf = known.groupBy("pack", "s").agg(F.count("*").alias("df")).join(n, "pack").select("pack", "s", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
         told = classes.select("digest", "pos", F.explode(S.useful_strings()).alias("s"))
-        scored = told.join(known.join(idf, ["pack", "s"]), "s").groupBy("digest", "pos", "pack", "entry_id").agg(F.sum("idf").alias("score")).where(F.col("score") >= string_floor)
+        scored = told.join(known.join(idf, ["pack", "s"]), "s").groupBy("digest", "pos", "pack", "entry_id").agg(F.round(F.sum("idf"), 9).alias("score")).where(F.col("score") >= string_floor)
         hits = hits.unionByName(scored.select("digest", "pos", "pack", "entry_id", F.lit(3).alias("tier"), F.lit(-1).alias("distance"), "score"))
     best = Window.partitionBy("digest", "pos", "pack").orderBy("tier", "distance", F.desc("score"), "entry_id")
     return hits.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")

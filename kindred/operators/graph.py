@@ -1,4 +1,4 @@
-"""Graphs: connected components, closure of a parent relation, rounds of reach."""
+"""Graphs: connected components, closure of a parent relation, pairs within a radius."""
 
 from __future__ import annotations
 
@@ -53,20 +53,6 @@ def closure(parents: DataFrame, most_depth: int = 64) -> DataFrame:
     return out
 
 
-def reach(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """(node, round): nodes that a frontier meets first in each round; seeds are round 0. Edges (a, b) go both ways."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    frontier = cut(seeds.select("node").distinct())
-    out = frontier.withColumn("round", F.lit(0))
-    for n in range(1, rounds + 1):
-        frontier = both.join(frontier, both.a == frontier.node).select(F.col("b").alias("node")).distinct()
-        frontier = cut(frontier.join(out.select("node"), "node", "left_anti"))
-        if frontier.isEmpty():
-            break
-        out = cut(out.unionByName(frontier.withColumn("round", F.lit(n))))
-    return out
-
-
 def banded_pairs(rows: DataFrame, radius: int) -> DataFrame:
     """(l, r, hamming): all pairs of rows (id, sig) within a Hamming radius, exactly.
 

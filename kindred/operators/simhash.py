@@ -17,6 +17,9 @@ from kindred.functions.hashing import murmur3_of
 from kindred.schema import ACCESS_FLAGS, SIGNATURE
 from kindred.session import ship
 
+#: Sums of weights that differ by less are equal: the order of adding up decides no bit.
+TIE = 1e-9
+
 
 def simhash_agg(tokens: DataFrame, keys: list[str], hash_col: str = "h", weight: str = "w", name: str = "simhash") -> DataFrame:
     """One row per key: bit b is set iff the weights of tokens with the bit exceed those without."""
@@ -80,7 +83,7 @@ def signatures(classes: DataFrame, name: str = "sig") -> DataFrame:
             bits = np.zeros(4 * n, np.int64)
             for b in range(32):
                 votes = np.bincount(slot, np.where((hashes >> b) & 1, weight, -weight), 4 * n)
-                bits |= (votes > 0).astype(np.int64) << b
+                bits |= (votes > TIE).astype(np.int64) << b
             bits = bits.reshape(n, 4)
             sig = pa.StructArray.from_arrays([pa.array(bits[:, i]) for i in range(4)], names=list(S.SIGNATURE_PARTS))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sig], names=[*kept, name])

@@ -2,8 +2,7 @@
 
 The driver's tables play the entities: a document is a class and its words are tokens, an order is a
 class and its lines are methods, a URL's host read backwards is a package. Each query runs an operator
-of the library over whole tables, but near_dup_topk and radius_presence: their SQL asks for even documents
-against odd ones. near_dup_topk_all and radius_presence_all ask for every document against all others.
+of the library over whole tables; kindred.plans.whole adds those that run the larger operators whole.
 """
 
 from __future__ import annotations
@@ -15,11 +14,10 @@ from pyspark.sql import functions as F
 
 from kindred.functions import scalars as S
 from kindred.functions.hashing import md5_32
-from kindred.operators import anchors, assign, changes, graph, grade, lsh
-from kindred.operators.grouped import numbered
+from kindred.operators import anchors, assign, changes, family, graph, grade, lsh
 from kindred.operators.simhash import simhash_agg
 from kindred.plans.lineage import cut
-from kindred.schema import OPCODE_CATEGORIES
+from kindred.schema import OPCODE_CATEGORIES, with_positions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,9 +64,14 @@ def doc_simhash(spark, sf_dir):
 
 
 def doc_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, sig): four 32-bit signatures of salted token hashes, in one aggregation by document and part."""
+    """(id, sig) of the documents."""
+    return token_signatures(doc_tokens(spark, sf_dir))
+
+
+def token_signatures(tokens: DataFrame) -> DataFrame:
+    """(id, sig) of (doc_id, token, w): four 32-bit signatures of salted token hashes, in one aggregation by document and part."""
     parts = F.array(*[F.struct(F.lit(p).alias("part"), md5_32(F.concat(F.lit(f"{p}:"), "token")).alias("h")) for p in S.SIGNATURE_PARTS])
-    tokens = doc_tokens(spark, sf_dir).select("doc_id", F.explode(parts).alias("x"), "w").select("doc_id", "x.part", "x.h", "w")
+    tokens = tokens.select("doc_id", F.explode(parts).alias("x"), "w").select("doc_id", "x.part", "x.h", "w")
     votes = simhash_agg(tokens, ["doc_id", "part"])
     wide = votes.groupBy("doc_id").agg(*[F.max(F.when(F.col("part") == p, F.col("simhash"))).alias(p) for p in S.SIGNATURE_PARTS])
     return wide.select(F.col("doc_id").alias("id"), F.struct(*S.SIGNATURE_PARTS).alias("sig"))
@@ -96,19 +99,10 @@ def lsh_bucket_keys(spark, sf_dir):
     return doc_signatures(spark, sf_dir).select(F.col("id").alias("doc_id"), F.explode(lsh.bucket_keys(F.col("sig"))).alias("x")).select("doc_id", "x.perm", "x.key")
 
 
-@query(f"""with {_SIGS}, k as ({_KEYS}),
-m as (select a.doc_id l, b.doc_id r, {_HAMMING} hamming, min(a.perm) p from k a join k b on a.perm = b.perm and a.key = b.key where a.doc_id % 2 = 0 and b.doc_id % 2 = 1 group by all)
-select l, r, hamming, rank::INT rank from (select *, row_number() over (partition by l order by hamming, p, r) rank from m) where rank <= 3""")
-def near_dup_topk(spark, sf_dir):
-    """The three nearest odd documents of every even one."""
-    sigs = cut(doc_signatures(spark, sf_dir)).withColumn("pool", F.lit(""))
-    return lsh.nearest(sigs.where("id % 2 = 0"), sigs.where("id % 2 = 1"), 3).select("l", "r", "hamming", "rank")
-
-
 @query(f"""with {_SIGS}, k as ({_KEYS}),
 m as (select a.doc_id l, b.doc_id r, {_HAMMING} hamming, min(a.perm) p from k a join k b on a.perm = b.perm and a.key = b.key where a.doc_id <> b.doc_id group by all)
 select l, r, hamming, rank::INT rank from (select *, row_number() over (partition by l order by hamming, p, r) rank from m) where rank <= 3""")
-def near_dup_topk_all(spark, sf_dir):
+def near_dup_topk(spark, sf_dir):
     """The three nearest other documents of every document."""
     sigs = cut(doc_signatures(spark, sf_dir)).withColumn("pool", F.lit(""))
     # one more than three, since the document itself may be among them
@@ -135,19 +129,9 @@ def dup_components(spark, sf_dir):
     return rows.join(sizes, "component").select("doc_id", "component", "size")
 
 
-@query(f"""with {_SIGS}, d as (select a.doc_id l, b.doc_id r, {_HAMMING} h from s a join s b on a.doc_id % 2 = 0 and b.doc_id % 2 = 1 where {_HAMMING} <= 12)
-select doc_id, exists (select 1 from d where d.l = s.doc_id) near from s where doc_id % 2 = 0""")
-def radius_presence(spark, sf_dir):
-    """Whether an even document has an odd one within twelve bits, exactly (thirteen bands)."""
-    sigs = cut(doc_signatures(spark, sf_dir))
-    pairs = graph.banded_pairs(sigs, 12).select(F.explode(F.array(F.struct(F.col("l").alias("x"), F.col("r").alias("y")), F.struct(F.col("r").alias("x"), F.col("l").alias("y")))).alias("p")).select("p.*")
-    near = pairs.where("x % 2 = 0 and y % 2 = 1").select(F.col("x").alias("id")).distinct().withColumn("near", F.lit(True))
-    return sigs.where("id % 2 = 0").join(near, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("near", F.lit(False)).alias("near"))
-
-
 @query(f"""with {_SIGS}, d as (select a.doc_id l from s a join s b on a.doc_id <> b.doc_id where {_HAMMING} <= 12)
 select doc_id, exists (select 1 from d where d.l = s.doc_id) near from s""")
-def radius_presence_all(spark, sf_dir):
+def radius_presence(spark, sf_dir):
     """Whether a document has another one within twelve bits, exactly (thirteen bands)."""
     sigs = cut(doc_signatures(spark, sf_dir))
     near = graph.banded_pairs(sigs, 12).select(F.explode(F.array("l", "r")).alias("id")).distinct().withColumn("near", F.lit(True))
@@ -209,13 +193,6 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("early").select("s", "p").distinct(), rows.where("not early").select("s", "p").distinct()
 
 
-@query(f"with {_HALVES} select s, p, 'removed' kind from (select * from a except select * from b) union all select s, p, 'added' from (select * from b except select * from a)")
-def added_removed(spark, sf_dir):
-    one, two = _halves(spark, sf_dir)
-    gone = one.join(two, ["s", "p"], "left_anti").withColumn("kind", F.lit("removed"))
-    return gone.unionByName(two.join(one, ["s", "p"], "left_anti").withColumn("kind", F.lit("added")))
-
-
 # ---- changes: C1, C3, C4, A10, F7, F9
 
 _CHANGES = f"""{_HALVES}, la as (select s, list(p) x from a group by s), lb as (select s, list(p) x from b group by s),
@@ -234,14 +211,6 @@ def _supplier_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("s", kind.alias("kind"), F.when(paired, more).otherwise(0).cast("long").alias("n_added"), F.when(paired, less).otherwise(0).cast("long").alias("n_removed"))
 
 
-@query(f"with {_CHANGES} select s, kind, n_added, n_removed, row_number() over (order by case kind when 'modified' then 0 when 'added' then 1 when 'removed' then 2 else 4 end, n_added + n_removed desc, s) place from ch")
-def change_report(spark, sf_dir):
-    """Suppliers' parts before and after a day, ranked by kind and magnitude (one row a supplier)."""
-    rows = _supplier_changes(spark, sf_dir)
-    order = [changes.rank(F.col("kind"), changes.KIND_RANK, 9), F.desc(F.col("n_added") + F.col("n_removed")), F.col("s")]
-    return numbered(rows, order, "place")
-
-
 @query(f"with {_CHANGES} select kind, count(*) count from ch group by kind")
 def change_counts(spark, sf_dir):
     return changes.counts(_supplier_changes(spark, sf_dir))
@@ -254,30 +223,6 @@ def select_changed(spark, sf_dir):
 
 # ---- bags, sets, strings: X10, X13, X23, C1, A9, J24
 
-@query("""with t as (select doc_id, unnest(string_split(lower(text), ' ')) w from documents), c as (select doc_id, w, count(*) n from t where w <> '' group by all), z as (select doc_id, sum(n) n from c group by 1)
-select a.doc_id, round(coalesce(i.n, 0) / (a.n + b.n - coalesce(i.n, 0)), 6) jaccard from z a join z b on b.doc_id = a.doc_id + 1
-left join (select x.doc_id, sum(least(x.n, y.n)) n from c x join c y on y.doc_id = x.doc_id + 1 and x.w = y.w group by 1) i on i.doc_id = a.doc_id""")
-def bag_jaccard_docs(spark, sf_dir):
-    """Bag similarity of each document and the next, by counts of words."""
-    counts = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w")).where("w <> ''").groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("doc_id").agg(F.sum("n").alias("size"))
-    shared = counts.join(counts.select((F.col("doc_id") - 1).alias("doc_id"), "w", F.col("n").alias("m")), ["doc_id", "w"]).groupBy("doc_id").agg(F.sum(F.least("n", "m")).alias("both"))
-    rows = sizes.join(sizes.select((F.col("doc_id") - 1).alias("doc_id"), F.col("size").alias("next")), "doc_id").join(shared, "doc_id", "left")
-    both = F.coalesce("both", F.lit(0))
-    return rows.select("doc_id", F.round(both / (F.col("size") + F.col("next") - both), 6).alias("jaccard"))
-
-
-@query("""with t as (select conv_id, turn, list_distinct(list_filter(string_split(text, ' '), lambda x: x <> '')) w from conversations)
-select a.conv_id, a.turn, len(list_filter(b.w, lambda x: not list_contains(a.w, x))) n_added, len(list_filter(a.w, lambda x: not list_contains(b.w, x))) n_removed,
-array_to_string(list_sort(list_filter(b.w, lambda x: not list_contains(a.w, x))), ' ') added from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1""")
-def set_delta_turns(spark, sf_dir):
-    """Words that come and go from one turn of a conversation to the next."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(F.filter(F.split("text", " "), lambda x: x != "")).alias("w"))
-    rows = rows.join(rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v")), ["conv_id", "turn"])
-    more, less = F.array_except("v", "w"), F.array_except("w", "v")
-    return rows.select("conv_id", "turn", F.size(more).cast("long").alias("n_added"), F.size(less).cast("long").alias("n_removed"), F.array_join(F.array_sort(more), " ").alias("added"))
-
-
 @query("""with t as (select distinct source, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents), u as (select * from t where length(w) >= 4 and not regexp_matches(w, '^[0-9]+$'))
 select source, array_to_string(list(w order by length(w) desc, w)[1:32], ' ') strings from u group by source""")
 def top_strings(spark, sf_dir):
@@ -288,29 +233,6 @@ def top_strings(spark, sf_dir):
     return best.groupBy("source").agg(F.array_join(S.top_strings(F.collect_list("w"), 32), " ").alias("strings"))
 
 
-@query("""with t as (select distinct source, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents) select w, string_agg(source, ',' order by source) holders from t where w <> '' group by w""")
-def where_inverted(spark, sf_dir):
-    """Which sources hold a word."""
-    per = table(spark, sf_dir, "documents").select("source", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).distinct()
-    return per.groupBy("w").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("holders"))
-
-
-@query("""with t as (select distinct source, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents) select w, count(*) coverage from t where w <> '' group by w having count(*) >= 12""")
-def k_of_n_tokens(spark, sf_dir):
-    """Words of at least 12 of the 20 sources."""
-    per = table(spark, sf_dir, "documents").select("source", F.explode(words(F.col("text"))).alias("w")).distinct()
-    return per.groupBy("w").agg(F.count("*").alias("coverage")).where("coverage >= 12")
-
-
-@query("""with t as (select distinct lang, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents) select w from t where w <> '' group by w having count(*) = (select count(distinct lang) from documents)""")
-def invariant_tokens(spark, sf_dir):
-    """Words that every language has: the intersection over members."""
-    docs = table(spark, sf_dir, "documents")
-    n = docs.select("lang").distinct().agg(F.count("*").alias("n"))
-    per = docs.select("lang", F.explode(words(F.col("text"))).alias("w")).distinct().groupBy("w").agg(F.count("*").alias("k"))
-    return per.join(F.broadcast(n), per.k == n.n).select("w")
-
-
 # ---- anchors: J2, A4
 
 _ANCHOR = """d as (select distinct doc_id l, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents), b as (select distinct item_id r, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from benchmark),
@@ -343,19 +265,9 @@ def anchor_pairs(spark, sf_dir):
 
 # ---- scores: X12, X15, J5, J10, A6, A8
 
-@query("""select a.p_partkey l, b.p_partkey r, round(1.0 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) similarity from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey
-where 1.0 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) >= 0.5""")
-def levenshtein_names(spark, sf_dir):
-    """Alike names among parts of one brand and size (the block)."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    other = part.select(F.col("p_partkey").alias("r"), F.col("p_name").alias("other"), "p_brand", "p_size")
-    score = S.edit_similarity(F.col("p_name"), F.col("other"))
-    return part.join(other, ["p_brand", "p_size"]).where("p_partkey < r").select(F.col("p_partkey").alias("l"), "r", score.alias("s")).where("s >= 0.5").select("l", "r", F.round("s", 6).alias("similarity"))
-
-
 @query("""select a.p_partkey l, b.p_partkey r, round(1.0 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) similarity from part a join part b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey
 where 1.0 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) >= 0.5""")
-def levenshtein_names_brand(spark, sf_dir):
+def levenshtein_names(spark, sf_dir):
     """Alike names among all parts of one brand; names of which one is over twice as long cannot be alike."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     other = part.select(F.col("p_partkey").alias("r"), F.col("p_name").alias("other"), "p_brand")
@@ -365,25 +277,6 @@ def levenshtein_names_brand(spark, sf_dir):
     return pairs.select(F.col("p_partkey").alias("l"), "r", score.alias("s")).where("s >= 0.5").select("l", "r", F.round("s", 6).alias("similarity"))
 
 
-@query("select l_orderkey, round(sum((l_quantity + 1)::DECIMAL(12, 2) * (1 - l_discount::DECIMAL(12, 2)))::DOUBLE / sum((l_quantity + 1)::DECIMAL(12, 2))::DOUBLE, 6) rollup from lineitem group by l_orderkey")
-def method_rollup(spark, sf_dir):
-    """The weighted mean of an order's lines, as of a class' methods."""
-    w = (F.col("l_quantity") + 1).cast("decimal(12,2)")
-    score = 1 - F.col("l_discount").cast("decimal(12,2)")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(w * score).cast("double") / F.sum(w).cast("double"), 6).alias("rollup"))
-
-
-@query("""with o as (select l_orderkey k, count(*) n, list(l_returnflag) f from lineitem group by 1)
-select a.k, round((case when a.n = b.n then 1.0 else 1.0 - abs(a.n - b.n) / greatest(a.n, b.n) end +
- list_sum(list_transform(['A', 'N', 'R'], lambda x: least(len(list_filter(a.f, lambda y: y = x)), len(list_filter(b.f, lambda y: y = x))))) / list_sum(list_transform(['A', 'N', 'R'], lambda x: greatest(len(list_filter(a.f, lambda y: y = x)), len(list_filter(b.f, lambda y: y = x)))))) / 2, 6) average
-from o a join o b on b.k = a.k + 1""")
-def structural_average(spark, sf_dir):
-    """Mean of two structural features (line count, flags) of each order and the next."""
-    orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"), F.collect_list("l_returnflag").alias("f"))
-    rows = orders.join(orders.select((F.col("k") - 1).alias("k"), F.col("n").alias("m"), F.col("f").alias("g")), "k")
-    return rows.select("k", F.round((S.ratio(F.col("n"), F.col("m")) + S.bag_jaccard(F.col("f"), F.col("g"))) / 2, 6).alias("average"))
-
-
 _CATEGORY = "case " + " ".join(f"when c between {a} and {b} then {k}" for a, b, k in OPCODE_CATEGORIES) + " else 0 end"
 
 
@@ -398,43 +291,6 @@ def opcode_categories(spark, sf_dir):
 _GRAMS = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))"
 
 
-@query("""with d as (select list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') w from documents), b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') w from benchmark),
-g as (select distinct array_to_string(w[i : i + 4], ' ') g from (select w, unnest(range(1, len(w) - 3)) i from d where len(w) >= 5)),
-f as (select item_id, array_to_string(w[i : i + 4], ' ') g, count(*) n from (select item_id, w, unnest(range(1, len(w) - 3)) i from b where len(w) >= 5) group by all)
-select item_id, sum(length(f.g) * n)::BIGINT weight_total, coalesce(sum(length(f.g) * n) filter (where g.g is not null), 0)::BIGINT weight_present, round(coalesce(sum(length(f.g) * n) filter (where g.g is not null), 0) / sum(length(f.g) * n), 6) score
-from f left join g on f.g = g.g group by item_id""")
-def containment_benchmark(spark, sf_dir):
-    """How much of each benchmark item, by weight of its 5-grams, the documents hold."""
-
-    def grams(df: DataFrame, *keys: str) -> DataFrame:
-        rows = df.select(*keys, words(F.col("text")).alias("w")).where(F.size("w") >= 5)
-        return rows.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("g"))
-
-    asked = grams(table(spark, sf_dir, "benchmark"), "item_id").groupBy("item_id", "g").agg(F.count("*").alias("n"))
-    # the documents' grams are thinned to the asked ones before they are made distinct
-    have = grams(table(spark, sf_dir, "documents")).join(asked.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(True))
-    w = F.length("g") * F.col("n")
-    rows = asked.join(have, "g", "left").groupBy("item_id").agg(F.sum(w).alias("weight_total"), F.coalesce(F.sum(F.when(F.col("hit"), w)), F.lit(0)).alias("weight_present"))
-    return rows.withColumn("score", F.round(F.col("weight_present") / F.col("weight_total"), 6))
-
-
-@query("""with v as (select vec_id, label, (list_sum(list_transform(range(1, 33), lambda i: case when embedding[i] > 0 then (1::BIGINT << (i - 1)::INT) else 0 end)))::BIGINT lo, (list_sum(list_transform(range(1, 33), lambda i: case when embedding[i + 32] > 0 then (1::BIGINT << (i - 1)::INT) else 0 end)))::BIGINT hi from embeddings),
-c as (select *, row_number() over (partition by label order by hi, lo, vec_id) k from v),
-t as (select c.label, c.vec_id, c.hi, c.lo, sum(bit_count(xor(c.lo, v.lo)) + bit_count(xor(c.hi, v.hi)))::BIGINT total, max(bit_count(xor(c.lo, v.lo)) + bit_count(xor(c.hi, v.hi)))::INT spread from c join v on v.label = c.label where c.k <= 256 group by all)
-select label, vec_id, total, spread from (select *, row_number() over (partition by label order by total, hi, lo, vec_id) n from t) where n = 1""")
-def embedding_medoid(spark, sf_dir):
-    """The vector of each label whose sign bits are nearest to all others'; the first 256 stand as candidates."""
-    part = lambda first: sum((F.when(F.element_at("embedding", first + i + 1) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)), F.lit(0).cast("long"))
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", part(0).alias("lo"), part(32).alias("hi"))
-    k = F.row_number().over(Window.partitionBy("label").orderBy("hi", "lo", "vec_id"))
-    # members in alike groups first, so a crowd of equal signatures costs one row
-    crowd = v.groupBy("label", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")).agg(F.count("*").alias("n"))
-    far = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2")))
-    total = v.withColumn("k", k).where("k <= 256").join(crowd, "label").groupBy("label", "vec_id", "hi", "lo").agg(F.sum(far * F.col("n")).alias("total"), F.max(far).alias("spread"))
-    best = F.row_number().over(Window.partitionBy("label").orderBy("total", "hi", "lo", "vec_id"))
-    return total.withColumn("k", best).where("k = 1").select("label", "vec_id", "total", "spread")
-
-
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
 
@@ -451,15 +307,27 @@ def label_having_5(spark, sf_dir):
     return labels_having(hits.withColumn("label", F.concat("coord", F.lit("@1"))), 5).select(F.col("descriptor").alias("page_id"), "label")
 
 
-@query("""with d as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents), b as (select distinct item_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from benchmark),
-c as (select item_id, doc_id, count(*) n from b join d on b.w = d.w where length(b.w) >= 6 group by all)
-select item_id, doc_id, n shared from (select *, row_number() over (partition by item_id order by n desc, doc_id) k from c) where k = 1""")
-def best_hit_per_entry(spark, sf_dir):
-    """The document with most long words of each benchmark item; the first of equals."""
-    tokens = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(F.array_distinct(words(F.col("text")))).alias("w")).where(F.length("w") >= 6)
-    pairs = tokens("benchmark", "item_id").join(tokens("documents", "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("k"), "doc_id")).alias("x")
-    return pairs.groupBy("item_id").agg(best).select("item_id", "x.doc_id", (-F.col("x.k")).alias("shared"))
+_SIGN = "(list_sum(list_transform(range(1, 33), lambda i: case when embedding[i + {0}] > 0 then (1::BIGINT << (i - 1)::INT) else 0 end)))::BIGINT"
+_FAR = "(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)))::INT"
+
+
+@query(f"""with v as (select coalesce(label, -1) label, {_SIGN.format(32)} hi, {_SIGN.format(0)} lo from embeddings), crowd as (select label, hi, lo, count(*) n from v group by all),
+c as (select * from (select *, sum(n) over (partition by label order by hi, lo rows between unbounded preceding and 1 preceding) before from crowd) where coalesce(before, 0) < 256),
+t as (select a.label, a.hi, a.lo, sum({_FAR} * b.n) total, max({_FAR}) max_dist from c a join crowd b on a.label = b.label group by all)
+select label, hi, lo, max_dist from (select *, row_number() over (partition by label order by total, hi, lo) k from t) where k = 1""")
+def embedding_medoid(spark, sf_dir):
+    """The sign bits of each label's vectors that are nearest to all others', of the first 256 in order."""
+    part = lambda first: sum((F.when(F.element_at("embedding", first + i + 1) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)), F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    v = table(spark, sf_dir, "embeddings").select(F.coalesce("label", F.lit(-1)).alias("cluster"), F.struct(part(32).alias("cls"), part(0).alias("fld"), zero.alias("mth"), zero.alias("code")).alias("sig"))
+    return family.medoids(v).select(F.col("cluster").alias("label"), F.col("sig.cls").alias("hi"), F.col("sig.fld").alias("lo"), "max_dist")
+
+
+@query("select doc_id, md5(text) digest from (select doc_id, text, row_number() over (partition by md5(text) order by doc_id) k from documents) where k = 1")
+def first_wins_dedup(spark, sf_dir):
+    """The first document of each text, by the union of a build's parts."""
+    rows = table(spark, sf_dir, "documents").select(F.lit("").alias("digest"), F.md5(F.col("text").cast("binary")).alias("descriptor"), F.col("doc_id").alias("pos"))
+    return with_positions(rows).select(F.col("pos").alias("doc_id"), F.col("descriptor").alias("digest"))
 
 
 # ---- packages and names: X2-X4, X7, X8, X18-X22, F1, F3, F8
@@ -526,36 +394,6 @@ def substring_filter(spark, sf_dir):
 
 # ---- unions, tallies, positions: S5, F6, A5, J14, J26, J27
 
-@query("select doc_id, md5(text) digest from (select doc_id, text, row_number() over (partition by md5(text) order by doc_id) k from documents) where k = 1")
-def first_wins_dedup(spark, sf_dir):
-    """The first document of each text."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    return rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "digest")
-
-
-@query("select c_custkey, coalesce(n, 0) xrefs from customer left join (select o_custkey, count(*) n from orders group by 1) on o_custkey = c_custkey")
-def xref_tally(spark, sf_dir):
-    """Incoming references: orders of each customer, none being 0."""
-    tally = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    return table(spark, sf_dir, "customer").join(tally, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("xrefs"))
-
-
-@query("select a.conv_id, a.turn, a.role lhs, b.role rhs from conversations a join conversations b on b.conv_id = a.conv_id + 1 and b.turn = a.turn where a.role = b.role")
-def positional_zip(spark, sf_dir):
-    """Turns of a conversation and the next paired by place, where the roles agree."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("lhs"))
-    return rows.join(rows.select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("lhs").alias("rhs")), ["conv_id", "turn"]).where("lhs = rhs").select("conv_id", "turn", "lhs", "rhs")
-
-
-@query("select c_custkey, coalesce(case when c_acctbal > 9000 then 'rich' end, case when c_mktsegment = 'MACHINERY' then 'maker' end, 'none') label from customer")
-def priority_lookup(spark, sf_dir):
-    """The first label that a customer has in an order of two label tables."""
-    rows = table(spark, sf_dir, "customer")
-    first = rows.where("c_acctbal > 9000").select("c_custkey", F.lit("rich").alias("a"))
-    second = rows.where("c_mktsegment = 'MACHINERY'").select("c_custkey", F.lit("maker").alias("b"))
-    return rows.select("c_custkey").join(first, "c_custkey", "left").join(second, "c_custkey", "left").select("c_custkey", F.coalesce("a", "b", F.lit("none")).alias("label"))
-
-
 @query("""select p_partkey, case when length(h) > 2 and not (length(h) <= 3 and lower(h) = h) then h end head, case when length(h) > 2 and not (length(h) <= 3 and lower(h) = h) then 'x.' || h || '$a' end renamed
 from (select p_partkey, regexp_replace(p_name, '[^A-Za-z0-9_$]', '_', 'g') h from part)""")
 def recovered_names(spark, sf_dir):
@@ -577,17 +415,6 @@ def change_lines(spark, sf_dir):
     return rows.select("s", F.concat_ws(",", "kind", F.col("magnitude").cast("string"), changes.change_summary()).alias("line"))
 
 
-@query("""with c as (select doc_id, md5(text) d, source from documents), g as (select d, count(distinct source) coverage, count(*) members, min(doc_id) medoid from c group by d having count(distinct source) >= 2),
-t as (select sum((members + 1) * coverage)::BIGINT w from g) select g.d entry, coverage, members, medoid, ((members + 1) * coverage)::BIGINT weight, round((members + 1) * coverage / t.w, 6) share from g, t""")
-def family_entries(spark, sf_dir):
-    """Texts that at least two sources share, as a family's entries, with their share of the whole weight."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("entry"), "source")
-    entries = rows.groupBy("entry").agg(F.countDistinct("source").alias("coverage"), F.count("*").alias("members"), F.min("doc_id").alias("medoid")).where("coverage >= 2")
-    entries = entries.withColumn("weight", (F.col("members") + 1) * F.col("coverage"))
-    total = entries.agg(F.sum("weight").alias("total"))
-    return entries.join(F.broadcast(total)).select("entry", "coverage", "members", "medoid", "weight", F.round(F.col("weight") / F.col("total"), 6).alias("share"))
-
-
 @query("select doc_id, sha256(text) digest from documents")
 def content_digests(spark, sf_dir):
     """SHA-256 of every text as a file's digest."""
@@ -623,7 +450,15 @@ def turn_labels(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", label.alias("label"), F.round(S.ratio(n, F.lit(100)), 6).alias("size_ratio"))
 
 
-# ---- graphs: J15, J16, J18
+@query(f"""with {_CANDIDATES}, f as (select pool, list_reduce(list([{{'l': l, 'r': r, 's': score}}] order by score desc, l, r), lambda acc, x:
+  case when list_contains(list_transform(acc, lambda a: a.l), x[1].l) or list_contains(list_transform(acc, lambda a: a.r), x[1].r) then acc else list_concat(acc, x) end) m from c group by pool)
+select pool, x.l, x.r, x.s score from (select pool, unnest(m) x from f)""")
+def greedy_rounds(spark, sf_dir):
+    """The pairs of greedy_pairs by rounds of locally dominant pairs, as pools of any size are solved."""
+    return assign.greedy_rounds(_candidates(spark, sf_dir))
+
+
+# ---- graphs: J15, J18
 
 _PARENTS = "p as (select 'c' || c_custkey node, 'n' || c_nationkey parent from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation)"
 
@@ -637,15 +472,6 @@ def superclass_chain(spark, sf_dir):
     return graph.closure(one.unionByName(two))
 
 
-@query("""with recursive e as (select distinct 's' || l_suppkey a, 'o' || l_orderkey b from lineitem), b as (select a, b from e union select b, a from e),
-x as (select 's1' node, 0 round union select b.b, x.round + 1 from x join b on b.a = x.node where x.round < 2) select node, min(round) round from x group by node""")
-def propagation_rounds(spark, sf_dir):
-    """What a supplier reaches through shared orders in two rounds, and in which first."""
-    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
-    edges = table(spark, sf_dir, "lineitem").select(tag("s", "l_suppkey").alias("a"), tag("o", "l_orderkey").alias("b"))
-    return graph.reach(edges, spark.createDataFrame([("s1",)], "node string"), 2)
-
-
 # ---- grading and oracles: A17, J25, S14
 
 @query("""with c as (select count(*) filter (where p and t) tp, count(*) filter (where p and not t) fp, count(*) filter (where not p and t) fn from (select quality = 1 t, n_chars >= 1000 p from labels join documents using (doc_id)))
@@ -680,15 +506,6 @@ def event_windows(spark, sf_dir):
 
 # ---- whole runs: orders as classes
 
-@query()
-def orders_prepare(spark, sf_dir):
-    """Signatures of every order's class: what a fingerprint store holds."""
-    from kindred.plans.builds import order_classes
-    from kindred.sources.store import prepare
-
-    return prepare(order_classes(spark, sf_dir)).select("descriptor", S.signature_hex().alias("signature"), "signature_stamp")
-
-
 @query()
 def orders_diff(spark, sf_dir):
     """The full diff of two builds of the orders, as ranked changes."""

@@ -7,16 +7,20 @@ pack. The SQL computes the same from the tables alone.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import scalars as S
-from kindred.operators import changes, diff, family, naming, similarity
+from kindred.operators import anchors, changes, diff, family, grade, lsh, naming, similarity
 from kindred.operators.grouped import numbered
 from kindred.operators.simhash import with_abstract
 from kindred.plans.builds import order_classes, supplier_matches
+from kindred.plans import catalogue
 from kindred.plans.catalogue import query
-from kindred.schema import CALL_SITE_FLOOR, OPCODE_CATEGORIES, SENSITIVE_COMPONENTS, GENERIC_COMPONENTS
+from kindred.plans.lineage import cut, shared_dir
+from kindred.schema import OPCODE_CATEGORIES, SENSITIVE_COMPONENTS, GENERIC_COMPONENTS
 from kindred.sources import dex, reports, store
 
 # ---- orders as classes: methods and their scores
@@ -175,3 +179,346 @@ def referenced_types(spark, sf_dir):
     """Each early supplier's references in their order, at most 32: supertypes, then fields."""
     rows = supplier_matches(spark, sf_dir).where("a is not null")
     return rows.select("lhs", F.posexplode(diff.referenced_descriptors(F.col("a"))).alias("place", "reference")).select(F.col("lhs").alias("descriptor"), "place", "reference")
+
+
+# ---- documents and benchmark items as classes: anchors, containment, families, libraries
+
+
+def text_classes(spark: SparkSession, sf_dir: str, name: str, key: str, digest: Column, skip: int = 0) -> DataFrame:
+    """Texts as signed class rows: the words after the first `skip` are strings, instructions and, if long, framework calls."""
+    words_ = catalogue.words(F.col("text"))
+    rows = catalogue.table(spark, sf_dir, name).select(F.col(key).alias("doc_id"), digest.alias("digest"), F.slice(words_, skip + 1, F.greatest(F.size(words_) - skip, F.lit(0))).alias("w"))
+    rows = cut(rows.where(F.size("w") > 0))
+    sigs = catalogue.token_signatures(rows.select("doc_id", F.explode("w").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("w")))
+    none = F.array().cast("array<string>")
+    calls = F.transform(F.filter(F.array_distinct("w"), lambda w: F.length(w) >= 10), lambda w: F.concat(F.lit("Landroid/w/"), w, F.lit(";->x()V")))
+    label = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+    made = rows.select(
+        "digest", F.col("doc_id").cast("int").alias("pos"), F.concat(F.lit("Ldoc/"), label, F.lit(";")).alias("descriptor"), F.lit("doc").alias("package"), label.alias("name"), F.lit(None).cast("string").alias("source_file"),
+        F.lit(None).cast("string").alias("superclass"), none.alias("interfaces"), F.array_distinct("w").alias("strings"), F.array(F.struct(F.size("w").alias("instr_count"), calls.alias("calls"))).alias("methods"), F.col("doc_id").alias("id"),
+    )
+    return made.join(sigs, "id").drop("id")
+
+
+def _sql_texts(prefix: str, name: str, key: str, digest: str, skip: int = 0) -> str:
+    """{prefix}c: id, digest, ws, strings, calls, instr, and the four parts of the signature, as text_classes makes them."""
+    parts = ", ".join(f"({catalogue._fold(p + ':')})::BIGINT {p}" for p in S.SIGNATURE_PARTS)  # noqa: SLF001
+    return f"""{prefix}w as (select {key} id, {digest} digest, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[{skip + 1}:] ws from {name}),
+{prefix}t as (select id doc_id, w, count(*) n from (select id, unnest(ws) w from {prefix}w) group by all),
+{prefix}g as (select doc_id, {parts} from {prefix}t group by doc_id),
+{prefix}c as (select id, digest, len(ws) instr, list_filter(list_distinct(ws), lambda x: length(x) >= 4 and not regexp_matches(x, '^[0-9]+$')) strings, list_filter(list_distinct(ws), lambda x: length(x) >= 10) calls, cls, fld, mth, code from {prefix}w join {prefix}g on doc_id = id)"""
+
+
+def _sql_hamming(a: str, b: str) -> str:
+    return "(" + " + ".join(f"bit_count(xor({a}.{p}, {b}.{p}))" for p in S.SIGNATURE_PARTS) + ")::INT"
+
+
+def _sql_keys(source: str) -> str:
+    return " union all ".join(f"select id, cls, fld, mth, code, calls, instr, {p} perm, ({catalogue._sql_key(bits)})::BIGINT key from {source}" for p, bits in enumerate(lsh.sampled_bits()))  # noqa: SLF001
+
+
+_CONTAINED = f"""with {_sql_texts("l", "documents", "doc_id", "''")}, {_sql_texts("r", "documents", "doc_id", "''", 3)},
+fam as (select * from lc where instr >= 2), lk as ({_sql_keys("fam")}), rk as ({_sql_keys("rc")}),
+near as (select * from (select *, row_number() over (partition by lid order by hamming, perm, rid) k from (select l.id lid, r.id rid, {_sql_hamming("l", "r")} hamming, min(l.perm) perm, any_value(l.calls) a, any_value(r.calls) b, any_value(l.instr) instr from lk l join rk r on l.perm = r.perm and l.key = r.key group by all)) where k = 1 and hamming <= 12),
+found as (select * from near where len(a) < 2 or len(list_filter(a, lambda x: list_contains(b, x))) >= 2)"""
+_CONTAINED = _CONTAINED.replace("group by all)) where k = 1", "group by l.id, r.id, 3)) where k = 1")
+
+
+def _contained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    whole = text_classes(spark, sf_dir, "documents", "doc_id", F.lit(""))
+    return family.containment(whole, text_classes(spark, sf_dir, "documents", "doc_id", F.lit(""), 3), min_shared_calls=2)
+
+
+@query(f"{_CONTAINED} select 'Ldoc/D' || lid || ';' descriptor, 'Ldoc/D' || rid || ';' candidate, hamming distance from found")
+def containment_evidence(spark, sf_dir):
+    """For each document its nearest text among the documents without their first three words, within twelve bits and with two shared calls."""
+    return _contained(spark, sf_dir)[1]
+
+
+@query(f"{_CONTAINED} select round((select sum(instr + 1) from found) / (select sum(instr + 1) from fam), 9) score, (select count(*) from found) present, (select count(*) from fam) total, (select sum(instr + 1)::BIGINT from found) weight_present, (select sum(instr + 1)::BIGINT from fam) weight_total")
+def containment_score(spark, sf_dir):
+    """How much of all documents, by words, those without their first three words hold."""
+    return _contained(spark, sf_dir)[0].withColumn("score", F.round("score", 9))
+
+
+_PARTS = "cls, fld, mth, code"
+
+
+@query(f"""with recursive {_sql_texts("l", "documents", "doc_id", "coalesce(source, '')")},
+s1 as (select * from (select *, row_number() over (partition by digest, {_PARTS} order by id) k from lc where instr >= 20) where k = 1),
+u as (select min(id) id, {_PARTS} from s1 group by {_PARTS}),
+e as (select a.id a, b.id b from u a join u b on a.id <> b.id where {_sql_hamming("a", "b")} <= 4),
+r as (select id, id root from u union select e.b, r.root from r join e on r.id = e.a),
+lab as (select id, min(root) cluster from r group by id),
+m as (select s1.*, lab.cluster from s1 join u using ({_PARTS}) join lab on lab.id = u.id),
+cov as (select cluster, list_sort(list(distinct digest)) ids, count(*) members from m group by cluster having count(distinct digest) >= 2),
+g as (select m.* from m semi join cov using (cluster)),
+str as (select cluster, array_to_string(list(w order by length(w) desc, w)[1:32], ' ') strings from (select cluster, members, w, count(*) c from (select cluster, members, unnest(strings) w from g join cov using (cluster)) group by all) where c = members group by cluster),
+crowd as (select cluster, {_PARTS}, count(*) n from g group by all),
+cand as (select * from (select *, sum(n) over (partition by cluster order by {_PARTS} rows between unbounded preceding and 1 preceding) before from crowd) where coalesce(before, 0) < 256),
+tot as (select a.cluster, a.cls, a.fld, a.mth, a.code, sum({_sql_hamming("a", "b")} * b.n) total, max({_sql_hamming("a", "b")}) max_dist from cand a join crowd b on a.cluster = b.cluster group by all),
+med as (select * from (select *, row_number() over (partition by cluster order by total, {_PARTS}) k from tot) where k = 1),
+face as (select * from (select g.*, med.max_dist, row_number() over (partition by g.cluster order by g.digest, g.id) kk from g join med using (cluster, {_PARTS})) where kk = 1)
+select (row_number() over (order by len(ids) desc, instr desc, {_PARTS}) - 1)::int entry_id, 'doc.D' || id fqcn, instr::int instructions, len(ids)::int coverage, face.max_dist, coalesce(str.strings, '') strings, array_to_string(ids, ' ') samples
+from face join cov using (cluster) left join str using (cluster)""")
+def family_mined(spark, sf_dir):
+    """A pack mined from all documents, each source a sample: texts of at least two sources."""
+    entries, _ = family.mine_family(text_classes(spark, sf_dir, "documents", "doc_id", F.coalesce("source", F.lit(""))), "docs", 2)
+    return entries.select("entry_id", "fqcn", "instructions", "coverage", "max_dist", F.array_join("strings", " ").alias("strings"), F.array_join("sample_ids", " ").alias("samples"))
+
+
+_DETECTED = f"""with {_sql_texts("l", "documents", "doc_id", "coalesce(source, '')")}, {_sql_texts("b", "benchmark", "item_id", "'bench'")},
+en as (select *, (row_number() over (order by id) - 1)::int entry_id, list_sort(strings, 'asc') ss from bc),
+es as (select entry_id, id, instr, cls, fld, mth, code, list_transform(list_sort(list_transform(strings, lambda x: {{'n': -length(x), 's': x}}))[1:32], lambda y: y.s) strings from en),
+kn as (select entry_id, unnest(strings) s from es),
+idf as (select s, ln(1 + (select count(*) from es) / count(*)::double) w from kn group by s),
+lo as (select * from lc where instr >= 20),
+hits as (select l.id, l.digest, e.entry_id, case when {_sql_hamming("l", "e")} = 0 then 1 else 2 end tier, {_sql_hamming("l", "e")} distance, 1.0::double score from lo l join es e on {_sql_hamming("l", "e")} <= 4
+  union all select id, digest, entry_id, 3, -1, round(sum(w), 9) score from (select id, digest, unnest(strings) s from lo) join kn using (s) join idf using (s) group by all having round(sum(w), 9) >= 0.5),
+det as (select * from (select *, row_number() over (partition by digest, id order by tier, distance, score desc, entry_id) k from hits) where k = 1),
+best as (select * from (select *, row_number() over (partition by digest, entry_id order by tier, distance, id) kk from det) where kk = 1)"""
+
+
+def _bench_pack(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return family.curated_pack(text_classes(spark, sf_dir, "benchmark", "item_id", F.lit("bench")), "bench")
+
+
+def _matched_family(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    entries, meta = _bench_pack(spark, sf_dir)
+    return family.match_family(text_classes(spark, sf_dir, "documents", "doc_id", F.coalesce("source", F.lit(""))), cut(entries), meta)
+
+
+@query(f"""{_DETECTED} select best.digest, entry_id, 'doc.D' || es.id fqcn, 'Ldoc/D' || best.id || ';' descriptor, tier, distance, score,
+array_to_string((select list(x order by length(x) desc, x) from (select unnest(es.strings) x) where list_contains((select strings from lo where lo.id = best.id), x)), ' ') shared from best join es using (entry_id)""")
+def family_match_tiers(spark, sf_dir):
+    """Which benchmark entries each source has, by which of the detector's tiers and in which document."""
+    hits = _matched_family(spark, sf_dir)[1]
+    return hits.select("digest", "entry_id", "fqcn", "descriptor", "tier", "distance", "score", F.array_join("strings", " ").alias("shared"))
+
+
+@query(f"""{_DETECTED} select digest, round(coalesce(sum(es.instr + 1), 0) / (select sum(instr + 1) from es), 9) score, count(es.id) present, (select count(*) from es) total, count(*) filter (where tier = 1) tier_1, count(*) filter (where tier = 2) tier_2, count(*) filter (where tier = 3) tier_3
+from (select distinct digest from lc) left join best using (digest) left join es using (entry_id) group by digest""")
+def family_scores(spark, sf_dir):
+    """How much of the benchmark's pack each source has."""
+    return _matched_family(spark, sf_dir)[0].select("digest", F.round("score", 9).alias("score"), "present", "total", "tier_1", "tier_2", "tier_3")
+
+
+@query(f"""{_DETECTED}, h as (select id, 'lib' || entry_id % 5 coord, case when entry_id % 2 = 0 then '1,2' else '?' end v from det)
+select 'Ldoc/D' || id || ';' descriptor, coord || '@' || v as "label" from h where coord in (select coord from h group by coord having count(*) >= 5)""")
+def library_labels(spark, sf_dir):
+    """Documents labelled by a dictionary of libraries whose entries are the benchmark's."""
+    entries = cut(_bench_pack(spark, sf_dir)[0])
+    ranges = F.when(F.col("entry_id") % 2 == 0, F.array(F.lit("1"), F.lit("2"))).otherwise(F.array().cast("array<string>"))
+    coords = entries.select("pack", "entry_id", F.concat(F.lit("lib"), F.col("entry_id") % 5).alias("coord"), ranges.alias("ranges"))
+    return family.label_libraries(text_classes(spark, sf_dir, "documents", "doc_id", F.coalesce("source", F.lit(""))), entries, coords)
+
+
+@query(f"""with {_sql_texts("l", "documents", "doc_id", "''")}, {_sql_texts("b", "benchmark", "item_id", "'bench'")}, en as (select *, (row_number() over (order by id) - 1)::int entry_id from bc),
+x as (select * from (select l.id, entry_id, {_sql_hamming("l", "e")} distance, row_number() over (partition by l.id order by {_sql_hamming("l", "e")}, entry_id) k from lc l join en e on {_sql_hamming("l", "e")} <= 50 where l.id % 100 = 0) where k = 1)
+select 'Ldoc/D' || lc.id || ';' descriptor, entry_id, distance from lc left join x using (id) where lc.id % 100 = 0""")
+def nearest_entries(spark, sf_dir):
+    """The nearest benchmark entry within fifty bits of the asking classes: documents whose id is divisible by 100."""
+    asked = text_classes(spark, sf_dir, "documents", "doc_id", F.lit("")).where("pos % 100 = 0")
+    return family.nearest_entries(asked, cut(_bench_pack(spark, sf_dir)[0]), 50).select("descriptor", "entry_id", "distance")
+
+
+@query("""with t as (select distinct coalesce(source, '') source, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w from documents) select w, string_agg(source, ',' order by source) holders from t where w <> '' group by w""")
+def holders(spark, sf_dir):
+    """Which sources hold a word."""
+    rows = catalogue.table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("digest"), F.explode(F.array_distinct(catalogue.words(F.col("text")))).alias("descriptor")).distinct()
+    return family.holders(rows).select(F.col("descriptor").alias("w"), F.array_join("inputs", ",").alias("holders"))
+
+
+@query(f"""with {_sql_texts("l", "documents", "doc_id", "''")}, {_sql_texts("b", "benchmark", "item_id", "''")},
+dl as (select id l, unnest(strings) w from lc), bl as (select id r, unnest(strings) w from bc), x as (select w, count(*) k from dl group by 1), y as (select w, count(*) k from bl group by 1),
+n as (select ((select count(*) from lc) + (select count(*) from bc))::DOUBLE n),
+e as (select l, r, sum(ln((n + 1) / (x.k + y.k)) / ln(n + 1) / (x.k * y.k)) s from dl join bl using (w) join x using (w) join y using (w), n group by l, r),
+z as (select l, r, round(s + 0.25 * case when len(lc.calls) + len(bc.calls) = 0 then 0 else len(list_filter(lc.calls, lambda v: list_contains(bc.calls, v))) / (len(lc.calls) + len(bc.calls) - len(list_filter(lc.calls, lambda v: list_contains(bc.calls, v))))::double end, 9) s from e join lc on lc.id = l join bc on bc.id = r),
+f as (select list_reduce(list([{{'l': l, 'r': r, 's': s}}] order by s desc, l, r), lambda acc, v:
+  case when list_contains(list_transform(acc, lambda a: a.l), v[1].l) or list_contains(list_transform(acc, lambda a: a.r), v[1].r) then acc else list_concat(acc, v) end) m from z where least(s, 1) >= 0.3)
+select q.l, q.r, round(least(q.s, 1), 6) confidence from (select unnest(m) q from f)""")
+def seed_anchor_pairs(spark, sf_dir):
+    """Documents anchored to benchmark items by rare words and shared calls, one to one."""
+    side = lambda name, key: text_classes(spark, sf_dir, name, key, F.lit("")).select(F.lit("").alias("pool"), "pos", F.struct("strings", "superclass", "interfaces", "methods").alias("c"))
+    found = anchors.seed_anchors(cut(side("documents", "doc_id")), cut(side("benchmark", "item_id")), 0.3)
+    return found.select("l", "r", F.round("confidence", 6).alias("confidence"))
+
+
+# ---- conversations as classes: claims of call sites and their spread
+
+
+@query("""with w as (select conv_id c, (row_number() over (partition by conv_id order by turn, role, text) - 1)::int m, list_filter(string_split(text, ' '), lambda x: x <> '') ws from conversations where text is not null and conv_id is not null),
+z as (select a.c ord, a.m, unnest(range(1, least(len(a.ws), len(b.ws)) + 1)) i, a.ws x, b.ws y from w a join w b on b.c = a.c + 1 and b.m = a.m)
+select lhs, rhs, x[1] ord, x[2]::int m, x[3]::int i from (select lhs, rhs, min([ord, m, i]) x from (select x[i] lhs, y[i] rhs, ord, m, i - 1 i from z) group by all)""")
+def call_site_claims(spark, sf_dir):
+    """Words at one place of one turn of a conversation and the next, each pair where it is met first."""
+    rows = catalogue.table(spark, sf_dir, "conversations").where("text is not null and conv_id is not null")
+    turn = F.struct("turn", "role", "text", F.struct(F.filter(F.split("text", " "), lambda x: x != "").alias("instantiates")).alias("m"))
+    talks = rows.groupBy(F.col("conv_id").alias("c")).agg(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["m"]).alias("methods"))
+    pair = talks.select("c", F.struct("methods").alias("a")).join(talks.select((F.col("c") - 1).alias("c"), F.struct("methods").alias("b")), "c")
+    shared = F.sequence(F.lit(0), F.least(F.size("a.methods"), F.size("b.methods")) - 1)
+    frontier = pair.select(F.col("c").alias("ord"), "a", "b", F.transform(shared, lambda i: F.struct(i.alias("l"), i.alias("r"))).alias("method_rows"))
+    return diff.call_site_claims(frontier).select("lhs", "rhs", "claim.ord", "claim.m", "claim.i")
+
+
+@query("""with recursive c as (select distinct conv_id id from conversations where conv_id is not null), r as (select min(id) id, 0 step from c union all select c.id, step + 1 from r join c on c.id between 4 * r.id + 1 and 4 * r.id + 4 and c.id <> r.id)
+select 'Lone/C' || id || ';' lhs, 'Ltwo/C' || id || ';' rhs, 1.0::double similarity, 'call_site' provenance, 2 * step stage from r where step between 1 and 25""")
+def propagated_pairs(spark, sf_dir):
+    """Pairs that spread from the first conversation, of which every class makes four others, to a fixpoint."""
+    ids = catalogue.table(spark, sf_dir, "conversations").where("conv_id is not null").select("conv_id").distinct()
+    name = lambda build, n: F.concat(F.lit(f"L{build}/C"), n.cast("string"), F.lit(";"))
+
+    def side(build: str) -> DataFrame:
+        n = F.col("conv_id")
+        method = F.struct(
+            F.lit("run").alias("name"), F.lit("()V").alias("descriptor"), F.lit(1).alias("access"), F.lit(0).alias("arg_count"), F.lit("V").alias("return_type"), F.lit(0).alias("xref_count"), F.lit(4).alias("instr_count"),
+            F.lit(1).alias("opcode_xor"), F.lit("abcd").alias("abstract"), F.array().cast("array<string>").alias("calls"), F.array(*[name(build, 4 * n + i) for i in range(1, 5)]).alias("instantiates"),
+        )
+        none = F.array().cast("array<string>")
+        c = F.struct(
+            n.cast("int").alias("pos"), name(build, n).alias("descriptor"), F.lit(build).alias("package"), F.lit("C").alias("name"), F.lit(None).cast("string").alias("source_file"), F.lit(1).alias("access"), F.lit(None).cast("string").alias("superclass"),
+            none.alias("interfaces"), none.alias("strings"), F.array().cast("array<struct<name:string,type_desc:string,access:int>>").alias("fields"), F.array(method).alias("methods"), F.lit("abcd").alias("sequence"),
+        )
+        sig = F.struct(*[F.lit(0).cast("long").alias(p) for p in S.SIGNATURE_PARTS])
+        return ids.select(F.lit("").alias("pool"), n.cast("int").alias("pos"), name(build, n).alias("descriptor"), sig.alias("sig"), c.alias("c"))
+
+    one, two = cut(side("one")), cut(side("two"))
+    seed = ids.agg(F.min("conv_id").cast("int").alias("seed"))
+    first = one.join(F.broadcast(seed), F.col("pos") == F.col("seed")).select("pool", F.col("pos").alias("l"), F.col("descriptor").alias("lhs"), F.col("c").alias("a"))
+    first = first.join(two.select(F.col("pos").alias("r"), F.col("descriptor").alias("rhs"), F.col("c").alias("b")), F.col("l") == F.col("r"))
+    pairs = similarity.compared(first.withColumn("provenance", F.lit("structural")).withColumn("ord", F.struct(F.lit(0).cast("long").alias("product"), F.col("pool"), F.lit(1).alias("stage"), F.lit(0).cast("long").alias("nth"))))
+    pairs = pairs.select("pool", "l", "r", "lhs", "rhs", "similarity", "breakdown", "method_rows", "provenance", "ord", "a", "b")
+    return diff.propagate(pairs, one, two, 0.8).select("lhs", "rhs", F.round("similarity", 6).alias("similarity"), "provenance", "ord.stage")
+
+
+# ---- names, components, stores, calls and grades
+
+_BASES = list({**SENSITIVE_COMPONENTS, **GENERIC_COMPONENTS}.items())
+_CODES = ", ".join(f"('{base}', '{code}')" for base, (code, _) in _BASES)
+
+
+@query(f"""with recursive p as (select 'c' || c_custkey d, 'n' || c_nationkey s, case when c_custkey % 6 = 0 then ['{_BASES[0][0]}'] else [] end f from customer union all select 'n' || n_nationkey, 'r' || n_regionkey, [] from nation
+  union all select 'r' || r_regionkey, case r_regionkey % 4 when 0 then '{_BASES[1][0]}' when 1 then '{_BASES[-1][0]}' when 2 then 'Ljava/lang/Object;' end, [] from region),
+x as (select d, s b from p where s is not null union select x.d, p.s from x join p on p.d = x.b where p.s is not null), code(b, c) as (values {_CODES})
+select d descriptor, array_to_string(list_sort(list(distinct c)), ' ') codes from (select d, b from x union select d, unnest(f) from p) join code using (b) group by d""")
+def component_labels(spark, sf_dir):
+    """Component codes of customers, nations and regions by their chains of supertypes and direct interfaces."""
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    none = F.array().cast("array<string>")
+    read = lambda name: catalogue.table(spark, sf_dir, name)
+    customers = read("customer").select(tag("c", "c_custkey").alias("descriptor"), tag("n", "c_nationkey").alias("superclass"), F.when(F.col("c_custkey") % 6 == 0, F.array(F.lit(_BASES[0][0]))).otherwise(none).alias("interfaces"))
+    nations = read("nation").select(tag("n", "n_nationkey").alias("descriptor"), tag("r", "n_regionkey").alias("superclass"), none.alias("interfaces"))
+    kind = F.col("r_regionkey") % 4
+    base = F.when(kind == 0, _BASES[1][0]).when(kind == 1, _BASES[-1][0]).when(kind == 2, "Ljava/lang/Object;")
+    regions = read("region").select(tag("r", "r_regionkey").alias("descriptor"), base.alias("superclass"), none.alias("interfaces"))
+    return changes.component_labels(customers.unionByName(nations).unionByName(regions)).select("descriptor", F.array_join("codes", " ").alias("codes"))
+
+
+@query("""with m as (select p_partkey k, regexp_replace(p_name, '[^A-Za-z0-9_$]', '_', 'g') h, (p_size % 20)::double / 20 s, p_size % 9 = 0 anchored, 'q' || chr(97 + p_size % 3) o from part),
+h as (select *, case when regexp_matches(h, '^[0-9]') then '_' || h else h end head from m), f as (select * from h where (anchored or s >= 0.5) and length(head) > 2 and not (length(head) <= 3 and lower(head) = head)),
+n as (select *, 'x.' || head plain, row_number() over (partition by head order by anchored desc, s desc, k) n from f), o as (select *, case when n = 1 then plain else plain || '_' || o end first from n),
+z as (select *, row_number() over (partition by first order by n, anchored desc, s desc, k) mm from o)
+select case when mm = 1 then first else first || '_' || mm end original, 'x.' || o obfuscated, s confidence, anchored,
+  case when not anchored and s < 0.95 then '# low-confidence (' || printf('%.2f', s + 1e-12) || ')' || chr(10) else '' end || (case when mm = 1 then first else first || '_' || mm end) || ' -> x.' || o || ':' || chr(10) || '    int size -> f' lines from z""")
+def mapping_rows(spark, sf_dir):
+    """Names recovered from parts' names as source files for classes of three obfuscated names, and their mapping lines."""
+    part = catalogue.table(spark, sf_dir, "part")
+    field = lambda name: F.array(F.struct(F.lit(name).alias("name"), F.lit("I").alias("type_desc")))
+    method = "array<struct<name:string,descriptor:string>>"
+    side = lambda source, name, own: F.struct(source.alias("source_file"), F.lit("x").alias("package"), name.alias("name"), field(own).alias("fields"), F.array().cast(method).alias("methods"))
+    short = F.concat(F.lit("q"), F.element_at(F.array(*map(F.lit, "abc")), F.col("p_size") % 3 + 1))
+    rows = part.select(
+        F.lit("l").alias("lhs"), F.lit("r").alias("rhs"), ((F.col("p_size") % 20).cast("double") / 20).alias("similarity"), F.when(F.col("p_size") % 9 == 0, "anchored").otherwise("structural").alias("provenance"), F.col("p_partkey").alias("ord"),
+        side(F.concat("p_name", F.lit(".java")), F.lit("zz"), "size").alias("a"), side(F.lit(None).cast("string"), short, "f").alias("b"), F.array().cast("array<struct<l:int,r:int,score:double,status:string>>").alias("method_rows"),
+    )
+    entries = cut(naming.build_mapping(rows, 0.5))
+    lines = naming.mapping_lines(entries).select("lines", F.regexp_extract("lines", "(?m)^([^# ][^ ]*) -> ", 1).alias("original"))
+    return entries.select("original", "obfuscated", "confidence", "anchored").join(lines, "original")
+
+
+@query("select 'Lshop/c' || o_custkey || '/C' || o_orderkey || ';' descriptor, count(*)::int methods, sum((8 + l_quantity % 24)::int)::BIGINT instructions, 0 code_bytes, 'first' digest, 'ok' outcome from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_custkey")
+def stored_classes(spark, sf_dir):
+    """Orders saved in a fingerprint store, found current, and loaded again by their digest."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store.save(store.prepare(order_classes(spark, sf_dir)), path)
+    state = store.migrate(spark, path)
+    rows = store.load(spark, path, ["first"])
+    size = F.aggregate("methods", F.lit(0), lambda n, m: n + F.length(m["bytecode"]))
+    return rows.join(state, "digest").select("descriptor", F.size("methods").alias("methods"), S.total_instructions().alias("instructions"), size.alias("code_bytes"), "digest", "outcome")
+
+
+@query("""with c as (select c_custkey k, row_number() over (order by c_custkey) n from customer), t as (select o_custkey k, count(*)::int refs from orders group by 1)
+select 'Lshop/C' || c.k || ';' descriptor, 'shop' package, 'C' || c.k as "name", coalesce(refs, 0) xrefs, 2 args, 'V' returns from c left join t using (k)""")
+def assembled_classes(spark, sf_dir):
+    """Raw classes, one a customer and one that calls a method of a customer for every order, assembled: names split, parameters counted, calls tallied."""
+    none, code = F.array().cast("array<string>"), F.lit(b"\x0e")
+    kind = "array<struct<name:string,descriptor:string,access:int,bytecode:binary,instr_count:int,opcode_xor:int,calls:array<string>,instantiates:array<string>>>"
+    method = lambda name, calls: F.array(F.struct(F.lit(name).alias("name"), F.lit("(I[Lshop/A;)V").alias("descriptor"), F.lit(1).alias("access"), code.alias("bytecode"), F.lit(1).alias("instr_count"), F.lit(14).alias("opcode_xor"), calls.alias("calls"), none.alias("instantiates"))).cast(kind)
+
+    def raw(key: str, prefix: str, name: str, table: str, calls: Column, blob: int) -> DataFrame:
+        return catalogue.table(spark, sf_dir, table).select(
+            F.lit("d").alias("digest"), F.lit(0).alias("nth"), F.lit(blob).alias("blob"), F.col(key).cast("int").alias("cls"), F.lit(True).alias("ok"), F.concat(F.lit(f"Lshop/{prefix}"), F.col(key).cast("string"), F.lit(";")).alias("descriptor"),
+            F.lit(None).cast("string").alias("source_file"), F.lit(1).alias("access"), F.lit("Ljava/lang/Object;").alias("superclass"), none.alias("interfaces"), none.alias("strings"),
+            F.array().cast("array<struct<name:string,type_desc:string,access:int>>").alias("fields"), method(name, calls).alias("methods"),
+        )
+
+    callers = raw("o_orderkey", "O", "go", "orders", F.array(F.concat(F.lit("Lshop/C"), F.col("o_custkey").cast("string"), F.lit(";->hit(I[Lshop/A;)V"))), 1)
+    called = raw("c_custkey", "C", "hit", "customer", none, 0)
+    # of classes that come twice the first stays
+    again = called.withColumn("blob", F.lit(2)).withColumn("methods", F.array().cast(kind))
+    out = dex.assemble(called.unionByName(callers).unionByName(again)).where("name like 'C%'")
+    m = F.element_at("methods", 1)
+    return out.select("descriptor", "package", "name", m["xref_count"].alias("xrefs"), m["arg_count"].alias("args"), m["return_type"].alias("returns"))
+
+
+@query("""with t as (select 'a' || p_partkey lhs, 'b' || p_partkey rhs from part where p_size % 2 = 0), m as (select 'a' || p_partkey lhs, case when p_size % 10 = 0 then 'b0' else 'b' || p_partkey end rhs from part where p_size % 3 <> 0),
+g as (select t.lhs, m.rhs = t.rhs hit from t left join m using (lhs)), c as (select count(*) filter (where hit) tp, count(*) filter (where not hit) fp, count(*) filter (where hit is null or not hit) fn from g)
+select tp, fp, fn, round(tp / (tp + fp), 9) "precision", round(tp / (tp + fn), 9) recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 9) f1 from c""")
+def graded_matches(spark, sf_dir):
+    """Made-up matches of parts graded against a made-up truth."""
+    part = catalogue.table(spark, sf_dir, "part")
+    name = lambda t: F.concat(F.lit(t), F.col("p_partkey").cast("string"))
+    truth = part.where("p_size % 2 = 0").select(name("a").alias("lhs"), name("b").alias("rhs"))
+    matches = part.where("p_size % 3 <> 0").select(name("a").alias("lhs"), F.when(F.col("p_size") % 10 == 0, "b0").otherwise(name("b")).alias("rhs"))
+    return grade.score_matches(matches, truth).select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+# ---- signatures of orders by SQL
+
+
+def _sql_murmur(token: str) -> str:
+    """32-bit MurmurHash3 (x86, seed 0) of an ASCII string, in unsigned arithmetic modulo 2**32."""
+    byte = lambda i: f"ord(substr({token}, ({i})::int, 1))::ubigint"
+    low = "4294967295::ubigint"
+    rot = lambda x, r: f"((({x}) << {r}) & {low}) | (({x}) >> {32 - r})"
+    times = lambda x, c: f"((({x})::hugeint * {c}) % 4294967296)::ubigint"
+    scramble = lambda k: times(rot(times(k, 0xCC9E2D51), 15), 0x1B873593)
+    block = "(" + " | ".join(f"({byte(f'4 * i + {j + 1}')} << {8 * j})" for j in range(4)) + ")"
+    step = f"({times('(' + rot('xor(h, k)', 13) + ')', 5)} + 3864292196) & {low}"
+    blocks = f"list_concat([0::ubigint], list_transform(range(length({token}) // 4), lambda i: {scramble(block)}))"
+    body = f"list_reduce({blocks}, lambda h, k: {step})"
+    start = f"4 * (length({token}) // 4)"
+    tail = " | ".join(f"((case when length({token}) % 4 >= {j + 1} then {byte(f'{start} + {j + 1}')} else 0::ubigint end) << {8 * j})" for j in range(3))
+    mixed = f"select token, xor(xor(body, case when length(token) % 4 > 0 then {scramble('tail')} else 0::ubigint end), length(token)::ubigint) h from (select token, {body} body, {tail} tail from words)"
+    one = f"select token, {times('xor(h, h >> 16)', 0x85EBCA6B)} h from ({mixed})"
+    two = f"select token, {times('xor(h, h >> 13)', 0xC2B2AE35)} h from ({one})"
+    return f"select token, xor(h, h >> 16)::BIGINT h from ({two})"
+
+
+_VOTES = ", ".join(f"sum(case when (h >> {b}) & 1 = 1 then w else -w end) > 1e-9 b{b}" for b in range(32))
+_BITS = " + ".join(f"case when b{b} then {1 << b} else 0 end" for b in range(32))
+
+
+@query(f"""with {_METHODS}, cl as (select o_orderkey k, o_custkey c, o_orderstatus st, n from orders join (select k, count(*) n from m1 group by k) on k = o_orderkey),
+hv as (select *, log2(2.0::double + n) v from m1),
+tk as (select k, 0 part, 'nmethods=' || n token, 1.0::double w from cl union all select k, 0, unnest(['nfields=1', 'access=PUBLIC']), 1.0 from cl union all select k, 0, 'super=Ljava/lang/Object;', 4.0 from cl
+  union all select k, 1, unnest(['ftype=Lshop/' || st || ';', 'fstatic=False']), 1.0 from cl
+  union all select k, 2, unnest(['margs=' || args, 'mret=V', 'mxref=' || xref]), v from hv
+  union all select k, 3, 'op=' || (ord(ch) - 97), v from (select k, v, unnest(string_split(a, '')) ch from hv) where ch <> ''
+  union all select k, 3, 'call=Landroid/shop/P' || (p % 500) || ';->use()V', 3.0 * log2(2.0::double + (8 + q % 24)::int) from ln),
+words as (select distinct token from tk), hs as ({_sql_murmur("token")}),
+votes as (select k, part, {_VOTES} from tk join hs using (token) group by k, part), sg as (select k, part, ({_BITS})::BIGINT v from votes)
+select 'Lshop/c' || c || '/C' || k || ';' descriptor, (select string_agg(printf('%08x', v), '' order by part) from sg where sg.k = cl.k) signature, '{store.SIGNATURE_STAMP}' signature_stamp from cl""")
+def orders_prepare(spark, sf_dir):
+    """Signatures of every order's class: what a fingerprint store holds."""
+    return store.prepare(order_classes(spark, sf_dir)).select("descriptor", S.signature_hex().alias("signature"), "signature_stamp")

@@ -272,3 +272,31 @@ def test_pipeline(spark):
         full[r["sequence_id"]] += r["length"]
     assert max(full.values()) <= 1024
     assert P.run(spark, SF).count() == packed.count()
+
+
+def test_pipeline_edges(spark):
+    """Every stage on nulls in any column, empty texts, repeated rows, rows without an id, clashing columns and no rows."""
+    import corpus_pipeline as P
+
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, text, None, None, None), (None, text, "en", "b", 1), (None, "alone here", "en", "b", 2), (None, "alone here", "en", "b", 2)]
+    rows += [(3, None, None, None, None), (4, "", "x", "y", 0), (5, " \t ", "x", "y", 3), (6, f"own start {text} own end", "de", "c", 9), (None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = spark.createDataFrame(rows, schema).repartition(3)
+    docs = plain
+    for name in ("_number", "kept", "chunk", "hash", "score", "spans", "items", "n_words", "_text", "predicted", "component", "key"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, SF)
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        if name != "best_fit_packing":
+            assert got.columns == list(P.COLUMNS), name
+    count = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    single = count(P.near_dedup_stage(spark, docs, SF))
+    assert single == sorted([(1, text), (None, "alone here"), (3, None), (4, ""), (5, " \t "), (6, f"own start {text} own end"), (None, None)], key=repr) or (6, f"own start {text} own end") not in single
+    assert [d for d, t in single if t == text] == [1] and (None, "alone here") in single and single.count((None, "alone here")) == 1
+    assert len(count(P.toxicity_stage(spark, docs, SF))) == len(rows) == len(count(P.decontamination_stage(spark, docs, SF)))
+    left = count(P.substring_stage(spark, docs, SF))
+    assert (1, text) in left and left.count((1, text)) == 1 and (6, "own start own end") in left and (2, text) not in left
+    assert {(3, None), (4, ""), (5, " \t ")} <= set(left)
+    assert len({(r["sequence_id"], r["offset"]) for r in P.packing_stage(spark, docs, SF).collect()}) == len(rows)

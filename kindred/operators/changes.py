@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import scalars as S
 from kindred.operators.anchors import framework_calls
+from kindred.operators.graph import closure
 from kindred.schema import SENSITIVE_COMPONENTS, GENERIC_COMPONENTS
 
 KIND_RANK = {"modified": 0, "added": 1, "removed": 2, "cosmetic": 3, "unchanged": 4}
@@ -206,26 +207,21 @@ def split_matches(matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return matches.where("lhs is not null and rhs is not null"), matches.where("rhs is null"), matches.where("lhs is null")
 
 
-def component_labels(classes: DataFrame, side: str | None = None, most_depth: int = 64) -> DataFrame:
+def component_labels(classes: DataFrame, side: str | None = None) -> DataFrame:
     """(side, descriptor, codes): component codes by the superclass chain and the direct interfaces.
 
-    The chain is followed by joins, one level a round, until no class has a further base.
+    The chain is the closure of the superclass relation, of any depth; cycles end.
     """
-    from kindred.plans.lineage import cut
-
     spark = classes.sparkSession
     table = {**SENSITIVE_COMPONENTS, **GENERIC_COMPONENTS}
     codes = spark.createDataFrame([(d, c) for d, (c, _) in table.items()], "base string, code string")
-    supers = classes.select(F.col("descriptor").alias("base"), F.col("superclass").alias("above")).where("above is not null and above <> ''").dropDuplicates(["base"])
-    now = classes.select("descriptor", F.col("superclass").alias("base")).where("base is not null and base <> ''")
-    reached = now.unionByName(classes.select("descriptor", F.explode("interfaces").alias("base")))
-    chain = now
-    for _ in range(most_depth):
-        now = cut(now.join(supers, "base").select("descriptor", F.col("above").alias("base")).join(chain, ["descriptor", "base"], "left_anti"))
-        if now.isEmpty():
-            break
-        chain = cut(chain.unionByName(now))
-        reached = reached.unionByName(now)
+    # of classes that bear one name the first superclass by name counts for those below
+    above = classes.where("superclass is not null and superclass <> ''")
+    parents = above.groupBy("descriptor").agg(F.min("superclass").alias("parent")).withColumnRenamed("descriptor", "node")
+    higher = closure(parents).select(F.col("node").alias("superclass"), F.col("ancestor").alias("base"))
+    direct = above.select("descriptor", F.col("superclass").alias("base"))
+    chain = above.select("descriptor", "superclass").join(higher, "superclass").select("descriptor", "base")
+    reached = direct.unionByName(chain).unionByName(classes.select("descriptor", F.explode("interfaces").alias("base")))
     found = reached.join(codes, "base").groupBy("descriptor").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     return found.select(F.lit(side).cast("string").alias("side"), "descriptor", "codes")
 

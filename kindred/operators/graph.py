@@ -12,6 +12,10 @@ def _edges(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
+#: Edges that one task takes; a round over fewer edges than the session's partitions could hold takes fewer tasks.
+TASK_EDGES = 20_000
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (id, component) per vertex with an edge.
 
@@ -21,36 +25,44 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     the shuffle and in a join that Spark can split.
     """
     now = cut(_edges(edges, "a", "b"))
-    state = None
+    measure = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    state = measure(now)
     for _ in range(most_rounds):
+        few = lambda df, n=state[0] // TASK_EDGES + 1: df.coalesce(n)
+        now = few(now)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = _edges(both.join(low, both.a == low.v).where("b > a").select("b", "m"), "b", "m")
+        low = few(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))).select("v", F.least("v", "m").alias("m"))
+        large = few(_edges(few(both.join(low, both.a == low.v)).where("b > a").select("b", "m"), "b", "m"))
         down = large.select(F.col("b").alias("v"), F.col("a").alias("u"))
-        least = down.groupBy("v").agg(F.min("u").alias("m"))
-        small = down.join(least, "v").select(F.explode(F.array("u", "v")).alias("x"), "m")
-        now = cut(_edges(small, "x", "m"))
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(after) == state:
+        least = few(down.groupBy("v").agg(F.min("u").alias("m")))
+        small = few(down.join(least, "v")).select(F.explode(F.array("u", "v")).alias("x"), "m")
+        now = cut(few(_edges(small, "x", "m")))
+        after = measure(now)
+        if after == state:
             break
-        state = tuple(after)
+        state = after
     else:
         raise RuntimeError(f"components: no end after {most_rounds} rounds")
     return now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")).union(now.select("a", "a").distinct()).distinct()
 
 
-def closure(parents: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(node, ancestor, depth) of a relation (node, parent): the least depth of each ancestor; cycles end."""
+def closure(parents: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """(node, ancestor, depth) of a relation (node, parent): the least depth of each ancestor; cycles end.
+
+    Goes on until a level brings nothing new, or raises at a depth that was given.
+    """
     step = parents.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
     now = cut(parents.select("node", F.col("parent").alias("ancestor")).distinct())
-    out = now.withColumn("depth", F.lit(1))
-    for depth in range(2, most_depth + 1):
+    out, depth = now.withColumn("depth", F.lit(1)), 1
+    while True:
+        depth += 1
         now = now.join(step, F.col("ancestor") == F.col("_n")).select("node", F.col("_p").alias("ancestor")).distinct()
         now = cut(now.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
         if now.isEmpty():
-            break
+            return out
+        if most_depth is not None and depth > most_depth:
+            raise RuntimeError(f"closure: deeper than {most_depth}")
         out = cut(out.unionByName(now.withColumn("depth", F.lit(depth))))
-    return out
 
 
 def banded_pairs(rows: DataFrame, radius: int) -> DataFrame:

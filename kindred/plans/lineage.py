@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is set (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir. Where none is set, a local session (tests) gets a temporary one; a cluster is refused."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder; a cluster needs one")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kindred-"))
     return context.getCheckpointDir()
 
 

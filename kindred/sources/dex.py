@@ -258,9 +258,17 @@ def scan(spark: SparkSession, paths: list[str], digest: str, glob: str | None =
 
 def scan_dex(spark: SparkSession, paths: list[str], digest: str) -> tuple[DataFrame, DataFrame]:
     """DEX files and folders of them; explicit files may have any extension."""
-    folders = [p for p in paths if not re.search(r"\.[A-Za-z0-9]+$", p)]
+    folders = [p for p in paths if _is_folder(spark, p)]
     return scan(spark, paths, digest, "*.dex" if folders == paths else None)
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asks the path's file system; a path that is not there, or a pattern, is none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(conf)
+    return bool(system.exists(where) and system.getFileStatus(where).isDirectory())
+
+
 def scan_apk(spark: SparkSession, path: str, digest: str) -> tuple[DataFrame, DataFrame]:
     return scan(spark, [path], digest)

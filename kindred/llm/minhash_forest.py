@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import textkit as K
-from kindred.llm.shared import components, cut, partitions
+from kindred.llm.shared import components, cut, partitions, thinned
 from kindred.session import ship
 
 _U = K.U
@@ -365,21 +365,6 @@ def _blocks(rows: Column, shingles_: Column) -> Column:
     return F.greatest(F.ceil(rows / F.lit(BLOCK_ROWS / 2)), F.ceil(shingles_ / F.lit(BLOCK / 2))).cast("int")
 
 
-def thinned(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = 1 << 27) -> DataFrame:
-    """The rows whose key may be among the wanted ones, and all that are: a filter before a shuffle.
-
-    What is broadcast is a bitmap of the keys' hashes, of at most most_bits bits whatever their number.
-    """
-    count, size = wanted.count(), 64
-    while size < min(most_bits, 8 * count):
-        size *= 2
-    place = F.pmod(F.xxhash64(key), F.lit(size))
-    bits = wanted.select(F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {size}) & 63 as int))").alias("_bit"))
-    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    held = F.expr(f"(shiftrightunsigned(_bits, cast(pmod(xxhash64(`{key}`), {size}) & 63 as int)) & 1) = 1")
-    return rows.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(bits), "_word").where(held).drop("_word", "_bits")
-
-
 def confirmed_edges(df: DataFrame, classes: DataFrame, groups: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """(a, b): confirmed links that connect what is linked within each loose group.
 

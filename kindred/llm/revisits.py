@@ -14,8 +14,7 @@ grow with the table. Payloads are fetched once, by the id of the response, of co
 Defined results: a record with a null URL or time resolves nothing and is not resolved (reason
 'no response'); records of equal time are ordered by record_id, and only earlier ones in that order
 count; a null kind is neither a response nor a revisit. Repeated rows are resolved each; where several
-responses share an id, URL and time, the one with the least digest, then the least headers, is used; of
-several headers of such revisits the least. Header names count in lower case, and of names that differ in
+responses share an id, URL and time, the one with the least digest, then the least headers, is used. Header names count in lower case, and of names that differ in
 case only the first stands. An empty table gives no row. Other columns are ignored.
 """
 
@@ -24,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import cut
+from kindred.llm.shared import cut, thinned
 
 #: Header fields of a stored response that a not-modified answer does not change.
 FIXED_HEADERS = ("content-encoding", "content-length", "content-md5", "content-range", "content-type", "etag", "transfer-encoding")
@@ -63,21 +62,20 @@ def resolve(records: DataFrame) -> DataFrame:
     ts, response_id, confirmed, reason, headers (merged, null unless confirmed), payload.
     """
     rows = records.select("record_id", canonical_url(F.col("url")).alias("url"), F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified", lower_names(F.col("headers")).alias("headers"), "payload")
-    dated = rows.where("url is not null and ts is not null and kind in ('response', 'revisit')").select("record_id", "url", "ts", "kind", "etag", "last_modified")
+    own = F.when(F.col("kind") == "revisit", F.col("headers")).alias("new_headers")
+    dated = rows.where("url is not null and ts is not null and kind in ('response', 'revisit')").select("record_id", "url", "ts", "kind", "etag", "last_modified", own)
     # a block is a range of the sorted captures: the partition number in the row's id
     keys = cut(dated.orderBy("url", "ts", "record_id").withColumn("block", F.shiftright(F.monotonically_increasing_id(), 33)))
     seen = F.when(F.col("kind") == "response", F.struct("ts", F.col("record_id").alias("response_id"), F.col("etag").alias("was_etag"), F.col("last_modified").alias("was_modified")))
     keys = keys.withColumn("seen", seen)
-    order = [F.col("ts"), F.col("record_id")]
-    here = Window.partitionBy("url", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("url", "block").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     within = keys.withColumn("found", F.last("seen", ignorenulls=True).over(here)).where("kind = 'revisit'")
-    ends = keys.where("seen is not null").groupBy("url", "block").agg(F.max("seen").alias("seen"))
-    # of each URL and block that has a revisit or a response: the last response of an earlier block
-    spots = within.select("url", "block").distinct().withColumn("asks", F.lit(True))
+    # of each URL and block: the last response of an earlier block
     before = Window.partitionBy("url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.join(spots, ["url", "block"], "full").withColumn("carried", F.last("seen", ignorenulls=True).over(before)).where("asks").select("url", "block", "carried")
-    joined = within.join(carried, ["url", "block"], "left").select("record_id", "url", "ts", "etag", "last_modified", F.coalesce("found", "carried").alias("r"))
-    missing = rows.where("kind = 'revisit' and (url is null or ts is null)").select("record_id", "url", "ts", "etag", "last_modified", F.lit(None).cast(joined.schema["r"].dataType).alias("r"))
+    ends = keys.groupBy("url", "block").agg(F.max("seen").alias("seen"))
+    carried = ends.select("url", "block", F.last("seen", ignorenulls=True).over(before).alias("carried"))
+    joined = within.join(carried, ["url", "block"], "left").select("record_id", "url", "ts", "etag", "last_modified", "new_headers", F.coalesce("found", "carried").alias("r"))
+    missing = rows.where("kind = 'revisit' and (url is null or ts is null)").select("record_id", "url", "ts", "etag", "last_modified", own, F.lit(None).cast(joined.schema["r"].dataType).alias("r"))
     both_tags = F.col("etag").isNotNull() & F.col("r.was_etag").isNotNull()
     both_dates = F.col("last_modified").isNotNull() & F.col("r.was_modified").isNotNull()
     reason = (
@@ -87,15 +85,12 @@ def resolve(records: DataFrame) -> DataFrame:
         .otherwise("no validator")
     )
     judged = joined.unionByName(missing).withColumn("reason", reason).withColumn("confirmed", F.col("reason").isin("etag", "last-modified"))
-    judged = judged.select("record_id", "url", "ts", F.col("r.response_id").alias("response_id"), F.col("r.ts").alias("response_ts"), "confirmed", "reason")
-    own = rows.where("kind = 'revisit'").groupBy("record_id", "url", "ts").agg(F.min_by("headers", _listed(F.col("headers"))).alias("new_headers"))
-    wanted = judged.where("confirmed").select("response_id", "response_ts", "url").distinct()
-    full = rows.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("ts").alias("response_ts"), "url", "headers", "payload").join(wanted, ["response_id", "response_ts", "url"], "left_semi")
+    judged = cut(judged.select("record_id", "url", "ts", "new_headers", F.col("r.response_id").alias("response_id"), F.col("r.ts").alias("response_ts"), "confirmed", "reason"))
+    full = rows.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("ts").alias("response_ts"), "url", "headers", "payload")
+    full = thinned(full, judged.where("confirmed").select("response_id"), "response_id")
     order = F.struct(F.sha2(F.coalesce("payload", F.lit("")), 256), _listed(F.col("headers")))
     full = full.groupBy("response_id", "response_ts", "url").agg(F.min_by(F.struct("headers", "payload"), order).alias("full"))
-    same = (F.col("j.record_id").eqNullSafe(F.col("o.record_id"))) & F.col("j.url").eqNullSafe(F.col("o.url")) & F.col("j.ts").eqNullSafe(F.col("o.ts"))
-    out = judged.alias("j").join(own.alias("o"), same, "left").select("j.*", "new_headers")
-    out = out.join(full, ["response_id", "response_ts", "url"], "left")
+    out = judged.join(full, ["response_id", "response_ts", "url"], "left")
     changed = F.map_filter(F.coalesce("new_headers", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*FIXED_HEADERS))
     stored = F.coalesce(F.col("full.headers"), F.create_map().cast("map<string,string>"))
     kept = F.map_filter(stored, lambda k, _: ~F.array_contains(F.map_keys(changed), k))

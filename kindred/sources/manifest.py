@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import xml.etree.ElementTree as ET
+import zipfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,11 @@ def parse(data: bytes | None) -> dict | None:
     """Package and component names; a list that cannot be read is empty, no manifest at all is null."""
     if not data:
         return None
+    if data[:4] == b"PK\x03\x04":  # an archive: the manifest within
+        try:
+            data = zipfile.ZipFile(io.BytesIO(data)).read("AndroidManifest.xml")
+        except (KeyError, zipfile.BadZipFile):
+            return None
     out: dict = {"package": ""} | {v: [] for v in LISTS.values()}
     try:
         if data[:4] == b"\x03\x00\x08\x00":
@@ -66,7 +73,7 @@ def parse(data: bytes | None) -> dict | None:
 
 
 def with_manifest(files: DataFrame) -> DataFrame:
-    """(path, manifest, prefix) of manifests (path, content): the parsed struct and the suggested development prefix."""
+    """(path, manifest, prefix) of manifests, or of archives that hold one, (path, content): the parsed struct and the suggested development prefix."""
     read = F.udf(parse, SCHEMA)  # one call a file
     rows = files.select("path", read("content").alias("manifest"))
     m = F.col("manifest")

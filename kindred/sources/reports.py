@@ -63,37 +63,37 @@ def _top(changes: DataFrame, most: int) -> DataFrame:
     return changes.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= most)
 
 
+MARKS = {"app": "app", "library": "lib"}
+
+
 def text_report(changes: DataFrame, top: int = 30) -> str:
-    """Counts, and the top changes of each kind with their top three methods."""
-    stats = changes.groupBy("kind", "origin", "confidence").count().collect()  # a few rows
-    total = lambda **w: sum(r["count"] for r in stats if all(r[k] == v for k, v in w.items()))
-    line = lambda **w: "  ".join(f"{k}={total(kind=k, **w)}" for k in KINDS)
-    out = ["change summary: " + line()]
-    shared = C.sensitive_shared(changes)
-    codes = sorted({c for r in shared.select("components").distinct().collect() for c in r["components"]})
-    if codes:
-        out.append(f"  sensitive components shared by both builds: {shared.count()} classes [{', '.join(codes)}]")
-    if low := total(kind="modified", confidence="low"):
-        out.append(f"  modified confidence: high={total(kind='modified', confidence='high')}  low={low} (low: only calls moved, outside the app)")
-    if any(r["origin"] == "app" for r in stats):
-        out.append("  app-only:     " + line(origin="app"))
-    methods = F.transform(F.slice("methods", 1, 3), lambda m: F.concat(F.lit("          - "), m["name"], m["descriptor"], F.lit(": "), C.method_summary(m)))
-    rows = _top(changes, top).withColumn("_methods", methods).orderBy("kind", "_k").collect()  # at most `top` a kind
-    tag = {"app": "[app]", "library": "[lib]"}
-    for kind, title in (("modified", "top modified"), ("added", "top added"), ("removed", "top removed")):
-        mine = [r for r in rows if r["kind"] == kind]
-        if mine:
-            out.append(f"\n{title}:")
-        for r in mine:
-            name = r["source_file"] or r["lhs"] or r["rhs"] or "?"
-            mark = tag.get(r["origin"], "[  ?]")
-            if kind == "modified":
-                notes = (" [anchored]" if r["anchored"] else "") + (" [low-conf]" if r["confidence"] == "low" else "")
-                out.append(f"  {mark} [{r['magnitude']:4d}] {name}  {r['summary']}{notes}")
-                out += r["_methods"] or []
-            else:
-                out.append(f"  {mark} [{r['magnitude']:4d} instr] {name}")
-    return "\n".join(out)
+    """A digest for a terminal: a line of counts, facts worth knowing, then a table of the greatest changes of each kind."""
+    cells = {tuple(r)[:3]: r["count"] for r in changes.groupBy("kind", "origin", "confidence").count().collect()}  # a few rows
+    tally = lambda test: {k: sum(n for (kind, *rest), n in cells.items() if kind == k and test(*rest)) for k in KINDS}
+    shown = lambda counts: "  ".join(f"{k}={n}" for k, n in counts.items())
+    lines = ["change summary: " + shown(tally(lambda origin, confidence: True))]
+    own = tally(lambda origin, confidence: origin == "app")
+    if any(own.values()):
+        lines.append("in the app itself: " + shown(own))
+    weak = tally(lambda origin, confidence: confidence == "low")["modified"]
+    if weak:
+        lines.append(f"of the modified, {weak} outside the app differ in calls alone (low confidence)")
+    shared = C.sensitive_shared(changes).select(F.explode("components").alias("code")).groupBy("code").count().orderBy("code").collect()  # one row a code
+    if shared:
+        lines.append("sensitive in both builds: " + ", ".join(f"{r['code']} x{r['count']}" for r in shared))
+    facts = F.concat_ws(", ", F.col("summary"), F.when(F.col("anchored"), "anchored"), F.when(F.col("confidence") == "low", "low confidence"))
+    inner = F.transform(F.slice("methods", 1, 3), lambda m: F.concat(m["name"], m["descriptor"], F.lit(" | "), C.method_summary(m)))
+    mark = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv]), F.col("origin")), F.lit("-"))
+    rows = _top(changes.where(F.col("kind").isin("modified", "added", "removed")), top)
+    rows = rows.select("kind", "_k", "magnitude", mark.alias("mark"), F.coalesce("source_file", "lhs", "rhs", F.lit("?")).alias("who"), facts.alias("facts"), F.coalesce(inner, F.array().cast("array<string>")).alias("inner"))
+    kind = None
+    for r in sorted(rows.collect(), key=lambda r: (KINDS.index(r["kind"]), r["_k"])):  # at most `top` a kind
+        if r["kind"] != kind:
+            kind = r["kind"]
+            lines += ["", f"{kind}, greatest first (magnitude, origin, class, what)"]
+        lines.append(f"{r['magnitude']:>6}  {r['mark']:<4} {r['who']}  {r['facts']}")
+        lines += [f"{'':>12} {x}" for x in r["inner"]]
+    return "\n".join(lines)
 
 
 def components_report(changes: DataFrame) -> str:

@@ -231,9 +231,17 @@ def by_group(batches, columns: list[str], key: str):
         yield held.combine_chunks().select(columns)
 
 
+def whole_groups(rows: DataFrame) -> DataFrame:
+    """rows, sorted by key, all of a key in one partition: for by_group.
+
+    Spark leaves out a shuffle by a column that a join below has dealt the rows by already, and may then change
+    that join, so that a key's rows lie in many partitions. It keeps a shuffle by an expression of the column.
+    """
+    return rows.repartition(partitions(rows.sparkSession), F.xxhash64("key")).sortWithinPartitions("key")
+
+
 def loose_edges(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): classes whose signatures agree nearly enough, as a spanning forest of each region."""
-    spark = classes.sparkSession
     least = int(np.ceil(SIZE * (threshold - 4.1 * np.sqrt(threshold * (1 - threshold) / SIZE))))
 
     def spread(batches):
@@ -275,7 +283,7 @@ def loose_edges(classes: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     rows = dealt(classes.select("rep", "signature").mapInArrow(spread, "key long, rep long, marks binary"))
-    return rows.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+    return whole_groups(rows).mapInArrow(compare, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -356,8 +364,7 @@ def _links_within(rows: DataFrame, percent: int) -> DataFrame:
                     b.append(max(reps[i], reps[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sorted_rows = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    return sorted_rows.mapInArrow(compare, "a long, b long")
+    return whole_groups(rows).mapInArrow(compare, "a long, b long")
 
 
 def _blocks(rows: Column, shingles_: Column) -> Column:
@@ -400,7 +407,8 @@ def confirmed_edges(df: DataFrame, classes: DataFrame, groups: DataFrame, doc_id
     inside, outside = rest.where("part = main"), rest.where("part <> main")
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # in a task of two sides only rows of unlike sides are compared
-    key = lambda kind, a, b: F.xxhash64("component", F.lit(kind), a, b)
+    # an int and a long of one value hash apart
+    key = lambda kind, a, b: F.xxhash64("component", F.lit(kind), a.cast("long"), b.cast("long"))
     main_rows = inside.withColumn("other", to("n_rest")).select(*row(key("main", F.col("other"), block(3, F.col("n_main"))), F.lit(-1)))
     own = block(3, F.col("n_rest"))
     meets_main = outside.withColumn("other", to("n_main")).select(*row(key("main", own, F.col("other")), F.lit(0)))

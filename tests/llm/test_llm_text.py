@@ -181,6 +181,31 @@ def test_minhash_forest_large_groups(spark, monkeypatch):
     assert got == {d: (0 if d < 1000 else d if d < 2000 else 2000) for d, _ in rows}
 
 
+def test_minhash_forest_chain(spark, monkeypatch):
+    """In a group beyond a block, links between its largest part and the rest are found: each document links with the next alone."""
+    rows = [(d, " ".join(f"w{i}" for i in range(8 * d, 8 * d + 120))) for d in range(120)]
+    want = components_by_force(rows, 85)
+    assert {component for _, component in want.values()} == {0}
+    monkeypatch.setattr(minhash_forest, "BLOCK_ROWS", 20)
+    got = minhash_forest.near_duplicates(frame(spark, rows), percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_minhash_forest_small_beside_large(spark, monkeypatch):
+    """Groups within a block keep their links beside a group beyond it, whatever Spark makes of the join that parts them."""
+    rows = [(d, " ".join(f"w{i}" for i in range(80)) + f" own{d}") for d in range(30)]
+    for d in range(100, 160):
+        words = [f"t{d}x{i}" for i in range(80)]
+        rows += [(d, " ".join(words)), (d + 1000, " ".join(words[1:]))]
+    monkeypatch.setattr(minhash_forest, "BLOCK_ROWS", 20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(frame(spark, rows), percent=85).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {d: 0 if d < 30 else d % 1000 for d, _ in rows}
+
+
 @pytest.mark.parametrize("hot", [5, 10_000])
 def test_minhash_forest_boilerplate(spark, monkeypatch, hot):
     """Pairs that share no more of a tree than a very common prefix are found, however many rows share it."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import chat_format, decontaminate, embedding_forest, language_id, lm_score, minhash_forest, packing, revisits, substring_dedup, toxicity
+from kindred.llm import chat_format, decontaminate, embedding_forest, language_id, lm_score, minhash_forest, packing, periodic_runs, revisits, substring_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_forest": embedding_forest.op8_embedding_forest,
     "op9_minhash_forest": minhash_forest.op9_minhash_forest,
     "op10_lm_score": lm_score.op10_lm_score,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 ORACLES = {
     "op2_substring_dedup": substring_dedup.ORACLE,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import chat_format, decontaminate, embedding_forest, fill_in_middle, language_id, lm_score, minhash_forest, packing, periodic_runs, revisits, substring_dedup, toxicity
+from kindred.llm import chat_format, decontaminate, embedding_forest, fill_in_middle, language_id, lm_score, minhash_forest, packing, periodic_runs, revisits, substring_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_lm_score": lm_score.op10_lm_score,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_token_output": token_output.op13_token_output,
 }
 ORACLES = {
     "op2_substring_dedup": substring_dedup.ORACLE,

@@ -154,6 +154,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_counts(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
     """token, n: how often each of some ids is there."""
+    tokens = sorted(set(tokens))
 
     def make(matrix, start):
         yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([matrix.count(t) for t in tokens], pa.int64())], names=["token", "n"])
@@ -163,6 +164,7 @@ def token_counts(spark: SparkSession, folder: str, tokens: list[int]) -> DataFra
 
 def occurrences(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
     """token, doc_id, at (its place in the document), place (in all documents): every occurrence of some ids."""
+    tokens = sorted(set(tokens))
 
     def make(matrix, start):
         docs, first = np.array(matrix.doc_ids(), object), np.concatenate([[0], np.cumsum(matrix.lengths())])

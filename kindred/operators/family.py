@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from kindred.functions import scalars as S
 from kindred.operators.anchors import framework_calls
-from kindred.operators.graph import banded_pairs, components
+from kindred.operators.graph import components
+from kindred.operators.hamming import nearest_within, pairs_within, radius_pairs
 from kindred.operators.lsh import nearest
 from kindred.plans.lineage import cut
 from kindred.schema import BUILD_RADIUS, MATCH_RADIUS, MAX_ENTRY_STRINGS, MEDOID_SAMPLE, MIN_LIBRARY_CLASSES, MIN_MINED_INSTRUCTIONS, NEAREST_RADIUS
@@ -55,7 +56,7 @@ def containment(family: DataFrame, candidate: DataFrame, radius: int = MATCH_RAD
 def radius_clusters(rows: DataFrame, radius: int = BUILD_RADIUS) -> DataFrame:
     """(id, cluster): single-linkage groups of rows (id, sig) whose signatures lie within the radius."""
     alone = rows.groupBy("sig").agg(F.min("id").alias("id"))
-    found = components(banded_pairs(cut(alone), radius).select(F.col("l").alias("a"), F.col("r").alias("b")))
+    found = components(pairs_within(cut(alone), radius).select(F.col("l").alias("a"), F.col("r").alias("b")))
     named = alone.join(found, "id", "left").select("sig", F.coalesce("component", "id").alias("cluster"))
     return rows.join(named, "sig").select("id", "cluster")
 
@@ -119,30 +120,46 @@ def curated_pack(classes: DataFrame, name: str, radius: int = BUILD_RADIUS, min_
     return rows.withColumn("entry_id", (F.row_number().over(order) - 1).cast("int")).select(*ENTRY_COLUMNS), pack_meta(classes.sparkSession, name, "family", len(samples), 1, radius, min_instructions, samples)
 
 
+def string_candidates(told: DataFrame, known: DataFrame, floor: float) -> DataFrame:
+    """(digest, pos, pack, entry_id): of weighted tokens (digest, pos, pack, s, idf) and (pack, entry_id, s), the entries that can be a class's best.
+
+    A class shares its heaviest token with some entry, whose score is at least that token's weight. So the
+    lighter tokens that weigh less together, or less than the floor, cannot make another entry the best: only the
+    tokens before them look entries up, and a token that every row holds is hardly ever among those.
+    """
+    own = Window.partitionBy("digest", "pos", "pack")
+    rest = F.sum("idf").over(own.orderBy("idf", "s"))  # of this token and all lighter ones
+    least = F.greatest(F.max("idf").over(own), F.lit(floor)) - 1e-6
+    asking = told.withColumn("_rest", rest).withColumn("_least", least).where(F.col("_rest") >= F.col("_least"))
+    return asking.select("digest", "pos", "pack", "s").join(known, ["pack", "s"]).select("digest", "pos", "pack", "entry_id").distinct()
+
+
 def detect(classes: DataFrame, entries: DataFrame, radius: int, use_strings: bool = True, string_floor: float = 0.5) -> DataFrame:
-    """(pos, pack, entry_id, tier, distance, score): the best entry of each pack for each class.
+    """(digest, pos, pack, entry_id, tier, distance, score): the best entry of each pack for each class.
 
     Tier 1: equal signature; tier 2: within the radius, exactly; tier 3: the summed idf ln(1 + n / df) of
     shared useful strings reaches the floor (distance -1). Lower tiers win, then distance, score, entry_id.
+    Classes meet entries, never each other; of entries with one signature in a pack the first is met. Strings
+    are compared where no signature is near enough.
     """
-    flat = lambda df, *keys: df.select(*keys, *[F.col(f"sig.{p}").alias(f"_{p}") for p in S.SIGNATURE_PARTS])
-    sig = [f"_{p}" for p in S.SIGNATURE_PARTS]
-    one, two = flat(classes, "digest", "pos"), flat(entries, "pack", "entry_id")
-    exact = one.join(two, sig).select("digest", "pos", "pack", "entry_id", F.lit(1).alias("tier"), F.lit(0).alias("distance"), F.lit(1.0).alias("score"))
-    both = classes.select(F.concat_ws("|", F.lit("c"), "digest", F.col("pos").cast("string")).alias("id"), "sig").unionByName(entries.select(F.concat_ws("|", F.lit("e"), "pack", F.col("entry_id").cast("string")).alias("id"), "sig"))
-    pairs = banded_pairs(cut(both), radius).where(F.col("l").startswith("c|") & F.col("r").startswith("e|") & (F.col("hamming") > 0))
-    parts = lambda c, i: F.element_at(F.split(c, "\\|"), i)
-    near = pairs.select(parts("l", 2).alias("digest"), parts("l", 3).cast("int").alias("pos"), parts("r", 2).alias("pack"), parts("r", 3).cast("int").alias("entry_id"), F.lit(2).alias("tier"), F.col("hamming").alias("distance"), F.lit(1.0).alias("score"))
-    hits = exact.unionByName(near)
-    if use_strings:
-        known = entries.select("pack", "entry_id", F.explode(F.array_distinct("strings")).alias("s"))
-        n = entries.groupBy("pack").agg(F.count("*").alias("n"))
-        idf = known.groupBy("pack", "s").agg(F.count("*").alias("df")).join(n, "pack").select("pack", "s", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-        told = classes.select("digest", "pos", F.explode(S.useful_strings()).alias("s"))
-        scored = told.join(known.join(idf, ["pack", "s"]), "s").groupBy("digest", "pos", "pack", "entry_id").agg(F.round(F.sum("idf"), 9).alias("score")).where(F.col("score") >= string_floor)
-        hits = hits.unionByName(scored.select("digest", "pos", "pack", "entry_id", F.lit(3).alias("tier"), F.lit(-1).alias("distance"), "score"))
-    best = Window.partitionBy("digest", "pos", "pack").orderBy("tier", "distance", F.desc("score"), "entry_id")
-    return hits.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+    best = lambda *order: Window.partitionBy("digest", "pos", "pack").orderBy(*order)
+    face = entries.groupBy("pack", "sig").agg(F.min("entry_id").alias("entry_id"))
+    pairs = radius_pairs(classes.select(F.struct("digest", "pos").alias("id"), "sig"), face.select(F.struct("pack", "entry_id").alias("id"), "sig"), radius)
+    near = pairs.select("l.digest", "l.pos", "r.pack", "r.entry_id", F.when(F.col("hamming") == 0, 1).otherwise(2).alias("tier"), F.col("hamming").alias("distance"), F.lit(1.0).alias("score"))
+    near = near.withColumn("_k", F.row_number().over(best("tier", "distance", "entry_id"))).where("_k = 1").drop("_k")
+    if not use_strings:
+        return near
+    near = cut(near)
+    known = entries.select("pack", "entry_id", F.explode(F.array_distinct("strings")).alias("s"))
+    n = entries.groupBy("pack").agg(F.count("*").alias("n"))
+    idf = known.groupBy("pack", "s").agg(F.count("*").alias("df")).join(n, "pack").select("pack", "s", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
+    told = classes.select("digest", "pos", F.explode(S.useful_strings()).alias("s")).join(idf, "s")
+    told = cut(told.join(near.select("digest", "pos", "pack"), ["digest", "pos", "pack"], "left_anti"))
+    few = string_candidates(told, known, string_floor)
+    scored = few.join(told, ["digest", "pos", "pack"]).join(known, ["pack", "entry_id", "s"], "left_semi")
+    scored = scored.groupBy("digest", "pos", "pack", "entry_id").agg(F.round(F.sum("idf"), 9).alias("score")).where(F.col("score") >= string_floor)
+    scored = scored.withColumn("_k", F.row_number().over(best(F.desc("score"), "entry_id"))).where("_k = 1")
+    return near.unionByName(scored.select("digest", "pos", "pack", "entry_id", F.lit(3).alias("tier"), F.lit(-1).alias("distance"), "score"))
 
 
 def match_family(candidate: DataFrame, entries: DataFrame, meta: DataFrame, radius: int | None = None, use_strings: bool = True, min_instructions: int = MIN_MINED_INSTRUCTIONS) -> tuple[DataFrame, DataFrame]:
@@ -173,16 +190,13 @@ def match_family(candidate: DataFrame, entries: DataFrame, meta: DataFrame, radi
 
 
 def nearest_entries(classes: DataFrame, entries: DataFrame, radius: int = NEAREST_RADIUS) -> DataFrame:
-    """(digest, pos, descriptor, pack, entry_id, distance): the nearest entry within a wide radius, null where there is none.
-
-    The band join of so wide a radius is weak, so this is meant for listed classes against a pack.
-    """
-    packs = entries.select("pack").distinct()
-    asked = classes.select("digest", "pos", "descriptor", "sig").crossJoin(F.broadcast(packs))  # one row a pack
-    far = S.hamming(F.col("sig"), F.col("_sig"))
-    best = asked.join(entries.select("pack", "entry_id", F.col("sig").alias("_sig")), "pack").withColumn("distance", far).where(F.col("distance") <= radius)
-    best = best.groupBy("digest", "pos", "pack").agg(F.min(F.struct("distance", "entry_id")).alias("x"))
-    return asked.drop("sig").join(best, ["digest", "pos", "pack"], "left").select("digest", "pos", "descriptor", "pack", "x.entry_id", "x.distance")
+    """(digest, pos, descriptor, pack, entry_id, distance): the nearest entry of each pack within a wide radius, null
+    where there is none; ties to the first entry. Meant for listed classes against packs of any size."""
+    rows = cut(classes.select(F.xxhash64("digest", "pos").alias("id"), "digest", "pos", "descriptor", "sig"))
+    found = nearest_within(rows.select("id", "sig"), entries.select(F.col("pack").alias("grp"), F.col("entry_id").cast("long").alias("id"), "sig"), radius)
+    asked = rows.drop("sig").crossJoin(entries.select("pack").distinct())  # the rows of the answer
+    found = found.select(F.col("l").alias("id"), F.col("grp").alias("pack"), F.col("r").cast("int").alias("entry_id"), F.col("hamming").alias("distance"))
+    return asked.join(found, ["id", "pack"], "left").select("digest", "pos", "descriptor", "pack", "entry_id", "distance")
 
 
 def labels_having(hits: DataFrame, least: int = MIN_LIBRARY_CLASSES) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Graphs: connected components, closure of a parent relation, pairs within a radius."""
+"""Graphs: connected components, closure of a parent relation."""
 
 from __future__ import annotations
 
@@ -63,35 +63,3 @@ def closure(parents: DataFrame, most_depth: int | None = None) -> DataFrame:
         if most_depth is not None and depth > most_depth:
             raise RuntimeError(f"closure: deeper than {most_depth}")
         out = cut(out.unionByName(now.withColumn("depth", F.lit(depth))))
-
-
-def banded_pairs(rows: DataFrame, radius: int) -> DataFrame:
-    """(l, r, hamming): all pairs of rows (id, sig) within a Hamming radius, exactly.
-
-    Two signatures within the radius agree on one of radius + 1 bands of bits. Equal signatures are
-    joined once and expanded afterwards.
-    """
-    from kindred.functions import scalars as S
-
-    sig = lambda p: F.struct(*[F.col(f"{p}{i}").alias(x) for i, x in enumerate(S.SIGNATURE_PARTS)])
-    named = lambda p: [f"{p}{i}" for i in range(4)]
-    ids = rows.select("id", *[F.col("sig")[x].alias(f"a{i}") for i, x in enumerate(S.SIGNATURE_PARTS)])
-    alone = ids.select(*named("a")).distinct()
-    n = radius + 1
-    bands = [range(128 * i // n, 128 * (i + 1) // n) for i in range(n)]
-
-    def key(bits: range):
-        words = []
-        for part in range(4):
-            mine = [b for b in bits if b // 32 == part]
-            if mine:
-                mask = sum(1 << (b % 32) for b in mine)
-                words.append(F.col(f"a{3 - part}").bitwiseAND(mask).cast("string"))
-        return F.concat_ws(":", *words)
-
-    spread = alone.select(*named("a"), F.explode(F.array(*[F.struct(F.lit(i).alias("band"), key(b).alias("key")) for i, b in enumerate(bands)])).alias("x")).select(*named("a"), "x.*")
-    other = spread.select(*[F.col(f"a{i}").alias(f"b{i}") for i in range(4)], "band", "key")
-    met = spread.join(other, ["band", "key"]).select(*named("a"), *named("b")).distinct().withColumn("hamming", S.hamming(sig("a"), sig("b"))).where(F.col("hamming") <= radius)
-    left = ids.select(F.col("id").alias("l"), *named("a"))
-    right = ids.select(F.col("id").alias("r"), *[F.col(f"a{i}").alias(f"b{i}") for i in range(4)])
-    return met.join(left, named("a")).join(right, named("b")).where("l < r").select("l", "r", "hamming")

@@ -36,30 +36,54 @@ def bucket_key(sig: Column, bits: list[int]) -> Column:
     return key
 
 
-def bucket_keys(sig: Column, tables: int = LSH_TABLES, bits: int = LSH_BITS, probe_radius: int = 0) -> Column:
-    """array<struct<perm, probe, key>>: a key per table and, with a radius, keys with up to so many bits flipped."""
-    flips = [0, *(sum(1 << b for b in c) for r in range(1, probe_radius + 1) for c in combinations(range(bits), r))]
-    own = [(p, bucket_key(sig, sample)) for p, sample in enumerate(sampled_bits(tables, bits))]
-    return F.array(*[F.struct(F.lit(p).alias("perm"), F.lit(i).alias("probe"), key.bitwiseXOR(F.lit(flip).cast("long")).alias("key")) for p, key in own for i, flip in enumerate(flips)])
+def bucket_keys(sig: Column, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> Column:
+    """array<struct<perm, key>>: a key per table."""
+    return F.array(*[F.struct(F.lit(p).alias("perm"), bucket_key(sig, sample).alias("key")) for p, sample in enumerate(sampled_bits(tables, bits))])
 
 
-def nearest(lhs: DataFrame, rhs: DataFrame, k: int = TOP_K, tables: int = LSH_TABLES, probe_radius: int = 0) -> DataFrame:
+def flips(probe_radius: int, bits: int = LSH_BITS) -> list[int]:
+    """By the number of a probe: what it flips of a key. No flip first, then single ones, then pairs."""
+    if not 0 <= probe_radius <= 2:
+        raise ValueError(f"probe_radius must be 0, 1 or 2 (got {probe_radius})")
+    return [0, *(sum(1 << b for b in c) for r in range(1, probe_radius + 1) for c in combinations(range(bits), r))]
+
+
+def grown_bits(rows: int, least: int = LSH_BITS) -> int:
+    """Key bits for so many rows: buckets of evenly spread signatures hold about four, whatever the number of rows."""
+    return min(max(least, (max(rows, 4) // 4).bit_length()), 62)
+
+
+def nearest(lhs: DataFrame, rhs: DataFrame, k: int = TOP_K, tables: int = LSH_TABLES, probe_radius: int = 0, bits: int | None = LSH_BITS) -> DataFrame:
     """(pool, l, r, hamming, rank): of frames (pool, id, sig), each left row's k nearest right rows.
 
-    Order: distance, first table that brings the two together, probe, id.
+    Order: distance, first table that brings the two together, probe, id. A probe radius of 1 or 2 also asks
+    buckets whose keys differ in so many bits. Keys of 16 bits give what other readers of the same
+    definition find; with None the keys grow with the right side, for pools in which 65,536 buckets would be crowded.
+
+    Within a bucket only the k nearest of a left signature go on: whatever precedes another signature in the
+    first bucket that brings it, by distance and id, precedes it in the end.
     """
-    sig_of = lambda p: [F.col("sig")[x].alias(f"{p}{i}") for i, x in enumerate(S.SIGNATURE_PARTS)]
+    probes = flips(probe_radius, bits or LSH_BITS)  # refuses other radii
+    if bits is None:
+        bits = grown_bits(rhs.count())
+        probes = flips(probe_radius, bits)
     names = lambda p: [f"{p}{i}" for i in range(4)]
+    sig_of = lambda p: [F.col("sig")[x].alias(f"{p}{i}") for i, x in enumerate(S.SIGNATURE_PARTS)]
     left = lhs.select("pool", *sig_of("a"), F.col("id").alias("l"))
     first = Window.partitionBy("pool", *names("b")).orderBy("r")
     right = rhs.select("pool", *sig_of("b"), F.col("id").alias("r")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k)
     as_sig = lambda p: F.struct(*[F.col(f"{p}{i}").alias(x) for i, x in enumerate(S.SIGNATURE_PARTS)])
-    spread = lambda df, p, radius: df.select("pool", *names(p)).distinct().select("pool", *names(p), F.explode(bucket_keys(as_sig(p), tables, LSH_BITS, radius)).alias("x")).select("pool", *names(p), "x.*")
-    one = spread(left, "a", probe_radius)
-    two = spread(right, "b", 0).drop("probe")
+    spread = lambda df, p, *more: df.select("pool", *names(p), *more, F.explode(bucket_keys(as_sig(p), tables, bits)).alias("x")).select("pool", *names(p), *more, "x.*")
+    one = spread(left.select("pool", *names("a")).distinct(), "a").withColumn("probe", F.lit(0))
+    if len(probes) > 1:
+        flipped = F.posexplode(F.array(*[F.lit(x).cast("long") for x in probes])).alias("probe", "flip")
+        one = one.drop("probe").select("*", flipped).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+    two = spread(right.groupBy("pool", *names("b")).agg(F.min("r").alias("_r")), "b", "_r")
+    met = one.join(two, ["pool", "perm", "key"]).withColumn("hamming", S.hamming(as_sig("a"), as_sig("b")))
+    bucket = Window.partitionBy("pool", "perm", "key", *names("a")).orderBy("hamming", "_r")
+    met = met.withColumn("_b", F.row_number().over(bucket)).where(F.col("_b") <= k)
     # the first table and probe as one number, which a hash aggregate can keep
-    met = one.join(two, ["pool", "perm", "key"]).groupBy("pool", *names("a"), *names("b")).agg(F.min(F.col("perm").cast("long") * (1 << 32) + F.col("probe")).alias("met"))
-    met = met.withColumn("hamming", S.hamming(as_sig("a"), as_sig("b")))
+    met = met.groupBy("pool", *names("a"), *names("b"), "hamming").agg(F.min(F.col("perm").cast("long") * (1 << 32) + F.col("probe")).alias("met"))
     # every right signature has a row, so those up to the k-th place hold the k nearest rows
     ties = Window.partitionBy("pool", *names("a")).orderBy("hamming", "met", "r")
     expanded = met.withColumn("_d", F.dense_rank().over(Window.partitionBy("pool", *names("a")).orderBy("hamming", "met"))).where(F.col("_d") <= k).join(right, ["pool", *names("b")])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import scalars as S
 from kindred.functions.hashing import md5_32
-from kindred.operators import anchors, assign, changes, family, graph, grade, lsh
+from kindred.operators import anchors, assign, changes, family, graph, grade, hamming, lsh
 from kindred.operators.simhash import simhash_agg
 from kindred.plans.lineage import cut
 from kindred.schema import OPCODE_CATEGORIES, with_positions
@@ -111,10 +111,25 @@ def near_dup_topk(spark, sf_dir):
     return found.withColumn("rank", rank).where("rank <= 3").select("l", "r", "hamming", "rank")
 
 
+_FLIPS = [(p, f) for p, f in enumerate(lsh.flips(2))]
+_PROBE = f"f(probe, flip) as (values {', '.join(f'({p}, {f})' for p, f in _FLIPS)})"
+
+
+@query(f"""with {_SIGS}, k as ({_KEYS}), {_PROBE},
+m as (select a.doc_id l, b.doc_id r, {_HAMMING} hamming, min(a.perm::bigint * 4294967296 + probe) p from k a cross join f join k b on a.perm = b.perm and xor(a.key, flip) = b.key where a.doc_id <> b.doc_id and a.doc_id % 100 = 0 group by all)
+select l, r, hamming, rank::INT rank from (select *, row_number() over (partition by l order by hamming, p, r) rank from m) where rank <= 5""")
+def multi_probe_topk(spark, sf_dir):
+    """The five nearest other documents of the asking ones (ids divisible by 100), by buckets whose keys differ in up to two bits."""
+    sigs = cut(doc_signatures(spark, sf_dir)).withColumn("pool", F.lit(""))
+    found = lsh.nearest(sigs.where("id % 100 = 0"), sigs, 6, probe_radius=2).where("l <> r")
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("rank"))
+    return found.withColumn("rank", rank).where("rank <= 5").select("l", "r", "hamming", "rank")
+
+
 @query(f"with {_SIGS} select a.doc_id l, b.doc_id r, {_HAMMING} hamming from s a join s b on a.doc_id < b.doc_id where {_HAMMING} <= 4")
 def near_dup_exact_radius(spark, sf_dir):
-    """All pairs within four bits, by bands of which one must agree."""
-    return graph.banded_pairs(cut(doc_signatures(spark, sf_dir)), 4)
+    """All pairs within four bits."""
+    return hamming.pairs_within(cut(doc_signatures(spark, sf_dir)), 4)
 
 
 @query(f"""with recursive {_SIGS}, e as (select a.doc_id l, b.doc_id r from s a join s b on a.doc_id <> b.doc_id where {_HAMMING} <= 4),
@@ -123,7 +138,7 @@ select id doc_id, min(root) component, count(*) over (partition by min(root))::B
 def dup_components(spark, sf_dir):
     """Single-linkage groups of documents within four bits."""
     sigs = cut(doc_signatures(spark, sf_dir))
-    found = graph.components(graph.banded_pairs(sigs, 4).select(F.col("l").alias("a"), F.col("r").alias("b")))
+    found = graph.components(hamming.pairs_within(sigs, 4).select(F.col("l").alias("a"), F.col("r").alias("b")))
     rows = sigs.join(found, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("component"))
     sizes = rows.groupBy("component").agg(F.count("*").alias("size"))
     return rows.join(sizes, "component").select("doc_id", "component", "size")
@@ -132,10 +147,8 @@ def dup_components(spark, sf_dir):
 @query(f"""with {_SIGS}, d as (select a.doc_id l from s a join s b on a.doc_id <> b.doc_id where {_HAMMING} <= 12)
 select doc_id, exists (select 1 from d where d.l = s.doc_id) near from s""")
 def radius_presence(spark, sf_dir):
-    """Whether a document has another one within twelve bits, exactly (thirteen bands)."""
-    sigs = cut(doc_signatures(spark, sf_dir))
-    near = graph.banded_pairs(sigs, 12).select(F.explode(F.array("l", "r")).alias("id")).distinct().withColumn("near", F.lit(True))
-    return sigs.join(near, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("near", F.lit(False)).alias("near"))
+    """Whether a document has another one within twelve bits, exactly."""
+    return hamming.accompanied(cut(doc_signatures(spark, sf_dir)), 12).select(F.col("id").alias("doc_id"), "near")
 
 
 # ---- assignment and pools: J1, J6-J8, J12

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import scalars as S
 from kindred.operators.assign import assign
 from kindred.operators.similarity import hierarchy_tokens
+from kindred.plans.lineage import cut
 from kindred.schema import ANCHOR_FLOOR, FRAMEWORK_WEIGHT, HIERARCHY_WEIGHT
 
 
@@ -27,11 +28,27 @@ def token_statistics(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy("pool", "token").agg(F.sum("left").alias("ldf"), F.sum(1 - F.col("left")).alias("rdf")).where("ldf > 0 and rdf > 0")
 
 
-def evidence(left: DataFrame, right: DataFrame, sizes: DataFrame) -> DataFrame:
+def _heavy(rows: DataFrame, key: str, floor: float) -> DataFrame:
+    """Of weighted tokens (pool, key, token, w), each row's heaviest: those before the lighter ones that stay below the floor together."""
+    lighter = Window.partitionBy("pool", key).orderBy("w", "token")
+    return rows.withColumn("_rest", F.sum("w").over(lighter)).where(F.col("_rest") >= floor - 1e-9).drop("_rest")
+
+
+def candidate_pairs(one: DataFrame, two: DataFrame, floor: float) -> DataFrame:
+    """(pool, l, r): of weighted tokens (pool, l, token, w) and (pool, r, token, w), the pairs whose shared weight can reach the floor.
+
+    Tokens are ordered by (weight, token), alike on both sides. All that a pair shares is not heavier than its heaviest
+    shared token and what either side has below that; so where it reaches the floor, that token is among the heavy
+    ones of both. A token that many rows hold weighs little and hardly ever is.
+    """
+    return _heavy(one, "l", floor).select("pool", "l", "token").join(_heavy(two, "r", floor).select("pool", "r", "token"), ["pool", "token"]).select("pool", "l", "r").distinct()
+
+
+def evidence(left: DataFrame, right: DataFrame, sizes: DataFrame, floor: float | None = None) -> DataFrame:
     """(pool, l, r, evidence): of tokens (pool, id, token) and pool sizes (pool, n), summed over shared tokens.
 
-    Every shared token counts, however common; a common token's pairs are joined by (pool, token), which
-    Spark splits where it is skewed.
+    With a floor, the pairs that reach it: only those that can are made, by their heaviest tokens, and then all
+    their shared tokens are summed. Without one every pair that shares a token is a row of the answer.
     """
     stats = token_statistics(left, right).join(sizes.select("pool", "n"), "pool")
     n1 = F.col("n") + 1
@@ -40,16 +57,21 @@ def evidence(left: DataFrame, right: DataFrame, sizes: DataFrame) -> DataFrame:
     share = hierarchy * (F.log(n1 / (F.col("ldf") + F.col("rdf"))) / norm) / (F.col("ldf") * F.col("rdf"))
     weights = stats.select("pool", "token", share.alias("w"))
     one = left.join(weights, ["pool", "token"]).select("pool", "token", F.col("id").alias("l"), "w")
-    return one.join(right.select("pool", "token", F.col("id").alias("r")), ["pool", "token"]).groupBy("pool", "l", "r").agg(F.sum("w").alias("evidence"))
+    if floor is None or floor <= 0:
+        return one.join(right.select("pool", "token", F.col("id").alias("r")), ["pool", "token"]).groupBy("pool", "l", "r").agg(F.sum("w").alias("evidence"))
+    two = right.join(weights, ["pool", "token"]).select("pool", "token", F.col("id").alias("r"), "w")
+    one, two = cut(one), cut(two)
+    few = candidate_pairs(one, two, floor)
+    shared = few.join(one, ["pool", "l"]).join(two.select("pool", "r", "token"), ["pool", "r", "token"])
+    return shared.groupBy("pool", "l", "r").agg(F.sum("w").alias("evidence")).where(F.col("evidence") >= floor - 1e-9)
 
 
 def seed_anchors(lhs: DataFrame, rhs: DataFrame, min_confidence: float = ANCHOR_FLOOR) -> DataFrame:
     """(pool, l, r, confidence, nth): of class frames (pool, pos, c)."""
     tokens = lambda df: df.select("pool", F.col("pos").alias("id"), F.explode(anchor_tokens(F.col("c.strings"), F.col("c.superclass"), F.col("c.interfaces"))).alias("token"))
     sizes = lhs.select("pool").unionByName(rhs.select("pool")).groupBy("pool").agg(F.count("*").alias("n"))
-    found = evidence(tokens(lhs), tokens(rhs), sizes)
     # calls add at most their weight, so weaker evidence cannot reach the floor
-    found = found.where(F.col("evidence") >= min_confidence - FRAMEWORK_WEIGHT - 1e-9)
+    found = evidence(tokens(lhs), tokens(rhs), sizes, min_confidence - FRAMEWORK_WEIGHT)
     calls = lambda df, name, side: df.select("pool", F.col("pos").alias(name), framework_calls(F.col("c.methods")).alias(side))
     found = found.join(calls(lhs, "l", "_a"), ["pool", "l"]).join(calls(rhs, "r", "_b"), ["pool", "r"])
     # rounded, so that equal evidence ties in whatever order it was added up

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import scalars as S
 from kindred.operators.anchors import framework_calls
-from kindred.operators.graph import closure
+from kindred.operators.graph import marks_above
 from kindred.schema import SENSITIVE_COMPONENTS, GENERIC_COMPONENTS
 
 KIND_RANK = {"modified": 0, "added": 1, "removed": 2, "cosmetic": 3, "unchanged": 4}
@@ -210,20 +210,21 @@ def split_matches(matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def component_labels(classes: DataFrame, side: str | None = None) -> DataFrame:
     """(side, descriptor, codes): component codes by the superclass chain and the direct interfaces.
 
-    The chain is the closure of the superclass relation, of any depth; cycles end.
+    The chain is followed to any depth by pointers that double; cycles end.
     """
     spark = classes.sparkSession
     table = {**SENSITIVE_COMPONENTS, **GENERIC_COMPONENTS}
-    codes = spark.createDataFrame([(d, c) for d, (c, _) in table.items()], "base string, code string")
+    names = sorted({c for c, _ in table.values()})
+    codes = spark.createDataFrame([(d, 1 << names.index(c)) for d, (c, _) in table.items()], "node string, mark long")
     # of classes that bear one name the first superclass by name counts for those below
     above = classes.where("superclass is not null and superclass <> ''")
     parents = above.groupBy("descriptor").agg(F.min("superclass").alias("parent")).withColumnRenamed("descriptor", "node")
-    higher = closure(parents).select(F.col("node").alias("superclass"), F.col("ancestor").alias("base"))
-    direct = above.select("descriptor", F.col("superclass").alias("base"))
-    chain = above.select("descriptor", "superclass").join(higher, "superclass").select("descriptor", "base")
-    reached = direct.unionByName(chain).unionByName(classes.select("descriptor", F.explode("interfaces").alias("base")))
-    found = reached.join(codes, "base").groupBy("descriptor").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    return found.select(F.lit(side).cast("string").alias("side"), "descriptor", "codes")
+    higher = marks_above(parents, codes)
+    own = above.select("descriptor", F.col("superclass").alias("node")).unionByName(classes.select("descriptor", F.explode("interfaces").alias("node")))
+    found = own.join(F.broadcast(codes), "node").select("descriptor", "mark").unionByName(above.select("descriptor", F.col("superclass").alias("node")).join(higher, "node").select("descriptor", "mark"))
+    found = found.groupBy("descriptor").agg(F.bit_or("mark").alias("mark"))
+    told = F.filter(F.array(*[F.when(F.col("mark").bitwiseAND(1 << i) != 0, F.lit(c)) for i, c in enumerate(names)]), lambda c: c.isNotNull())
+    return found.select(F.lit(side).cast("string").alias("side"), "descriptor", told.alias("codes"))
 
 
 def merge_labels(*labels: DataFrame) -> DataFrame:

@@ -61,21 +61,33 @@ def radius_clusters(rows: DataFrame, radius: int = BUILD_RADIUS) -> DataFrame:
     return rows.join(named, "sig").select("id", "cluster")
 
 
-def medoids(members: DataFrame) -> DataFrame:
-    """(cluster, sig, max_dist): of members (cluster, sig), the signature with least summed distance, ties to the
-    lowest; the first 256 members in order of signature are candidates."""
-    parts = [F.col(f"sig.{p}") for p in S.SIGNATURE_PARTS]
-    crowd = members.groupBy("cluster", "sig").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("cluster").orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    candidates = crowd.withColumn("_before", before).where(F.col("_before") < MEDOID_SAMPLE).select("cluster", "sig")
-    other = crowd.select("cluster", F.col("sig").alias("_other"), "n")
-    far = S.hamming(F.col("sig"), F.col("_other"))
-    total = candidates.join(other, "cluster").groupBy("cluster", "sig").agg(F.sum(far * F.col("n")).alias("_total"), F.max(far).alias("max_dist"))
-    best = Window.partitionBy("cluster").orderBy("_total", *parts)
-    return total.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("cluster", "sig", "max_dist")
-
+def medoids(members: DataFrame, sample: int | None = MEDOID_SAMPLE) -> DataFrame:
+    """(cluster, sig, max_dist): of members (cluster, sig), the signature with least summed distance, ties to the lowest.
 
-def mine_family(classes: DataFrame, name: str, k: int | None = None, radius: int = BUILD_RADIUS, min_instructions: int = MIN_MINED_INSTRUCTIONS, labelled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    A signature's summed distance follows from how many members have each bit, so no two members of a cluster are
+    joined but the winner with the others, for the greatest distance. With `sample` only the first so many members
+    in order of signature are candidates, as other readers of the same packs take them; with None all are.
+    """
+    parts = [F.col(f"sig.{p}") for p in S.SIGNATURE_PARTS]
+    crowd = cut(members.groupBy("cluster", "sig").agg(F.count("*").alias("n")))
+    candidates = crowd
+    if sample is not None:
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("cluster").orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        candidates = crowd.withColumn("_before", before).where(F.col("_before") < sample)
+    bit = lambda part, b: F.shiftright(F.col(f"sig.{part}"), b).bitwiseAND(1)
+    bits = [(part, b) for part in S.SIGNATURE_PARTS for b in range(32)]
+    ones = crowd.groupBy("cluster").agg(F.sum("n").alias("_all"), *[F.sum(bit(p, b) * F.col("n")).alias(f"_{p}{b}") for p, b in bits])
+    ones = ones.select("cluster", "_all", F.array(*[f"_{p}{b}" for p, b in bits]).alias("_ones"))
+    own = F.array(*[bit(p, b) for p, b in bits])
+    far = F.aggregate(F.zip_with("_own", "_ones", lambda x, c: F.when(x == 1, F.col("_all") - c).otherwise(c)), F.lit(0).cast("long"), lambda got, x: got + x)
+    rated = candidates.select("cluster", "sig", own.alias("_own")).join(ones, "cluster").select("cluster", far.alias("_total"), "sig")
+    best = rated.groupBy("cluster").agg(F.min(F.struct("_total", *[p.alias(n) for p, n in zip(parts, S.SIGNATURE_PARTS)])).alias("_x"))
+    best = best.select("cluster", F.struct(*[F.col(f"_x.{p}") for p in S.SIGNATURE_PARTS]).alias("sig"))
+    widest = crowd.select("cluster", F.col("sig").alias("_other")).join(best, "cluster").groupBy("cluster").agg(F.max(S.hamming(F.col("sig"), F.col("_other"))).alias("max_dist"))
+    return best.join(widest, "cluster")
+
+
+def mine_family(classes: DataFrame, name: str, k: int | None = None, radius: int = BUILD_RADIUS, min_instructions: int = MIN_MINED_INSTRUCTIONS, labelled: DataFrame | None = None, medoid_sample: int | None = MEDOID_SAMPLE) -> tuple[DataFrame, DataFrame]:
     """(entries, meta) of the classes that at least k of a family's samples (digests) share."""
     samples = [r["digest"] for r in classes.select("digest").distinct().orderBy("digest").collect()]  # one row a sample
     if len(samples) < 2:
@@ -90,7 +102,7 @@ def mine_family(classes: DataFrame, name: str, k: int | None = None, radius: int
     grouped = cut(grouped.join(covered, "cluster"))
     shared = grouped.select("cluster", "_members", F.explode("useful").alias("s")).groupBy("cluster", "_members", "s").count().where(F.col("count") == F.col("_members"))
     strings = shared.groupBy("cluster").agg(S.top_strings(F.collect_list("s"), MAX_ENTRY_STRINGS).alias("strings"))
-    centre = medoids(grouped.select("cluster", "sig"))
+    centre = medoids(grouped.select("cluster", "sig"), medoid_sample)
     face = grouped.select("cluster", "sig", "digest", "pos", "fqcn", "instructions", "sample_ids")
     first = Window.partitionBy("cluster").orderBy("digest", "pos")
     rows = face.join(centre, ["cluster", "sig"]).withColumn("_n", F.row_number().over(first)).where("_n = 1").join(strings, "cluster", "left")

@@ -49,17 +49,37 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def closure(parents: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(node, ancestor, depth) of a relation (node, parent): the least depth of each ancestor; cycles end.
 
-    Goes on until a level brings nothing new, or raises at a depth that was given.
+    By path doubling: with all ancestors up to depth d known, those up to 2 d are theirs who are exactly d
+    up, so there are as many rounds as the depth has binary digits. Raises beyond a depth that was given.
     """
-    step = parents.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-    now = cut(parents.select("node", F.col("parent").alias("ancestor")).distinct())
-    out, depth = now.withColumn("depth", F.lit(1)), 1
+    found, reach = cut(parents.select("node", F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1))), 1
     while True:
-        depth += 1
-        now = now.join(step, F.col("ancestor") == F.col("_n")).select("node", F.col("_p").alias("ancestor")).distinct()
-        now = cut(now.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
-        if now.isEmpty():
-            return out
-        if most_depth is not None and depth > most_depth:
+        if most_depth is not None and not found.where(F.col("depth") > most_depth).isEmpty():
             raise RuntimeError(f"closure: deeper than {most_depth}")
-        out = cut(out.unionByName(now.withColumn("depth", F.lit(depth))))
+        last = found.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("_w"))
+        if last.isEmpty():
+            return found
+        on = last.join(found.select(F.col("node").alias("_w"), "ancestor", "depth"), "_w").select("node", "ancestor", (F.col("depth") + reach).alias("depth"))
+        found = cut(found.unionByName(on).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        reach *= 2
+
+
+def marks_above(parents: DataFrame, marks: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(node, mark): of a relation (node, parent) with one parent a node, and bits (node, mark), the bits of all
+    ancestors together; nodes with none are left out.
+
+    By pointer doubling: a row a node, whose pointer goes twice as far up in each round, so a chain of any
+    depth takes as many rounds as its depth has binary digits, and no row for each of its ancestors. Cycles end
+    when a round adds no bit.
+    """
+    bits = marks.groupBy("node").agg(F.bit_or("mark").alias("mark")).select(F.col("node").alias("up"), F.col("mark").alias("_own"))
+    state = cut(parents.select("node", F.col("parent").alias("up")).join(bits, "up", "left").select("node", "up", F.coalesce("_own", F.lit(0).cast("long")).alias("mark")))
+    for _ in range(most_rounds):
+        above = state.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("mark").alias("_mark"))
+        both = state.join(above, F.col("up") == F.col("_n"), "left")
+        after = both.select("node", F.col("_up").alias("up"), F.col("mark").bitwiseOR(F.coalesce("_mark", F.lit(0).cast("long"))).alias("mark"), (F.col("mark").bitwiseOR(F.coalesce("_mark", F.lit(0).cast("long"))) != F.col("mark")).alias("_new"))
+        after = cut(after)
+        state = after.drop("_new")
+        if after.where("_new").isEmpty():
+            return state.where("mark <> 0").select("node", "mark")
+    raise RuntimeError(f"marks_above: no end after {most_rounds} rounds")

@@ -254,11 +254,11 @@ n as (select ((select count(*) from documents) + (select count(*) from benchmark
 e as (select l, r, sum(ln((n + 1) / (x.k + y.k)) / ln(n + 1) / (x.k * y.k)) s from dl join bl on dl.w = bl.w join x on x.w = dl.w join y on y.w = dl.w, n group by l, r)"""
 
 
-def _anchor_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _anchor_evidence(spark: SparkSession, sf_dir: str, floor: float | None = None) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     tokens = lambda df, key: df.select(F.lit("").alias("pool"), F.col(key).alias("id"), F.explode(S.useful_strings(words(F.col("text")))).alias("token"))
     sizes = docs.select(F.lit("").alias("pool")).unionAll(items.select(F.lit("").alias("pool"))).groupBy("pool").agg(F.count("*").alias("n"))
-    return anchors.evidence(tokens(docs, "doc_id"), tokens(items, "item_id"), sizes)
+    return anchors.evidence(tokens(docs, "doc_id"), tokens(items, "item_id"), sizes, floor)
 
 
 @query(f"with {_ANCHOR} select l doc_id, r item_id, round(s, 6) evidence from e")
@@ -272,7 +272,7 @@ def anchor_evidence(spark, sf_dir):
 select x.l doc_id, x.r item_id, x.s evidence from (select unnest(m) x from f)""")
 def anchor_pairs(spark, sf_dir):
     """Documents anchored to benchmark items, one to one."""
-    found = _anchor_evidence(spark, sf_dir).select("pool", "l", "r", F.round("evidence", 6).alias("score")).where("score >= 0.05")
+    found = _anchor_evidence(spark, sf_dir, 0.0499).select("pool", "l", "r", F.round("evidence", 6).alias("score")).where("score >= 0.05")
     return assign.assign(found, _asked(found), "greedy").select(F.col("l").alias("doc_id"), F.col("r").alias("item_id"), F.col("score").alias("evidence"))
 
 
@@ -324,18 +324,32 @@ _SIGN = "(list_sum(list_transform(range(1, 33), lambda i: case when embedding[i
 _FAR = "(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)))::INT"
 
 
+def _sign_bits(spark: SparkSession, sf_dir: str, cluster: Column) -> DataFrame:
+    """(cluster, sig): the signs of the vectors' components."""
+    part = lambda first: sum((F.when(F.element_at("embedding", first + i + 1) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)), F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    return table(spark, sf_dir, "embeddings").select(cluster.alias("cluster"), F.struct(part(32).alias("cls"), part(0).alias("fld"), zero.alias("mth"), zero.alias("code")).alias("sig"))
+
+
 @query(f"""with v as (select coalesce(label, -1) label, {_SIGN.format(32)} hi, {_SIGN.format(0)} lo from embeddings), crowd as (select label, hi, lo, count(*) n from v group by all),
 c as (select * from (select *, sum(n) over (partition by label order by hi, lo rows between unbounded preceding and 1 preceding) before from crowd) where coalesce(before, 0) < 256),
 t as (select a.label, a.hi, a.lo, sum({_FAR} * b.n) total, max({_FAR}) max_dist from c a join crowd b on a.label = b.label group by all)
 select label, hi, lo, max_dist from (select *, row_number() over (partition by label order by total, hi, lo) k from t) where k = 1""")
 def embedding_medoid(spark, sf_dir):
     """The sign bits of each label's vectors that are nearest to all others', of the first 256 in order."""
-    part = lambda first: sum((F.when(F.element_at("embedding", first + i + 1) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)), F.lit(0).cast("long"))
-    zero = F.lit(0).cast("long")
-    v = table(spark, sf_dir, "embeddings").select(F.coalesce("label", F.lit(-1)).alias("cluster"), F.struct(part(32).alias("cls"), part(0).alias("fld"), zero.alias("mth"), zero.alias("code")).alias("sig"))
+    v = _sign_bits(spark, sf_dir, F.coalesce("label", F.lit(-1)))
     return family.medoids(v).select(F.col("cluster").alias("label"), F.col("sig.cls").alias("hi"), F.col("sig.fld").alias("lo"), "max_dist")
 
 
+@query(f"""with v as (select label % 5 label, {_SIGN.format(32)} hi, {_SIGN.format(0)} lo from (select coalesce(label, -1) label, embedding from embeddings)), crowd as (select label, hi, lo, count(*) n from v group by all),
+t as (select a.label, a.hi, a.lo, sum({_FAR} * b.n) total, max({_FAR}) max_dist from crowd a join crowd b on a.label = b.label group by all)
+select label, hi, lo, max_dist from (select *, row_number() over (partition by label order by total, hi, lo) k from t) where k = 1""")
+def exact_medoid(spark, sf_dir):
+    """The sign bits that are nearest to all others', of all vectors of large groups of labels."""
+    v = _sign_bits(spark, sf_dir, F.coalesce("label", F.lit(-1)) % 5)
+    return family.medoids(v, None).select(F.col("cluster").alias("label"), F.col("sig.cls").alias("hi"), F.col("sig.fld").alias("lo"), "max_dist")
+
+
 @query("select doc_id, md5(text) digest from (select doc_id, text, row_number() over (partition by md5(text) order by doc_id) k from documents) where k = 1")
 def first_wins_dedup(spark, sf_dir):
     """The first document of each text, by the union of a build's parts."""

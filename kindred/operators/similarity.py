@@ -1,17 +1,22 @@
 """Scores of class pairs: blob similarity, method matching, and the comparison that combines them.
 
-All of it is row-local: a pair row that carries both classes is scored by built-in expressions, so no
-shuffle follows the join that made the pair.
+All of it is row-local: a pair row that carries both classes is scored by built-in expressions, its methods
+in batches of rows by one Arrow kernel, so no shuffle follows the join that made the pair.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kindred.functions import scalars as S
+from kindred.functions.edits import Texts, distances
 from kindred.schema import METHOD_FLOOR, OBJECT
 from kindred.schema import SCORE_WEIGHTS as W
+from kindred.session import ship
 
 
 def hierarchy_tokens(superclass: Column, interfaces: Column) -> Column:
@@ -49,57 +54,146 @@ def class_similarity(a: Column, b: Column) -> Column:
     return W["bytecode"] * edit + W["features"] * structural_features(a, b)["average"]
 
 
-def method_similarity(x: Column, y: Column) -> Column:
-    proto = F.when(x["return_type"] == y["return_type"], 0.5).otherwise(0.0) + 0.5 * S.ratio(x["arg_count"], y["arg_count"])
-    rest = W["method_proto"] * proto + W["method_xref"] * S.ratio(x["xref_count"], y["xref_count"])
-    # the lengths alone bound the score from above: only pairs that can reach the floor are aligned
-    la, lb = F.length(x["abstract"]), F.length(y["abstract"])
-    bound = W["method_bytecode"] * F.when(F.greatest(la, lb) == 0, 1.0).otherwise(F.least(la, lb) / F.greatest(la, lb)) + rest
-    snapped = S.let(W["method_bytecode"] * S.edit_similarity(x["abstract"], y["abstract"]) + rest, lambda s: F.when(s >= 1.0 - 1e-9, 1.0).otherwise(s))
-    return F.when(bound < METHOD_FLOOR - 1e-9, 0.0).otherwise(snapped)
-
-
-def greedy_fold(triples: Column) -> Column:
-    """Sequential greedy matching of an array of struct<ns, i, j> (ns: negated score) in its sorted order."""
-    kind = "struct<i:array<int>,j:array<int>,out:array<struct<ns:double,i:int,j:int>>>"
-    start = F.struct(F.array().alias("i"), F.array().alias("j"), F.array().alias("out")).cast(kind)
-
-    def step(got: Column, x: Column) -> Column:
-        taken = F.array_contains(got["i"], x["i"]) | F.array_contains(got["j"], x["j"])
-        more = F.struct(F.array_append(got["i"], x["i"]).alias("i"), F.array_append(got["j"], x["j"]).alias("j"), F.array_append(got["out"], x).alias("out")).cast(kind)
-        return F.when(taken, got).otherwise(more)
-
-    return F.aggregate(F.array_sort(triples), start, step)["out"]
-
-
-def match_methods(a: Column, b: Column) -> Column:
-    """array<struct<ns, i, j>>: the greedy pairs of two method arrays at or above the floor."""
-    triples = F.flatten(
-        F.transform(
-            a,
-            lambda x, i: F.filter(
-                F.transform(b, lambda y, j: F.struct((-method_similarity(x, y)).alias("ns"), i.alias("i"), j.alias("j"))),
-                lambda t: t["ns"] <= -METHOD_FLOOR,
-            ),
-        )
-    )
-    return greedy_fold(triples)
-
-
-def _method_rows(a: Column, b: Column, chosen: Column) -> Column:
-    """array<struct<l, r, score, status>>: left methods in order, then added ones; l and r are places or null."""
-    kind = "struct<l:int,r:int,score:double,status:string>"
-    row = lambda l, r, s, status: F.struct(l.alias("l"), r.alias("r"), s.alias("score"), status.alias("status")).cast(kind)
-    none = F.lit(None).cast("int")
-    left = F.transform(
-        F.transform(a, lambda x, i: F.struct(i.alias("i"), F.try_element_at(F.filter(chosen, lambda t: t["i"] == i), F.lit(1)).alias("t"))),
-        lambda p: F.when(p["t"].isNull(), row(p["i"], none, F.lit(0.0), F.lit("deleted"))).otherwise(
-            row(p["i"], p["t"]["j"], -p["t"]["ns"], F.when(-p["t"]["ns"] >= 1.0, "matched").otherwise("modified"))
-        ),
-    )
-    taken = F.transform(chosen, lambda t: t["j"])
-    right = F.transform(F.filter(F.transform(b, lambda y, j: j), lambda j: ~F.array_contains(taken, j)), lambda j: row(none, j, F.lit(0.0), F.lit("added")))
-    return F.concat(left, right)
+#: Method pairs that are looked at together, whatever class pairs they are of.
+BLOCK_PAIRS = 1 << 20
+METHOD_ROWS = "array<struct<l:int,r:int,score:double,status:string>>"
+
+
+def _numbered(values: pa.Array) -> np.ndarray:
+    """Equal values have equal numbers; nulls -1."""
+    return pc.fill_null(values.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class _Methods:
+    """The methods of many classes on both sides, one after the other."""
+
+    def __init__(self, left: pa.ListArray, right: pa.ListArray):
+        self.sides = []
+        parts = {f: [] for f in ("abstract", "return_type", "arg_count", "xref_count")}
+        base = 0
+        for side in (left, right):
+            size = pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = side.flatten()
+            for f, got in parts.items():
+                got.append(flat.field(f))
+            self.sides.append((base + np.cumsum(size) - size, size))
+            base += len(flat)
+        whole = {f: pa.chunked_array(got).combine_chunks() for f, got in parts.items()}
+        coded = whole["abstract"].dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        self.body = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.texts = Texts([t or "" for t in coded.dictionary.to_pylist()])
+        self.returns = _numbered(whole["return_type"])
+        number = lambda f: pc.fill_null(whole[f], -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.args, self.xrefs = number("arg_count"), number("xref_count")
+        self.known = (self.body >= 0) & (self.args >= 0) & (self.xrefs >= 0)
+
+    def scored(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these pairs of methods reach the floor, and their scores."""
+
+        def ratio(of: np.ndarray) -> np.ndarray:
+            a, b = of[x], of[y]
+            return np.where((a == 0) & (b == 0), 1.0, 1.0 - np.abs(a - b) / np.maximum(np.maximum(a, b), 1))
+
+        proto = np.where((self.returns[x] == self.returns[y]) & (self.returns[x] >= 0), 0.5, 0.0) + 0.5 * ratio(self.args)
+        rest = W["method_proto"] * proto + W["method_xref"] * ratio(self.xrefs)
+        la, lb = (self.texts.length[self.body[k]] if len(self.texts.length) else np.zeros(len(k), np.int64) for k in (x, y))
+        longest = np.maximum(la, lb)
+        # the lengths alone bound the score from above: only pairs that can reach the floor are aligned
+        bound = W["method_bytecode"] * np.where(longest == 0, 1.0, np.minimum(la, lb) / np.maximum(longest, 1)) + rest
+        at = np.flatnonzero(self.known[x] & self.known[y] & (bound >= METHOD_FLOOR - 1e-9))
+        rest, longest = rest[at], longest[at]
+        pair, back = np.unique(self.body[x[at]] * len(self.texts.length) + self.body[y[at]], return_inverse=True)
+        # the greatest distance with which any pair of these bodies reaches the floor
+        most = np.zeros(len(pair), np.int64)
+        np.maximum.at(most, back, np.floor(longest * (1.0 - (METHOD_FLOOR - rest) / W["method_bytecode"]) + 1e-6).astype(np.int64))
+        far = distances(self.texts, pair // max(len(self.texts.length), 1), pair % max(len(self.texts.length), 1), most)[back]
+        score = W["method_bytecode"] * np.where(longest == 0, 1.0, 1.0 - far / np.maximum(longest, 1)) + rest
+        score = np.where(score >= 1.0 - 1e-9, 1.0, score)
+        good = (score >= METHOD_FLOOR) & (far <= most[back])
+        return at[good], score[good]
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class pair, left, right, score) of all method pairs at or above the floor; pairs are made a block at a time."""
+        (l0, ln), (r0, rn) = self.sides
+        row = np.repeat(np.arange(len(ln)), ln)  # a row for each left method
+        i = np.arange(len(row)) - np.repeat(np.cumsum(ln) - ln, ln)
+        many = rn[row]
+        ends = np.cumsum(many)
+        out, lo = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0)]], 0
+        while lo < len(row):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_PAIRS, "right")))
+            each = many[lo:hi]
+            own = np.repeat(np.arange(lo, hi), each)
+            j = np.arange(len(own)) - np.repeat(np.cumsum(each) - each, each)
+            at, score = self.scored(l0[row[own]] + i[own], r0[row[own]] + j)
+            out.append([row[own[at]], i[own[at]], j[at], score])
+            lo = hi
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def greedy_places(row: np.ndarray, i: np.ndarray, j: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the pairs that greedy matching by (score descending, i, j) takes in each row: rounds of those that are the first of both their ends."""
+    left = np.lexsort((j, i, -score, row))
+    taken = []
+    while len(left):
+        first = np.ones(len(left), bool)
+        for end in (i, j):
+            own = np.zeros(len(left), bool)
+            own[np.unique(row[left] << 32 | end[left], return_index=True)[1]] = True
+            first &= own
+        got = left[first]
+        taken.append(got)
+        keep = ~first
+        for end in (i, j):
+            keep &= ~np.isin(row[left] << 32 | end[left], row[got] << 32 | end[got])
+        left = left[keep]
+    return np.concatenate([np.zeros(0, np.int64), *taken])
+
+
+def _rows(left: pa.Array, right: pa.Array) -> pa.Array:
+    methods = _Methods(left, right)
+    row, i, j, score = methods.candidates()
+    got = greedy_places(row, i, j, score)
+    (l0, ln), (r0, rn) = methods.sides
+    base = r0 - (r0[0] if len(r0) else 0)
+    to, back = np.full(int(ln.sum()), -1), np.zeros(int(rn.sum()), bool)
+    worth = np.zeros(len(to))
+    place = l0[row[got]] + i[got]
+    to[place], worth[place] = j[got], score[got]
+    back[base[row[got]] + j[got]] = True
+    # left methods in order, then the right ones that nothing took
+    of_left = np.repeat(np.arange(len(ln)), ln)
+    of_right = np.repeat(np.arange(len(rn)), rn)[~back]
+    own = np.arange(len(to)) - np.repeat(np.cumsum(ln) - ln, ln)
+    new = (np.arange(len(back)) - np.repeat(np.cumsum(rn) - rn, rn))[~back]
+    order = np.argsort(np.concatenate([of_left, of_right]), kind="stable")
+    none = lambda x, gone: pa.array(x[order].astype(np.int32), mask=gone[order])
+    k, m = len(to), len(new)
+    both = lambda a, b: np.concatenate([a, b])
+    lefts = none(both(own, np.zeros(m, np.int64)), both(np.zeros(k, bool), np.ones(m, bool)))
+    rights = none(both(np.maximum(to, 0), new), both(to < 0, np.zeros(m, bool)))
+    scores = both(worth, np.zeros(m))[order]
+    kinds = both(np.where(to < 0, 2, np.where(worth >= 1.0, 0, 1)), np.full(m, 3))[order]
+    status = pa.DictionaryArray.from_arrays(pa.array(kinds.astype(np.int8)), pa.array(["matched", "modified", "deleted", "added"])).cast(pa.string())
+    items = pa.StructArray.from_arrays([lefts, rights, pa.array(scores), status], names=["l", "r", "score", "status"])
+    sizes = np.bincount(np.concatenate([of_left, of_right]), minlength=len(ln)) if len(ln) else np.zeros(0, int)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), items)
+
+
+def method_rows(a: Column, b: Column) -> Column:
+    """array<struct<l, r, score, status>> of two method arrays: left methods in order, then added ones; l and r are places or null.
+
+    Pairs are taken greedily by (score descending, l, r) at or above the floor. A batch of rows is matched together:
+    the method pairs of all its class pairs are scored a block at a time, whichever classes they are of. Methods
+    of which a needed value is null match nothing.
+    """
+
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        return _rows(left, right)
+
+    slim = lambda c: F.transform(c, lambda m: F.struct(m["abstract"].alias("abstract"), m["return_type"].alias("return_type"), m["arg_count"].alias("arg_count"), m["xref_count"].alias("xref_count")))
+    return F.arrow_udf(run, METHOD_ROWS)(slim(a), slim(b))
 
 
 def method_rollup(a: Column, b: Column, rows: Column) -> Column:
@@ -113,8 +207,8 @@ def method_rollup(a: Column, b: Column, rows: Column) -> Column:
 def compared(df, a: str = "a", b: str = "b"):
     """Adds method_rows, features and similarity to rows that carry two classes."""
     x, y = F.col(a), F.col(b)
-    df = df.withColumn("_chosen", match_methods(x["methods"], y["methods"]))
-    df = df.withColumn("method_rows", _method_rows(x["methods"], y["methods"], F.col("_chosen"))).drop("_chosen")
+    ship(df.sparkSession)
+    df = df.withColumn("method_rows", method_rows(x["methods"], y["methods"]))
     df = df.withColumn("features", structural_features(x, y)).withColumn("_rollup", method_rollup(x["methods"], y["methods"], F.col("method_rows")))
     df = df.withColumn("similarity", W["bytecode"] * F.col("_rollup") + W["features"] * F.col("features.average"))
     count = lambda status: F.size(F.filter("method_rows", lambda r: r["status"] == status)).cast("double")

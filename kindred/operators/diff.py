@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import scalars as S
@@ -12,7 +12,7 @@ from kindred.operators.lsh import nearest
 from kindred.operators.similarity import class_similarity, compared
 from kindred.operators.simhash import signatures, with_abstract
 from kindred.plans.lineage import cut
-from kindred.schema import CALL_SITE_FLOOR, MAX_FRONTIER, MAX_REFS, MAX_ROUNDS, TOP_K, DiffOptions
+from kindred.schema import CALL_SITE_FLOOR, MAX_REFS, MAX_ROUNDS, TOP_K, DiffOptions
 
 _CLASS = ("pos", "descriptor", "package", "name", "source_file", "access", "superclass", "interfaces", "strings", "fields", "methods", "sequence")
 
@@ -124,72 +124,104 @@ def referenced_descriptors(c: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(one, c["interfaces"], typed, proto)), 1, MAX_REFS)
 
 
-def call_site_claims(frontier: DataFrame) -> DataFrame:
-    """(lhs, rhs, ord, m, i): positional pairs of what matched methods instantiate."""
+def call_sites(side: DataFrame) -> DataFrame:
+    """(pos, method, i, descriptor): what the methods of a prepared side's classes instantiate, by place."""
+    made = side.select("pos", F.posexplode("c.methods").alias("method", "m")).select("pos", "method", F.col("m.instantiates").alias("x"))
+    return made.select("pos", "method", F.posexplode("x").alias("i", "descriptor"))
+
+
+def site_claims(frontier: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(lhs, rhs, claim: ord, m, i): of pairs (l, r, ord, method_rows) and both sides' call sites, positional pairs
+    of what matched methods instantiate, each where it is met first."""
     both = F.filter("method_rows", lambda x: x["l"].isNotNull() & x["r"].isNotNull())
+    met = frontier.select("l", "r", "ord", F.posexplode(both).alias("m", "x")).select("l", "r", "ord", "m", F.col("x.l").alias("ml"), F.col("x.r").alias("mr"))
+    one = left.select(F.col("pos").alias("l"), F.col("method").alias("ml"), "i", F.col("descriptor").alias("lhs"))
+    two = right.select(F.col("pos").alias("r"), F.col("method").alias("mr"), "i", F.col("descriptor").alias("rhs"))
+    return met.join(one, ["l", "ml"]).join(two, ["r", "mr", "i"]).groupBy("lhs", "rhs").agg(F.min(F.struct("ord", "m", "i")).alias("claim"))
+
+
+def call_site_claims(frontier: DataFrame) -> DataFrame:
+    """site_claims of rows that carry their classes as a and b."""
+    rows = frontier.withColumn("l", F.monotonically_increasing_id()).withColumn("r", F.col("l"))
+    rows = cut(rows)
+    side = lambda c: call_sites(rows.select(F.col("l").alias("pos"), F.struct(f"{c}.methods").alias("c")))
+    return site_claims(rows.select("l", "r", "ord", "method_rows"), side("a"), side("b"))
+
 
-    def zipped(x: Column) -> Column:
-        left, right = F.get(F.col("a.methods"), x["l"])["instantiates"], F.get(F.col("b.methods"), x["r"])["instantiates"]
-        n = F.least(F.size(left), F.size(right))
-        return F.arrays_zip(F.slice(left, 1, n).alias("x"), F.slice(right, 1, n).alias("y"))
+def class_references(side: DataFrame) -> DataFrame:
+    """(pos, i, descriptor): the references of a prepared side's classes in their order."""
+    return side.select("pos", F.posexplode(referenced_descriptors(F.col("c"))).alias("i", "descriptor"))
 
-    made = frontier.select("ord", F.posexplode(F.transform(both, zipped)).alias("m", "z")).select("ord", "m", F.posexplode("z").alias("i", "p"))
-    pair = made.select("ord", "m", "i", F.col("p.x").alias("lhs"), F.col("p.y").alias("rhs"))
-    return pair.groupBy("lhs", "rhs").agg(F.min(F.struct("ord", "m", "i")).alias("claim"))
 
+def _first_referenced(frontier: DataFrame, key: str, references: DataFrame, free: DataFrame) -> DataFrame:
+    """(id, pos, sig): the free classes that the frontier refers to, numbered over sorted ranges by where they are first referred to."""
+    told = frontier.select(F.col(key).alias("pos"), "ord").join(references, "pos").groupBy("descriptor").agg(F.min(F.struct("ord", "i")).alias("first"))
+    return cut(free.join(told, "descriptor").select("first", "pos", "sig").orderBy("first", "pos").select(F.monotonically_increasing_id().alias("id"), "pos", "sig"))
 
-def propagate(matches: DataFrame, lhs: DataFrame, rhs: DataFrame, threshold: float, mode: str = "auto", most_rounds: int = MAX_ROUNDS) -> DataFrame:
+
+_SCORED = ("l", "r", "similarity", "breakdown", "method_rows")
+
+
+def propagate(matches: DataFrame, lhs: DataFrame, rhs: DataFrame, threshold: float, mode: str = "auto", most_rounds: int = MAX_ROUNDS, most_frontier: int | None = None) -> DataFrame:
     """Spreads pairs along call sites and type references until a round brings nothing new.
 
-    matches: paired rows; lhs, rhs: prepared sides. Returns the new pairs.
+    matches: paired rows; lhs, rhs: prepared sides. Returns the new pairs. Rounds carry places, signatures and
+    scores; references and call sites are taken from the classes once, the classes join a pair to score it, and the
+    found ones at the end. `most_frontier` leaves type references out where a side refers to more free classes
+    (other readers of the same definition stop at 50,000); None sets no limit.
     """
-    found, frontier, paired = None, cut(matches), matches.select("l", "r")
+    flat = lambda df: cut(df.select("pos", "descriptor", "sig"))
+    left, right = flat(lhs), flat(rhs)
+    sites_l, sites_r, refs_l, refs_r = cut(call_sites(lhs)), cut(call_sites(rhs)), cut(class_references(lhs)), cut(class_references(rhs))
+    called = not sites_l.isEmpty() and not sites_r.isEmpty()
+    found, frontier, paired = None, cut(matches.select("l", "r", "ord", "method_rows")), matches.select("l", "r")
+    scored = lambda df, *more: compared(_pairs(df, lhs, rhs)).select(*_SCORED, *more)
     for round_no in range(most_rounds):
         paired = cut(paired)
-        free_l = lhs.join(paired.select(F.col("l").alias("pos")), "pos", "left_anti")
-        free_r = rhs.join(paired.select(F.col("r").alias("pos")), "pos", "left_anti")
-        one = lambda df, d, p, c: df.select(F.col("descriptor").alias(d), F.col("pos").alias(p), F.col("c").alias(c))
-        claims = call_site_claims(frontier).join(one(free_l, "lhs", "l", "a"), "lhs").join(one(free_r, "rhs", "r", "b"), "rhs")
-        claims = cut(compared(claims.drop("lhs", "rhs")).where(F.col("similarity") >= CALL_SITE_FLOOR))
+        free_l = left.join(paired.select(F.col("l").alias("pos")), "pos", "left_anti")
+        free_r = right.join(paired.select(F.col("r").alias("pos")), "pos", "left_anti")
+        claims = None
+        if called:
+            claims = site_claims(frontier, sites_l, sites_r)
+            claims = claims.join(free_l.select(F.col("descriptor").alias("lhs"), F.col("pos").alias("l")), "lhs").join(free_r.select(F.col("descriptor").alias("rhs"), F.col("pos").alias("r")), "rhs")
+            claims = cut(scored(claims.select("l", "r", "claim"), "claim").where(F.col("similarity") >= CALL_SITE_FLOOR))
         new = None
-        if not claims.isEmpty():
+        if claims is not None and not claims.isEmpty():
             # first wins: a claim's place in the sorted order is its (negated) score
             claims = cut(claims.orderBy("claim").withColumn("place", F.monotonically_increasing_id()))
             ranked = claims.select(F.lit("").alias("pool"), F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), (-F.col("place")).cast("double").alias("score"))
             won = assign(ranked, ranked.groupBy("pool").agg(F.countDistinct("l").alias("n_left")), "greedy")
             new = claims.join(won.select(F.col("l").cast("int").alias("l"), F.col("r").cast("int").alias("r"), "nth"), ["l", "r"])
-            new = new.select(F.lit("").alias("pool"), "l", "r", "similarity", "breakdown", "method_rows", F.lit("call_site").alias("provenance"), F.lit(2 * round_no + 2).alias("stage"), "nth", "a", "b")
-            gone = new.select("l", "r")
+            new = new.select(*_SCORED, F.lit("call_site").alias("provenance"), F.lit(2 * round_no + 2).alias("stage"), "nth")
+            gone = cut(new.select("l", "r"))
             free_l = free_l.join(gone.select(F.col("l").alias("pos")), "pos", "left_anti")
             free_r = free_r.join(gone.select(F.col("r").alias("pos")), "pos", "left_anti")
-
-        def candidates(side: str, free: DataFrame) -> DataFrame:
-            refs = frontier.select("ord", F.posexplode(referenced_descriptors(F.col(side))).alias("i", "descriptor"))
-            first = refs.groupBy("descriptor").agg(F.min(F.struct("ord", "i")).alias("first"))
-            return cut(free.join(first, "descriptor"))
-
-        left, right = candidates("a", free_l), candidates("b", free_r)
-        n_left, n_right = left.count(), right.count()
-        if 0 < n_left <= MAX_FRONTIER and 0 < n_right <= MAX_FRONTIER:
-            # at most 50,000 rows a side: their places are the order of first reference
-            listed = lambda df: df.select(F.lit("").alias("pool"), (F.row_number().over(Window.orderBy("first")) - 1).alias("id"), "sig", F.col("pos"), F.col("c"))
-            left, right = cut(listed(left)), cut(listed(right))
-            near = nearest(left, right, TOP_K)
-            near = near.join(left.select(F.col("id").alias("l"), F.col("pos").alias("lp"), F.col("c").alias("a")), "l").join(right.select(F.col("id").alias("r"), F.col("pos").alias("rp"), F.col("c").alias("b")), "r")
-            near = cut(compared(near))
-            scored = near.select("pool", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), F.col("similarity").alias("score"))
-            chosen = assign(scored, left.groupBy("pool").agg(F.count("*").alias("n_left")), mode).select(F.col("l").cast("int").alias("l"), F.col("r").cast("int").alias("r"), "nth")
-            more = near.join(chosen, ["l", "r"]).where(F.col("similarity") >= threshold)
-            more = more.select("pool", F.col("lp").alias("l"), F.col("rp").alias("r"), "similarity", "breakdown", "method_rows", F.lit("propagated").alias("provenance"), F.lit(2 * round_no + 3).alias("stage"), "nth", "a", "b")
+        one, two = _first_referenced(frontier, "l", refs_l, free_l), _first_referenced(frontier, "r", refs_r, free_r)
+        n_left, n_right = one.count(), two.count()
+        if n_left and n_right and (most_frontier is None or max(n_left, n_right) <= most_frontier):
+            pool = lambda df: df.select(F.lit("").alias("pool"), "id", "sig")
+            near = nearest(pool(one), pool(two), TOP_K).select(F.col("l").alias("li"), F.col("r").alias("ri"))
+            near = near.join(one.select(F.col("id").alias("li"), F.col("pos").alias("l")), "li").join(two.select(F.col("id").alias("ri"), F.col("pos").alias("r")), "ri")
+            near = cut(scored(near, "li", "ri"))
+            ranked = near.select(F.lit("").alias("pool"), F.col("li").cast("long").alias("l"), F.col("ri").cast("long").alias("r"), F.col("similarity").alias("score"))
+            chosen = assign(ranked, _one_pool(ranked, n_left), mode).select(F.col("l").alias("li"), F.col("r").alias("ri"), "nth")
+            more = near.join(chosen, ["li", "ri"]).where(F.col("similarity") >= threshold)
+            more = more.select(*_SCORED, F.lit("propagated").alias("provenance"), F.lit(2 * round_no + 3).alias("stage"), "nth")
             new = more if new is None else new.unionByName(more)
         if new is None:
             break
-        new = cut(_as_matches(new.withColumn("ord", _order(F.lit(0), F.col("stage"), F.col("nth")))))
+        new = new.withColumn("pool", F.lit("")).withColumn("ord", _order(F.lit(0), F.col("stage"), F.col("nth")))
+        new = cut(new.select("pool", *_SCORED, "provenance", "ord"))
         if new.isEmpty():
             break
         found = new if found is None else found.unionByName(new)
-        paired, frontier = paired.unionByName(new.select("l", "r")), new
-    return found if found is not None else matches.limit(0)
+        paired, frontier = paired.unionByName(new.select("l", "r")), new.select("l", "r", "ord", "method_rows")
+    return _as_matches(_pairs(found, lhs, rhs)) if found is not None else matches.limit(0)
+
+
+def _one_pool(rows: DataFrame, n: int) -> DataFrame:
+    """(pool, n_left) of the one pool of propagated candidates."""
+    return rows.sparkSession.createDataFrame([("", n)], "pool string, n_left long")
 
 
 def diff(lhs: DataFrame, rhs: DataFrame, threshold: float = 0.8, options: DiffOptions | dict | None = None) -> DataFrame:
@@ -202,5 +234,5 @@ def diff(lhs: DataFrame, rhs: DataFrame, threshold: float = 0.8, options: DiffOp
     left, right = cut(prepared(lhs, opts)), cut(prepared(rhs, opts))
     pairs = cut(structural_diff(left, right, threshold, opts))
     if opts.propagation:
-        pairs = cut(pairs.unionByName(propagate(pairs, left, right, threshold, opts.assignment)))
+        pairs = cut(pairs.unionByName(propagate(pairs, left, right, threshold, opts.assignment, most_frontier=opts.max_frontier)))
     return pairs.unionByName(_alone(left, pairs, True)).unionByName(_alone(right, pairs, False))

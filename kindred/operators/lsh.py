@@ -28,17 +28,13 @@ def sampled_bits(tables: int = LSH_TABLES, bits: int = LSH_BITS, seed: int = LSH
     return out
 
 
-def bucket_key(sig: Column, bits: list[int]) -> Column:
-    parts = [sig[p] for p in S.SIGNATURE_PARTS]
-    key = F.lit(0).cast("long")
-    for j, b in enumerate(bits):
-        key = key + F.shiftleft(F.shiftright(parts[3 - b // 32], b % 32).bitwiseAND(1), j)
-    return key
+def bucket_keys(parts: list[str], tables: int = LSH_TABLES, bits: int = LSH_BITS) -> Column:
+    """array<struct<perm, key>> of a signature whose four parts have these names: a key per table."""
 
+    def key(sample: list[int]) -> str:
+        return " | ".join(f"shiftleft(shiftright({parts[3 - b // 32]}, {b % 32}) & 1L, {j})" for j, b in enumerate(sample))
 
-def bucket_keys(sig: Column, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> Column:
-    """array<struct<perm, key>>: a key per table."""
-    return F.array(*[F.struct(F.lit(p).alias("perm"), bucket_key(sig, sample).alias("key")) for p, sample in enumerate(sampled_bits(tables, bits))])
+    return F.expr(f"array({', '.join(f'named_struct({chr(39)}perm{chr(39)}, {p}, {chr(39)}key{chr(39)}, {key(sample)})' for p, sample in enumerate(sampled_bits(tables, bits)))})")
 
 
 def flips(probe_radius: int, bits: int = LSH_BITS) -> list[int]:
@@ -73,7 +69,7 @@ def nearest(lhs: DataFrame, rhs: DataFrame, k: int = TOP_K, tables: int = LSH_TA
     first = Window.partitionBy("pool", *names("b")).orderBy("r")
     right = rhs.select("pool", *sig_of("b"), F.col("id").alias("r")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k)
     as_sig = lambda p: F.struct(*[F.col(f"{p}{i}").alias(x) for i, x in enumerate(S.SIGNATURE_PARTS)])
-    spread = lambda df, p, *more: df.select("pool", *names(p), *more, F.explode(bucket_keys(as_sig(p), tables, bits)).alias("x")).select("pool", *names(p), *more, "x.*")
+    spread = lambda df, p, *more: df.select("pool", *names(p), *more, F.explode(bucket_keys(names(p), tables, bits)).alias("x")).select("pool", *names(p), *more, "x.*")
     one = spread(left.select("pool", *names("a")).distinct(), "a").withColumn("probe", F.lit(0))
     if len(probes) > 1:
         flipped = F.posexplode(F.array(*[F.lit(x).cast("long") for x in probes])).alias("probe", "flip")

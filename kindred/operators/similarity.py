@@ -204,13 +204,10 @@ def method_rollup(a: Column, b: Column, rows: Column) -> Column:
     return F.when(F.size(rows) == 0, 1.0).otherwise(total["s"] / total["w"])
 
 
-def compared(df, a: str = "a", b: str = "b"):
-    """Adds method_rows, features and similarity to rows that carry two classes."""
+def _expressions(a: str, b: str) -> tuple[Column, ...]:
     x, y = F.col(a), F.col(b)
-    ship(df.sparkSession)
-    df = df.withColumn("method_rows", method_rows(x["methods"], y["methods"]))
-    df = df.withColumn("features", structural_features(x, y)).withColumn("_rollup", method_rollup(x["methods"], y["methods"], F.col("method_rows")))
-    df = df.withColumn("similarity", W["bytecode"] * F.col("_rollup") + W["features"] * F.col("features.average"))
+    rollup = method_rollup(x["methods"], y["methods"], F.col("method_rows"))
+    overall = W["bytecode"] * F.col("_rollup") + W["features"] * F.col("features.average")
     count = lambda status: F.size(F.filter("method_rows", lambda r: r["status"] == status)).cast("double")
     parts = [F.lit("bytecode"), F.col("_rollup"), F.lit("overall"), F.col("similarity")]
     for f in ("nmethods", "nfields", "access", "field_types", "method_protos"):
@@ -219,4 +216,17 @@ def compared(df, a: str = "a", b: str = "b"):
         parts += [F.lit(f"methods_{status}"), count(status)]
     breakdown = F.create_map(*parts)
     more = F.when(F.col("features.hierarchy").isNotNull(), F.map_concat(breakdown, F.create_map(F.lit("hierarchy"), F.col("features.hierarchy")))).otherwise(breakdown)
-    return df.withColumn("breakdown", more).drop("_rollup", "features")
+    return method_rows(x["methods"], y["methods"]), structural_features(x, y), rollup, overall, more
+
+
+def compared(df, a: str = "a", b: str = "b"):
+    """Adds method_rows, features and similarity to rows that carry two classes."""
+    context = df.sparkSession.sparkContext
+    ship(df.sparkSession)
+    # rounds compare again and again: the expressions, some thousand calls to build, are kept with their context
+    kept = context.__dict__.setdefault("_kindred_compared", {})
+    if (a, b) not in kept:
+        kept[a, b] = _expressions(a, b)
+    rows, features, rollup, overall, breakdown = kept[a, b]
+    df = df.withColumn("method_rows", rows).withColumn("features", features).withColumn("_rollup", rollup)
+    return df.withColumn("similarity", overall).withColumn("breakdown", breakdown).drop("_rollup", "features")

@@ -96,7 +96,7 @@ def signature_hex(spark, sf_dir):
 
 @query(f"with {_SIGS} select doc_id, perm, key from ({_KEYS})")
 def lsh_bucket_keys(spark, sf_dir):
-    return doc_signatures(spark, sf_dir).select(F.col("id").alias("doc_id"), F.explode(lsh.bucket_keys(F.col("sig"))).alias("x")).select("doc_id", "x.perm", "x.key")
+    return doc_signatures(spark, sf_dir).select(F.col("id").alias("doc_id"), F.explode(lsh.bucket_keys([f"sig.{p}" for p in S.SIGNATURE_PARTS])).alias("x")).select("doc_id", "x.perm", "x.key")
 
 
 @query(f"""with {_SIGS}, k as ({_KEYS}),

@@ -391,6 +391,53 @@ def propagated_pairs(spark, sf_dir):
     return diff.propagate(pairs, one, two, 0.8).select("lhs", "rhs", F.round("similarity", 6).alias("similarity"), "provenance", "ord.stage")
 
 
+def linked_classes(ids: DataFrame, build: str, body: Column, sig: Column, links: list[Column]) -> DataFrame:
+    """Prepared classes (pool, pos, descriptor, sig, c) of ids (n): one method with an abstract body, and fields of the linked classes' types."""
+    n, none = F.col("n"), F.array().cast("array<string>")
+    name = lambda i: F.concat(F.lit(f"L{build}/C"), i.cast("string"), F.lit(";"))
+    method = F.struct(
+        F.lit("run").alias("name"), F.lit("()V").alias("descriptor"), F.lit(1).alias("access"), F.lit(0).alias("arg_count"), F.lit("V").alias("return_type"), F.lit(0).alias("xref_count"), F.lit(4).alias("instr_count"),
+        F.lit(1).alias("opcode_xor"), body.alias("abstract"), none.alias("calls"), none.alias("instantiates"),
+    )
+    fields = F.array(*[F.struct(F.lit(f"f{i}").alias("name"), name(x).alias("type_desc"), F.lit(1).alias("access")) for i, x in enumerate(links)])
+    c = F.struct(
+        n.cast("int").alias("pos"), name(n).alias("descriptor"), F.lit(build).alias("package"), F.lit("C").alias("name"), F.lit(None).cast("string").alias("source_file"), F.lit(1).alias("access"), F.lit(None).cast("string").alias("superclass"),
+        none.alias("interfaces"), none.alias("strings"), fields.alias("fields"), F.array(method).alias("methods"), body.alias("sequence"),
+    )
+    return ids.select(F.lit("").alias("pool"), n.cast("int").alias("pos"), name(n).alias("descriptor"), sig.alias("sig"), c.alias("c"))
+
+
+def seeded(one: DataFrame, two: DataFrame, seeds: Column) -> DataFrame:
+    """Match rows of the classes of equal place for which a condition on l holds."""
+    first = one.select("pool", F.col("pos").alias("l"), F.col("descriptor").alias("lhs"), F.col("c").alias("a")).where(seeds)
+    first = first.join(two.select(F.col("pos").alias("r"), F.col("descriptor").alias("rhs"), F.col("c").alias("b")), F.col("l") == F.col("r"))
+    place = F.struct(F.lit(0).cast("long").alias("product"), F.col("pool"), F.lit(1).alias("stage"), F.col("l").cast("long").alias("nth"))
+    pairs = similarity.compared(first.withColumn("provenance", F.lit("structural")).withColumn("ord", place))
+    return pairs.select("pool", "l", "r", "lhs", "rhs", "similarity", "breakdown", "method_rows", "provenance", "ord", "a", "b")
+
+
+@query("""with recursive x as (select (p_partkey - 1)::bigint n, substring(md5((p_partkey - 1)::varchar), 1, 12) body from part),
+y as (select n, body, substring(body, 1, 12 - 3 * (n % 4)::int) || repeat('z', 3 * (n % 4)::int) other from x),
+s as (select n, 0.6 * (0.7 * (1 - levenshtein(body, other) / 12) + 0.3) + 0.4 * 0.8 sim from y),
+r as (select n, 0 step from x where n = 0 union all select s.n, step + 1 from r join s on s.n between 3 * r.n + 1 and 3 * r.n + 3 where s.sim >= 0.8)
+select 'Lone/C' || n || ';' lhs, 'Ltwo/C' || n || ';' rhs, round(sim, 6) similarity, 'propagated' provenance, 2 * step + 1 stage from r join s using (n) where step between 1 and 25""")
+def reference_spread(spark, sf_dir):
+    """Pairs that spread along the types of fields from the first part, each of which refers to three others; parts that changed too much stop it."""
+    ids = catalogue.table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).cast("long").alias("n"))
+    n = F.col("n")
+    body = F.substring(F.md5(n.cast("string").cast("binary")), 1, 12)
+    lost = (3 * (n % 4)).cast("int")
+    other = F.concat(F.substring(body, F.lit(1), 12 - lost), F.repeat(F.lit("z"), lost))
+    links = [3 * n + i for i in (1, 2, 3)]
+    # signatures of the two builds differ in two bits
+    part = lambda p, flip: F.conv(F.substring(F.md5(F.concat(n.cast("string"), F.lit(p)).cast("binary")), 1, 8), 16, 10).cast("long").bitwiseXOR(flip)
+    bit, zero = F.expr("shiftleft(1L, cast(n % 31 as int))"), F.lit(0).cast("long")
+    sig = lambda flip: F.struct(*[part(p, bit if flip and p in ("cls", "mth") else zero).alias(p) for p in S.SIGNATURE_PARTS])
+    one, two = cut(linked_classes(ids, "one", body, sig(False), links)), cut(linked_classes(ids, "two", other, sig(True), links))
+    found = diff.propagate(seeded(one, two, F.col("l") == 0), one, two, 0.8)
+    return found.select("lhs", "rhs", F.round("similarity", 6).alias("similarity"), "provenance", "ord.stage")
+
+
 # ---- names, components, stores, calls and grades
 
 _BASES = list({**SENSITIVE_COMPONENTS, **GENERIC_COMPONENTS}.items())

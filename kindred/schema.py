@@ -89,6 +89,8 @@ class DiffOptions:
     propagation: bool = True
     assignment: str = "auto"
     progress: bool = False
+    #: Free classes a side beyond which type references are left out of a round; MAX_FRONTIER as other readers have it.
+    max_frontier: int | None = None
 
     @classmethod
     def from_dict(cls, raw: dict | None) -> DiffOptions:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Decimal digits of a size estimate beyond which it is forgotten.
+MOST_SIZE_DIGITS = 300
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that it survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and kept in the shared folder, so that it survives lost executors.
+
+    A checkpoint keeps its plan's size estimate, and joins multiply estimates: over the rounds of an iteration they
+    grow to numbers of millions of digits, which the planner multiplies again. Such an estimate is dropped.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)
+    told = re.search(r"E\+(\d+) B", kept._jdf.queryExecution().optimizedPlan().stats().simpleString())
+    if told and int(told[1]) > MOST_SIZE_DIGITS:
+        kept = DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), spark)
+    return kept

@@ -174,15 +174,23 @@ def detect(classes: DataFrame, entries: DataFrame, radius: int, use_strings: boo
     return near.unionByName(scored.select("digest", "pos", "pack", "entry_id", F.lit(3).alias("tier"), F.lit(-1).alias("distance"), "score"))
 
 
+def pack_radius(meta: DataFrame) -> int:
+    """The radius that packs were built with."""
+    radius = meta.agg(F.max("radius_build")).first()[0]
+    return MATCH_RADIUS if radius is None else radius
+
+
+def scorable(classes: DataFrame, min_instructions: int = MIN_MINED_INSTRUCTIONS) -> DataFrame:
+    return classes.where(S.total_instructions() >= min_instructions)
+
+
 def match_family(candidate: DataFrame, entries: DataFrame, meta: DataFrame, radius: int | None = None, use_strings: bool = True, min_instructions: int = MIN_MINED_INSTRUCTIONS) -> tuple[DataFrame, DataFrame]:
     """(scores per digest and pack, hits): which entries a candidate has, each by its best class.
 
     The radius is the pack's build radius unless given. An entry weighs (instructions + 1) * coverage.
     """
-    if radius is None:
-        radius = meta.agg(F.max("radius_build")).first()[0]
-        radius = MATCH_RADIUS if radius is None else radius
-    classes = candidate.where(S.total_instructions() >= min_instructions)
+    radius = pack_radius(meta) if radius is None else radius
+    classes = scorable(candidate, min_instructions)
     found = detect(classes, entries, radius, use_strings)
     first = Window.partitionBy("digest", "pack", "entry_id").orderBy("tier", "distance", "pos")
     best = found.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")

@@ -2,11 +2,15 @@
 
 Greedy takes pairs by (score descending, l, r). A pool of few candidates is solved in one place,
 Hungarian or greedy; a larger one by rounds in which every pair that is the best of both its ends is
-taken, which gives the same pairs as the sequential order. Hungarian maximises the sum of (1 + score).
+taken, which gives the same pairs as the sequential order. Hungarian maximises the sum of (1 + score),
+part by part; a part takes memory in proportion to its candidates, not to rows times columns.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,6 +23,8 @@ from kindred.session import ship
 
 #: Candidates of a pool that one task solves.
 SMALL = 20_000
+#: Rows times columns of a connected part up to which all are laid out; a larger part is solved along its candidates alone.
+DENSE = 1 << 18
 
 
 def greedy_rounds(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -66,6 +72,67 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
     return column
 
 
+def sparse_matching(l: np.ndarray, r: np.ndarray, weight: np.ndarray) -> list[int]:
+    """Candidates of the greatest total weight, at most one per row and column; weights above 0, rows and columns numbered from 0.
+
+    Shortest augmenting paths along candidates alone: memory grows with them, not with rows times columns.
+    A row may give its column up for a place of its own that weighs nothing.
+    """
+    n, m = int(l.max()) + 1, int(r.max()) + 1
+    top = float(weight.max())
+    order = np.lexsort((r, l))
+    first = np.searchsorted(l[order], np.arange(n + 1)).tolist()
+    columns, cost, edge = r[order].tolist(), (top - weight[order]).tolist(), order.tolist()
+    row_price, col_price = [0.0] * n, [0.0] * m
+    owner, taken = [-1] * m, [-1] * n  # a column's row; a row's place among the candidates
+    for start in range(n):
+        reach, back, done, popped, free = {}, {}, set(), [], -1
+        heap: list[tuple[float, int]] = []
+        row, base, end, last = start, 0.0, 0.0, -1
+        least_own = (np.inf, -1)
+        while True:
+            # the row's own place ends a path
+            own = base + top - row_price[row]
+            if own < least_own[0]:
+                least_own = (own, row)
+            for k in range(first[row], first[row + 1]):
+                j = columns[k]
+                if j not in done:
+                    far = base + cost[k] - row_price[row] - col_price[j]
+                    if far < reach.get(j, np.inf):
+                        reach[j], back[j] = far, k
+                        heapq.heappush(heap, (far, j))
+            while heap and (heap[0][1] in done or heap[0][0] > reach[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or least_own[0] <= heap[0][0]:
+                end, last = least_own
+                break
+            base, j = heapq.heappop(heap)
+            done.add(j)
+            if owner[j] < 0:
+                end, free = base, j
+                break
+            popped.append((j, base))
+            row = owner[j]
+        row_price[start] += end
+        for j, at in popped:
+            col_price[j] -= end - at
+            row_price[owner[j]] += end - at
+        if free < 0 and taken[last] >= 0:  # a row gives its column up; else the new row gets none
+            free, taken[last] = columns[taken[last]], -1
+        while free >= 0:
+            k = back[free]
+            row = _row_of(first, k)
+            before = columns[taken[row]] if taken[row] >= 0 else -1
+            owner[free], taken[row] = row, k
+            free = before if row != start else -1
+    return [edge[k] for k in taken if k >= 0]
+
+
+def _row_of(first: list[int], k: int) -> int:
+    return bisect.bisect_right(first, k) - 1
+
+
 def _greedy(l: list[int], r: list[int], score: list[float]) -> list[int]:
     out, seen_l, seen_r = [], set(), set()
     for k in sorted(range(len(l)), key=lambda k: (-score[k], l[k], r[k])):
@@ -86,6 +153,8 @@ def _best(l: list[int], r: list[int], score: list[float]) -> list[int]:
     if len(rows) > len(columns):
         rows, columns, l, r = columns, rows, r, l
     at_l, at_r = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(columns)}
+    if len(rows) * len(columns) > DENSE:
+        return sparse_matching(np.array([at_l[x] for x in l]), np.array([at_r[x] for x in r]), 1.0 + np.array(score))
     cost, which = np.full((len(rows), len(columns)), 2.0), np.full((len(rows), len(columns)), -1)
     for k in range(len(l)):
         i, j = at_l[l[k]], at_r[r[k]]

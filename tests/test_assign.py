@@ -57,3 +57,39 @@ def test_hungarian_serves_more_pairs_than_greedy(spark):
     free = {"": [(0.5, 0, 0), (0.4, 1, 1)]}
     stats = assign.assignment_stats(frame(spark, free), sizes(spark, free)).first()
     assert stats["solver"] == "greedy" and not stats["contended"]
+
+
+def test_sparse_matching_is_optimal():
+    """Along candidates alone the total is that of the laid-out matrix, with ties and rows that go empty."""
+    rng = np.random.default_rng(1)
+    for t in range(600):
+        n, m = rng.integers(1, 8, 2)
+        score = np.where(rng.random((n, m)) < 0.5, rng.choice([0.2, 0.5, 0.9, 1.0], (n, m)) if t % 2 else rng.random((n, m)), -1)
+        l, r = np.nonzero(score >= 0)
+        if not len(l):
+            continue
+        weight = 1 + score[l, r]
+        got = assign.sparse_matching(np.unique(l, return_inverse=True)[1], np.unique(r, return_inverse=True)[1], weight)
+        assert len(set(l[got])) == len(got) == len(set(r[got]))
+        cost = np.full((max(n, m),) * 2, 2.0)
+        cost[l, r] = 1 - score[l, r]
+        column = assign.hungarian(cost)
+        assert abs(weight[got].sum() - sum(2 - cost[i, column[i]] for i in range(len(cost)))) < 1e-9
+
+
+def test_large_part_in_memory_of_its_candidates(spark):
+    """One connected part of 20,000 rows and as many columns: no matrix of them is made."""
+    import tracemalloc
+
+    rng, n = np.random.default_rng(2), 20_000
+    pairs = np.unique(np.concatenate([np.arange(n) * n + rng.integers(0, n, n), np.arange(n) * n + np.arange(n), np.arange(n) * n + (np.arange(n) + 1) % n]))
+    l, r, score = (pairs // n).tolist(), (pairs % n).tolist(), rng.random(len(pairs)).tolist()
+    tracemalloc.start()
+    try:
+        got = assign.solve(l, r, score, n, "hungarian")
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()
+    assert len({l[k] for k in got}) == len(got) == len({r[k] for k in got}) > 0.99 * n
+    greedy = assign.solve(l, r, score, n, "greedy")
+    assert sum(1 + score[k] for k in got) >= sum(1 + score[k] for k in greedy)

@@ -145,17 +145,28 @@ def _suggested(spark, a) -> str | None:
     return found["prefix"] if found else None
 
 
-def _source(path: str, normalized: bool) -> str:
+def _source(spark, path: str, normalized: bool) -> str:
+    """The path; or where its normalised archive is: the tool writes on the driver, executors read it from the shared folder."""
     if not normalized:
         return path
     import tempfile
+    import uuid
 
-    return str(normalize.normalize(path, tempfile.mkdtemp(prefix="kindred-normalized-")))
+    from pyarrow import fs
+
+    from kindred.plans.lineage import shared_dir
+
+    made = normalize.normalize(path, tempfile.mkdtemp(prefix="kindred-normalized-"))
+    where = f"{shared_dir(spark)}/normalized-{uuid.uuid4().hex}"
+    files, folder = fs.FileSystem.from_uri(where)
+    files.create_dir(folder, recursive=True)
+    fs.copy_files(str(made), f"{folder}/{made.name}", destination_filesystem=files)
+    return f"{where}/{made.name}"
 
 
 def _diff(spark, a) -> int:
-    one, facts = inputs.load(spark, _source(a.lhs, a.normalize))
-    two, _ = inputs.load(spark, _source(a.rhs, a.normalize))
+    one, facts = inputs.load(spark, _source(spark, a.lhs, a.normalize))
+    two, _ = inputs.load(spark, _source(spark, a.rhs, a.normalize))
     package = a.package or (_suggested(spark, a) if a.auto_package is not None else None)
     opts = DiffOptions(
         inner_skipping=a.skip_inner, external_skipping=a.skip_external, synthetic_skipping=a.skip_synthetic, skip_boilerplate=a.skip_boilerplate, find_obfuscated_packages=a.find_obfuscated,
@@ -186,7 +197,7 @@ def _diff(spark, a) -> int:
 
 
 def _prepare(spark, a) -> int:
-    rows, facts = inputs.load(spark, _source(a.sample, a.normalize), a.digest)
+    rows, facts = inputs.load(spark, _source(spark, a.sample, a.normalize), a.digest)
     store.save(rows, a.output, "overwrite")
     print(json.dumps({"store": a.output, **facts, "classes": rows.count()}))
     return 0
@@ -220,7 +231,7 @@ def _migrate(spark, a) -> int:
 def _family_build(spark, a) -> int:
     rows, seen = None, {}
     for path in a.samples:
-        one, facts = inputs.load(spark, _source(path, a.normalize))
+        one, facts = inputs.load(spark, _source(spark, path, a.normalize))
         if facts["digest"] in seen:
             print(f"{path} is the same sample as {seen[facts['digest']]}; left out", file=sys.stderr)
             continue

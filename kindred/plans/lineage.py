@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
+        if folder is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir names no shared folder; a cluster needs one")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kindred-"))
     return context.getCheckpointDir()

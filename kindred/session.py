@@ -35,6 +35,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **conf: str) -> Spa
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for key, value in settings.items():
         build = build.config(key, value)

@@ -118,13 +118,27 @@ def kinds(files: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, paths: list[str], glob: str | None = None) -> DataFrame:
-    """(path, content, nth) of files and of folders' files below, each path once, in the order given."""
+    """(path, content, nth) of files and of folders' files below, each path once, in the order given.
+
+    A file below two of the paths is read for the first: later ones leave out what lies at or below an earlier one, by
+    the file's name, so no content is shuffled.
+    """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    out = None
+    whole = lambda p: _qualified(spark, p)
+    out, earlier = None, []
     for i, p in enumerate(paths):
-        one = (read.option("pathGlobFilter", glob) if glob else read).load(p).select("path", "content", F.lit(i).alias("nth"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("path").agg(F.min("nth").alias("nth"), F.first("content").alias("content"))
+        rows = (read.option("pathGlobFilter", glob) if glob else read).load(p).select("path", "content", F.lit(i).alias("nth"))
+        for root in earlier:
+            rows = rows.where((F.col("path") != root) & ~F.col("path").startswith(f"{root}/"))
+        earlier.append(whole(p))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark names its files: with its file system, without a slash at its end."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
 # ---- packs

@@ -3,17 +3,23 @@
 1. A document's distinct word shingles give its set, a digest of it and `trees * depth` minhashes; the
    set and the minhashes come from two independent hashes of the words. Documents with equal digests
    (of set and signature) are one class from here on, represented by the smallest doc_id.
-2. In every tree the classes that share the `shallow` first of its `depth` minhashes are a region. All
-   signatures of a region are compared, whatever its size; those that may reach the threshold are joined
-   loosely. A region beyond what a task takes is dealt into blocks, and every two blocks meet in a task of
-   their own.
+2. A tree is the sorted order of its `depth` minhashes, and a region of it is what shares a prefix of that
+   order. Regions begin `shallow` values deep. One of more than `HOT` classes goes deeper, one value at a time
+   up to two: in several orders, which turn the values after the shared prefix about, so that a pair that
+   differs in one of them still shares a longer prefix of another order. What is alone in its region goes.
+   The orders are range-sorted, each region whole in one task. Neighbours in the order, which have the longest
+   common prefixes, are compared first, then all of the region that these have not linked; those that may
+   reach the threshold are joined loosely. A region that is over-full at its deepest is compared whole all the
+   same: dealt into blocks, every two of which meet in a task of their own.
 3. Loose groups are connected, their members' full sets fetched, and all pairs within that may reach
    the threshold are confirmed on the sets, unless already linked. A group beyond a block (of `BLOCK`
    shingles or `BLOCK_ROWS` classes) is compared in random blocks twice. What that leaves outside the
    group's largest part is compared with everything, block against block, so that no pair is left out.
 4. Confirmed links are connected; every document gets the smallest doc_id it reaches.
 
-Between a signature's estimate and the true similarity 4.1 standard deviations are allowed for.
+Between a signature's estimate and the true similarity 4.1 standard deviations are allowed for. A pair at the
+threshold is met in some tree with a probability of 0.9999 at 80 percent and more, though all its regions be
+over-full; the first depth is less for lower thresholds, so that it stays at 0.95 or more (`first_depth`).
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text with fewer words than a
 shingle has one shingle, its whole sequence; null and word-less texts have an empty set, link with
@@ -39,10 +45,13 @@ from kindred.session import ship
 _U = K.U
 TREES, DEPTH, SHALLOW = 16, 6, 3
 SIZE = TREES * DEPTH
-#: Rows of a region, in units of WIDE, that one task takes; rows compared at once; shingles and classes of a block.
+#: Rows beyond which a region goes deeper, and at its deepest, times WIDE, is dealt into blocks; rows compared at once;
+#: shingles and classes of a block.
 HOT, REGION, BLOCK, BLOCK_ROWS = 4096, 1024, 4 << 20, 512
 WIDE = 4
-#: Up to so many keys of large regions are broadcast; more are joined.
+#: Levels that an over-full region goes below its first depth.
+DEEPER = 2
+#: Up to so many keys of over-full regions are broadcast; more are joined, their rows salted.
 MOST_KEYS = 100_000
 _random = np.random.default_rng(20240501)
 _XOR = _random.integers(0, 1 << 32, SIZE, dtype=np.uint32)
@@ -113,15 +122,9 @@ def sketches(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
-def _prefixes(signatures: np.ndarray, depth: int) -> np.ndarray:
-    """Rows x trees: a hash of each tree's first `depth` values."""
-    out = np.empty((len(signatures), TREES), _U)
-    for tree in range(TREES):
-        h = np.full(len(signatures), tree + 1, _U)
-        for level in range(depth):
-            h = K.mix(h ^ signatures[:, tree * DEPTH + level].astype(_U))
-        out[:, tree] = h
-    return out
+def first_depth(threshold: float) -> int:
+    """The depth, SHALLOW at most, at which a pair at the threshold shares a region with a probability of 0.95 or more."""
+    return max([d for d in range(1, SHALLOW + 1) if (1 - threshold**d) ** TREES <= 0.05], default=1)
 
 
 def _matrix(column, kind: str, width: int) -> np.ndarray:
@@ -129,21 +132,69 @@ def _matrix(column, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(joined, kind).reshape(-1, width)
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """(key): the trees' shallow prefixes."""
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of equal width as binaries."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def labels(classes: DataFrame) -> DataFrame:
+    """(rep, sig, tree, label): each class in each tree's order; a label's bytes sort as its minhashes do. sig tells classes of one rep apart."""
 
     def run(batches):
         for batch in batches:
-            keys = _prefixes(_matrix(batch.column("signature"), "<u4", SIZE), SHALLOW)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64))], names=["key"])
+            own = _matrix(batch.column("signature"), "<u4", SIZE).astype(">u4").reshape(-1, DEPTH)
+            rows = [np.repeat(batch.column(c).to_numpy(), TREES) for c in ("rep", "sig")]
+            tree = np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(tree), _fixed(own)], names=["rep", "sig", "tree", "label"])
+
+    return classes.select("rep", F.xxhash64("signature").alias("sig"), "signature").mapInArrow(run, "rep long, sig long, tree int, label binary")
+
+
+def _prefix(depth) -> Column:
+    return F.substring("label", F.lit(1), F.lit(4) * depth)
 
-    return classes.select("signature").mapInArrow(run, "key long")
 
+def _turned(rows: DataFrame, depth: int) -> DataFrame:
+    """Each row in the orders whose first `depth` values are the tree's and whose others are turned about."""
+    start, turn = F.lit(4 * depth + 1), F.lit(4) * F.col("turn")
+    label = F.concat(_prefix(F.lit(depth)), F.substring("label", start + turn, F.lit(4 * (DEPTH - depth))), F.substring("label", start, turn))
+    return rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(DEPTH - depth - 1)))).withColumn("label", label)
 
-def _large(keys: DataFrame) -> DataFrame:
-    """(key, n): the regions of more rows than one task takes, and their numbers of blocks."""
-    most = WIDE * HOT
-    return cut(keys.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("n")))
+
+def _over_full(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """The rows of the large regions (key, n); no task gets all of a region."""
+    if large.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+        return rows.join(F.broadcast(large), "key")
+    salts = min(partitions(rows.sparkSession), 256)
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
+def leaves(classes: DataFrame, first: int) -> DataFrame:
+    """(rep, sig, tree, turn, label, depth, n): the regions of two or more rows at the depths that their sizes ask for.
+
+    n is a region's number of blocks.
+    """
+    rows, found = labels(classes).withColumn("turn", F.lit(0)), []
+    for depth in range(first, min(first + DEEPER, DEPTH) + 1):
+        rows = rows.withColumn("key", F.xxhash64("tree", "turn", _prefix(F.lit(depth))))
+        met = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        small, large = met.where(F.col("n") <= HOT).select("key"), met.where(F.col("n") > HOT)
+        at = lambda df, n: df.select("rep", "sig", "tree", "turn", "label", F.lit(depth).alias("depth"), n.cast("long").alias("n"))  # noqa: E731, B023
+        found.append(at(thinned(rows, small, "key").join(small, "key", "left_semi"), F.lit(1)))
+        if large.isEmpty():
+            break
+        rows = cut(_over_full(rows, large))
+        if depth == min(first + DEEPER, DEPTH):
+            found.append(at(rows, F.ceil(F.col("n") / (WIDE * HOT))))
+        elif depth == first:
+            rows = _turned(rows, first)
+        rows = rows.drop("n", "key")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 class Links:
@@ -168,11 +219,14 @@ class Links:
 
 
 def _region(marks: np.ndarray, side: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of rows whose marks agree in `least` places or more.
+    """A spanning forest of the pairs of rows, in their order, whose marks agree in `least` places or more.
 
     Where there are two sides, pairs of one side may be left out: they meet in a task of their own.
     """
-    label, pairs = np.arange(len(marks)), []
+    # no row has a longer common prefix with another than with a neighbour of its own
+    near = (marks[1:] == marks[:-1]).sum(1) >= least
+    label = np.concatenate([[0], np.cumsum(~near)])
+    pairs = [(int(i), int(i) + 1) for i in np.flatnonzero(near)]
 
     def meet(i: int, rows: np.ndarray, columns: np.ndarray) -> None:
         for lo in range(0, len(rows), REGION):
@@ -244,25 +298,10 @@ def loose_edges(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): classes whose signatures agree nearly enough, as a spanning forest of each region."""
     least = int(np.ceil(SIZE * (threshold - 4.1 * np.sqrt(threshold * (1 - threshold) / SIZE))))
 
-    def spread(batches):
+    def marked(batches):
         for batch in batches:
-            signatures = _matrix(batch.column("signature"), "<u4", SIZE)
-            keys = _prefixes(signatures, SHALLOW)
-            flat = np.repeat(signatures.astype(np.uint8), TREES, axis=0)
-            offsets = np.arange(len(flat) + 1, dtype=np.int32) * SIZE
-            marks = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column("rep").to_numpy(), TREES)), marks], names=["key", "rep", "marks"])
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        """A row of a large region meets its own block and every other of its region."""
-        large = _large(_keys(classes))
-        many = large.limit(MOST_KEYS + 1).count()
-        if not many:
-            return rows.withColumn("side", F.lit(0).cast("long"))
-        rows = rows.join(F.broadcast(large) if many <= MOST_KEYS else large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-        rows = rows.withColumn("side", F.pmod(F.xxhash64("rep", "key"), F.col("n")).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"))))
-        key = F.when(F.col("n") > 1, F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("key"))
-        return rows.select(key.alias("key"), "rep", "side", "marks")
+            marks = _matrix(batch.column("signature"), "<u4", SIZE).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("sig"), _fixed(marks)], names=["rep", "sig", "marks"])
 
     def compare(batches):
         for table in by_group(batches, ["key", "rep", "side", "marks"], "key"):
@@ -282,8 +321,17 @@ def loose_edges(classes: DataFrame, threshold: float) -> DataFrame:
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    rows = dealt(classes.select("rep", "signature").mapInArrow(spread, "key long, rep long, marks binary"))
-    return whole_groups(rows).mapInArrow(compare, "a long, b long").distinct()
+    places = cut(leaves(classes, first_depth(threshold)))
+    wanted = thinned(classes.select("rep", "signature"), places.select("rep"), "rep").select("rep", F.xxhash64("signature").alias("sig"), "signature").distinct()
+    rows = places.join(wanted.mapInArrow(marked, "rep long, sig long, marks binary"), ["rep", "sig"])
+    # a row of a region of several blocks meets its own block and every other
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("rep", "tree", "turn"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = rows.select("tree", "turn", _prefix(F.col("depth")).alias("prefix"), F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "label", "rep", "side", "marks")
+    region = ["tree", "turn", "prefix", "low", "high"]
+    # no region's prefix begins another's of its order, so this sorts whole orders and never parts a region
+    rows = rows.repartitionByRange(partitions(rows.sparkSession), *region).sortWithinPartitions(*region, "label")
+    rows = rows.select(F.xxhash64(*region).alias("key"), "rep", "side", "marks")
+    return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:

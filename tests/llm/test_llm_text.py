@@ -220,6 +220,28 @@ def test_minhash_forest_boilerplate(spark, monkeypatch, hot):
     assert {(r["a"], r["b"]) for r in edges} == {(i, i + 1) for i in range(0, 300, 2)}
 
 
+@pytest.mark.parametrize("percent", [85, 80, 50])
+def test_minhash_forest_recall(spark, monkeypatch, percent):
+    """Pairs exactly at the threshold are met although boilerplate makes regions over-full, so that they go deeper."""
+    rng = np.random.default_rng(percent)
+    threshold, n, size = percent / 100, 400, minhash_forest.SIZE
+    first = minhash_forest.first_depth(threshold)
+    assert first == {85: 3, 80: 3, 50: 2}[percent]
+    fresh = lambda: rng.integers(0, 1 << 32, (n, size), dtype=np.uint32)
+    one = np.where(rng.random((n, size)) < 0.4, fresh()[0], fresh())
+    two = np.where(rng.random((n, size)) < threshold, one, fresh())
+    monkeypatch.setattr(minhash_forest, "HOT", 20)
+    rows = [(i, x.astype("<u4").tobytes()) for i, x in enumerate(np.concatenate([one, two]))]
+    classes = spark.createDataFrame(rows, "rep long, signature binary")
+    depths = {r["depth"] for r in minhash_forest.leaves(classes, first).select("depth").distinct().collect()}
+    assert len(depths) > 1
+    links = minhash_forest.Links(2 * n)
+    for r in minhash_forest.loose_edges(classes, threshold).collect():
+        links.link(r["a"], r["b"])
+    met = sum(links.root(i) == links.root(i + n) for i in range(n)) / n
+    assert met >= (0.99 if percent >= 80 else 0.95)
+
+
 def test_minhash_forest_edges(spark):
     assert minhash_forest.near_duplicates(frame(spark, [])).count() == 0
     got = minhash_forest.near_duplicates(frame(spark, [(None, "a b c"), (7, "A b c"), (8, None), (7, "A b c")])).collect()

@@ -12,7 +12,9 @@ less the background loss, so lower means nearer to the target.
 All counts are exact and cover every document. Each chunk of documents counts its own n-grams and
 asks the buckets for the corpus' counts of just these (kindred.llm.packed), so no model is collected
 or broadcast; only the character counts (at most one per Unicode character) go to the tasks whole.
-An n-gram is a 64-bit number of four 16-bit characters, so `order` is at most 4.
+An n-gram is a 64-bit number of four 16-bit characters, so `order` is at most 4. Where the corpora have more
+than 65,536 characters, a context is a number of three 21-bit characters, and an n-gram is told by 64 bits
+mixed of its context and its last character.
 
 Defined results: a text of fewer than `order` characters, and null, has no tokens, losses and score 0.
 Repeated rows count and are scored each. An empty target gives p1 = 1 / V for the target. An empty
@@ -31,7 +33,7 @@ from kindred.llm import textkit as K
 from kindred.session import ship
 
 _U = K.U
-_SIDE = _U(0xA0761D6478BD642F)
+_SIDE, _LAST = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
 
 
 def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,38 +43,42 @@ def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.where((points >= 65) & (points <= 90), points + 32, points), at
 
 
-def ngrams(ids: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of each token, 16 bits a character; and tokens per text."""
+def ngrams(ids: np.ndarray, at: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The context of each token, `bits` bits a character, and its own character; and tokens per text."""
     n = len(ids) - order + 1
     if n <= 0:
-        return np.zeros(0, _U), np.zeros(len(at) - 1, np.int64)
-    keys = np.zeros(n, _U)
-    for i in range(order):
-        keys = (keys << _U(16)) | ids[i : i + n]
+        return np.zeros(0, _U), np.zeros(0, _U), np.zeros(len(at) - 1, np.int64)
+    contexts = np.zeros(n, _U)
+    for i in range(order - 1):
+        contexts = (contexts << _U(bits)) | ids[i : i + n]
     inside = np.ones(n, bool)
     for i in range(1, order):  # an n-gram that begins so near a text's end is none
         last = at[1:] - i
         inside[last[(last >= 0) & (last < n) & (last >= at[:-1])]] = False
-    return keys[inside], np.maximum(np.diff(at) - order + 1, 0)
+    return contexts[inside], ids[order - 1 :][inside].astype(_U), np.maximum(np.diff(at) - order + 1, 0)
 
 
 class Alphabet:
-    """Ids of the characters of both corpora; from 65,536 characters on the rarest share the last id."""
+    """Ids of the characters of both corpora, and the numbers of their n-grams."""
 
     def __init__(self, points: np.ndarray, counts: np.ndarray):
-        by = np.lexsort((points, -counts.sum(0))) if len(points) > 1 << 16 else np.arange(len(points))
-        ids = np.zeros(len(points), np.int64)
-        ids[by] = np.minimum(np.arange(len(points)), (1 << 16) - 1)
-        self.table = np.zeros(int(points.max(initial=0)) + 1, np.uint16)
-        self.table[points] = ids
-        n = int(ids.max(initial=-1)) + 1
-        both = np.stack([np.bincount(ids, counts[i], n) for i in (0, 1)]) if n else np.zeros((2, 0))
+        n = len(points)
+        #: Bits of an id: 16, or 21 where there are more characters than that tells apart.
+        self.bits = 16 if n <= 1 << 16 else 21
+        self.table = np.zeros(int(points.max(initial=0)) + 1, np.uint16 if self.bits == 16 else np.uint32)
+        self.table[points] = np.arange(n)
         #: p1 of each id, in the background and in the target.
-        self.p1 = (both + 1) / (both.sum(1, keepdims=True) + max(n, 1))
+        self.p1 = (counts + 1) / (counts.sum(1, keepdims=True) + max(n, 1))
 
     def ids(self, points: np.ndarray) -> np.ndarray:
         return self.table[points]
 
+    def numbers(self, contexts: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A number for each n-gram; with 16 bits an id its context is that number's upper part."""
+        if self.bits == 16:
+            return (contexts << _U(16)) | last
+        return K.mix(contexts) ^ K.mix(last ^ _LAST)
+
 
 def _sorted(table: pa.Table) -> pa.Table:
     return table.sort_by([("target", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]).combine_chunks() if table.num_rows else table
@@ -84,36 +90,40 @@ def _slices(table: pa.Table) -> list[tuple[int, list]]:
     return [(lo, table["text"].slice(lo, hi - lo).to_pylist()) for lo, hi in K.slices(offsets)]
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their columns of counts."""
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sums of their columns of counts, and where each was first."""
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[:, order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first, axis=1) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, axis=1) if len(first) else counts, order[first]
 
 
-def _distinct(table: pa.Table, alphabet: Alphabet, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a chunk and their counts in the background and in the target."""
+def _distinct(table: pa.Table, alphabet: Alphabet, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of a chunk, their counts in the background and in the target, their contexts and characters."""
     target = np.asarray(table["target"].to_pylist(), bool)
-    keys, counts = [np.zeros(0, _U)], [np.zeros((2, 0), np.int64)]
+    keys, counts, parts = [np.zeros(0, _U)], [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), _U)]
     for lo, texts in _slices(table):
         points, at = characters(texts)
-        grams, n = ngrams(alphabet.ids(points), at, order)
-        own = target[lo : lo + len(texts)]
-        sides = [(0, grams), (1, grams[:0])] if not own.any() else [(i, grams[np.repeat(own == bool(i), n)]) for i in (0, 1)]
-        for i, mine in sides:
-            found, times = np.unique(mine, return_counts=True)
+        contexts, last, n = ngrams(alphabet.ids(points), at, order, alphabet.bits)
+        grams, own = alphabet.numbers(contexts, last), np.repeat(target[lo : lo + len(texts)], n)
+        for i in (0, 1) if own.any() else (0,):
+            mine = own == bool(i)
+            if alphabet.bits == 16:
+                found, times = np.unique(grams[mine], return_counts=True)
+            else:
+                found, first, times = np.unique(grams[mine], return_index=True, return_counts=True)
+                parts.append(np.stack([contexts[mine][first], last[mine][first]]))
             keys.append(found)
             counts.append(np.stack([times, 0 * times] if i == 0 else [0 * times, times]))
-    return _summed(np.concatenate(keys), np.concatenate(counts, axis=1))
+    keys, sums, first = _summed(np.concatenate(keys), np.concatenate(counts, axis=1))
+    contexts, last = (keys >> _U(16), keys & _U(0xFFFF)) if alphabet.bits == 16 else np.concatenate(parts, axis=1)[:, first]
+    return keys, sums, contexts, last.astype(np.int64)
 
 
-def _contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct contexts of sorted n-grams, their counts, and each n-gram's context."""
-    own = keys >> _U(16)
-    new = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    return own[first], np.add.reduceat(counts, first, axis=1) if len(first) else counts, np.cumsum(new) - 1
+def _contexts(own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct contexts of n-grams, their counts, and each n-gram's context."""
+    value, sums, _ = _summed(own, counts)
+    return value, sums, np.searchsorted(value, own)
 
 
 def _totals(questions: list[tuple[int, bytes]]) -> list[bytes]:
@@ -173,32 +183,32 @@ def score_difference(df: DataFrame, target: DataFrame, *, doc_id: str = "doc_id"
 
     def asks(table):
         """The chunk's n-grams, then its contexts (told apart by the hash), with buckets."""
-        keys, counts = _distinct(table, shared.value, order)
-        contexts, sums, context_of = _contexts(keys, counts)
+        keys, counts, own, last = _distinct(table, shared.value, order)
+        contexts, sums, context_of = _contexts(own, counts)
         both = np.concatenate([K.mix(keys), K.mix(contexts ^ _SIDE)])
-        return keys, context_of, both, np.concatenate([counts, sums], axis=1), (K.mix(both ^ _SIDE) % _U(n_buckets)).astype(np.int64)
+        return keys, last, context_of, both, np.concatenate([counts, sums], axis=1), (K.mix(both ^ _SIDE) % _U(n_buckets)).astype(np.int64)
 
     def ask(key, table):
-        _, _, both, counts, bucket = asks(_sorted(table))
+        _, _, _, both, counts, bucket = asks(_sorted(table))
         return packed.asked(((b, packed.pack(*x)) for b, x in packed.deal(bucket, both, counts[0], counts[1])), key[0].as_py())
 
     answers = packed.answer(docs.groupBy("chunk").applyInArrow(ask, packed.ASKED), _totals)
 
     def finish(key, table, told):
         alphabet, table = shared.value, _sorted(table)
-        keys, context_of, both, _, bucket = asks(table)
+        keys, last, context_of, both, _, bucket = asks(table)
         replies = dict(zip(told["bucket"].to_pylist(), told["payload"].to_pylist()))
         sums = np.zeros((2, len(both)), np.int64)
         for b, (where,) in packed.deal(bucket, np.arange(len(both))):
             sums[0, where], sums[1, where] = packed.unpack(replies[b], "i8", "i8")
-        last = (keys & _U(0xFFFF)).astype(np.int64)
         loss = [-np.log2((sums[i, : len(keys)] + weight * alphabet.p1[i, last]) / (sums[i, len(keys) + context_of] + weight)) for i in (0, 1)]
         lookup = K.Lookup(keys) if len(keys) else None
         target = np.asarray(table["target"].to_pylist(), bool)
         losses, tokens = np.zeros((2, len(target))), np.zeros(len(target), np.int64)
         for lo, texts in _slices(table):
             points, starts = characters(texts)
-            grams, n = ngrams(alphabet.ids(points), starts, order)
+            contexts, own, n = ngrams(alphabet.ids(points), starts, order, alphabet.bits)
+            grams = alphabet.numbers(contexts, own)
             at = np.concatenate([[0], np.cumsum(n)])
             tokens[lo : lo + len(texts)] = n
             where = lookup.find(grams) if len(grams) else np.zeros(0, np.int64)

@@ -341,9 +341,7 @@ def test_packing_plan(seed):
     assert bins <= len(best) * 1.02 + 1
 
 
-def test_lm_score_matches_a_plain_model(spark, monkeypatch):
-    monkeypatch.setattr(packed, "CHUNK_BYTES", 700)
-    rows, target = corpus(13), ["abc def ghi", "jab cde", None, "the zebra"]
+def losses_by_force(rows, target) -> dict[int, tuple[int, float, float]]:
     fold = lambda t: (t or "").translate(LOWER)
     both = {False: [fold(t) for _, t in rows], True: [fold(t) for t in target]}
     characters = {c for texts in both.values() for t in texts for c in t}
@@ -368,6 +366,13 @@ def test_lm_score_matches_a_plain_model(spark, monkeypatch):
                 total -= np.log2((four[t[i : i + 4]] + 10 * p1) / (three[t[i : i + 3]] + 10))
             loss.append(total / n if n else 0.0)
         want[doc] = (n, *loss)
+    return want
+
+
+def test_lm_score_matches_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(packed, "CHUNK_BYTES", 700)
+    rows, target = corpus(13), ["abc def ghi", "jab cde", None, "the zebra"]
+    want = losses_by_force(rows, target)
     df = frame(spark, [(t,) for t in target], "text string")
     got = lm_score.score_difference(with_extras(frame(spark, rows)), df).collect()
     assert len(got) == len(rows)
@@ -379,6 +384,25 @@ def test_lm_score_matches_a_plain_model(spark, monkeypatch):
     assert lm_score.score_difference(frame(spark, rows), df.limit(0)).count() == len(rows)
 
 
+def test_lm_score_of_many_characters(spark, monkeypatch):
+    """More characters than 16 bits tell apart: each keeps its own counts."""
+    monkeypatch.setattr(packed, "CHUNK_BYTES", 100_000)
+    rng = random.Random(4)
+    letters = [chr(0x10000 + i) for i in range(70_000)]
+    texts = ["".join(rng.sample(letters, len(letters)))]
+    for _ in range(20):
+        text = texts[0][rng.randrange(60_000) :][:500]
+        texts.append(text + "".join(rng.choice(letters[:5] + letters[-5:]) for _ in range(500)) + text[:250])
+    rows, target = list(enumerate(texts)), [texts[3][:700], texts[0][:300] + letters[-1] * 9]
+    want = losses_by_force(rows, target)
+    got = lm_score.score_difference(frame(spark, rows), frame(spark, [(t,) for t in target], "text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, a, b = want[r["doc_id"]]
+        assert r["n_tokens"] == n
+        assert np.allclose((r["loss_target"], r["loss_background"], r["score"]), (a, b, a - b))
+
+
 def test_language_id(spark):
     from pyspark.sql import functions as F
 

@@ -56,8 +56,13 @@ def method_deltas(rows: Column, a: Column, b: Column) -> Column:
     def entry(x: Column) -> Column:
         left, right = F.get(a, x["l"]), F.get(b, x["r"])
         shown = F.when(x["status"] == "deleted", left).otherwise(right)
-        more, less = _two_way(F.when(left.isNull(), none).otherwise(calls(left)), F.when(right.isNull(), none).otherwise(calls(right)))
-        return F.struct(x["status"].alias("status"), shown["name"].alias("name"), shown["descriptor"].alias("descriptor"), shown["instr_count"].alias("instr_count"), more.alias("calls_added"), less.alias("calls_removed")).cast(kind)
+        sides = F.struct(F.when(left.isNull(), none).otherwise(calls(left)).alias("a"), F.when(right.isNull(), none).otherwise(calls(right)).alias("b"))
+
+        def told(p: Column) -> Column:
+            more, less = _two_way(p["a"], p["b"])
+            return F.struct(x["status"].alias("status"), shown["name"].alias("name"), shown["descriptor"].alias("descriptor"), shown["instr_count"].alias("instr_count"), more.alias("calls_added"), less.alias("calls_removed")).cast(kind)
+
+        return S.let(sides, told)
 
     moved = F.filter(F.transform(F.filter(rows, lambda x: x["status"] != "matched"), entry), lambda d: (d["status"] != "modified") | (F.size(d["calls_added"]) + F.size(d["calls_removed"]) > 0))
     status = lambda d: rank(d["status"], {"modified": 0, "added": 1, "deleted": 2}, 9)

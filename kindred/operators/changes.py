@@ -95,15 +95,23 @@ def change_set(matches: DataFrame, dev_package=None, components: DataFrame | Non
     prefixes = S.dev_prefixes(dev_package)
     m = matches.withColumn("paired", F.col("lhs").isNotNull() & F.col("rhs").isNotNull())
     pairs = m.where("paired").select("lhs", "rhs", features(F.col("a")).alias("fa"), features(F.col("b")).alias("fb"))
-    deltas = pairs.join(_app_types(pairs), ["lhs", "rhs"], "left")
+    none, shown = F.array().cast(_STRINGS), F.when(F.col("lhs").isNotNull(), F.col("a")).otherwise(F.col("b"))
+    where = S.origin(shown["descriptor"], shown["source_file"], prefixes)
+    source = F.coalesce(F.nullif(F.col("a.source_file"), F.lit("")), F.col("b.source_file"))
+    # what the classes tell is taken before the joins, so that no class is shuffled
+    m = m.withColumn("fa", F.when(F.col("paired"), features(F.col("a")))).withColumn("fb", F.when(F.col("paired"), features(F.col("b"))))
     cols = []
     for name in ("calls", "strings", "types"):
         more, less = _two_way(F.col(f"fa.{name}"), F.col(f"fb.{name}"))
         cols += [more.alias(f"{name}_added"), less.alias(f"{name}_removed")]
-    none = F.array().cast(_STRINGS)
-    cols += [F.coalesce(c, none).alias(c) for c in DELTA[6:]]
-    deltas = deltas.select("lhs", "rhs", F.struct(*cols).alias("delta"))
-    m = m.join(deltas, ["lhs", "rhs"], "left")
+    m = m.select(
+        "lhs", "rhs", "paired", "similarity", "provenance", F.struct(*cols).alias("_own"), where.alias("_where"), source.alias("source_file"), S.total_instructions(shown["methods"]).alias("_instructions"),
+        F.when(F.col("paired"), method_deltas(F.col("method_rows"), F.col("a.methods"), F.col("b.methods"))).alias("methods"),
+        F.col("a.superclass").alias("lhs_super"), F.col("b.superclass").alias("rhs_super"), F.coalesce(F.col("a.interfaces"), none).alias("lhs_interfaces"), F.coalesce(F.col("b.interfaces"), none).alias("rhs_interfaces"),
+    )
+    m = m.join(_app_types(pairs), ["lhs", "rhs"], "left")
+    whole = F.struct(*[F.col(f"_own.{c}").alias(c) for c in DELTA[:6]], *[F.coalesce(c, none).alias(c) for c in DELTA[6:]])
+    m = m.withColumn("delta", F.when(F.col("paired"), whole)).drop("_own", *DELTA[6:])
     for side in ("lhs", "rhs"):
         if components is not None:
             own = components.where(F.col("side").isNull() | (F.col("side") == side)).select(F.col("descriptor").alias(side), F.col("codes").alias(f"{side}_components"))
@@ -116,11 +124,8 @@ def change_set(matches: DataFrame, dev_package=None, components: DataFrame | Non
         else:
             m = m.withColumn(f"_{side}_label", F.lit(None).cast("string"))
         m = m.withColumn(f"{side}_components", F.coalesce(f"{side}_components", none))
-    shown = F.when(F.col("lhs").isNotNull(), F.col("a")).otherwise(F.col("b"))
-    library = F.coalesce("_lhs_label", "_rhs_label")
-    where = S.origin(shown["descriptor"], shown["source_file"], prefixes)
+    library, where = F.coalesce("_lhs_label", "_rhs_label"), F.col("_where")
     m = m.withColumn("library", library).withColumn("origin", F.when(library.isNotNull() & (where != "app"), "library").otherwise(where))
-    m = m.withColumn("methods", F.when(F.col("paired"), method_deltas(F.col("method_rows"), F.col("a.methods"), F.col("b.methods"))))
     structural = F.coalesce(F.size(F.filter("methods", lambda d: d["status"].isin("added", "deleted"))), F.lit(0))
     sizes = {c: F.coalesce(F.size(F.col(f"delta.{c}")), F.lit(0)) for c in DELTA}
     total = sum(sizes.values(), F.lit(0))
@@ -131,13 +136,11 @@ def change_set(matches: DataFrame, dev_package=None, components: DataFrame | Non
     m = m.withColumn("kind", kind)
     modified = F.col("kind") == "modified"
     low = modified & (F.col("_content") == 0) & (F.col("_structural") == 0) & (F.col("origin") != "app")
-    source = F.coalesce(F.nullif(F.col("a.source_file"), F.lit("")), F.col("b.source_file"))
-    magnitude = F.when(F.col("paired"), F.when(modified, F.col("_total") + F.col("_structural")).otherwise(0)).otherwise(S.total_instructions(shown["methods"]))
+    magnitude = F.when(F.col("paired"), F.when(modified, F.col("_total") + F.col("_structural")).otherwise(0)).otherwise(F.col("_instructions"))
     out = m.select(
-        "kind", "lhs", "rhs", source.alias("source_file"), magnitude.cast("int").alias("magnitude"), F.col("similarity").alias("match_distance"),
+        "kind", "lhs", "rhs", "source_file", magnitude.cast("int").alias("magnitude"), F.col("similarity").alias("match_distance"),
         (F.col("provenance") == "anchored").alias("anchored"), "origin", "library", F.when(low, "low").otherwise("high").alias("confidence"),
-        F.col("a.superclass").alias("lhs_super"), F.col("b.superclass").alias("rhs_super"),
-        F.coalesce(F.col("a.interfaces"), none).alias("lhs_interfaces"), F.coalesce(F.col("b.interfaces"), none).alias("rhs_interfaces"),
+        "lhs_super", "rhs_super", "lhs_interfaces", "rhs_interfaces",
         F.array_sort(F.array_union("lhs_components", "rhs_components")).alias("components"), "lhs_components", "rhs_components",
         F.when(modified, F.col("delta")).alias("delta"), F.when(modified, F.col("methods")).alias("methods"),
     )

@@ -11,7 +11,7 @@ from kindred.operators.assign import assign
 from kindred.operators.lsh import nearest
 from kindred.operators.similarity import class_similarity, compared
 from kindred.operators.simhash import signatures, with_abstract
-from kindred.plans.lineage import cut
+from kindred.plans.lineage import cut, kept
 from kindred.schema import CALL_SITE_FLOOR, MAX_REFS, MAX_ROUNDS, TOP_K, DiffOptions
 
 _CLASS = ("pos", "descriptor", "package", "name", "source_file", "access", "superclass", "interfaces", "strings", "fields", "methods", "sequence")
@@ -56,8 +56,16 @@ def _pairs(pairs: DataFrame, lhs: DataFrame, rhs: DataFrame) -> DataFrame:
     return pairs.join(left, "l").join(right, "r")
 
 
+def _shape(side: DataFrame) -> DataFrame:
+    """(pos, c): of the classes only what class_similarity looks at, since each of them travels to every candidate."""
+    fields = F.transform("c.fields", lambda f: F.struct(f["type_desc"].alias("type_desc")))
+    methods = F.transform("c.methods", lambda m: F.struct(m["return_type"].alias("return_type"), m["arg_count"].alias("arg_count")))
+    own = [F.col(f"c.{n}").alias(n) for n in ("access", "superclass", "interfaces", "sequence")]
+    return side.select("pos", F.struct(*own, fields.alias("fields"), methods.alias("methods")).alias("c"))
+
+
 def _ranked(near: DataFrame, lhs: DataFrame, rhs: DataFrame, score: Column) -> DataFrame:
-    return _pairs(near, lhs, rhs).select("pool", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), score.alias("score"))
+    return _pairs(near, _shape(lhs), _shape(rhs)).select("pool", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), score.alias("score"))
 
 
 def pool_table(lhs: DataFrame, rhs: DataFrame) -> DataFrame:
@@ -231,8 +239,9 @@ def diff(lhs: DataFrame, rhs: DataFrame, threshold: float = 0.8, options: DiffOp
     method_rows, provenance, ord (order in which pairs were found), a, b (the classes).
     """
     opts = options if isinstance(options, DiffOptions) else DiffOptions.from_dict(options)
-    left, right = cut(prepared(lhs, opts)), cut(prepared(rhs, opts))
-    pairs = cut(structural_diff(left, right, threshold, opts))
+    left, right = kept(prepared(lhs, opts)), kept(prepared(rhs, opts))
+    pairs = kept(structural_diff(left, right, threshold, opts))
     if opts.propagation:
-        pairs = cut(pairs.unionByName(propagate(pairs, left, right, threshold, opts.assignment, most_frontier=opts.max_frontier)))
+        more = kept(propagate(pairs, left, right, threshold, opts.assignment, most_frontier=opts.max_frontier))
+        pairs = pairs.unionByName(more)
     return pairs.unionByName(_alone(left, pairs, True)).unionByName(_alone(right, pairs, False))

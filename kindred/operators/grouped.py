@@ -27,13 +27,13 @@ def whole_groups(batches, key: str):
         yield held
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list, name: str, keep=cut) -> DataFrame:
     """df with row numbers from 1 in a total order, without a task that holds all rows.
 
     Rows are sorted by ranges; a row's number is its place in its range and the rows of the ranges before,
-    of which there is one count a partition.
+    of which there is one count a partition. The sorted rows are computed once, by `keep`: lineage.kept for wide ones.
     """
-    rows = cut(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    rows = keep(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -68,6 +68,15 @@ def load(spark: SparkSession, path: str, digests: list[str] | None = None, check
     return rows
 
 
+#: Samples that are broadcast, some 50 bytes each.
+MOST_SAMPLES = 100_000
+
+
+def by_sample(samples: DataFrame) -> DataFrame:
+    """A row a sample, to be joined by digest with classes: a sample's classes are not shuffled to one task, unless samples are very many."""
+    return F.broadcast(samples) if samples.limit(MOST_SAMPLES + 1).count() <= MOST_SAMPLES else samples
+
+
 def migrate(spark: SparkSession, path: str) -> DataFrame:
     """Makes the signatures of stale samples anew; (digest, outcome) tells what became of each: ok, migrated or stale."""
     rows = load(spark, path, check=False)
@@ -77,8 +86,9 @@ def migrate(spark: SparkSession, path: str) -> DataFrame:
     from kindred.plans.lineage import cut
 
     result = cut(per.select("digest", outcome.alias("outcome")))
-    todo = cut(rows.join(result.where("outcome = 'migrated'").select("digest"), "digest"))
-    if not todo.isEmpty():
+    old_ones = result.where("outcome = 'migrated'").select("digest")
+    if not old_ones.isEmpty():
+        todo = cut(rows.join(by_sample(old_ones), "digest"))
         save(signatures(todo.drop("sig")).withColumn("signature_stamp", F.lit(SIGNATURE_STAMP)), path, "overwrite")
     return result
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import scalars as S
 from kindred.operators.assign import assign
 from kindred.operators.similarity import hierarchy_tokens
-from kindred.plans.lineage import cut
+from kindred.plans.lineage import cut, sent
 from kindred.schema import ANCHOR_FLOOR, FRAMEWORK_WEIGHT, HIERARCHY_WEIGHT
 
 
@@ -55,7 +55,8 @@ def evidence(left: DataFrame, right: DataFrame, sizes: DataFrame, floor: float |
     norm = F.when(F.log(n1) == 0, 1.0).otherwise(F.log(n1))
     hierarchy = F.when(F.col("token").startswith("\0"), HIERARCHY_WEIGHT).otherwise(1.0)
     share = hierarchy * (F.log(n1 / (F.col("ldf") + F.col("rdf"))) / norm) / (F.col("ldf") * F.col("rdf"))
-    weights = stats.select("pool", "token", share.alias("w"))
+    # told once for both sides; where few tokens are shared, all others of a side go before anything is shuffled
+    weights = sent(stats.select("pool", "token", share.alias("w")))
     one = left.join(weights, ["pool", "token"]).select("pool", "token", F.col("id").alias("l"), "w")
     if floor is None or floor <= 0:
         return one.join(right.select("pool", "token", F.col("id").alias("r")), ["pool", "token"]).groupBy("pool", "l", "r").agg(F.sum("w").alias("evidence"))

@@ -161,10 +161,41 @@ def class_references(side: DataFrame) -> DataFrame:
     return side.select("pos", F.posexplode(referenced_descriptors(F.col("c"))).alias("i", "descriptor"))
 
 
-def _first_referenced(frontier: DataFrame, key: str, references: DataFrame, free: DataFrame) -> DataFrame:
-    """(id, pos, sig): the free classes that the frontier refers to, numbered over sorted ranges by where they are first referred to."""
-    told = frontier.select(F.col(key).alias("pos"), "ord").join(references, "pos").groupBy("descriptor").agg(F.min(F.struct("ord", "i")).alias("first"))
-    return cut(free.join(told, "descriptor").select("first", "pos", "sig").orderBy("first", "pos").select(F.monotonically_increasing_id().alias("id"), "pos", "sig"))
+#: Rows of a round's joins that are sent to every task, at most some 150 bytes each; a round has a dozen such joins.
+MOST_DEALT = 10_000
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """rows, n of them, that meet a whole side: sent to every task where they are few, else shuffled with it.
+
+    Either way the side itself is not broadcast: a checkpoint tells the size of the files that it was read from, so
+    that the planner takes a side of millions of classes for one of a few MB.
+    """
+    return F.broadcast(rows) if n <= MOST_DEALT else rows.hint("merge")
+
+
+def _found_pairs(pairs: DataFrame, n: int, lhs: DataFrame, rhs: DataFrame) -> DataFrame:
+    """_pairs of rows that are computed already, n of them: only the classes that they name are shuffled where they are few."""
+    left = lhs.select(F.col("pos").alias("l"), F.col("c").alias("a")).join(_dealt(pairs, n), "l")
+    right = rhs.select(F.col("pos").alias("r"), F.col("c").alias("b")).join(_dealt(pairs.select("r"), n), "r", "left_semi")
+    return left.join(right.hint("merge"), "r")
+
+
+def _sites_of(sites: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """The call sites of the classes at places (pos), n of them."""
+    return sites.join(_dealt(places, n), "pos", "left_semi").hint("merge")
+
+
+def _free(side: DataFrame, told: DataFrame, n: int, paired: DataFrame, n_paired: int) -> DataFrame:
+    """The rows of a side (pos, descriptor, sig) that are told by descriptor, n of them, and whose places are not paired yet."""
+    return side.join(_dealt(told, n), "descriptor").join(_dealt(paired, n_paired), "pos", "left_anti")
+
+
+def _first_referenced(frontier: DataFrame, n: int, references: DataFrame, side: DataFrame, paired: DataFrame, n_paired: int) -> DataFrame:
+    """(id, pos, sig): the free classes that the frontier (pos, ord), n rows, refers to, numbered over sorted ranges by where they are first referred to."""
+    told = cut(references.join(_dealt(frontier, n), "pos").groupBy("descriptor").agg(F.min(F.struct("ord", "i")).alias("first")))
+    free = _free(side, told, told.count(), paired, n_paired)
+    return cut(free.select("first", "pos", "sig").orderBy("first", "pos").select(F.monotonically_increasing_id().alias("id"), "pos", "sig"))
 
 
 _SCORED = ("l", "r", "similarity", "breakdown", "method_rows")
@@ -175,56 +206,61 @@ def propagate(matches: DataFrame, lhs: DataFrame, rhs: DataFrame, threshold: flo
 
     matches: paired rows; lhs, rhs: prepared sides. Returns the new pairs. Rounds carry places, signatures and
     scores; references and call sites are taken from the classes once, the classes join a pair to score it, and the
-    found ones at the end. `most_frontier` leaves type references out where a side refers to more free classes
+    found ones at the end. What a round asks for goes to the sides, which stay where they are unless it is much. `most_frontier` leaves type references out where a side refers to more free classes
     (other readers of the same definition stop at 50,000); None sets no limit.
     """
     flat = lambda df: cut(df.select("pos", "descriptor", "sig"))
     left, right = flat(lhs), flat(rhs)
     sites_l, sites_r, refs_l, refs_r = cut(call_sites(lhs)), cut(call_sites(rhs)), cut(class_references(lhs)), cut(class_references(rhs))
     called = not sites_l.isEmpty() and not sites_r.isEmpty()
-    found, frontier, paired = None, cut(matches.select("l", "r", "ord", "method_rows")), matches.select("l", "r")
-    scored = lambda df, *more: compared(_pairs(df, lhs, rhs)).select(*_SCORED, *more)
+    frontier = cut(matches.select("l", "r", "ord", "method_rows"))
+    found, n_found, paired, n_frontier = None, 0, frontier.select("l", "r"), frontier.count()
+    n_paired = n_frontier
+    at = lambda rows, key: rows.select(F.col(key).alias("pos"))
+    scored = lambda df, *more: compared(_found_pairs(df, df.count(), lhs, rhs)).select(*_SCORED, *more)
     for round_no in range(most_rounds):
         paired = cut(paired)
-        free_l = left.join(paired.select(F.col("l").alias("pos")), "pos", "left_anti")
-        free_r = right.join(paired.select(F.col("r").alias("pos")), "pos", "left_anti")
+        taken, n_taken = paired, n_paired
         claims = None
         if called:
-            claims = site_claims(frontier, sites_l, sites_r)
-            claims = claims.join(free_l.select(F.col("descriptor").alias("lhs"), F.col("pos").alias("l")), "lhs").join(free_r.select(F.col("descriptor").alias("rhs"), F.col("pos").alias("r")), "rhs")
-            claims = cut(scored(claims.select("l", "r", "claim"), "claim").where(F.col("similarity") >= CALL_SITE_FLOOR))
+            claims = cut(site_claims(frontier, _sites_of(sites_l, at(frontier, "l"), n_frontier), _sites_of(sites_r, at(frontier, "r"), n_frontier)))
+            n_claims = claims.count()
+            free = lambda side, name, key: _free(side, claims.select(F.col(name).alias("descriptor")).distinct(), n_claims, at(paired, key), n_paired).select(F.col("descriptor").alias(name), F.col("pos").alias(key)).hint("merge")  # noqa: B023, E731
+            claims = cut(claims.join(free(left, "lhs", "l"), "lhs").join(free(right, "rhs", "r"), "rhs").select("l", "r", "claim"))
+            claims = cut(scored(claims, "claim").where(F.col("similarity") >= CALL_SITE_FLOOR))
         new = None
         if claims is not None and not claims.isEmpty():
             # first wins: a claim's place in the sorted order is its (negated) score
             claims = cut(claims.orderBy("claim").withColumn("place", F.monotonically_increasing_id()))
             ranked = claims.select(F.lit("").alias("pool"), F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), (-F.col("place")).cast("double").alias("score"))
             won = assign(ranked, ranked.groupBy("pool").agg(F.countDistinct("l").alias("n_left")), "greedy")
-            new = claims.join(won.select(F.col("l").cast("int").alias("l"), F.col("r").cast("int").alias("r"), "nth"), ["l", "r"])
-            new = new.select(*_SCORED, F.lit("call_site").alias("provenance"), F.lit(2 * round_no + 2).alias("stage"), "nth")
-            gone = cut(new.select("l", "r"))
-            free_l = free_l.join(gone.select(F.col("l").alias("pos")), "pos", "left_anti")
-            free_r = free_r.join(gone.select(F.col("r").alias("pos")), "pos", "left_anti")
-        one, two = _first_referenced(frontier, "l", refs_l, free_l), _first_referenced(frontier, "r", refs_r, free_r)
+            new = claims.join(_dealt(won.select(F.col("l").cast("int").alias("l"), F.col("r").cast("int").alias("r"), "nth"), claims.count()), ["l", "r"])
+            new = cut(new.select(*_SCORED, F.lit("call_site").alias("provenance"), F.lit(2 * round_no + 2).alias("stage"), "nth"))
+            taken, n_taken = paired.unionByName(new.select("l", "r")), n_paired + new.count()
+        asked = lambda key: frontier.select(F.col(key).alias("pos"), "ord")  # noqa: B023, E731
+        one = _first_referenced(asked("l"), n_frontier, refs_l, left, at(taken, "l"), n_taken)
+        two = _first_referenced(asked("r"), n_frontier, refs_r, right, at(taken, "r"), n_taken)
         n_left, n_right = one.count(), two.count()
         if n_left and n_right and (most_frontier is None or max(n_left, n_right) <= most_frontier):
             pool = lambda df: df.select(F.lit("").alias("pool"), "id", "sig")
             near = nearest(pool(one), pool(two), TOP_K).select(F.col("l").alias("li"), F.col("r").alias("ri"))
-            near = near.join(one.select(F.col("id").alias("li"), F.col("pos").alias("l")), "li").join(two.select(F.col("id").alias("ri"), F.col("pos").alias("r")), "ri")
-            near = cut(scored(near, "li", "ri"))
+            near = near.join(_dealt(one.select(F.col("id").alias("li"), F.col("pos").alias("l")), n_left), "li").join(_dealt(two.select(F.col("id").alias("ri"), F.col("pos").alias("r")), n_right), "ri")
+            near = cut(scored(cut(near), "li", "ri"))
             ranked = near.select(F.lit("").alias("pool"), F.col("li").cast("long").alias("l"), F.col("ri").cast("long").alias("r"), F.col("similarity").alias("score"))
             chosen = assign(ranked, _one_pool(ranked, n_left), mode).select(F.col("l").alias("li"), F.col("r").alias("ri"), "nth")
-            more = near.join(chosen, ["li", "ri"]).where(F.col("similarity") >= threshold)
+            more = near.join(_dealt(chosen, min(n_left, n_right)), ["li", "ri"]).where(F.col("similarity") >= threshold)
             more = more.select(*_SCORED, F.lit("propagated").alias("provenance"), F.lit(2 * round_no + 3).alias("stage"), "nth")
             new = more if new is None else new.unionByName(more)
         if new is None:
             break
         new = new.withColumn("pool", F.lit("")).withColumn("ord", _order(F.lit(0), F.col("stage"), F.col("nth")))
         new = cut(new.select("pool", *_SCORED, "provenance", "ord"))
-        if new.isEmpty():
+        n_frontier = new.count()
+        if not n_frontier:
             break
-        found = new if found is None else found.unionByName(new)
+        found, n_found, n_paired = new if found is None else found.unionByName(new), n_found + n_frontier, n_paired + n_frontier
         paired, frontier = paired.unionByName(new.select("l", "r")), new.select("l", "r", "ord", "method_rows")
-    return _as_matches(_pairs(found, lhs, rhs)) if found is not None else matches.limit(0)
+    return _as_matches(_found_pairs(found, n_found, lhs, rhs)) if found is not None else matches.limit(0)
 
 
 def _one_pool(rows: DataFrame, n: int) -> DataFrame:

@@ -42,3 +42,39 @@ def test_a_frontier_of_many_classes(spark):
     one, two = builds(spark, seeds * (each + 1), [seeds + F.col("n") * each + i for i in range(each)])
     got = diff.propagate(whole.seeded(one, two, F.col("l") < seeds), one, two, 0.8, most_rounds=1)
     assert got.count() == seeds * each and got.where("l <> r").isEmpty()
+
+
+def most_broadcast(spark, run) -> int:
+    """The most rows that a broadcast held while a function ran, by the metrics of its plans."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    every = lambda: [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+    bus.waitUntilEmpty()
+    before = set(every())
+    run()
+    bus.waitUntilEmpty()
+    found = []
+    for n in set(every()) - before:
+        nodes, told = store.planGraph(n).allNodes(), store.executionMetrics(n)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name().startswith("BroadcastExchange"):
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                found += [int(told.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and told.contains(m.accumulatorId())]
+    assert found
+    return max(found)
+
+
+def test_sides_are_not_broadcast(spark):
+    """What a round asks for is sent to the classes, never all classes to what it asks for: 9 classes in 16 tables are the most here."""
+    one, two = builds(spark, 4000, [3 * F.col("n") + i for i in (1, 2, 3)])
+    seeds = cut(whole.seeded(one, two, F.col("l") == 0))
+    assert most_broadcast(spark, lambda: diff.propagate(seeds, one, two, 0.8, most_rounds=2).count()) < 400
+
+
+def test_a_round_that_asks_for_much_is_shuffled(spark, monkeypatch):
+    """Rows beyond MOST_DEALT are not sent; the pairs are those of few rows."""
+    one, two = builds(spark, 40, [3 * F.col("n") + i for i in (1, 2, 3)], F.col("n") == 2)
+    seeds = cut(whole.seeded(one, two, F.col("l") == 0))
+    spread = lambda: {(r["l"], r["r"], r["ord"]["stage"], r["a"]["pos"], r["b"]["pos"]) for r in diff.propagate(seeds, one, two, 0.8, most_rounds=2).collect()}
+    sent = spread()
+    monkeypatch.setattr(diff, "MOST_DEALT", 0)
+    assert spread() == sent == {(k, k, s, k, k) for k, s in ((1, 3), (3, 3), (4, 5), (5, 5), (6, 5), (10, 5), (11, 5), (12, 5))}

@@ -26,11 +26,12 @@ class Texts:
     """Distinct texts as numbers of a dense alphabet, with how often each character is in each."""
 
     def __init__(self, texts: list[str]):
-        points = [code_points(t) for t in texts]
-        self.length = np.array([len(p) for p in points], np.int64)
+        points = code_points("".join(texts))
+        self.length = np.array([len(t) for t in texts], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.length)])
-        alphabet, self.chars = np.unique(np.concatenate([np.zeros(0, np.uint32), *points]), return_inverse=True)
-        self.alphabet = len(alphabet)
+        there = np.bincount(points) > 0 if len(points) else np.zeros(0, bool)
+        self.chars = (np.cumsum(there) - 1)[points]
+        self.alphabet = int(there.sum())
         # of a large alphabet the counts are kept in classes of characters: a bound that is as right, if weaker
         self.kinds = min(max(self.alphabet, 1), 64)
         row = np.repeat(np.arange(len(texts)), self.length)

@@ -77,6 +77,7 @@ def seed_anchors(lhs: DataFrame, rhs: DataFrame, min_confidence: float = ANCHOR_
     found = found.join(calls(lhs, "l", "_a"), ["pool", "l"]).join(calls(rhs, "r", "_b"), ["pool", "r"])
     # rounded, so that equal evidence ties in whatever order it was added up
     raw = F.round(F.col("evidence") + FRAMEWORK_WEIGHT * S.bag_jaccard(F.col("_a"), F.col("_b"), 0.0), 9)
-    scored = found.select("pool", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), raw.alias("score")).where(F.least(F.lit(1.0), "score") >= min_confidence)
+    # read three times from here on
+    scored = cut(found.select("pool", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), raw.alias("score")).where(F.least(F.lit(1.0), "score") >= min_confidence))
     asked = scored.groupBy("pool").agg(F.countDistinct("l").alias("n_left"))
     return assign(scored, asked, "greedy").select("pool", "l", "r", F.least(F.lit(1.0), "score").alias("confidence"), "nth")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import scalars as S
 from kindred.operators.anchors import framework_calls
 from kindred.operators.graph import marks_above
+from kindred.plans.lineage import kept, sent
 from kindred.schema import SENSITIVE_COMPONENTS, GENERIC_COMPONENTS
 
 KIND_RANK = {"modified": 0, "added": 1, "removed": 2, "cosmetic": 3, "unchanged": 4}
@@ -34,17 +35,17 @@ def type_refs(c: Column) -> Column:
 
 def features(c: Column) -> Column:
     """struct<calls, strings, types, app_types>: the sets that a change is judged by."""
-    refs = type_refs(c)
-    return F.struct(
+    return S.let(type_refs(c), lambda refs: F.struct(
         F.array_distinct(framework_calls(c["methods"])).alias("calls"),
         F.filter(F.array_distinct(c["strings"]), S.informative).alias("strings"),
         F.filter(refs, S.is_framework).alias("types"),
         F.filter(refs, lambda t: ~S.is_framework(t)).alias("app_types"),
-    )
+    ))
 
 
 def _two_way(a: Column, b: Column) -> tuple[Column, Column]:
-    return F.array_sort(F.array_except(b, a)), F.array_sort(F.array_except(a, b))
+    less = lambda x, y: F.when(x == y, F.array().cast(_STRINGS)).otherwise(F.array_sort(F.array_except(x, y)))
+    return less(b, a), less(a, b)
 
 
 def method_deltas(rows: Column, a: Column, b: Column) -> Column:
@@ -74,14 +75,23 @@ def class_map(matches: DataFrame) -> DataFrame:
     return matches.where("lhs is not null and rhs is not null").select(F.col("lhs").alias("from"), F.col("rhs").alias("to"))
 
 
+#: Pairs with references among the matched classes that are sent to every task, some 500 bytes each.
+MOST_REFERRING = 50_000
+
+
 def _app_types(pairs: DataFrame) -> DataFrame:
-    """(lhs, rhs, app_added, app_removed): app references, the left ones renamed by the matches; what has no match is left out."""
+    """(lhs, rhs, app_added, app_removed): of pairs (lhs, rhs, was, now) with their app types those that changed, the left ones renamed by the matches; what has no match is left out.
+
+    The names that are referred to are told first: where they are few, no pair is shuffled to find its own.
+    """
     names = class_map(pairs)
-    left = pairs.select("lhs", "rhs", F.explode("fa.app_types").alias("from")).join(names, "from").groupBy("lhs", "rhs").agg(F.collect_set("to").alias("was"))
-    right = pairs.select("lhs", "rhs", F.explode("fb.app_types").alias("to")).join(names.select("to").distinct(), "to").groupBy("lhs", "rhs").agg(F.collect_set("to").alias("now"))
+    refs = lambda side, name: pairs.select("lhs", "rhs", F.explode(side).alias(name))
+    asked = lambda side, name: refs(side, name).select(name).distinct()
+    left = refs("was", "from").join(sent(names.join(asked("was", "from"), "from", "left_semi")), "from").groupBy("lhs", "rhs").agg(F.collect_set("to").alias("was"))
+    right = refs("now", "to").join(sent(names.select("to").join(asked("now", "to"), "to", "left_semi").distinct()), "to").groupBy("lhs", "rhs").agg(F.collect_set("to").alias("now"))
     both = left.join(right, ["lhs", "rhs"], "full")
     more, less = _two_way(F.coalesce("was", F.array().cast(_STRINGS)), F.coalesce("now", F.array().cast(_STRINGS)))
-    return both.select("lhs", "rhs", more.alias("app_types_added"), less.alias("app_types_removed"))
+    return sent(both.select("lhs", "rhs", more.alias("app_types_added"), less.alias("app_types_removed")), MOST_REFERRING)
 
 
 DELTA = ("calls_added", "calls_removed", "strings_added", "strings_removed", "types_added", "types_removed", "app_types_added", "app_types_removed")
@@ -94,7 +104,6 @@ def change_set(matches: DataFrame, dev_package=None, components: DataFrame | Non
     """
     prefixes = S.dev_prefixes(dev_package)
     m = matches.withColumn("paired", F.col("lhs").isNotNull() & F.col("rhs").isNotNull())
-    pairs = m.where("paired").select("lhs", "rhs", features(F.col("a")).alias("fa"), features(F.col("b")).alias("fb"))
     none, shown = F.array().cast(_STRINGS), F.when(F.col("lhs").isNotNull(), F.col("a")).otherwise(F.col("b"))
     where = S.origin(shown["descriptor"], shown["source_file"], prefixes)
     source = F.coalesce(F.nullif(F.col("a.source_file"), F.lit("")), F.col("b.source_file"))
@@ -108,8 +117,11 @@ def change_set(matches: DataFrame, dev_package=None, components: DataFrame | Non
         "lhs", "rhs", "paired", "similarity", "provenance", F.struct(*cols).alias("_own"), where.alias("_where"), source.alias("source_file"), S.total_instructions(shown["methods"]).alias("_instructions"),
         F.when(F.col("paired"), method_deltas(F.col("method_rows"), F.col("a.methods"), F.col("b.methods"))).alias("methods"),
         F.col("a.superclass").alias("lhs_super"), F.col("b.superclass").alias("rhs_super"), F.coalesce(F.col("a.interfaces"), none).alias("lhs_interfaces"), F.coalesce(F.col("b.interfaces"), none).alias("rhs_interfaces"),
+        F.col("fa.app_types").alias("_was"), F.col("fb.app_types").alias("_now"),
     )
-    m = m.join(_app_types(pairs), ["lhs", "rhs"], "left")
+    # the classes are looked at once; references are told of what is kept
+    m = kept(m)
+    m = m.drop("_was", "_now").join(_app_types(m.where("paired").select("lhs", "rhs", F.col("_was").alias("was"), F.col("_now").alias("now"))), ["lhs", "rhs"], "left")
     whole = F.struct(*[F.col(f"_own.{c}").alias(c) for c in DELTA[:6]], *[F.coalesce(c, none).alias(c) for c in DELTA[6:]])
     m = m.withColumn("delta", F.when(F.col("paired"), whole)).drop("_own", *DELTA[6:])
     for side in ("lhs", "rhs"):

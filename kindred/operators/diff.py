@@ -11,7 +11,7 @@ from kindred.operators.assign import assign
 from kindred.operators.lsh import nearest
 from kindred.operators.similarity import class_similarity, compared
 from kindred.operators.simhash import signatures, with_abstract
-from kindred.plans.lineage import cut, kept
+from kindred.plans.lineage import cut, kept, sent
 from kindred.schema import CALL_SITE_FLOOR, MAX_REFS, MAX_ROUNDS, TOP_K, DiffOptions
 
 _CLASS = ("pos", "descriptor", "package", "name", "source_file", "access", "superclass", "interfaces", "strings", "fields", "methods", "sequence")
@@ -38,11 +38,13 @@ def quality_filter(classes: DataFrame, opts: DiffOptions) -> DataFrame:
 
 
 def prepared(classes: DataFrame, opts: DiffOptions) -> DataFrame:
-    """(pool, pos, descriptor, sig, c): what the diff joins; c is the class with its abstract sequence.
+    """(pool, pos, descriptor, sig, c): what the diff joins; c is the class with its abstract sequence, its methods without bytecode.
 
     Rows that come with a signature (a fingerprint store) are not signed again.
     """
     rows = with_abstract(quality_filter(classes, opts))
+    # what the code is made of is told by then: no later step reads it
+    rows = rows.withColumn("methods", F.transform("methods", lambda m: m.dropFields("bytecode")))
     rows = rows if "sig" in rows.columns else signatures(rows)
     rows = rows.withColumn("sequence", S.abstract_sequence())
     pool = S.pool_key("package", opts.cluster, opts.find_obfuscated_packages)
@@ -56,16 +58,21 @@ def _pairs(pairs: DataFrame, lhs: DataFrame, rhs: DataFrame) -> DataFrame:
     return pairs.join(left, "l").join(right, "r")
 
 
+def _slim(side: DataFrame) -> DataFrame:
+    """A side whose classes lack the abstract sequence, which candidates alone are ranked by."""
+    return side.withColumn("c", F.struct(*[F.col(f"c.{n}").alias(n) for n in side.schema["c"].dataType.names if n != "sequence"]))
+
+
 def _shape(side: DataFrame) -> DataFrame:
-    """(pos, c): of the classes only what class_similarity looks at, since each of them travels to every candidate."""
+    """(pool, pos, sig, c): of the classes only what class_similarity looks at, since each of them travels to every candidate."""
     fields = F.transform("c.fields", lambda f: F.struct(f["type_desc"].alias("type_desc")))
     methods = F.transform("c.methods", lambda m: F.struct(m["return_type"].alias("return_type"), m["arg_count"].alias("arg_count")))
     own = [F.col(f"c.{n}").alias(n) for n in ("access", "superclass", "interfaces", "sequence")]
-    return side.select("pos", F.struct(*own, fields.alias("fields"), methods.alias("methods")).alias("c"))
+    return side.select("pool", "pos", "sig", F.struct(*own, fields.alias("fields"), methods.alias("methods")).alias("c"))
 
 
 def _ranked(near: DataFrame, lhs: DataFrame, rhs: DataFrame, score: Column) -> DataFrame:
-    return _pairs(near, _shape(lhs), _shape(rhs)).select("pool", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), score.alias("score"))
+    return _pairs(near, lhs, rhs).select("pool", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), score.alias("score"))
 
 
 def pool_table(lhs: DataFrame, rhs: DataFrame) -> DataFrame:
@@ -85,9 +92,15 @@ def _as_matches(rows: DataFrame) -> DataFrame:
     return rows.select("pool", "l", "r", F.col("a.descriptor").alias("lhs"), F.col("b.descriptor").alias("rhs"), "similarity", breakdown.alias("breakdown"), "method_rows", "provenance", "ord", "a", "b")
 
 
+#: Places that are sent to every task, some 30 bytes each, so that the classes are not shuffled to find those at them.
+MOST_PLACES = 2_000_000
+
+
 def _alone(side: DataFrame, paired: DataFrame, left: bool) -> DataFrame:
     key, own, other = ("l", "a", "b") if left else ("r", "b", "a")
-    rest = side.join(paired.select(F.col(key).alias("pos")), "pos", "left_anti")
+    # places alone are shuffled to tell which are left
+    places = sent(side.select("pos").join(paired.select(F.col(key).alias("pos")).hint("merge"), "pos", "left_anti"), MOST_PLACES)
+    rest = side.join(places, "pos", "left_semi")
     none = F.lit(None)
     kind = side.schema["c"].dataType
     cols = {
@@ -107,21 +120,24 @@ def _order(product: Column, stage: Column, nth: Column) -> Column:
 def structural_diff(lhs: DataFrame, rhs: DataFrame, threshold: float, opts: DiffOptions) -> DataFrame:
     """Paired rows of prepared sides, all pools in one plan."""
     pools = pool_table(lhs, rhs).withColumn("product", -F.col("n_lhs") * F.col("n_rhs"))
-    rest_l, rest_r, anchored = lhs, rhs, None
+    rest_l, rest_r, anchored = _shape(lhs), _shape(rhs), None
     if opts.anchoring:
         anchored = cut(seed_anchors(lhs, rhs))
-        rest_l = lhs.join(anchored.select("pool", F.col("l").alias("pos")), ["pool", "pos"], "left_anti")
-        rest_r = rhs.join(anchored.select("pool", F.col("r").alias("pos")), ["pool", "pos"], "left_anti")
+        # kept: the rest is read many times, by its signatures and then by its shapes
+        rest_l = kept(rest_l.join(anchored.select("pool", F.col("l").alias("pos")), ["pool", "pos"], "left_anti"))
+        rest_r = kept(rest_r.join(anchored.select("pool", F.col("r").alias("pos")), ["pool", "pos"], "left_anti"))
     ids = lambda df: df.select("pool", F.col("pos").alias("id"), "sig")
     near = nearest(ids(rest_l), ids(rest_r), opts.top_match_threshold, opts.buckets, opts.probe_radius)
-    scored = _ranked(near, lhs, rhs, class_similarity(F.col("a"), F.col("b")))
+    scored = cut(_ranked(near, rest_l, rest_r, class_similarity(F.col("a"), F.col("b"))))
     chosen = assign(scored, rest_l.groupBy("pool").agg(F.count("*").alias("n_left")), opts.assignment)
     pairs = chosen.select("pool", "l", "r", F.lit("structural").alias("provenance"), F.lit(1).alias("stage"), "nth")
     if anchored is not None:
         pairs = pairs.unionByName(anchored.select("pool", "l", "r", F.lit("anchored").alias("provenance"), F.lit(0).alias("stage"), "nth"))
-    rows = compared(_pairs(pairs.select("pool", F.col("l").cast("int").alias("l"), F.col("r").cast("int").alias("r"), "provenance", "stage", "nth"), lhs, rhs))
-    rows = rows.where((F.col("provenance") == "anchored") | (F.col("similarity") >= threshold))
-    return _as_matches(rows.join(pools.select("pool", "product"), "pool").withColumn("ord", _order(F.col("product"), F.col("stage"), F.col("nth"))))
+    # pools are joined while pairs are places alone
+    pairs = pairs.join(pools.select("pool", "product"), "pool").select("pool", F.col("l").cast("int").alias("l"), F.col("r").cast("int").alias("r"), "provenance", _order(F.col("product"), F.col("stage"), F.col("nth")).alias("ord"))
+    rows = kept(_as_matches(compared(_pairs(pairs, _slim(lhs), _slim(rhs)))))
+    # told of what is kept: a filter beneath would compare each pair twice
+    return rows.where((F.col("provenance") == "anchored") | (F.col("similarity") >= threshold))
 
 
 def referenced_descriptors(c: Column) -> Column:
@@ -272,11 +288,12 @@ def diff(lhs: DataFrame, rhs: DataFrame, threshold: float = 0.8, options: DiffOp
     """Match rows of two builds: paired, deleted (rhs null) and added (lhs null).
 
     Columns: pool, l, r (places), lhs, rhs (descriptors), similarity (1 is identical), breakdown,
-    method_rows, provenance, ord (order in which pairs were found), a, b (the classes).
+    method_rows, provenance, ord (order in which pairs were found), a, b (the classes, their methods without bytecode).
     """
     opts = options if isinstance(options, DiffOptions) else DiffOptions.from_dict(options)
     left, right = kept(prepared(lhs, opts)), kept(prepared(rhs, opts))
-    pairs = kept(structural_diff(left, right, threshold, opts))
+    pairs = structural_diff(left, right, threshold, opts)
+    left, right = _slim(left), _slim(right)
     if opts.propagation:
         more = kept(propagate(pairs, left, right, threshold, opts.assignment, most_frontier=opts.max_frontier))
         pairs = pairs.unionByName(more)

@@ -40,6 +40,21 @@ def bucket_keys(parts: list[str], tables: int = LSH_TABLES, bits: int = LSH_BITS
     return F.expr(f"array({', '.join(f'named_struct({chr(39)}perm{chr(39)}, {p}, {chr(39)}key{chr(39)}, {key(sample)})' for p, sample in enumerate(sampled_bits(tables, bits)))})")
 
 
+def _row_keys(tables: int, bits: int) -> Column:
+    """array<bigint> of a row's hi and lo: the keys of bucket_keys by table, made of whole columns of bits."""
+    samples = sampled_bits(tables, bits)
+
+    def run(hi: pa.Array, lo: pa.Array) -> pa.Array:
+        half = [np.asarray(x).astype(np.int64) for x in (lo, hi)]
+        out = np.zeros((len(hi), tables), np.int64)
+        for table, sample in enumerate(samples):
+            for j, b in enumerate(sample):
+                out[:, table] |= (half[b // 64] >> (b % 64) & 1) << j
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * tables, pa.int32()), pa.array(out.ravel()))
+
+    return F.arrow_udf(run, "array<bigint>")("hi", "lo")
+
+
 def flips(probe_radius: int, bits: int = LSH_BITS) -> list[int]:
     """By the number of a probe: what it flips of a key. No flip first, then single ones, then pairs."""
     if not 0 <= probe_radius <= 2:
@@ -75,7 +90,7 @@ def nearest(lhs: DataFrame, rhs: DataFrame, k: int = TOP_K, tables: int = LSH_TA
     right = rhs.select("pool", *sig_of("b"), F.col("id").alias("r")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k)
     one = left.select("pool", F.col("ahi").alias("hi"), F.col("alo").alias("lo")).distinct().withColumn("mark", F.lit(0).cast("long"))
     two = right.groupBy("pool", F.col("bhi").alias("hi"), F.col("blo").alias("lo")).agg(F.min("r").cast("long").alias("mark"))
-    spread = lambda df: df.select("*", F.explode(bucket_keys(_HALVED, tables, bits)).alias("x")).select("pool", "hi", "lo", "mark", "x.*")
+    spread = lambda df: df.select("*", _row_keys(tables, bits).alias("_keys")).select("pool", "hi", "lo", "mark", F.posexplode("_keys").alias("perm", "key"))
     one, two = spread(one), spread(two)
     if len(probes) > 1:
         # the mark of an asking signature is the number of its probe

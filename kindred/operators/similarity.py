@@ -82,14 +82,24 @@ class _Methods:
         coded = whole["abstract"].dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         self.body = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.texts = Texts([t or "" for t in coded.dictionary.to_pylist()])
+        self.bodies = coded.dictionary
         self.returns = _numbered(whole["return_type"])
         number = lambda f: pc.fill_null(whole[f], -1).to_numpy(zero_copy_only=False).astype(np.int64)
         self.args, self.xrefs = number("arg_count"), number("xref_count")
-        self.known = (self.body >= 0) & (self.args >= 0) & (self.xrefs >= 0)
+        #: Methods that can be matched and that nothing has taken yet.
+        self.free = (self.body >= 0) & (self.args >= 0) & (self.xrefs >= 0)
+        self.texts, self.text = None, None
+
+    def read(self) -> None:
+        """Makes texts of the bodies of free methods; text tells a method's place among them."""
+        used = np.unique(self.body[self.free])
+        self.texts = Texts([t or "" for t in self.bodies.take(pa.array(used)).to_pylist()])
+        place = np.zeros(len(self.bodies) + 1, np.int64)  # the last for methods without a body
+        place[used] = np.arange(len(used))
+        self.text = place[self.body]
 
     def scored(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of these pairs of methods reach the floor, and their scores."""
+        """Which of these pairs of methods reach the floor, and their scores; before texts are read, which of equal bodies have score 1."""
 
         def ratio(of: np.ndarray) -> np.ndarray:
             a, b = of[x], of[y]
@@ -97,13 +107,18 @@ class _Methods:
 
         proto = np.where((self.returns[x] == self.returns[y]) & (self.returns[x] >= 0), 0.5, 0.0) + 0.5 * ratio(self.args)
         rest = W["method_proto"] * proto + W["method_xref"] * ratio(self.xrefs)
-        la, lb = (self.texts.length[self.body[k]] if len(self.texts.length) else np.zeros(len(k), np.int64) for k in (x, y))
+        if self.texts is None:
+            # pairs of equal bodies
+            score = W["method_bytecode"] + rest
+            at = np.flatnonzero(score >= 1.0 - 1e-9)
+            return at, np.ones(len(at))
+        la, lb = (self.texts.length[self.text[k]] if len(self.texts.length) else np.zeros(len(k), np.int64) for k in (x, y))
         longest = np.maximum(la, lb)
         # the lengths alone bound the score from above: only pairs that can reach the floor are aligned
         bound = W["method_bytecode"] * np.where(longest == 0, 1.0, np.minimum(la, lb) / np.maximum(longest, 1)) + rest
-        at = np.flatnonzero(self.known[x] & self.known[y] & (bound >= METHOD_FLOOR - 1e-9))
+        at = np.flatnonzero(bound >= METHOD_FLOOR - 1e-9)
         rest, longest = rest[at], longest[at]
-        pair, back = np.unique(self.body[x[at]] * len(self.texts.length) + self.body[y[at]], return_inverse=True)
+        pair, back = np.unique(self.text[x[at]] * len(self.texts.length) + self.text[y[at]], return_inverse=True)
         # the greatest distance with which any pair of these bodies reaches the floor
         most = np.zeros(len(pair), np.int64)
         np.maximum.at(most, back, np.floor(longest * (1.0 - (METHOD_FLOOR - rest) / W["method_bytecode"]) + 1e-6).astype(np.int64))
@@ -114,10 +129,12 @@ class _Methods:
         return at[good], score[good]
 
     def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(class pair, left, right, score) of all method pairs at or above the floor; pairs are made a block at a time."""
+        """(class pair, left, right, score) of the pairs of free methods that scored tells; pairs are made a block at a time."""
         (l0, ln), (r0, rn) = self.sides
         row = np.repeat(np.arange(len(ln)), ln)  # a row for each left method
         i = np.arange(len(row)) - np.repeat(np.cumsum(ln) - ln, ln)
+        open_ = self.free[l0[row] + i]
+        row, i = row[open_], i[open_]
         many = rn[row]
         ends = np.cumsum(many)
         out, lo = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0)]], 0
@@ -126,11 +143,33 @@ class _Methods:
             each = many[lo:hi]
             own = np.repeat(np.arange(lo, hi), each)
             j = np.arange(len(own)) - np.repeat(np.cumsum(each) - each, each)
-            at, score = self.scored(l0[row[own]] + i[own], r0[row[own]] + j)
+            x, y = l0[row[own]] + i[own], r0[row[own]] + j
+            met = self.free[y] if self.texts is not None else self.free[y] & (self.body[x] == self.body[y])
+            own, j, x, y = own[met], j[met], x[met], y[met]
+            at, score = self.scored(x, y)
             out.append([row[own[at]], i[own[at]], j[at], score])
             lo = hi
         return tuple(np.concatenate(x) for x in zip(*out))
 
+    def matched(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class pair, left, right, score) of the method pairs that greedy matching takes.
+
+        Score 1 comes before all others, and only equal bodies have it. So pairs of score 1 are taken before any text is
+        read, and the texts that are aligned are those of the methods that are left.
+        """
+        (l0, _), (r0, _) = self.sides
+        out = []
+        for aligned in (False, True):
+            if aligned:
+                self.read()
+            found = self.candidates()
+            got = greedy_places(*found)
+            row, i, j, score = (x[got] for x in found)
+            self.free[l0[row] + i] = False
+            self.free[r0[row] + j] = False
+            out.append([row, i, j, score])
+        return tuple(np.concatenate(x) for x in zip(*out))
+
 
 def greedy_places(row: np.ndarray, i: np.ndarray, j: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Places of the pairs that greedy matching by (score descending, i, j) takes in each row: rounds of those that are the first of both their ends."""
@@ -153,15 +192,14 @@ def greedy_places(row: np.ndarray, i: np.ndarray, j: np.ndarray, score: np.ndarr
 
 def _rows(left: pa.Array, right: pa.Array) -> pa.Array:
     methods = _Methods(left, right)
-    row, i, j, score = methods.candidates()
-    got = greedy_places(row, i, j, score)
+    row, i, j, score = methods.matched()
     (l0, ln), (r0, rn) = methods.sides
     base = r0 - (r0[0] if len(r0) else 0)
     to, back = np.full(int(ln.sum()), -1), np.zeros(int(rn.sum()), bool)
     worth = np.zeros(len(to))
-    place = l0[row[got]] + i[got]
-    to[place], worth[place] = j[got], score[got]
-    back[base[row[got]] + j[got]] = True
+    place = l0[row] + i
+    to[place], worth[place] = j, score
+    back[base[row] + j] = True
     # left methods in order, then the right ones that nothing took
     of_left = np.repeat(np.arange(len(ln)), ln)
     of_right = np.repeat(np.arange(len(rn)), rn)[~back]
